@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import BASE, LOWER, PUNCTUATION, mix, powers, slices, text_bytes
+from larkspur.llm.kernels import BASE, PUNCTUATION, folded_bytes, mix, powers, slices
 
 WINDOW = 8
 LEAST_WORDS = 8
@@ -45,13 +45,14 @@ STOPS[[ord(c) for c in ".!?\n:|"]] = True
 
 
 def _hash_words(texts: list[str]) -> np.ndarray:
-    column = pa.array(texts, pa.string())
-    data, offsets = text_bytes(column)
-    return template(data, offsets)[1]
+    return template(*folded_bytes(pa.array(texts, pa.string())))[1]
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, own hash, slot kind (0 none) of each word, and each text's range of words."""
+def template(data: np.ndarray, folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hash, own hash, slot kind (0 none) of each word, and each text's range of words.
+
+    data and folded: the texts' bytes as written and in lower case, from offsets[0] to offsets[-1].
+    """
     offsets = offsets - offsets[0]
     n = len(data)
     if n == 0:
@@ -75,7 +76,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         own = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     digits = np.concatenate([[0], np.cumsum(DIGITS[data] | inner)])
     number = digits[stops] - digits[starts] == stops - starts
@@ -122,8 +123,7 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for item, text in zip(pdf["item_id"], pdf["text"]):
-            data, offsets = text_bytes(pa.array([text or ""], pa.string()))
-            typed, own, kind, _ = template(data, offsets)
+            typed, own, kind, _ = template(*folded_bytes(pa.array([text or ""], pa.string())))
             size = min(WINDOW, len(typed))
             if size < LEAST_WORDS:
                 continue
@@ -140,7 +140,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return items.mapInPandas(_item_windows, "item_id long, window long, at int, windows int, slots array<long>")
 
 
-def _document_windows(keep: np.ndarray | None, sent=None):
+def _document_windows(sent):
     """Windows of documents, only those in the index if it is at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +152,10 @@ def _document_windows(keep: np.ndarray | None, sent=None):
             bits[(listed.view(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            data, offsets = text_bytes(b.column("text"))
+            data, folded, offsets = folded_bytes(b.column("text"))
             out: list[list] = [[], [], [], []]
             for lo, hi in slices(offsets):
-                typed, own, kind, bounds = template(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
+                typed, own, kind, bounds = template(data[offsets[lo] : offsets[hi]], folded[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
                 h = rolled(typed, WINDOW)
                 if not len(h):
                     continue
@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_0
         sent = spark.sparkContext.broadcast(listed) if len(listed) else None
         if sent is None:
             rows = rows.limit(0)
-    found = rows.mapInArrow(_document_windows(None, sent), "doc_id long, window long, position long, held array<long>")
+    found = rows.mapInArrow(_document_windows(sent), "doc_id long, window long, position long, held array<long>")
     hits = found.join(index, "window").where(F.size("held") == F.size("slots"))
     # Slot values are paired by place; each side must map to one value of the other.
     pairs = F.arrays_zip(F.col("slots").alias("b"), F.col("held").alias("d"))

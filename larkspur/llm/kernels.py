@@ -56,6 +56,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at.astype(np.int64)
 
 
+def folded_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a string column, the same bytes in lower case, and the offsets that both have.
+
+    A text whose lower case has another length in bytes counts as lower case throughout.
+    """
+    column = pc.fill_null(column, "")
+    low = pc.utf8_lower(column)
+    same = pc.equal(pc.binary_length(column), pc.binary_length(low))
+    if not pc.all(same, min_count=0).as_py():
+        column = pc.if_else(same, column, low)
+    data, offsets = text_bytes(column)
+    folded, at = text_bytes(low)
+    return data[offsets[0] : offsets[-1]], folded[at[0] : at[-1]], offsets - offsets[0]
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes; a longer row stands alone."""
     start, n = 0, len(offsets) - 1

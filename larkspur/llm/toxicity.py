@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import PUNCTUATION, slices, text_bytes, words
+from larkspur.llm.kernels import PUNCTUATION, folded_bytes, slices, words
 
 BUCKETS = 1 << 20
 GRADES = 3
@@ -29,7 +29,7 @@ GRADES = 3
 
 def featurise(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each slice of rows: distinct word buckets of all its rows, and each row's range of them."""
-    data, offsets = text_bytes(column)
+    _, data, offsets = folded_bytes(column)
     for a, b in slices(offsets):
         h, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1], PUNCTUATION)
         row = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(bounds))
