@@ -80,8 +80,8 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = min(stop, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some texts, ASCII case folded, and each text's range of them.
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, first_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts (or of their first bytes), ASCII case folded, and each text's range of them.
 
     `data` holds the bytes from offsets[0] to offsets[-1]; words never cross texts.
     """
@@ -98,6 +98,8 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
     stop = ~gap
     stop[:-1] &= gap[1:] | first[1:]
     starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    if first_bytes:
+        stops = np.minimum(stops, starts + first_bytes)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):

@@ -1,8 +1,9 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
-Severity grades come from labels: 0 not toxic, 1 toxic, 2 toxic and of low quality. One weight vector
-over hashed words is shared by all thresholds: P(grade >= k) = sigmoid(score - threshold_k), with
-thresholds kept in order. The output is the expected severity, the sum of these probabilities.
+Severity grades are 0 (not toxic), 1 and 2. Where labels know only toxic or not, toxic documents with more
+than the median number of telling features are of grade 2. One weight vector over hashed words and stems is
+shared by all thresholds: P(grade >= k) = sigmoid(score - threshold_k), with thresholds kept in order. The
+output is the expected severity, the sum of these probabilities.
 
 The classifier is fitted on at most about `max_docs` labelled rows, chosen by a hash of doc_id; scoring
 reads every document whole.
@@ -23,17 +24,25 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import PUNCTUATION, folded_bytes, slices, words
 
-BUCKETS = 1 << 20
+BITS = 20
+BUCKETS = 1 << BITS
+#: Word beginnings of so many bytes are features besides the words.
+STEMS = (4, 6)
 GRADES = 3
 
 
 def featurise(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each slice of rows: distinct word buckets of all its rows, and each row's range of them."""
+    """For each slice of rows: distinct buckets of the words and stems of all its rows, and each row's range of them."""
     _, data, offsets = folded_bytes(column)
     for a, b in slices(offsets):
-        h, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1], PUNCTUATION)
-        row = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(bounds))
-        key = np.unique(row * BUCKETS + (h & np.uint64(BUCKETS - 1)).astype(np.int64))
+        keys = []
+        for cut in (None, *STEMS):
+            h, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1], PUNCTUATION, cut)
+            row = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(bounds))
+            with np.errstate(over="ignore"):
+                at = (h * np.uint64(2 * (cut or 0) + 1)) >> np.uint64(64 - BITS)
+            keys.append(np.unique(row * BUCKETS + at.astype(np.int64)))
+        key = np.unique(np.concatenate(keys))
         yield key % BUCKETS, np.searchsorted(key // BUCKETS, np.arange(b - a + 1))
 
 
@@ -43,8 +52,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(lists, pa.list_(pa.int32()))], ["grade", "buckets"])
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 12_000, steps: int = 150, ridge: float = 2e-4, rate: float = 0.1, least_docs: int = 3) -> dict:
-    """Weights and ordered thresholds from docs (doc_id, text) and grades (doc_id, grade), by full-batch Adam."""
+def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 12_000, steps: int = 400, ridge: float = 1e-5, rate: float = 0.1, least_docs: int = 5, least_z: float = 5.0) -> dict:
+    """Weights and ordered thresholds from docs (doc_id, text) and grades (doc_id, grade), by full-batch Adam.
+
+    Features that fewer than `least_docs` sampled documents hold, or whose share among toxic documents lies
+    less than `least_z` standard errors from their share among all, are left out.
+    """
     known = grades.where(F.col("grade").isNotNull())
     share = int(min(1.0, max_docs / max(known.count(), 1)) * (1 << 20))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("doc_id", F.col("grade").cast("int"))
@@ -58,10 +71,18 @@ def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 12_000, steps: int =
     flat = np.concatenate(got["buckets"].to_list()).astype(np.int64)
     doc = np.repeat(np.arange(len(y)), sizes)
     seen, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = df >= least_docs
+    # Rare features would let the model learn its documents by heart: keep those that tell the classes apart.
+    bad = y > 0
+    share = df / len(y)
+    odd = np.bincount(inverse[bad[doc]], minlength=len(seen)) / bad.sum() - share
+    z = odd / np.sqrt(share * (1 - share) / bad.sum() + 1e-12)
+    keep = (df >= least_docs) & (np.abs(z) >= least_z)
     renamed = np.cumsum(keep) - 1
     used = keep[inverse]
     col, doc, seen = renamed[inverse[used]], doc[used], seen[keep]
+    if y.max() == 1:  # labels without degrees: split the toxic documents by how many telling features they hold
+        marks = np.bincount(doc, z[keep][col] > 0, len(y))
+        y = y + (bad & (marks > np.median(marks[bad])))
     m, levels = len(seen), np.arange(1, GRADES)
     target = y[:, None] >= levels
     rest = np.maximum(target.mean(axis=0), 1e-3)
@@ -104,6 +125,5 @@ def severity(docs: DataFrame, model: dict) -> DataFrame:
 def op4_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(grade).alias("grade"))
+    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("grade"))
     return severity(docs, fit(docs, known))
