@@ -52,38 +52,48 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(lists, pa.list_(pa.int32()))], ["grade", "buckets"])
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 12_000, steps: int = 400, ridge: float = 1e-5, rate: float = 0.1, least_docs: int = 5, least_z: float = 5.0) -> dict:
+def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 12_000, steps: int = 400, ridge: float = 1e-5, rate: float = 0.1, least_docs: int = 5, least_z: float = 5.0, max_features: int = 20_000) -> dict:
     """Weights and ordered thresholds from docs (doc_id, text) and grades (doc_id, grade), by full-batch Adam.
 
     Features that fewer than `least_docs` sampled documents hold, or whose share among toxic documents lies
-    less than `least_z` standard errors from their share among all, are left out.
+    less than `least_z` standard errors from their share among all, are left out; the `max_features` most telling stay.
     """
     known = grades.where(F.col("grade").isNotNull())
     share = int(min(1.0, max_docs / max(known.count(), 1)) * (1 << 20))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("doc_id", F.col("grade").cast("int"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")  # chosen: max_docs rows
-    got = sample.mapInArrow(_features, "grade int, buckets array<int>").toPandas()  # bounded by max_docs
-    empty = {"at": np.zeros(0, np.int64), "weights": np.zeros(0), "thresholds": None}
-    y = got["grade"].to_numpy()
-    if len(np.unique(y)) < 2:
-        return empty
-    sizes = got["buckets"].map(len).to_numpy()
-    flat = np.concatenate(got["buckets"].to_list()).astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), sizes)
-    seen, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+    n, n_bad = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("grade") > 0).cast("int")), F.lit(0))).first()
+    if not 0 < n_bad < n:
+        return {"at": np.zeros(0, np.int64), "weights": np.zeros(0), "thresholds": None}
     # Rare features would let the model learn its documents by heart: keep those that tell the classes apart.
+    counted = (
+        sample.mapInArrow(_features, "grade int, buckets array<int>")
+        .select("grade", F.explode("buckets").alias("bucket"))
+        .groupBy("bucket").agg(F.count(F.lit(1)).alias("df"), F.sum((F.col("grade") > 0).cast("int")).alias("bad"))
+    )
+    share = F.col("df") / n
+    z = (F.col("bad") / n_bad - share) / F.sqrt(share * (1 - share) / n_bad + 1e-12)
+    telling = counted.where(F.col("df") >= least_docs).select("bucket", z.alias("z")).where(F.abs("z") >= least_z)
+    telling = telling.orderBy(F.desc(F.abs("z")), "bucket").limit(max_features).toArrow()  # at most max_features rows
+    order = np.argsort(telling["bucket"].to_numpy())
+    seen, z = telling["bucket"].to_numpy()[order].astype(np.int64), telling["z"].to_numpy()[order]
+    m = len(seen)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _features(batches):
+            lists = [np.flatnonzero(np.isin(seen, x)) for x in b.column("buckets").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(lists, pa.list_(pa.int32()))], ["grade", "features"])
+
+    got = sample.mapInArrow(told, "grade int, features array<int>").toArrow()  # max_docs rows of few features
+    y = got["grade"].to_numpy()
+    lists = got["features"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    col, doc = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(y)), sizes)
     bad = y > 0
-    share = df / len(y)
-    odd = np.bincount(inverse[bad[doc]], minlength=len(seen)) / bad.sum() - share
-    z = odd / np.sqrt(share * (1 - share) / bad.sum() + 1e-12)
-    keep = (df >= least_docs) & (np.abs(z) >= least_z)
-    renamed = np.cumsum(keep) - 1
-    used = keep[inverse]
-    col, doc, seen = renamed[inverse[used]], doc[used], seen[keep]
     if y.max() == 1:  # labels without degrees: split the toxic documents by how many telling features they hold
-        marks = np.bincount(doc, z[keep][col] > 0, len(y))
+        marks = np.bincount(doc, z[col] > 0, len(y))
         y = y + (bad & (marks > np.median(marks[bad])))
-    m, levels = len(seen), np.arange(1, GRADES)
+    levels = np.arange(1, GRADES)
     target = y[:, None] >= levels
     rest = np.maximum(target.mean(axis=0), 1e-3)
     # parameters: weights, first threshold, logarithms of the gaps between thresholds
