@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from larkspur.llm import chat, decontaminate, jaccard, langid, suffix_dedup, token_counts, toxicity, url_filter
+from larkspur.llm import chat, decontaminate, jaccard, langid, neighbours, suffix_dedup, token_counts, toxicity, url_filter
 
-QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, decontaminate.op2_decontaminate, chat.op3_chat_format, toxicity.op4_toxicity, langid.op6_language_id, token_counts.op8_token_counts, suffix_dedup.op9_suffix_dedup, jaccard.op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, decontaminate.op2_decontaminate, chat.op3_chat_format, toxicity.op4_toxicity, langid.op6_language_id, neighbours.op7_neighbours, token_counts.op8_token_counts, suffix_dedup.op9_suffix_dedup, jaccard.op10_jaccard_join)}
 ORACLES = {"op1_url_filter": url_filter.ORACLE}
