@@ -136,3 +136,45 @@ def shingles(h: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64) if h.dtype == np.uint64 else h.astype(np.uint64).view(np.int64)
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    """Code points of some texts, one after another."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def sums(codes: np.ndarray) -> np.ndarray:
+    """Running sums from which `spans` takes the hash of any stretch."""
+    total = np.zeros(len(codes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(len(codes) + 1)[0][: len(codes)], out=total[1:])
+    return total
+
+
+def spans(total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of what `sums` was made of; equal content has equal hashes."""
+    with np.errstate(over="ignore"):
+        return mix((total[stops] - total[starts]) * powers(len(total))[1][starts] + (stops - starts).astype(np.uint64))
+
+
+class HashIndex:
+    """Positions of hashes in a list, found through a table of their upper bits."""
+
+    def __init__(self, h: np.ndarray):
+        self.order = np.argsort(h, kind="stable")
+        h = h[self.order]
+        bits = max(4, int(len(h)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(h >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
+        self.deep = int(np.diff(self.first).max()) if len(h) else 0
+        self.h = np.concatenate([h, np.zeros(self.deep, np.uint64)])
+        self.n = len(h)
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """Position of each hash, -1 if it is not there."""
+        at = self.first[(q >> self.shift).astype(np.int64)]
+        out = np.full(len(q), -1)
+        for c in range(self.deep):
+            hit = np.flatnonzero((self.h[at + c] == q) & (at + c < self.n))
+            out[hit] = self.order[at[hit] + c]
+        return out

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.kernels import mix, powers, slices, text_bytes
+from larkspur.llm.kernels import HashIndex, code_points, slices, spans, sums, text_bytes
 from larkspur.llm.scratch import written
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -101,34 +101,11 @@ class Scorer:
         self.words = self.index(model["words"])
         self.grams = self.index(model["grams"])
 
-    def index(self, entries: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the entries and their rows."""
-        codes = np.frombuffer("".join(entries).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(x) for x in entries]).astype(np.int64)
-        h = self.hashes(self.sums(codes), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else np.zeros(0, np.uint64)
-        order = np.argsort(h)
-        rows = np.stack(list(entries.values())) if entries else np.zeros((0, len(self.langs)))
-        return h[order], rows[order]
-
-    @staticmethod
-    def sums(codes: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(codes) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(len(codes) + 1)[0][: len(codes)], out=total[1:])
-        return total
-
-    @staticmethod
-    def hashes(total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((total[stops] - total[starts]) * powers(len(total))[1][starts] + (stops - starts).astype(np.uint64))
-
-    @staticmethod
-    def look_up(index: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Position of each hash in the index, -1 if it is not there."""
-        if not len(index):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(index, h), len(index) - 1)
-        return np.where(index[at] == h, at, -1)
+    def index(self, entries: dict[str, np.ndarray]) -> tuple[HashIndex, np.ndarray]:
+        """Hashes of the entries, and their rows."""
+        ends = np.cumsum([0, *map(len, entries)]).astype(np.int64)
+        h = spans(sums(code_points(list(entries))), ends[:-1], ends[1:])
+        return HashIndex(h), np.stack(list(entries.values())) if entries else np.zeros((0, len(self.langs)))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         is_word, low = _letters()
@@ -140,8 +117,8 @@ class Scorer:
         edge = np.diff(letter.astype(np.int8))
         starts, stops = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         doc = np.searchsorted(bounds, starts, "right") - 1
-        total = self.sums(folded)
-        at = self.look_up(self.words[0], self.hashes(total, starts, stops))
+        total = sums(folded)
+        at = self.words[0].find(spans(total, starts, stops))
         out = np.zeros((len(texts), len(self.langs)))
         known = at >= 0
         self.add(out, doc[known], self.words[1][at[known]])
@@ -172,7 +149,7 @@ class Scorer:
         open_ = np.arange(len(word))
         for k in range(LONGEST, 0, -1):
             fits = open_[at[open_] + k <= end[open_]]
-            row[fits] = self.look_up(self.grams[0], self.hashes(total, at[fits], at[fits] + k))
+            row[fits] = self.grams[0].find(spans(total, at[fits], at[fits] + k))
             open_ = open_[row[open_] < 0]
         held = row >= 0
         n = np.bincount(word[held], minlength=len(starts))
