@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, langid
+from larkspur.llm import decontaminate, jaccard, langid, pieces, suffix_dedup
 from larkspur.llm.scratch import written
 
 #: Least posterior of a document's best language.
@@ -19,6 +19,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each component of near copies: five-word shingles, similarity 0.8 or more.
+
+    Documents without words are kept; of rows that share a kept doc_id all stay.
+    """
+    linked = jaccard.link_components(docs.select("doc_id", "text"), size=5, least=80)
+    gone = linked.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that repeat an earlier one; drop documents of which nothing is left."""
+    return suffix_dedup.without_repeats(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -26,7 +41,19 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("language ID", language), ("benchmark decontamination", decontaminated)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document that is left, with the hash of the decoded text."""
+    return pieces.encoded_rows(docs, pieces.load_pieces())
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", decontaminated),
+    ("SentencePiece encoding and decoding", encoded),
+]
+#: No stage but the exact ones can be told in SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
@@ -35,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "_"))
+            docs = written(docs, f"stage{i}")
     return docs

@@ -4,7 +4,8 @@ A document's set holds the distinct shingles of its words. Two documents link wh
 similarity reaches the threshold; the result is each document's component under links.
 
 1. Documents with equal sets form a class; one set stands for it.
-2. Tokens are ordered from rare to frequent by counts of a fixed-size sketch. Two linked sets must share a
+2. Tokens are ordered from rare to frequent: those of one text only, told by a filter, then the others by a
+   sketch of their counts. Two linked sets must share a
    token among their first n - ceil(t * n) + 1, whatever the order, so sets without such a shared token are
    done. Frequent tokens come last: a line that a third of all documents share brings no candidates.
 3. Sets that are joined by shared tokens form candidate families (connected components over stars, one star
@@ -36,6 +37,10 @@ from larkspur.llm.scratch import written
 #: Counters of the frequency sketch; one shingle counts in one of them.
 SKETCH_BITS = 20
 SKETCH_PART = 1 << 14
+#: Bits of a hash by which tokens are told apart when they are counted, and the upper ones that name a bucket.
+COUNT_BITS, BUCKET_BITS = 52, 12
+#: Tokens that a task packs at a time.
+PACKED_TOKENS = 8_000_000
 #: Tokens of the sets of one block of a family.
 BLOCK_TOKENS = 2_000_000
 GROUP = 64
@@ -53,38 +58,119 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, s
 
 
-def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Counts of shingles by the upper bits of their hash, over all documents."""
+def _short(h: np.ndarray) -> np.ndarray:
+    """The bits of a hash by which tokens are counted, spread for the filter."""
+    return mix(h >> np.uint64(64 - COUNT_BITS))
+
+
+class Order:
+    """Tokens from rare to frequent: those of one document only, then by the sketch."""
+
+    def __init__(self, sketch: np.ndarray, shared: np.ndarray):
+        self.sketch, self.shared = sketch, shared
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        return np.lexsort((s, self.sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], passes(self.shared, _short(s))))
+
+
+def token_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What Order needs: a sketch of how many documents hold a token, and a filter of those that several hold.
+
+    Both only order the tokens, so counting by COUNT_BITS of a hash, and a filter that errs, cost time and nothing
+    else. A task sends each of its tokens once, packed by bucket.
+    """
+    # Copies of a text would make all its tokens look shared: count one of each.
+    firsts = docs.groupBy(F.xxhash64("text").alias("t")).agg(F.min("id").alias("id"))
+    sent = docs.sparkSession.sparkContext.broadcast(small_filter(firsts.select(F.xxhash64("id").alias("key")), "key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        seen: list[np.ndarray] = []
+        held = 0
+
+        def pack() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(seen)) >> np.uint64(64 - COUNT_BITS)
+            seen.clear()
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            twice = np.unique(h[~first])
+            h = h[first]
+            edges = np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(COUNT_BITS - BUCKET_BITS)
+            raw, again = h.view(np.uint8).reshape(-1, 8)[:, :5], twice.view(np.uint8).reshape(-1, 8)[:, :5]
+            a, b = np.searchsorted(h, edges), np.searchsorted(twice, edges)
+            some = np.flatnonzero(np.diff(a) > 0)
+            arrays = [pa.array(some.astype(np.int32)), pa.array([raw[a[k] : a[k + 1]].tobytes() for k in some], pa.binary()), pa.array([again[b[k] : b[k + 1]].tobytes() for k in some], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["bucket", "tokens", "twice"])
+
         for b in batches:
+            b = b.filter(pa.array(passes(sent.value, b.column("key").to_numpy().view(np.uint64))))
             found = [s for _, s in _sets(b, size)]
             if found:
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        parts = total.reshape(-1, SKETCH_PART)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
+                flat = np.concatenate(found)
+                total += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                seen.append(flat)
+                held += len(flat)
+                if held >= PACKED_TOKENS:
+                    yield pack()
+                    held = 0
+        if seen:
+            yield pack()
+        parts = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, SKETCH_PART)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - some).astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary()), pa.array([None] * len(some), pa.binary())], ["bucket", "tokens", "twice"])
+
+    def unpack(raw: list[bytes], high: int) -> np.ndarray:
+        five = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+        out = np.zeros((len(five), 8), np.uint8)
+        out[:, :5] = five
+        return out.view(np.uint64).ravel() | np.uint64(high >> 40 << 40)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, again, total = None, [], [], None
+
+        def end() -> pa.RecordBatch:
+            if bucket is None or bucket < 0:
+                out = total.astype(np.int64).tobytes() if bucket is not None else b""
+            else:
+                h = np.sort(unpack(held, bucket << (COUNT_BITS - BUCKET_BITS)))
+                both = np.concatenate([h[1:][h[1:] == h[:-1]], unpack(again, bucket << (COUNT_BITS - BUCKET_BITS))])
+                out = np.unique(both).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out], pa.binary())], ["bucket", "content"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for part, x in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
-                total[part] = total.get(part, 0) + np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
+            for k, tokens, twice in zip(b.column("bucket").to_pylist(), b.column("tokens").to_pylist(), b.column("twice").to_pylist()):
+                if k != bucket:
+                    if bucket is not None:
+                        yield end()
+                    bucket, held, again, total = k, [], [], np.zeros(SKETCH_PART, np.int64)
+                if k < 0:
+                    total += np.frombuffer(tokens, np.int32)
+                else:
+                    held.append(tokens)
+                    again.append(twice)
+        if bucket is not None:
+            yield end()
+
+    counted = docs.select("text", F.xxhash64("id").alias("key")).mapInArrow(count, "bucket int, tokens binary, twice binary")
+    counted = written(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "bucket int, content binary"), "tokens")
+    sketch = np.zeros((1 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, np.int64).reshape(-1, SKETCH_PART)
+    for row in counted.where("bucket < 0").toLocalIterator():  # the sketch, of fixed size
+        sketch[-1 - row["bucket"]] = np.frombuffer(row["content"], np.int64)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("content").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(mix(np.frombuffer(x, np.uint64)).view(np.int64))], ["token"])
 
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, np.int64).reshape(-1, SKETCH_PART)
-    kind = "part int, counts binary"
-    for row in docs.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toLocalIterator():
-        out[row["part"]] += np.frombuffer(row["counts"], np.int64)
-    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
+    shared = counted.where("bucket >= 0").select("content").mapInArrow(spread, "token long")
+    return np.minimum(sketch.ravel(), (1 << 31) - 1).astype(np.int32), small_filter(shared, "token")
 
 
 def summaries(docs: DataFrame, size: int, least: int) -> DataFrame:
     """id, n (set size), s1 and s2 (hashes of the set), prefix (its rarest tokens) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, size))  # of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(token_order(docs, size))  # two arrays of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = sent.value
+        order = Order(*sent.value)
         for b in batches:
             n, s1, s2, prefixes = [], [], [], []
             for _, s in _sets(b, size):
@@ -93,8 +179,7 @@ def summaries(docs: DataFrame, size: int, least: int) -> DataFrame:
                     s1.append(np.add.reduce(mix(s + np.uint64(1))))
                     s2.append(np.add.reduce(mix(s ^ np.uint64(0x5BD1E995A5A5A5A5))))
                 k = len(s) - -(-least * len(s) // 100) + 1 if len(s) else 0
-                seen = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                prefixes.append(s[np.lexsort((s, seen))[:k]].view(np.int64))
+                prefixes.append(s[order(s)[:k]].view(np.int64))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefixes)]).astype(np.int32), pa.array(flat))
             arrays = [b.column("id"), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), lists]

@@ -146,15 +146,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     places = written(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     n = places.count()
-    sent = spark.sparkContext.broadcast(Curves(shape["size"], shape["longest"]))  # of fixed size
+    shape = (shape["size"], shape["longest"])
 
     def keys_of(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            curves = Curves(*shape)  # the same in every task, from its seed
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
-                keys = sent.value.keys(x, query)
+                keys = curves.keys(x, query)
                 for c in range(keys.shape[1]):
                     yield pa.RecordBatch.from_arrays([pa.array([c] * b.num_rows, pa.int32()), pa.array(keys[:, c]), *b.columns], ["curve", "key", *b.schema.names])
 

@@ -410,5 +410,39 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        kept = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tid"), pa.array(kept, pa.string())], ["id", "tid", "_kept"])
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...) with repeats cut out of text, and n_chars, if present, counted anew.
+
+    Of equal texts of LENGTH bytes or more one row stays. Rows whose text has repeats and of which only blanks are
+    left go. A character that a cut splits is dropped. Rows without repeats stay as they are.
+    """
+    texts = keyed(docs)
+    columns = docs.columns
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_tid": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # Copies: rows of a long text beyond its first document, and repeated rows of that document.
+    slim = texts.select("id", "tid", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("whole")).where(F.col("n_bytes") >= LENGTH)
+    counted = slim.groupBy("id", "tid", "whole").agg(F.count(F.lit(1)).alias("times"))
+    firsts = counted.groupBy("whole").agg(F.min("id").alias("first"))
+    copies = written(counted.join(firsts, "whole").where((F.col("id") != F.col("first")) | (F.col("times") > 1)).select("id", "tid", (F.col("id") != F.col("first")).alias("is_copy")), "copies")
+    cut = cut_texts(texts).select("id", "tid", "kept").dropDuplicates(["id", "tid"])
+    cut = cut.mapInArrow(_decode, "id long, tid long, _kept string")
+    later = copies.where("is_copy").select(F.col("id").alias("_id"), F.col("tid").alias("_tid"))
+    twice = copies.where("not is_copy").select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), F.lit(True).alias("_twice"))
+    left = rows.join(later, ["_id", "_tid"], "left_anti").join(twice, ["_id", "_tid"], "left")
+    left = left.where("_twice IS NULL").unionByName(left.where("_twice").dropDuplicates(["_id", "_tid"]))
+    joined = left.join(cut.select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), "_kept"), ["_id", "_tid"], "left")
+    stays = F.col("_kept").isNull() | (F.trim(F.regexp_replace("_kept", r"\\s+", " ")) != "")
+    out = joined.where(stays).withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)
+
+
 def op9_suffix_dedup(spark, sf_dir):
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
