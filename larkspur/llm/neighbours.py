@@ -2,7 +2,8 @@
 
 Vectors are projected to a few dimensions, shifted, and ordered along Hilbert curves, one for each projection.
 Each ordering is range-partitioned into windows of about `WINDOW_ROWS` vectors. A query is compared with the
-windows around its own key in every ordering; the results of the windows merge and are ranked anew.
+windows around its own key in every ordering; the results of the windows merge and are ranked anew. What its own
+windows give sets a bound, so the windows around add only rows that can enter the result.
 
 How many windows to each side are read (the radius) is fitted on a bounded sample of queries that are searched
 exhaustively, in blocks: it is the least radius that reaches `recall` on them. Data without structure need many
@@ -13,7 +14,7 @@ of their own. Equal vectors are indexed once, with their smallest ids, so a crow
 
 Edge cases: vectors that are null or empty, zero, of another length than most, or that hold null or non-finite
 components take no part, neither as query nor as candidate; ties go to the smaller vec_id; fewer candidates
-than `k` give fewer rows; rows that share a vec_id count each, a query is never paired with its own vec_id;
+than `k` give fewer rows; rows that share a vec_id count once, by the best score; a query is never paired with its own vec_id;
 an empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -107,8 +108,11 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list, k: int) -> pd.DataFrame:
-    """The k best (query, candidate) pairs of every query; ids: sorted candidate ids of each vector."""
+def _best(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list, k: int, least: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best (query, candidate) pairs of every query, none below its `least` score.
+
+    ids: sorted candidate ids of each vector.
+    """
     rows = []
     width = np.array([len(i) for i in ids])
     flat, start = np.concatenate(ids), np.cumsum(width) - width
@@ -122,7 +126,7 @@ def _best(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list, k: int
         each = width[at]
         who, score, at = np.repeat(who, each), np.repeat(score, each), np.repeat(start[at], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         vec = flat[at]
-        other = vec != own[who]
+        other = (vec != own[who]) & (True if least is None else score >= least[lo + who])
         who, score, vec = who[other], score[other], vec[other]
         order = np.lexsort((vec, -score, who))
         who, score, vec = who[order], score[order], vec[order]
@@ -209,19 +213,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                     break
 
     salts = max(1, -(-(min(2 * radius + 1, windows) * WINDOW_ROWS) // QUERY_ROWS))
-    near = F.sequence(F.greatest(F.lit(0), F.col("window") - radius), F.least(F.lit(windows - 1), F.col("window") + radius))
-    left = window(keyed_queries).withColumn("window", F.explode(near)).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
     right = window(keyed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = ["curve", "window", "salt"]
 
-    def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(a["vec_id"].to_numpy(), np.stack(a["v"]), np.stack(b["v"]), [np.asarray(i) for i in b["ids"]], k)
+    def compare(left: DataFrame) -> DataFrame:
+        def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return _best(a["vec_id"].to_numpy(), np.stack(a["v"]), np.stack(b["v"]), [np.asarray(i) for i in b["ids"]], k, a["least"].to_numpy())
 
-    on = ["curve", "window", "salt"]
-    found = left.select(*on, "vec_id", "v").groupBy(*on).cogroup(right.select(*on, "v", "ids").groupBy(*on)).applyInPandas(merge, out)
+        left = left.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")).select(*on, "vec_id", "v", "least")
+        return left.groupBy(*on).cogroup(right.select(*on, "v", "ids").groupBy(*on)).applyInPandas(merge, out)
+
+    # First a query's own windows; the k-th score found there is a bound that the other windows' rows must reach.
+    placed = window(keyed_queries)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    found = compare(placed.withColumn("least", F.lit(float("-inf")))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    if radius:
+        found = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "own_windows")
+        bound = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("bound"))
+        near = F.sequence(F.greatest(F.lit(0), F.col("window") - radius), F.least(F.lit(windows - 1), F.col("window") + radius))
+        others = placed.withColumn("near", F.explode(near)).where("near != window").withColumn("window", F.col("near")).drop("near")
+        others = others.join(bound, others["vec_id"] == bound["query_id"], "left").withColumn("least", F.coalesce("bound", F.lit(float("-inf"))))
+        more = compare(others)
+        found = found.drop("rank").unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op7_neighbours(spark, sf_dir):
