@@ -143,6 +143,14 @@ def code_points(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def per_character(codes: np.ndarray, value, dtype) -> np.ndarray:
+    """value(character) for each code point, worked out once for each character that occurs."""
+    occurs = np.flatnonzero(np.bincount(codes)) if len(codes) else np.zeros(0, np.int64)
+    table = np.zeros(int(occurs[-1]) + 1 if len(occurs) else 1, dtype)
+    table[occurs] = [value(chr(c)) for c in occurs.tolist()]
+    return table[codes]
+
+
 def sums(codes: np.ndarray) -> np.ndarray:
     """Running sums from which `spans` takes the hash of any stretch."""
     total = np.zeros(len(codes) + 1, np.uint64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.kernels import HashIndex, code_points, slices, spans, sums, text_bytes
+from larkspur.llm.kernels import HashIndex, code_points, per_character, slices, spans, sums, text_bytes
 from larkspur.llm.scratch import written
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -81,16 +81,10 @@ def fit(labelled: DataFrame, max_docs: int = 5_000, max_words: int = 60_000, max
     return {"langs": langs, "words": table(False, max_words), "grams": table(True, max_grams)}
 
 
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: whether it is a letter of a word, and its lower case (where that is one character)."""
-    if "word" not in _tables:
-        every = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
-        _tables["word"] = np.array([x.isalnum() and not x.isdecimal() for x in every])
-        _tables["low"] = np.array([ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in every], np.uint32)
-    return _tables["word"], _tables["low"]
-
-
-_tables: dict[str, np.ndarray] = {}
+def _folded(c: str) -> int:
+    """A word character in lower case (where that is one character); a space for all others."""
+    low = c.lower()
+    return ord(low if len(low) == 1 else c) if c.isalnum() and not c.isdecimal() else 32
 
 
 class Scorer:
@@ -108,12 +102,11 @@ class Scorer:
         return HashIndex(h), np.stack(list(entries.values())) if entries else np.zeros((0, len(self.langs)))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        is_word, low = _letters()
         lengths = np.array([len(t) + 1 if t else 1 for t in texts], np.int64)
         bounds = np.concatenate([[1], 1 + np.cumsum(lengths)])
         codes = np.frombuffer(("\n" + "".join(f"{t}\n" if t else "\n" for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = is_word[codes]
-        folded = np.where(letter, low[codes], np.uint32(32))  # everything between words is a space
+        folded = per_character(codes, _folded, np.uint32)  # everything between words is a space
+        letter = folded != 32
         edge = np.diff(letter.astype(np.int8))
         starts, stops = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         doc = np.searchsorted(bounds, starts, "right") - 1
