@@ -45,3 +45,10 @@ def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFr
 def timeline(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """All points of two series, side by side."""
     return left.join(right, on, "full_outer")
+
+
+def lines(df: DataFrame, keys: list[str], y: str, tie: str, tolerance: float) -> DataFrame:
+    """Adds line: values of y that lie within the tolerance of the one before share a line, as boxes of a page do."""
+    w = Window.partitionBy(*keys).orderBy(y, tie)
+    fresh = F.when(F.col(y) - F.lag(y).over(w) <= tolerance, 0).otherwise(1)
+    return df.withColumn("_fresh", fresh).withColumn("line", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")

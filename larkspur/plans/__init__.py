@@ -1 +1,5 @@
 """Carrier queries: each operator of the library applied to the given tables."""
+
+from larkspur.plans import carriers, more
+
+__all__ = ["carriers", "more"]
