@@ -55,15 +55,16 @@ def clean_pages(pages: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def containing(docs: DataFrame, key: str, text: str, passages: DataFrame, item: str, passage: str) -> DataFrame:
-    """key, item of the documents that contain a passage.
+    """key, item of the documents that contain a passage, where the passage begins at a word.
 
-    Passages and documents meet on a passage's first line of 24 characters found at a sentence start, by hash;
-    containment is then exact. No pair is made that shares no such beginning.
+    Passages and documents meet on the passage's first three words; containment is then exact, so no pair is
+    made that does not share such a beginning.
     """
-    start = passages.select(item, F.col(passage).alias("_passage"), F.substring(passage, 1, 24).alias("_head"))
-    # Every place of a document where a word begins gives a candidate beginning.
-    places = F.expr(f"filter(transform(split({text}, '(?<=[ \\n])'), (w, i) -> w), w -> true)")
-    pieces = docs.select(key, F.col(text).alias("_text"), places.alias("_words"))
-    offsets = F.aggregate("_words", F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, w: F.struct((a["at"] + F.length(w)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
-    heads = pieces.select(key, "_text", F.explode(F.array_distinct(F.transform(offsets, lambda i: F.substring("_text", i, F.lit(24))))).alias("_head"))
-    return heads.join(start, "_head").where(F.contains("_text", "_passage")).select(key, item).distinct()
+    words = lambda c: F.filter(F.split(c, r"[ \n]+"), lambda w: w != "")
+    start = passages.select(item, F.col(passage).alias("_passage"), F.array_join(F.slice(words(F.col(passage)), 1, 3), " ").alias("_head"))
+    pieces = docs.select(key, words(F.col(text)).alias("_words"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 2, F.lit(1))), lambda i: F.array_join(F.slice("_words", i, F.lit(3)), " "))
+    heads = pieces.select(key, F.explode(F.array_distinct(runs)).alias("_head"))
+    met = heads.join(start.select(item, "_head"), "_head").select(key, item).distinct()
+    both = met.join(docs.select(key, F.col(text).alias("_text")), key).join(start.select(item, "_passage"), item)
+    return both.where(F.contains("_text", "_passage")).select(key, item)
