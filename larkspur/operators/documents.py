@@ -68,3 +68,31 @@ def containing(docs: DataFrame, key: str, text: str, passages: DataFrame, item:
     met = heads.join(start.select(item, "_head"), "_head").select(key, item).distinct()
     both = met.join(docs.select(key, F.col(text).alias("_text")), key).join(start.select(item, "_passage"), item)
     return both.where(F.contains("_text", "_passage")).select(key, item)
+
+
+def sections(docs: DataFrame, key: str, text: str, heading: str, short: int) -> DataFrame:
+    """key, at, line, section: a line that looks like a heading, or is short, opens the next section."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    opens = (F.col("line").rlike(heading) | (F.length("line") < short)).cast("int")
+    order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("section", F.sum(opens).over(order))
+
+
+def pipe_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line_no, column_no, cell of lines of a pipe table; divider lines are left out."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    rows = lines.where(F.contains("line", F.lit("|")) & ~F.col("line").rlike(r"^[ |:-]*$"))
+    return rows.select(key, "line_no", F.posexplode(F.split("line", r"\|")).alias("column_no", "cell")).withColumn("cell", F.trim("cell"))
+
+
+def pack(hits: DataFrame, key: str, order: list, item: str, size: str, budget: int) -> DataFrame:
+    """key, item, size of the hits that fit a budget, taken greedily in order; the first is always taken.
+
+    hits: a retrieval's result, so a bounded number for each key; the fold runs over one array per key.
+    """
+    ranked = hits.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    listed = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_k", item, F.col(size).cast("long").alias(size)))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.filter("all", lambda x: F.lit(False)).alias("taken"))
+    step = lambda a, x: F.when((a["used"] + x[size] <= budget) | (F.size(a["taken"]) == 0), F.struct((a["used"] + x[size]).alias("used"), F.concat(a["taken"], F.array(x)).alias("taken"))).otherwise(a)
+    taken = listed.select(key, F.explode(F.aggregate("all", start, step)["taken"]).alias("x"))
+    return taken.select(key, F.col(f"x.{item}").alias(item), F.col(f"x.{size}").alias(size))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
-from larkspur.operators import relations, series
+from larkspur.operators import documents, relations, series
 from larkspur.plans.carriers import query
 from larkspur.sources import io
 
@@ -197,3 +197,61 @@ def sliding_measures(t):
 @query()
 def manifest(t):
     return io.manifest({n: getattr(t, n) for n in ("orders", "customer", "part")})
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z][a-z]+\\.$') OR length(line) < 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l)
+SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM s GROUP BY 1, 2""")
+def section_split(t):
+    return documents.sections(t.documents, "doc_id", "text", r"^[A-Z][a-z]+\.$", 30).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+r AS (SELECT doc_id, pos, string_split(line, '|') AS cells FROM l WHERE contains(line, '|') AND NOT regexp_matches(line, '^[ |:-]*$'))
+SELECT doc_id, CAST(pos - 1 AS INT) AS line_no, CAST(col - 1 AS INT) AS column_no, trim(cell) AS cell FROM (SELECT doc_id, pos, unnest(cells) AS cell, generate_subscripts(cells, 1) AS col FROM r)""")
+def markdown_cells(t):
+    return documents.pipe_cells(t.documents, "doc_id", "text")
+
+
+@query("""
+WITH s AS (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', 'OTHER']) AS segment), c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)
+SELECT n_nationkey, segment, coalesce(n, 0) AS members FROM nation, s LEFT JOIN c ON c_nationkey = n_nationkey AND c_mktsegment = segment""")
+def missing_member_completion(t):
+    wanted = F.explode(F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "OTHER")]))
+    grid = t.nation.select("n_nationkey", wanted.alias("segment"))
+    counted = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(counted, ["n_nationkey", "segment"], "left").select("n_nationkey", "segment", F.coalesce("n", F.lit(0)).alias("members"))
+
+
+@query("""
+SELECT o_orderkey, issue FROM (SELECT o_orderkey, unnest([CASE WHEN o_totalprice > 450000 THEN 'large' END, CASE WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 'old' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END]) AS issue FROM orders) WHERE issue IS NOT NULL""")
+def report_rule_issues(t):
+    rules = [(F.col("o_totalprice") > 450000, "large"), (F.col("o_orderdate") < F.lit("1993-01-01").cast("timestamp_ntz"), "old"), (F.col("o_orderstatus") == "P", "pending")]
+    return t.orders.select("o_orderkey", F.explode(F.array_compact(F.array(*[F.when(p, name) for p, name in rules]))).alias("issue"))
+
+
+@query("""
+SELECT p_partkey, concat_ws(',', CASE WHEN p_size < 5 THEN 'small' END, CASE WHEN p_retailprice < 905 THEN 'cheap' END, CASE WHEN p_type = 'PROMO' THEN 'promo' END) AS issues,
+  CASE WHEN p_size < 5 THEN 'repair' WHEN p_retailprice < 905 THEN 'review' WHEN p_type = 'PROMO' THEN 'relabel' ELSE 'keep' END AS action FROM part""")
+def repair_classification(t):
+    rules = [(F.col("p_size") < 5, "small", "repair"), (F.col("p_retailprice") < 905, "cheap", "review"), (F.col("p_type") == "PROMO", "promo", "relabel")]
+    issues = F.array_join(F.array_compact(F.array(*[F.when(p, name) for p, name, _ in rules])), ",")
+    action = F.coalesce(*[F.when(p, what) for p, _, what in rules], F.lit("keep"))
+    return t.part.select("p_partkey", issues.alias("issues"), action.alias("action"))
+
+
+@query("""
+SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, CAST(floor(o_totalprice / 50000) AS BIGINT) AS basis, count(*) AS merged, string_agg(DISTINCT o_orderstatus, '' ORDER BY o_orderstatus) AS sources, round(max(o_totalprice), 2) AS amount FROM orders GROUP BY 1, 2, 3""")
+def equivalent_entry_merge(t):
+    sources = F.array_join(F.sort_array(F.collect_set("o_orderstatus")), "")
+    keys = ["o_custkey", F.year("o_orderdate").alias("year"), F.floor(F.col("o_totalprice") / 50000).alias("basis")]
+    return t.orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("merged"), sources.alias("sources"), F.round(F.max("o_totalprice"), 2).alias("amount"))
+
+
+@query()
+def budget_packing(t):
+    hits = t.documents.where("n_chars < 4000").select("lang", "doc_id", "n_chars")
+    hits = relations.best_per_key(hits, ["lang"], [F.desc("n_chars"), F.col("doc_id")], 200)  # a retrieval returns its best 200
+    return documents.pack(hits, "lang", [F.desc("n_chars"), F.col("doc_id")], "doc_id", "n_chars", 20_000)
