@@ -45,7 +45,7 @@ def small_filter(keys: DataFrame, column: str) -> np.ndarray:
 
     at = F.expr(f"cast((shiftrightunsigned({column}, 24) & {words - 1}L) div {segment} as int)")
     filled = np.zeros((words // segment, segment), np.uint64)
-    for row in keys.select(column).repartition(at).mapInArrow(build, "segment long, bits binary").toLocalIterator():
+    for row in keys.select(column).repartition(at).mapInArrow(build, "segment long, bits binary").collect():  # the filter, of bounded size
         filled[row["segment"]] |= np.frombuffer(row["bits"], np.uint64)
     return filled.ravel()
 

@@ -153,7 +153,7 @@ def token_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     counted = docs.select("text", F.xxhash64("id").alias("key")).mapInArrow(count, "bucket int, tokens binary, twice binary")
     counted = written(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "bucket int, content binary"), "tokens")
     sketch = np.zeros((1 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, np.int64).reshape(-1, SKETCH_PART)
-    for row in counted.where("bucket < 0").toLocalIterator():  # the sketch, of fixed size
+    for row in counted.where("bucket < 0").collect():  # the sketch, of fixed size
         sketch[-1 - row["bucket"]] = np.frombuffer(row["content"], np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
