@@ -40,12 +40,12 @@ SKETCH_PART = 1 << 14
 #: Bits of a hash by which tokens are told apart when they are counted, and the upper ones that name a bucket.
 COUNT_BITS, BUCKET_BITS = 52, 12
 #: Tokens that a task packs at a time.
-PACKED_TOKENS = 8_000_000
+PACKED_TOKENS = 2_000_000
 #: Tokens of the sets of one block of a family.
 BLOCK_TOKENS = 2_000_000
 GROUP = 64
 #: Cells of a dense matrix of sets and tokens.
-DENSE = 25_000_000
+DENSE = 12_000_000
 NULL_ID = -(1 << 63)
 
 
