@@ -47,7 +47,10 @@ def r2(c) -> F.Column:
 
 # --- series ---------------------------------------------------------------------------------------
 
-TERM = F.substring("o_orderpriority", 1, 1).cast("int") * 2
+def term():
+    return F.substring("o_orderpriority", 1, 1).cast("int") * 2
+
+
 SQL_TERM = "CAST(substr(o_orderpriority, 1, 1) AS INT) * 2"
 
 
@@ -57,7 +60,7 @@ SELECT policy_id, CAST(year AS INT) AS year, floor(amount * 100 + 0.5) / 100 AS
   floor(sum(amount) OVER (PARTITION BY policy_id ORDER BY year ROWS UNBOUNDED PRECEDING) * 100 + 0.5) / 100 AS cumulative FROM y""")
 def cashflow_expand(t):
     start = F.year("o_orderdate")
-    rows = t.orders.select(F.col("o_orderkey").alias("policy_id"), start.alias("start"), TERM.alias("term"), (F.col("o_totalprice") * 0.05).alias("amount"))
+    rows = t.orders.select(F.col("o_orderkey").alias("policy_id"), start.alias("start"), term().alias("term"), (F.col("o_totalprice") * 0.05).alias("amount"))
     yearly = series.expand_years(rows, F.col("start"), F.col("start") + F.col("term") - 1)
     return series.running_total(yearly, ["policy_id"], ["year"], "amount").select("policy_id", "year", r2(F.col("amount")).alias("amount"), r2(F.col("cumulative")).alias("cumulative"))
 
@@ -85,7 +88,7 @@ def member_annual_summary(t):
 WITH p AS (SELECT o_orderkey, year(o_orderdate) + unnest(range(0, {SQL_TERM})) AS year, o_totalprice / ({SQL_TERM}) AS premium FROM orders)
 SELECT CAST(year AS INT) AS year, count(*) AS payments, round(sum(premium), 2) AS outflow FROM p GROUP BY year""")
 def premium_outflow(t):
-    rows = t.orders.select(F.year("o_orderdate").alias("start"), TERM.alias("term"), (F.col("o_totalprice") / TERM).alias("premium"))
+    rows = t.orders.select(F.year("o_orderdate").alias("start"), term().alias("term"), (F.col("o_totalprice") / term()).alias("premium"))
     paid = series.expand_years(rows, F.col("start"), F.col("start") + F.col("term") - 1)
     return paid.groupBy("year").agg(F.count(F.lit(1)).alias("payments"), F.round(F.sum("premium"), 2).alias("outflow"))
 
