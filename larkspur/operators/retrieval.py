@@ -15,15 +15,21 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return counted.join(counted.groupBy(key).agg(F.sum("tf").alias("length")), key)
 
 
-def _when_equal(term: str):
-    return lambda w: F.when(w == F.lit(term), w)
-
-
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """key, score of the documents that hold a term. Only the terms' postings are shuffled."""
+    """key, score of the documents that hold a term. One scan counts the terms; what is shuffled is one row of totals per task."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"([a-z0-9]+)"), 1)
-    measured = docs.select(key, F.size(words).alias("length"), *[F.size(F.array_compact(F.transform(words, _when_equal(t)))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # Every word between two spaces of its own: plain replacement then counts words. The lambda names that text once.
+    spaced = F.trim(F.regexp_replace(low, "[^a-z0-9]+", "  "))
+
+    def times(c: Column, part: str) -> Column:
+        return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+    def measures(c: Column) -> Column:
+        padded = F.concat(F.lit(" "), c, F.lit(" "))
+        length = F.when(c == "", 0).otherwise(times(c, "  ") + 1).alias("length")
+        return F.struct(length, *[times(padded, f" {t.lower()} ").alias(f"tf{i}") for i, t in enumerate(terms)])
+
+    measured = docs.select(key, F.transform(F.array(spaced), measures)[0].alias("x")).select(key, "x.*")
     stats = measured.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     joined = measured.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
