@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True

@@ -43,7 +43,7 @@ RUN = 4096
 HOT = 4096
 #: Bytes of contents that one suffix array covers, up to the next anchor.
 CHUNK = 4 << 20
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bits of a position within a piece, below the hash that anchors compete with.
 LOW = np.uint64((1 << 24) - 1)
 NULL_ID = -(1 << 63)
