@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from larkspur.plans import carriers
@@ -21,7 +22,7 @@ def db():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda x: "null" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
+    cell = lambda x: "null" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x)
     return sorted(tuple(map(cell, r)) for r in frame.values.tolist())
 
 
