@@ -202,15 +202,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_0
         hits.groupBy("doc_id", "item_id", "at", "windows", (F.col("position") - F.col("at")).alias("shift"))
         .agg(F.first("slots").alias("slots"), F.first("held").alias("held"))
         .groupBy("doc_id", "item_id", "windows", "shift")
-        .agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
+        .agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
     )
     consistent = (F.size(F.array_distinct("pairs.b")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.d")) == F.size("pairs"))
     whole = by_window.where(consistent)
-    # Passages broken by edits match in several runs: their windows count together.
+    # Passages broken by edits match in several runs: their windows count together, each place of the item once.
     return (
-        whole.groupBy("doc_id", "item_id", "windows")
-        .agg(F.sum("n").alias("n"), F.min(F.forall("pairs", lambda p: p["b"] == p["d"])).alias("same_values"))
-        .withColumn("cover", F.least(F.lit(1.0), F.col("n") / F.col("windows")))
+        whole.select("doc_id", "item_id", "windows", F.explode("at").alias("at"), F.forall("pairs", lambda p: p["b"] == p["d"]).alias("same"))
+        .groupBy("doc_id", "item_id", "windows")
+        .agg(F.count_distinct("at").alias("n"), F.min("same").alias("same_values"))
+        .withColumn("cover", F.col("n") / F.col("windows"))
         .where(F.col("cover") >= cover)
         .select("doc_id", "item_id", "cover", "same_values")
     )

@@ -177,6 +177,24 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def hits(spark, docs, bench, **options):
+    """{(doc_id, item_id): (cover, same_values)} of (id, text) rows."""
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    rows = decontaminate.contaminated(d, b, **options).collect()
+    assert len(rows) == len({(r["doc_id"], r["item_id"]) for r in rows})
+    return {(r["doc_id"], r["item_id"]): (r["cover"], r["same_values"]) for r in rows}
+
+
+def test_decontamination_counts_each_window_once(spark):
+    plain = [f"alpha{i}" for i in range(16)]
+    phrase = " ".join(plain[:8])
+    numbers = "these are the values 1 2 3 4 5 6 7 8 in order of size"
+    table = " ".join(str(1000 + i) for i in range(200))
+    docs = [(1, " filler ".join([phrase] * 5)), (2, table), (3, " ".join(plain[:12])), (4, " ".join(plain))]
+    found = hits(spark, docs, [(10, " ".join(plain)), (11, numbers)])
+    assert found == {(3, 10): (5 / 9, True), (4, 10): (1.0, True)}
+
+
 # --- neighbours -----------------------------------------------------------------------------------
 
 
