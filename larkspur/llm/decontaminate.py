@@ -8,6 +8,10 @@ consistent: one benchmark value always maps to one document value and the other
 A name is a word that starts with a capital inside a sentence, a unit is one of UNITS, a number is a word
 of digits with separators. Words are runs of letters and digits, so punctuation and layout do not matter.
 
+Capitals tell names only while the document keeps the item's case. So every window has a second form in which
+names are plain words in lower case: text in capitals, lower or title case is found by it, with other numbers or
+units too (but not a window with both another case and another name).
+
 The benchmark index is sent to the tasks while it holds at most `max_index` windows; a larger one stays a
 table, and window hashes are joined by shuffle. Documents are read whole in both cases.
 
@@ -38,8 +42,9 @@ NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
 
 DIGITS = np.zeros(256, bool)
 DIGITS[48:58] = True
-UPPER = np.zeros(256, bool)
-UPPER[65:91] = True
+#: Bytes of the character that a byte begins.
+WIDTH = np.ones(256, np.int64)
+WIDTH[0xC0:0xE0], WIDTH[0xE0:0xF0], WIDTH[0xF0:] = 2, 3, 4
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?\n:|"]] = True
 
@@ -87,16 +92,22 @@ def template(data: np.ndarray, folded: np.ndarray, offsets: np.ndarray) -> tuple
     if len(starts) > 1:
         fresh[1:] = marks[starts[1:]] > marks[stops[:-1]]
     fresh[bounds[:-1][bounds[:-1] < len(starts)]] = True
-    second_lower = np.zeros(len(starts), bool)
-    longer = stops - starts > 1
-    second_lower[longer] = ~UPPER[data[starts[longer] + 1]]
-    name = UPPER[data[starts]] & ~fresh & second_lower
+    # a character is a capital if lower case changes it
+    changed = np.concatenate([[0], np.cumsum(data != folded)])
+    second = np.minimum(starts + WIDTH[data[starts]], stops)
+    third = np.minimum(second + WIDTH[data[np.minimum(second, n - 1)]], stops)
+    name = (changed[second] > changed[starts]) & ~fresh & (second < stops) & (changed[third] == changed[second])
     unit = np.isin(own, _units())
     kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0))).astype(np.uint8)
     typed = np.where(kind == 1, NUMBER, np.where(kind == 2, NAME, np.where(kind == 3, UNIT, own)))
     return typed, own, kind, bounds
 
 
+def forms(typed: np.ndarray, own: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
+    """Words with names as placeholders, and with names as they are in lower case."""
+    return [typed, np.where(kind == 2, own, typed)]
+
+
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -127,17 +138,17 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size = min(WINDOW, len(typed))
             if size < LEAST_WORDS:
                 continue
-            h = rolled(typed, size).view(np.int64)
-            for i, x in enumerate(h):
-                slots = own[i : i + size][kind[i : i + size] > 0]
-                rows.append((item, int(x), i, len(h), slots.astype(np.uint64).view(np.int64).tolist()))
-        yield pd.DataFrame(rows, columns=["item_id", "window", "at", "windows", "slots"])
+            own_words, kinds = own.view(np.int64).tolist(), kind.tolist()
+            hashes = [rolled(x, size).view(np.int64).tolist() for x in forms(typed, own, kind)]
+            for i, both in enumerate(zip(*hashes)):
+                rows += [(item, x, i, len(hashes[0]), own_words[i : i + size], kinds[i : i + size]) for x in set(both)]
+        yield pd.DataFrame(rows, columns=["item_id", "window", "at", "windows", "words", "kinds"])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window (hash), at (word position), windows (the item's count), slots (hashes of slot values)."""
+    """item_id, window (hash, of either form), at (word position), windows (the item's count), words (own hashes), kinds."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL")
-    return items.mapInPandas(_item_windows, "item_id long, window long, at int, windows int, slots array<long>")
+    return items.mapInPandas(_item_windows, "item_id long, window long, at int, windows int, words array<long>, kinds array<int>")
 
 
 def _document_windows(sent):
@@ -156,25 +167,26 @@ def _document_windows(sent):
             out: list[list] = [[], [], [], []]
             for lo, hi in slices(offsets):
                 typed, own, kind, bounds = template(data[offsets[lo] : offsets[hi]], folded[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-                h = rolled(typed, WINDOW)
-                if not len(h):
-                    continue
-                ok = np.ones(len(h), bool)
-                for j in range(1, WINDOW):  # windows that cross into the next text
-                    edge = bounds[1:-1] - j
-                    ok[edge[(edge >= 0) & (edge < len(h))]] = False
-                if bits is not None:
-                    ok &= bits[(h >> np.uint64(44)).astype(np.int64)]
-                at = np.flatnonzero(ok)
-                if listed is not None and len(at):
-                    x = h[at].view(np.int64)
-                    near = np.minimum(np.searchsorted(listed, x), len(listed) - 1)
-                    at = at[listed[near] == x]
-                doc = np.searchsorted(bounds, at, "right") - 1
-                out[0].append(ids[lo + doc])
-                out[1].append(h[at].view(np.int64))
-                out[2].append(at - bounds[doc])
-                out[3] += [own[i : i + WINDOW][kind[i : i + WINDOW] > 0].astype(np.uint64).view(np.int64) for i in at]
+                for words in forms(typed, own, kind):
+                    h = rolled(words, WINDOW)
+                    if not len(h):
+                        continue
+                    ok = np.ones(len(h), bool)
+                    for j in range(1, WINDOW):  # windows that cross into the next text
+                        edge = bounds[1:-1] - j
+                        ok[edge[(edge >= 0) & (edge < len(h))]] = False
+                    if bits is not None:
+                        ok &= bits[(h >> np.uint64(44)).astype(np.int64)]
+                    at = np.flatnonzero(ok)
+                    if listed is not None and len(at):
+                        x = h[at].view(np.int64)
+                        near = np.minimum(np.searchsorted(listed, x), len(listed) - 1)
+                        at = at[listed[near] == x]
+                    doc = np.searchsorted(bounds, at, "right") - 1
+                    out[0].append(ids[lo + doc])
+                    out[1].append(h[at].view(np.int64))
+                    out[2].append(at - bounds[doc])
+                    out[3] += [own[i : i + WINDOW].view(np.int64) for i in at]
             if out[0]:
                 arrays = [pa.array(np.concatenate(x).astype(np.int64), pa.int64()) for x in out[:3]]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "window", "position", "held"])
@@ -195,14 +207,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_0
         if sent is None:
             rows = rows.limit(0)
     found = rows.mapInArrow(_document_windows(sent), "doc_id long, window long, position long, held array<long>")
-    hits = found.join(index, "window").where(F.size("held") == F.size("slots"))
-    # Slot values are paired by place; each side must map to one value of the other.
-    pairs = F.arrays_zip(F.col("slots").alias("b"), F.col("held").alias("d"))
+    # Words are paired by place: plain ones must be equal, and each value of a slot must map to one of the other side.
+    words = F.arrays_zip(F.col("kinds").alias("kind"), F.col("words").alias("b"), F.col("held").alias("d"))
+    hits = found.join(index, "window").where(F.size("held") == F.size("words"))
+    hits = hits.withColumn("pairs", words).where(F.forall("pairs", lambda p: (p["kind"] > 0) | (p["b"] == p["d"])))
+    pairs = F.transform(F.filter("pairs", lambda p: p["kind"] > 0), lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
     by_window = (
         hits.groupBy("doc_id", "item_id", "at", "windows", (F.col("position") - F.col("at")).alias("shift"))
-        .agg(F.first("slots").alias("slots"), F.first("held").alias("held"))
+        .agg(F.first(pairs).alias("pairs"))
         .groupBy("doc_id", "item_id", "windows", "shift")
-        .agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
+        .agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     )
     consistent = (F.size(F.array_distinct("pairs.b")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.d")) == F.size("pairs"))
     whole = by_window.where(consistent)

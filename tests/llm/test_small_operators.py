@@ -195,6 +195,17 @@ def test_decontamination_counts_each_window_once(spark):
     assert found == {(3, 10): (5 / 9, True), (4, 10): (1.0, True)}
 
 
+def test_decontamination_in_other_case(spark):
+    item = "A train leaves town with Alice aboard and travels 120 km in 3 hours before it stops to let Bob join the others"
+    german = "Am Morgen sah die alte Frau aus dem Haus am See den Hund und das Kind mit dem Ball im Garten"
+    accent = "so then it was that Émile and Ödön walked on to the market with two baskets of pears"
+    docs = [(1, item.upper()), (2, item.lower()), (3, item.title()), (4, german.upper()), (5, german.lower()), (6, item.upper().replace("120", "95"))]
+    docs += [(7, accent.replace("Émile", "Åke")), (8, accent.upper())]
+    found = hits(spark, docs, [(10, item), (11, german), (12, accent)])
+    assert found == {(1, 10): (1.0, True), (2, 10): (1.0, True), (3, 10): (1.0, True), (4, 11): (1.0, True), (5, 11): (1.0, True), (6, 10): (1.0, False), (7, 12): (1.0, False), (8, 12): (1.0, True)}
+    assert hits(spark, docs, [(10, item), (11, german), (12, accent)], max_index=0) == found
+
+
 # --- neighbours -----------------------------------------------------------------------------------
 
 
