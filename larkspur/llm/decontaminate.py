@@ -2,8 +2,9 @@
 
 Numbers, names and units are replaced by typed placeholders, so a question with other values still has the
 same template. Windows of `window` template words of the benchmark are hash-joined with those of the
-documents. A hit is kept where the passages agree on enough of the item's windows and their slots are
-consistent: one benchmark value always maps to one document value and the other way round.
+documents. A window counts if each of its slots has the item's value or follows the mapping of values that most
+slots of the same alignment follow: one benchmark value maps to one document value, and of names and units the other
+way round too (two numbers may become equal). A hit is kept where enough of the item's windows count.
 
 A name is a word that starts with a capital inside a sentence, a unit is one of UNITS, a number is a word
 of digits with separators. Words are runs of letters and digits, so punctuation and layout do not matter.
@@ -194,8 +195,34 @@ def _document_windows(sent):
     return run
 
 
+def _majority(slots: dict, forward: bool) -> dict:
+    """The value that most slots give to each value of one side; ties go to equal values, then to the least."""
+    votes: dict = {}
+    for kind, b, d in slots.values():
+        x, y = (b, d) if forward else (d, b)
+        counts = votes.setdefault((kind, x), {})
+        counts[y] = counts.get(y, 0) + 1
+    return {key: min(counts, key=lambda y: (-counts[y], y != key[1], y)) for key, counts in votes.items()}
+
+
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of the windows found in each alignment, whether they count and whether all values are the item's."""
+    for pdf in batches:
+        found = []
+        for pairs in pdf["found"]:
+            slots = {f["at"] + i: (p["kind"], p["b"], p["d"]) for f in pairs for i, p in enumerate(f["pairs"]) if p["kind"]}
+            there, back = _majority(slots, True), _majority(slots, False)
+            bad = {i for i, (kind, b, d) in slots.items() if b != d and (there[kind, b] != d or (kind != 1 and back[kind, d] != b))}
+            rows = []
+            for f in pairs:
+                places = range(f["at"], f["at"] + len(f["pairs"]))
+                rows.append({"at": f["at"], "counts": bad.isdisjoint(places), "same": all(p["b"] == p["d"] for p in f["pairs"])})
+            found.append(rows)
+        yield pdf[["doc_id", "item_id", "windows"]].assign(found=found)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_000, cover: float = COVER) -> DataFrame:
-    """doc_id, item_id, cover (share of the item's windows found), same_values (no slot was changed)."""
+    """doc_id, item_id, cover (share of the item's windows found), same_values (each place found is also found with the item's values)."""
     spark = docs.sparkSession
     index = benchmark_windows(benchmark)
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -207,25 +234,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_0
         if sent is None:
             rows = rows.limit(0)
     found = rows.mapInArrow(_document_windows(sent), "doc_id long, window long, position long, held array<long>")
-    # Words are paired by place: plain ones must be equal, and each value of a slot must map to one of the other side.
+    # Words are paired by place; plain ones must be equal.
     words = F.arrays_zip(F.col("kinds").alias("kind"), F.col("words").alias("b"), F.col("held").alias("d"))
     hits = found.join(index, "window").where(F.size("held") == F.size("words"))
     hits = hits.withColumn("pairs", words).where(F.forall("pairs", lambda p: (p["kind"] > 0) | (p["b"] == p["d"])))
-    pairs = F.transform(F.filter("pairs", lambda p: p["kind"] > 0), lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
-    by_window = (
+    aligned = (
         hits.groupBy("doc_id", "item_id", "at", "windows", (F.col("position") - F.col("at")).alias("shift"))
-        .agg(F.first(pairs).alias("pairs"))
-        .groupBy("doc_id", "item_id", "windows", "shift")
-        .agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+        .agg(F.first("pairs").alias("pairs"))
+        .groupBy("doc_id", "item_id", "windows", "shift")  # at most the item's windows
+        .agg(F.collect_list(F.struct("at", "pairs")).alias("found"))
     )
-    consistent = (F.size(F.array_distinct("pairs.b")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.d")) == F.size("pairs"))
-    whole = by_window.where(consistent)
+    judged = aligned.select("doc_id", "item_id", "windows", "found").mapInPandas(_judge, "doc_id long, item_id long, windows int, found array<struct<at: int, counts: boolean, same: boolean>>")
     # Passages broken by edits match in several runs: their windows count together, each place of the item once.
     return (
-        whole.select("doc_id", "item_id", "windows", F.explode("at").alias("at"), F.forall("pairs", lambda p: p["b"] == p["d"]).alias("same"))
+        judged.select("doc_id", "item_id", "windows", F.inline("found"))
         .groupBy("doc_id", "item_id", "windows")
-        .agg(F.count_distinct("at").alias("n"), F.min("same").alias("same_values"))
+        .agg(F.count_distinct(F.when(F.col("counts"), F.col("at"))).alias("n"), F.count_distinct("at").alias("all"), F.count_distinct(F.when(F.col("same"), F.col("at"))).alias("equal"))
         .withColumn("cover", F.col("n") / F.col("windows"))
+        .withColumn("same_values", F.col("equal") == F.col("all"))
         .where(F.col("cover") >= cover)
         .select("doc_id", "item_id", "cover", "same_values")
     )

@@ -206,6 +206,23 @@ def test_decontamination_in_other_case(spark):
     assert hits(spark, docs, [(10, item), (11, german), (12, accent)], max_index=0) == found
 
 
+def test_decontamination_with_conflicting_slots(spark):
+    item = "on the first day 12 of the boxes were sold at the old market and then again on a later day near the river 12 of the boxes were sold to the miller"
+    other = "a man buys 3 red apples and also 5 green pears at the shop and wants to know how much he pays"
+    pairs = "one man buys 4 red apples while walking along the long and dusty road to the town and then his friend buys 4 green pears at the shop of the baker"
+    docs = [(1, item), (2, item[:-50] + item[-50:].replace("12", "13"))]
+    docs += [(3, other.replace("3", "4").replace("5", "4")), (4, pairs.replace("buys 4 red", "buys 7 red").replace("buys 4 green", "buys 9 green"))]
+    found = hits(spark, docs, [(10, item), (11, other), (12, pairs)])
+    assert found[1, 10] == (1.0, True) and found[3, 11] == (1.0, False)
+    # windows without the changed number: all but the up to 8 around it
+    n, at = len(item.split()), item.split().index("12", 6)
+    lost = sum(i <= at < i + 8 for i in range(n - 7))
+    assert found[2, 10] == ((n - 7 - lost) / (n - 7), False)
+    n, at = len(pairs.split()), pairs.split().index("4", 5)
+    assert found[4, 12] == ((n - 7 - sum(i <= at < i + 8 for i in range(n - 7))) / (n - 7), False)
+    assert set(found) == {(1, 10), (2, 10), (3, 11), (4, 12)}
+
+
 # --- neighbours -----------------------------------------------------------------------------------
 
 
