@@ -35,10 +35,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage."""
+    """Drop documents that hold a benchmark passage, all rows that share a doc_id, and without one each by its text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = decontaminate.contaminated_rows(docs, benchmark)
+    hit = hit.select(F.col("doc_id").alias("hit_id"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("hit_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.when(F.col("doc_id").isNull(), F.xxhash64("text")).eqNullSafe(F.col("hit_text"))
+    return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

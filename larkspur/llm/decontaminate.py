@@ -4,10 +4,13 @@ Numbers, names and units are replaced by typed placeholders, so a question with
 same template. Windows of `window` template words of the benchmark are hash-joined with those of the
 documents. A window counts if each of its slots has the item's value or follows the mapping of values that most
 slots of the same alignment follow: one benchmark value maps to one document value, and of names and units the other
-way round too (two numbers may become equal). A hit is kept where enough of the item's windows count.
+way round too (two numbers may become equal). A window of placeholders only says nothing by itself: it counts with
+the item's values, or beside windows that hold plain words. A hit is kept where enough of the item's windows count, or
+where `RUN` words in a row do, `WINDOW` of them equal.
 
 A name is a word that starts with a capital inside a sentence, a unit is one of UNITS, a number is a word
-of digits with separators. Words are runs of letters and digits, so punctuation and layout do not matter.
+of digits with separators. Words are runs of letters and digits, so punctuation and layout do not matter; in
+scripts without spaces every character is a word.
 
 Capitals tell names only while the document keeps the item's case. So every window has a second form in which
 names are plain words in lower case: text in capitals, lower or title case is found by it, with other numbers or
@@ -16,13 +19,15 @@ units too (but not a window with both another case and another name).
 The benchmark index is sent to the tasks while it holds at most `max_index` windows; a larger one stays a
 table, and window hashes are joined by shuffle. Documents are read whole in both cases.
 
-Edge cases: null or short texts have no window and no hit (an item of fewer words than `window` uses its
-whole length, of fewer than `least_words` none at all); repeated rows give one hit per (doc_id, item_id); equal
-items each give a hit; extra columns are ignored.
+Edge cases: null texts and texts without words have no hit; an item of fewer words than `WINDOW` is found by its
+whole template, so one of a single common word hits every document with that word; every row is judged by itself,
+also those that share a doc_id or have none, and rows that share a doc_id give one hit per item, the best; equal items
+each give a hit; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import BASE, PUNCTUATION, folded_bytes, mix, powers, slices
+from larkspur.llm.kernels import BASE, PUNCTUATION, folded_bytes, mix, per_character, powers, slices
 
 WINDOW = 8
-LEAST_WORDS = 8
+#: So many words in a row are a hit, whatever their share.
+RUN = 13
 #: Share of an item's windows that a document must hold.
 COVER = 0.5
 #: Unit words and symbols, in lower case.
@@ -50,6 +56,28 @@ STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?\n:|"]] = True
 
 
+#: Scripts written without spaces: Thai to Tibetan, Burmese, Khmer, kana, Han.
+UNSPACED = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+
+
+def kind_of(c: str) -> int:
+    """0 letter, digit or mark, 1 anything between words, 2 a word of its own."""
+    if unicodedata.category(c)[0] in "PSZC":
+        return 1
+    return 2 if any(a <= ord(c) <= b for a, b in UNSPACED) else 0
+
+
+def wide_kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the characters outside ASCII begin, how many bytes they have, and their kinds."""
+    at = np.flatnonzero(data >= 0xC0)
+    width = np.minimum(WIDTH[data[at]], len(data) - at)
+    code = data[at].astype(np.int64) & np.array([0, 0x7F, 0x1F, 0x0F, 0x07])[width]
+    for i in range(1, 4):
+        more = width > i
+        code[more] = code[more] << 6 | data[at[more] + i] & 0x3F
+    return at, width, per_character(np.minimum(code, 0x10FFFF), kind_of, np.int8)
+
+
 def _hash_words(texts: list[str]) -> np.ndarray:
     return template(*folded_bytes(pa.array(texts, pa.string())))[1]
 
@@ -72,6 +100,11 @@ def template(data: np.ndarray, folded: np.ndarray, offsets: np.ndarray) -> tuple
     gap = gap & ~inner
     first = np.zeros(n + 1, bool)
     first[offsets[:-1]] = True
+    at, width, wide = wide_kinds(data)
+    for i in range(4):
+        gap[at[(wide == 1) & (width > i)] + i] = True
+    first[at[wide == 2]] = True
+    first[(at + width)[wide == 2]] = True
     first = first[:n]
     start, stop = ~gap, ~gap
     start = start.copy()
@@ -137,7 +170,7 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for item, text in zip(pdf["item_id"], pdf["text"]):
             typed, own, kind, _ = template(*folded_bytes(pa.array([text or ""], pa.string())))
             size = min(WINDOW, len(typed))
-            if size < LEAST_WORDS:
+            if not size:
                 continue
             own_words, kinds = own.view(np.int64).tolist(), kind.tolist()
             hashes = [rolled(x, size).view(np.int64).tolist() for x in forms(typed, own, kind)]
@@ -152,8 +185,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return items.mapInPandas(_item_windows, "item_id long, window long, at int, windows int, words array<long>, kinds array<int>")
 
 
-def _document_windows(sent):
-    """Windows of documents, only those in the index if it is at hand."""
+def _document_windows(sent, sizes: list[int]):
+    """Windows of documents of the sizes that the index has, only those in the index if it is at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = sent.value if sent is not None else None
@@ -163,17 +196,18 @@ def _document_windows(sent):
             bits = np.zeros(1 << 20, bool)
             bits[(listed.view(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = np.array(b.column("doc_id").to_pylist(), object)  # with nulls
             data, folded, offsets = folded_bytes(b.column("text"))
-            out: list[list] = [[], [], [], []]
+            texts = b.column("text_hash").to_numpy()
+            out: list[list] = [[], [], [], [], []]
             for lo, hi in slices(offsets):
                 typed, own, kind, bounds = template(data[offsets[lo] : offsets[hi]], folded[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-                for words in forms(typed, own, kind):
-                    h = rolled(words, WINDOW)
+                for size, words in [(size, words) for size in sizes for words in forms(typed, own, kind)]:
+                    h = rolled(words, size)
                     if not len(h):
                         continue
                     ok = np.ones(len(h), bool)
-                    for j in range(1, WINDOW):  # windows that cross into the next text
+                    for j in range(1, size):  # windows that cross into the next text
                         edge = bounds[1:-1] - j
                         ok[edge[(edge >= 0) & (edge < len(h))]] = False
                     if bits is not None:
@@ -184,13 +218,17 @@ def _document_windows(sent):
                         near = np.minimum(np.searchsorted(listed, x), len(listed) - 1)
                         at = at[listed[near] == x]
                     doc = np.searchsorted(bounds, at, "right") - 1
-                    out[0].append(ids[lo + doc])
-                    out[1].append(h[at].view(np.int64))
-                    out[2].append(at - bounds[doc])
-                    out[3] += [own[i : i + WINDOW].view(np.int64) for i in at]
+                    if size < WINDOW and len(at):  # a whole item: another place of the same words adds nothing
+                        once = np.unique(np.stack([doc.astype(np.uint64), h[at], rolled(own, size)[at]]), axis=1, return_index=True)[1]
+                        at, doc = at[once], doc[once]
+                    out[0] += ids[lo + doc].tolist()
+                    out[1].append(texts[lo + doc])
+                    out[2].append(h[at].view(np.int64))
+                    out[3].append(at - bounds[doc])
+                    out[4] += [own[i : i + size].view(np.int64) for i in at]
             if out[0]:
-                arrays = [pa.array(np.concatenate(x).astype(np.int64), pa.int64()) for x in out[:3]]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "window", "position", "held"])
+                arrays = [pa.array(np.concatenate(x).astype(np.int64), pa.int64()) for x in out[1:4]]
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *arrays, pa.array(out[4], pa.list_(pa.int64()))], ["doc_id", "text_hash", "window", "position", "held"])
 
     return run
 
@@ -205,27 +243,41 @@ def _majority(slots: dict, forward: bool) -> dict:
     return {key: min(counts, key=lambda y: (-counts[y], y != key[1], y)) for key, counts in votes.items()}
 
 
+#: What tells documents apart, also those that share a doc_id or have none.
+ROW = ["doc_id", "text_hash"]
+
+
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Places of the windows found in each alignment, whether they count and whether all values are the item's."""
+    """Places of the windows found in each alignment, whether they count, hold the item's values and end a long run."""
     for pdf in batches:
         found = []
         for pairs in pdf["found"]:
             slots = {f["at"] + i: (p["kind"], p["b"], p["d"]) for f in pairs for i, p in enumerate(f["pairs"]) if p["kind"]}
             there, back = _majority(slots, True), _majority(slots, False)
             bad = {i for i, (kind, b, d) in slots.items() if b != d and (there[kind, b] != d or (kind != 1 and back[kind, d] != b))}
+            anchored = any(p["kind"] == 0 for f in pairs for p in f["pairs"])
             rows = []
-            for f in pairs:
+            for f in sorted(pairs, key=lambda f: f["at"]):
                 places = range(f["at"], f["at"] + len(f["pairs"]))
-                rows.append({"at": f["at"], "counts": bad.isdisjoint(places), "same": all(p["b"] == p["d"] for p in f["pairs"])})
+                same = all(p["b"] == p["d"] for p in f["pairs"])
+                rows.append({"at": f["at"], "counts": bad.isdisjoint(places) and (anchored or same), "same": same, "run": False})
+                # the words in a row that end with this window, and those of them that are the item's
+                if not rows[-1]["counts"]:
+                    run = []
+                    continue
+                equal = [p["b"] == p["d"] for p in f["pairs"]]
+                run = [*run, equal[-1]] if len(rows) > 1 and rows[-2]["counts"] and rows[-2]["at"] == f["at"] - 1 else equal
+                rows[-1]["run"] = len(run) >= RUN and sum(run) >= WINDOW
             found.append(rows)
-        yield pdf[["doc_id", "item_id", "windows"]].assign(found=found)
+        yield pdf[[*ROW, "item_id", "windows"]].assign(found=found)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_000, cover: float = COVER) -> DataFrame:
-    """doc_id, item_id, cover (share of the item's windows found), same_values (each place found is also found with the item's values)."""
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_000, cover: float = COVER) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), item_id, cover (share of the item's windows found), same_values (each place found is also found with the item's values)."""
     spark = docs.sparkSession
     index = benchmark_windows(benchmark)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
+    sizes = sorted(r["size"] for r in index.select(F.size("words").alias("size")).distinct().collect())  # at most WINDOW
     small = index.select("window").distinct().limit(max_index + 1).count() <= max_index
     sent = None
     if small:
@@ -233,30 +285,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_0
         sent = spark.sparkContext.broadcast(listed) if len(listed) else None
         if sent is None:
             rows = rows.limit(0)
-    found = rows.mapInArrow(_document_windows(sent), "doc_id long, window long, position long, held array<long>")
+    found = rows.mapInArrow(_document_windows(sent, sizes), "doc_id long, text_hash long, window long, position long, held array<long>")
     # Words are paired by place; plain ones must be equal.
     words = F.arrays_zip(F.col("kinds").alias("kind"), F.col("words").alias("b"), F.col("held").alias("d"))
     hits = found.join(index, "window").where(F.size("held") == F.size("words"))
     hits = hits.withColumn("pairs", words).where(F.forall("pairs", lambda p: (p["kind"] > 0) | (p["b"] == p["d"])))
     aligned = (
-        hits.groupBy("doc_id", "item_id", "at", "windows", (F.col("position") - F.col("at")).alias("shift"))
+        hits.groupBy(*ROW, "item_id", "at", "windows", (F.col("position") - F.col("at")).alias("shift"))
         .agg(F.first("pairs").alias("pairs"))
-        .groupBy("doc_id", "item_id", "windows", "shift")  # at most the item's windows
+        .groupBy(*ROW, "item_id", "windows", "shift")  # at most the item's windows
         .agg(F.collect_list(F.struct("at", "pairs")).alias("found"))
     )
-    judged = aligned.select("doc_id", "item_id", "windows", "found").mapInPandas(_judge, "doc_id long, item_id long, windows int, found array<struct<at: int, counts: boolean, same: boolean>>")
+    judged = aligned.select(*ROW, "item_id", "windows", "found").mapInPandas(_judge, "doc_id long, text_hash long, item_id long, windows int, found array<struct<at: int, counts: boolean, same: boolean, run: boolean>>")
     # Passages broken by edits match in several runs: their windows count together, each place of the item once.
     return (
-        judged.select("doc_id", "item_id", "windows", F.inline("found"))
-        .groupBy("doc_id", "item_id", "windows")
-        .agg(F.count_distinct(F.when(F.col("counts"), F.col("at"))).alias("n"), F.count_distinct("at").alias("all"), F.count_distinct(F.when(F.col("same"), F.col("at"))).alias("equal"))
+        judged.select(*ROW, "item_id", "windows", F.inline("found"))
+        .groupBy(*ROW, "item_id", "windows")
+        .agg(F.count_distinct(F.when(F.col("counts"), F.col("at"))).alias("n"), F.count_distinct("at").alias("all"), F.count_distinct(F.when(F.col("same"), F.col("at"))).alias("equal"), F.max("run").alias("run"))
         .withColumn("cover", F.col("n") / F.col("windows"))
         .withColumn("same_values", F.col("equal") == F.col("all"))
-        .where(F.col("cover") >= cover)
-        .select("doc_id", "item_id", "cover", "same_values")
+        .where((F.col("cover") >= cover) | F.col("run"))
+        .select(*ROW, "item_id", "cover", "same_values")
     )
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_000, cover: float = COVER) -> DataFrame:
+    """doc_id, item_id, cover, same_values: the best hit of the rows that share a doc_id."""
+    best = contaminated_rows(docs, benchmark, max_index, cover).groupBy("doc_id", "item_id").agg(F.max(F.struct("cover", "same_values")).alias("best"))
+    return best.select("doc_id", "item_id", "best.*")
+
+
 def op2_decontaminate(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

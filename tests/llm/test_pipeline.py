@@ -78,3 +78,12 @@ def test_copies_and_nulls(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r["doc_id"], hashlib.md5((r["text"] or "").encode()).hexdigest()[:4]) for r in S.without_repeats(df).collect())
     assert [g[0] for g in got] == [1, 3, 4, 5]
+
+
+def test_rows_without_id_are_decontaminated(spark, tmp_path):
+    item = " ".join(f"delta{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, item), (None, "clean text"), (None, None), (1, "x " + item), (1, "same id"), (2, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in P.decontaminated(spark, df, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([(None, "clean text"), (None, None), (2, "other")], key=str)

@@ -223,6 +223,22 @@ def test_decontamination_with_conflicting_slots(spark):
     assert set(found) == {(1, 10), (2, 10), (3, 11), (4, 12)}
 
 
+def test_decontamination_of_runs_short_items_and_rows_without_id(spark):
+    long = [f"beta{i}" for i in range(1000)]
+    part = [f"gamma{i}" for i in range(59)]
+    short, chinese, few = "How much is 3 plus 5?", "小明有三个苹果和五个梨他一共有多少个水果", "12 km"
+    numbers = "values: 1 2 3 4 5 6 7 8 9 10 11 12 13 14"
+    items = [(10, " ".join(long)), (11, " ".join(part)), (12, short), (13, chinese), (14, few), (15, numbers.split(": ")[1])]
+    docs = [
+        (1, " ".join(long[300:700])), (2, " ".join(part[10:40])), (3, " ".join(part[:12])), (4, "He asked: how much is 4 plus 9? Twice: how much is 4 plus 9?"), (5, f"前言。“{chinese}？”后记"),
+        (6, "it is 12 km away"), (7, "it is 13 km away"), (8, " ".join(str(500 + i) for i in range(60))), (9, "“" + "”—“".join(part) + "”"), (None, "a b c " + " ".join(part)), (None, " ".join(part[:12])), (None, " ".join(part[12:24])), (20, " ".join(part[:12])), (20, "clean " * 20),
+    ]
+    for most in (2_000_000, 0):
+        found = hits(spark, docs, items, max_index=most)
+        assert set(found) == {(1, 10), (2, 11), (4, 12), (5, 13), (6, 14), (9, 11), (None, 11)}
+        assert found[2, 11] == (23 / 52, True) and found[4, 12] == (1.0, False) and found[5, 13] == found[9, 11] == found[None, 11] == (1.0, True)
+
+
 # --- neighbours -----------------------------------------------------------------------------------
 
 
