@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few dimensions, shifted, and ordered along Hilbert curves, one for each projection.
-Each ordering is range-partitioned into windows of about `WINDOW_ROWS` vectors. A query is compared with the
+Each ordering is range-partitioned into windows of about `WINDOW_ROWS` vectors; where one key is shared by more, they
+are dealt over parts of the window, which a query visits all, and crowds of queries are dealt likewise. A query is compared with the
 windows around its own key in every ordering; the results of the windows merge and are ranked anew. What its own
 windows give sets a bound, so the windows around add only rows that can enter the result.
 
@@ -109,7 +110,7 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _best(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list, k: int, least: np.ndarray | None = None) -> pd.DataFrame:
-    """The k best (query, candidate) pairs of every query, none below its `least` score.
+    """The k best (query, candidate) pairs of every query, each candidate once by its best score, none below its `least` score.
 
     ids: sorted candidate ids of each vector.
     """
@@ -119,15 +120,29 @@ def _best(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list, k: int
     for lo in range(0, len(q), 256):
         part, own = q[lo : lo + 256], query_ids[lo : lo + 256]
         rough = part @ x.T
-        keep = min(k + 8, x.shape[0])
-        top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < x.shape[0] else np.tile(np.arange(keep), (len(part), 1))
-        who, at = np.repeat(np.arange(len(part)), keep), top.ravel()
-        score = _exact(part[who], x[at])
-        each = width[at]
-        who, score, at = np.repeat(who, each), np.repeat(score, each), np.repeat(start[at], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        vec = flat[at]
-        other = (vec != own[who]) & (True if least is None else score >= least[lo + who])
-        who, score, vec = who[other], score[other], vec[other]
+        keep = k + 8
+        while True:
+            keep = min(keep, x.shape[0])
+            top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < x.shape[0] else np.tile(np.arange(keep), (len(part), 1))
+            who, at = np.repeat(np.arange(len(part)), keep), top.ravel()
+            score = _exact(part[who], x[at])
+            each = width[at]
+            who, score, at = np.repeat(who, each), np.repeat(score, each), np.repeat(start[at], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            vec = flat[at]
+            other = vec != own[who]
+            who, score, vec = who[other], score[other], vec[other]
+            order = np.lexsort((-score, vec, who))
+            who, score, vec = who[order], score[order], vec[order]
+            once = np.ones(len(who), bool)
+            once[1:] = (who[1:] != who[:-1]) | (vec[1:] != vec[:-1])
+            who, score, vec = who[once], score[once], vec[once]
+            # vectors of the same ids are fewer candidates: look further
+            if keep == x.shape[0] or np.bincount(who, minlength=len(part)).min() >= k + 7:
+                break
+            keep *= 2
+        if least is not None:
+            enough = score >= least[lo + who]
+            who, score, vec = who[enough], score[enough], vec[enough]
         order = np.lexsort((vec, -score, who))
         who, score, vec = who[order], score[order], vec[order]
         first = np.searchsorted(who, who)
@@ -139,7 +154,7 @@ def _best(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list, k: int
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: for every query the k nearest candidates found."""
     spark = vectors.sparkSession
-    rows, asked = usable(vectors), usable(queries)
+    rows, asked = usable(vectors).distinct(), usable(queries).distinct()
     sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"))
     shape = sizes.orderBy(F.desc("n"), "size").first()
     out = "query_id long, vec_id long, score double"
@@ -200,7 +215,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                         yield pa.RecordBatch.from_pandas(found.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
 
             every = places.select("v", "ids").mapInArrow(everywhere, out)
-            true = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "vec_id")
+            true = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "vec_id")
             true = written(true, "sample_neighbours")
             there = window(keyed).select("curve", "window", F.explode("ids").alias("vec_id")).join(F.broadcast(true), "vec_id")  # SAMPLE_QUERIES * k rows
             here = window(keyed_queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share)).select("curve", F.col("window").alias("own"), F.col("vec_id").alias("query_id"))
@@ -213,8 +228,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                     break
 
     salts = max(1, -(-(min(2 * radius + 1, windows) * WINDOW_ROWS) // QUERY_ROWS))
-    right = window(keyed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = ["curve", "window", "salt"]
+    # Windows that hold far more vectors than others, and those that far more queries visit.
+    placed = window(keyed_queries)
+    by_window = [df.groupBy("curve", "window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 1.5 * WINDOW_ROWS) for df in (window(keyed), placed)]
+    held, visits = ({(r["curve"], r["window"]): r["n"] for r in df.collect()} for df in by_window)  # crowded windows only
+    visited: dict = {}
+    for (c, w), n in visits.items():
+        for near in range(max(0, w - radius), min(windows - 1, w + radius) + 1):
+            visited[c, near] = visited.get((c, near), 0) + n
+    crowded = [(c, w, int(held.get((c, w), 0) / WINDOW_ROWS + 0.5) or 1, salts - (-visited.get((c, w), 0) // QUERY_ROWS)) for c, w in {**held, **visited}]
+    shares = F.broadcast(spark.createDataFrame(crowded, "curve int, window int, parts int, salts int"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        if not crowded:
+            return df.withColumn("parts", F.lit(1)).withColumn("salts", F.lit(salts))
+        return df.join(shares, ["curve", "window"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("salts", F.coalesce("salts", F.lit(salts)))
+
+    right = dealt(window(keyed)).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    on = ["curve", "window", "part", "salt"]
 
     def compare(left: DataFrame) -> DataFrame:
         def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -222,11 +254,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
             return _best(a["vec_id"].to_numpy(), np.stack(a["v"]), np.stack(b["v"]), [np.asarray(i) for i in b["ids"]], k, a["least"].to_numpy())
 
-        left = left.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")).select(*on, "vec_id", "v", "least")
+        left = dealt(left).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int"))
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*on, "vec_id", "v", "least")
         return left.groupBy(*on).cogroup(right.select(*on, "v", "ids").groupBy(*on)).applyInPandas(merge, out)
 
     # First a query's own windows; the k-th score found there is a bound that the other windows' rows must reach.
-    placed = window(keyed_queries)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = compare(placed.withColumn("least", F.lit(float("-inf")))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     if radius:

@@ -265,6 +265,58 @@ def test_neighbours(spark, monkeypatch, rows):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def nearest(X, ids, q, k=20):
+    """{vec_id: best score} of the k nearest by brute force."""
+    best: dict = {}
+    for i, x in zip(ids, X):
+        if i != q:
+            best[i] = max(best.get(i, -np.inf), max(x @ y for j, y in zip(ids, X) if j == q))
+    return dict(sorted(best.items(), key=lambda e: (-round(e[1], 12), e[0]))[:k])
+
+
+def found_neighbours(spark, X, ids, queries):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, X)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for row in neighbours.search(df, df.where(F.col("vec_id").isin(queries)), 20).collect():
+        got.setdefault(row["query_id"], {})[row["vec_id"]] = row["score"]
+    return got
+
+
+def test_neighbours_of_repeated_rows(spark):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((200, 8))
+    near = x + r.standard_normal(x.shape) * 1e-3
+    crowd = np.vstack([x[:100], *[x[:1]] * 60])
+    cases = [(np.vstack([x, x]), [*range(200)] * 2), (np.vstack([x, near]), [*range(200)] * 2), (crowd, [*range(100)] + [200] * 30 + [*range(201, 231)])]
+    for X, ids in cases:
+        got = found_neighbours(spark, X, ids, [0, 7, 50])
+        for q in (0, 7, 50):
+            wanted = nearest(X, ids, q)
+            assert got[q].keys() == wanted.keys() and all(abs(got[q][i] - s) < 1e-9 for i, s in wanted.items())
+
+
+def test_neighbours_deal_a_crowd_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WINDOW_ROWS", 64)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 128)
+    best = neighbours._best
+
+    def watched(query_ids, q, x, ids, k, least=None):
+        assert least is None or (len(x) <= 200 and len(q) <= 200), (len(x), len(q))
+        return best(query_ids, q, x, ids, k, least)
+
+    monkeypatch.setattr(neighbours, "_best", watched)
+    r = np.random.default_rng(6)
+    X = r.standard_normal((1200, 8))
+    X[:600] = X[0] + r.standard_normal((600, 8)) * 1e-7
+    asked = list(range(0, 1200, 2))
+    got = found_neighbours(spark, X, list(range(1200)), asked)
+    assert set(got) == set(asked) and all(len(g) == 20 for g in got.values())
+    scores = X @ X.T
+    np.fill_diagonal(scores, -np.inf)
+    for q in range(0, 600, 50):  # all candidates of a crowded query are in its crowd or better
+        assert min(got[q].values()) >= np.sort(scores[q])[-20] - 1e-5
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(range(8), range(8), range(8), indexing="ij"), -1).reshape(-1, 3)
     ordered = cells[np.argsort(neighbours.hilbert(cells, 3))]
