@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,11 +89,20 @@ def pipe_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
 def pack(hits: DataFrame, key: str, order: list, item: str, size: str, budget: int) -> DataFrame:
     """key, item, size of the hits that fit a budget, taken greedily in order; the first is always taken.
 
-    hits: a retrieval's result, so a bounded number for each key; the fold runs over one array per key.
+    A key's rows are streamed in order through one task, however many; a null size fits only as the first.
     """
-    ranked = hits.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    listed = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_k", item, F.col(size).cast("long").alias(size)))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.filter("all", lambda x: F.lit(False)).alias("taken"))
-    step = lambda a, x: F.when((a["used"] + x[size] <= budget) | (F.size(a["taken"]) == 0), F.struct((a["used"] + x[size]).alias("used"), F.concat(a["taken"], F.array(x)).alias("taken"))).otherwise(a)
-    taken = listed.select(key, F.explode(F.aggregate("all", start, step)["taken"]).alias("x"))
-    return taken.select(key, F.col(f"x.{item}").alias(item), F.col(f"x.{size}").alias(size))
+
+    def fold(batches):
+        last, used, taken = None, 0, 0
+        for b in batches:
+            keep = []
+            for i, (k, n) in enumerate(zip(b.column(key).to_pylist(), b.column(size).to_pylist())):
+                if taken == 0 or k != last:
+                    last, used, taken = k, 0, 0
+                if taken == 0 or (n is not None and used + n <= budget):
+                    used, taken = used + (n or 0), taken + 1
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64())).select([key, item, size])
+
+    rows = hits.withColumn(size, F.col(size).cast("long")).repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(fold, rows.select(key, item, size).schema)

@@ -253,5 +253,4 @@ def equivalent_entry_merge(t):
 @query()
 def budget_packing(t):
     hits = t.documents.where("n_chars < 4000").select("lang", "doc_id", "n_chars")
-    hits = relations.best_per_key(hits, ["lang"], [F.desc("n_chars"), F.col("doc_id")], 200)  # a retrieval returns its best 200
     return documents.pack(hits, "lang", [F.desc("n_chars"), F.col("doc_id")], "doc_id", "n_chars", 20_000)

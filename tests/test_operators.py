@@ -80,3 +80,17 @@ def test_sources(spark, tmp_path):
 def test_repeated_lines(spark):
     docs = spark.createDataFrame([(1, "head\nbody\nhead"), (2, "head\nother")], "doc_id int, text string")
     assert [tuple(r) for r in documents.repeated_lines(docs, "doc_id", "text").collect()] == [("head", 2, 3)]
+
+
+def test_budget_packing_sees_every_row(spark):
+    from larkspur.plans import carriers
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 4000").select("lang", "doc_id", "n_chars").collect()
+    wanted, used, seen = set(), {}, set()
+    for r in sorted(docs, key=lambda r: (-r["n_chars"], r["doc_id"])):
+        if r["lang"] not in seen or used[r["lang"]] + r["n_chars"] <= 20_000:
+            seen.add(r["lang"])
+            used[r["lang"]] = used.get(r["lang"], 0) + r["n_chars"]
+            wanted.add((r["lang"], r["doc_id"], r["n_chars"]))
+    got = carriers.QUERIES["budget_packing"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
