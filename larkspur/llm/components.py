@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.scratch import written
+from larkspur.llm.scratch import removed, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x"))
-        e = written(small.select("x.u", "x.v").where("u != v").distinct(), "edges")
+        before, e = e, written(small.select("x.u", "x.v").where("u != v").distinct(), "edges")
+        removed(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
         if now == mark:
             break

@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest filter, in words of 64 bits.
+#: Largest filter, in words of 64 bits. Beyond some 60 million keys it lets more and more through, which costs rows, not results.
 FILTER_WORDS = 1 << 22
+#: Parts of a filter, each filled by one task.
+SEGMENTS = 256
 
 
 def _probe(key: np.ndarray) -> np.ndarray:
@@ -31,7 +33,7 @@ def small_filter(keys: DataFrame, column: str) -> np.ndarray:
     words = 1024
     while words < min(n / 4, FILTER_WORDS):
         words *= 2
-    segment = min(words, 1 << 13)
+    segment = max(1, words // SEGMENTS)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}  # as large as the filter at most
@@ -45,8 +47,9 @@ def small_filter(keys: DataFrame, column: str) -> np.ndarray:
 
     at = F.expr(f"cast((shiftrightunsigned({column}, 24) & {words - 1}L) div {segment} as int)")
     filled = np.zeros((words // segment, segment), np.uint64)
-    for row in keys.select(column).repartition(at).mapInArrow(build, "segment long, bits binary").collect():  # the filter, of bounded size
-        filled[row["segment"]] |= np.frombuffer(row["bits"], np.uint64)
+    made = keys.select(column).repartition(at).mapInArrow(build, "segment long, bits binary").toArrow()  # the filter, of bounded size
+    for s, bits in zip(made["segment"].to_pylist(), made["bits"].to_pylist()):
+        filled[s] |= np.frombuffer(bits, np.uint64)
     return filled.ravel()
 
 

@@ -3,7 +3,7 @@
 A document's set holds the distinct shingles of its words. Two documents link when their sets' Jaccard
 similarity reaches the threshold; the result is each document's component under links.
 
-1. Documents with equal sets form a class; one set stands for it.
+1. Documents with equal sets (two hashes of 64 bits) form a class; one set stands for it.
 2. Tokens are ordered from rare to frequent: those of one text only, told by a filter, then the others by a
    sketch of their counts. Two linked sets must share a
    token among their first n - ceil(t * n) + 1, whatever the order, so sets without such a shared token are
@@ -15,9 +15,11 @@ similarity reaches the threshold; the result is each document's component under
    bound reaches the threshold are opened and compared exactly. A query that already is in one component
    with all members of a group is not compared again.
 
-Edge cases: null text and text without words have an empty set and link with nothing, not even each other;
-a text of fewer words than a shingle has one shingle, its whole sequence; rows that share a doc_id are judged
-each by its text; null doc_id takes part as the smallest id and is returned as null; an empty table gives no rows; other columns of the input are ignored.
+Edge cases: null text and text without words have an empty set and link with nothing, not even each other, also
+where a whole partition is such; a text of fewer words than a shingle has one shingle, its whole sequence; a text of
+any length is one set, held by one task; rows that share a doc_id are judged each by its text; repeated rows link as
+equal sets; null doc_id takes part as the smallest id and is returned as null; an empty table gives no rows; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +44,12 @@ COUNT_BITS, BUCKET_BITS = 52, 12
 #: Tokens that a task packs at a time.
 PACKED_TOKENS = 2_000_000
 #: Tokens of the sets of one block of a family.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 GROUP = 64
-#: Cells of a dense matrix of sets and tokens.
-DENSE = 12_000_000
+#: Cells of any matrix of tokens and groups, tokens and sets, or sets and groups.
+CELLS = 8_000_000
+#: Parts into which the sets of one token are dealt before they meet at its hub.
+HUB_PARTS = 32
 NULL_ID = -(1 << 63)
 
 
@@ -104,8 +108,8 @@ def token_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             b = b.filter(pa.array(passes(sent.value, b.column("key").to_numpy().view(np.uint64))))
             found = [s for _, s in _sets(b, size)]
-            if found:
-                flat = np.concatenate(found)
+            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            if len(flat):
                 total += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
                 seen.append(flat)
                 held += len(flat)
@@ -165,6 +169,16 @@ def token_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(sketch.ravel(), (1 << 31) - 1).astype(np.int32), small_filter(shared, "token")
 
 
+def _first_hash(s: np.ndarray) -> np.uint64:
+    with np.errstate(over="ignore"):
+        return np.add.reduce(mix(s + np.uint64(1)))
+
+
+def _second_hash(s: np.ndarray) -> np.uint64:
+    with np.errstate(over="ignore"):
+        return np.add.reduce(mix(s ^ np.uint64(0x5BD1E995A5A5A5A5)))
+
+
 def summaries(docs: DataFrame, size: int, least: int) -> DataFrame:
     """id, n (set size), s1 and s2 (hashes of the set), prefix (its rarest tokens) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(token_order(docs, size))  # two arrays of bounded size
@@ -175,9 +189,8 @@ def summaries(docs: DataFrame, size: int, least: int) -> DataFrame:
             n, s1, s2, prefixes = [], [], [], []
             for _, s in _sets(b, size):
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    s1.append(np.add.reduce(mix(s + np.uint64(1))))
-                    s2.append(np.add.reduce(mix(s ^ np.uint64(0x5BD1E995A5A5A5A5))))
+                s1.append(_first_hash(s))
+                s2.append(_second_hash(s))
                 k = len(s) - -(-least * len(s) // 100) + 1 if len(s) else 0
                 prefixes.append(s[order(s)[:k]].view(np.int64))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
@@ -188,8 +201,12 @@ def summaries(docs: DataFrame, size: int, least: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n long, s1 long, s2 long, prefix array<long>")
 
 
+#: What tells classes of equal sets apart; the smallest node of a component has its smallest id.
+NODE = "struct<id: long, s1: long, s2: long>"
+
+
 def _shared_tokens(sets: DataFrame) -> DataFrame:
-    """token, id for the prefix tokens that two sets may share."""
+    """token, node for the prefix tokens that two sets may share."""
     counted = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
     sent = sets.sparkSession.sparkContext.broadcast(small_filter(counted.where("times > 1"), "token"))
 
@@ -197,19 +214,26 @@ def _shared_tokens(sets: DataFrame) -> DataFrame:
         for b in batches:
             lists = b.column("prefix")
             token = lists.flatten().to_numpy()
-            owner = np.repeat(b.column("id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             ok = passes(sent.value, token.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(token[ok]), pa.array(owner[ok])], ["token", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[ok]), b.column("node").take(pa.array(owner[ok]))], ["token", "node"])
 
-    return sets.select("id", "prefix").mapInArrow(keep, "token long, id long")
+    return sets.select("node", "prefix").mapInArrow(keep, f"token long, node {NODE}")
 
 
 def families(sets: DataFrame) -> DataFrame:
-    """id, family of every set that shares a prefix token with another."""
-    tokens = written(_shared_tokens(sets), "shared_tokens")
-    hubs = tokens.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("token", "hub")
-    edges = tokens.join(hubs, "token").where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    return components(edges).select(F.col("node").alias("id"), F.col("root").alias("family"))
+    """node, family of every set that shares a prefix token with another.
+
+    The sets of a token meet at the least of their part, and the parts at the least of all, so a token that many sets
+    share is dealt over tasks.
+    """
+    tokens = written(_shared_tokens(sets), "shared_tokens").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(HUB_PARTS)))
+    parts = tokens.groupBy("token", "part").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    edges = tokens.join(parts.where("hub != last").select("token", "part", "hub"), ["token", "part"]).where("node != hub")
+    tops = parts.groupBy("token").agg(F.min("hub").alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    above = parts.join(tops.select("token", "top"), "token").where("hub != top")
+    edges = edges.select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(above.select(F.col("hub").alias("u"), F.col("top").alias("v")))
+    return components(edges).select("node", F.col("root").alias("family"))
 
 
 class Labels:
@@ -229,7 +253,7 @@ class Labels:
 def _rows(matrix: np.ndarray, tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray, which: np.ndarray) -> np.ndarray:
     """For each set in `which`, the sum of the matrix rows of its tokens."""
     out = np.zeros((len(which), matrix.shape[1]), np.int32)
-    step = max(1, (8 << 20) // max(1, matrix.shape[1]))
+    step = max(1, CELLS // 4 // max(1, matrix.shape[1]))
     some = which[counts[which] > 0]
     place = np.flatnonzero(counts[which] > 0)
     ends = np.cumsum(counts[some])
@@ -245,21 +269,26 @@ def _rows(matrix: np.ndarray, tokens: np.ndarray, starts: np.ndarray, counts: np
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links among sets; where both sides 0 and 1 occur, among pairs across them only."""
+    """Spanning edges of the links among sets; where both sides 0 and 1 occur, among pairs across them only.
+
+    No matrix has more than CELLS cells: groups are bounded some at a time, and opened some members at a time.
+    """
     m = len(sets)
     labels = Labels(m)
     if m < 2:
         return []
     n = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), n)
+    owner = np.repeat(np.arange(m, dtype=np.int32), n)
     _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+    del flat
     common = times[inverse] > 1  # a token of one set only adds to no overlap
-    renamed = np.cumsum(times > 1) - 1
+    renamed = (np.cumsum(times > 1) - 1).astype(np.int32)
     tokens, owner = renamed[inverse[common]], owner[common]
+    vocabulary = int((times > 1).sum())
+    del inverse, times, common, renamed
     counts = np.bincount(owner, minlength=m)
     starts = np.cumsum(counts) - counts
-    vocabulary = int((times > 1).sum())
     # Similar sets get neighbouring places: by the smallest of the mixed common tokens, then by size.
     least_token = np.full(m, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least_token, owner, mix(tokens.astype(np.uint64) + np.uint64(1)))
@@ -271,28 +300,37 @@ def linked(sets: list[np.ndarray], side: np.ndarray, least: int) -> list[tuple[i
     place[order] = np.arange(m)
     # Families of near copies share a small vocabulary: their sets then fit a dense matrix.
     dense = None
-    if m * vocabulary <= DENSE:
+    if m * vocabulary <= CELLS:
         dense = np.zeros((m, vocabulary), np.float32)
         dense[owner, tokens] = 1
 
-    def overlap(matrix: np.ndarray, which: np.ndarray) -> np.ndarray:
-        if dense is not None:
-            return np.rint(dense[which] @ matrix.astype(np.float32)).astype(np.int64)
-        return _rows(matrix, tokens, starts, counts, which).astype(np.int64)
+    def tokens_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of some sets one after another, and the number of the set each belongs to."""
+        k = counts[own]
+        first = np.cumsum(k) - k
+        return tokens[np.repeat(starts[own] - first, k) + np.arange(k.sum())], np.repeat(np.arange(len(own)), k)
 
-    width = 256
+    def overlap(matrix: np.ndarray, which: np.ndarray) -> np.ndarray:
+        if dense is None:
+            return _rows(matrix, tokens, starts, counts, which)
+        wide = matrix.astype(np.float32)
+        step = max(1, CELLS // max(1, vocabulary))
+        parts = [np.rint(dense[which[i : i + step]] @ wide).astype(np.int32) for i in range(0, len(which), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, matrix.shape[1]), np.int32)
+
+    asking = np.flatnonzero(side == 1) if cross else np.arange(m)
+    size = n[asking][:, None]
+    width = int(np.clip(CELLS // max(vocabulary, len(asking), 1), 1, 256))
     for at in range(0, len(groups), width):
         some = groups[at : at + width]
         union = np.zeros((vocabulary, len(some)), np.int8)
         for g, own in enumerate(some):
-            for x in own:
-                union[tokens[starts[x] : starts[x] + counts[x]], g] = 1
+            union[tokens_of(own)[0], g] = 1
         low = np.array([n[own].min() for own in some])
         high = np.array([n[own].max() for own in some])
-        asking = np.flatnonzero(side == 1) if cross else np.arange(m)
         bound = overlap(union, asking)
-        size = n[asking][:, None]
-        qualifies = (100 * bound >= least * np.maximum(size, low)) & (100 * high >= least * size) & (100 * size >= least * low)
+        qualifies = (100 * bound.astype(np.int64) >= least * np.maximum(size, low)) & (100 * high >= least * size) & (100 * size >= least * low)
+        del union, bound
         for g, own in enumerate(some):
             ask = asking[qualifies[:, g]]
             if not cross:
@@ -302,15 +340,17 @@ def linked(sets: list[np.ndarray], side: np.ndarray, least: int) -> list[tuple[i
                 ask = ask[labels.of[ask] != one[0]]
             if not len(ask):
                 continue
-            matrix = np.zeros((vocabulary, len(own)), np.int8)
-            for k, x in enumerate(own):
-                matrix[tokens[starts[x] : starts[x] + counts[x]], k] = 1
-            both = overlap(matrix, ask)
-            link = 100 * both >= least * (n[ask][:, None] + n[own] - both)
-            for k, x in enumerate(own):
-                hit = ask[link[:, k]]
-                if len(hit):
-                    labels.merge(np.append(hit, x))
+            few = max(1, CELLS // max(vocabulary, len(ask), 1))
+            for i in range(0, len(own), few):
+                part = own[i : i + few]
+                matrix = np.zeros((vocabulary, len(part)), np.int8)
+                matrix[tokens_of(part)] = 1
+                both = overlap(matrix, ask).astype(np.int64)
+                link = 100 * both >= least * (n[ask][:, None] + n[part] - both)
+                for k, x in enumerate(part):
+                    hit = ask[link[:, k]]
+                    if len(hit):
+                        labels.merge(np.append(hit, x))
     return labels.edges
 
 
@@ -318,22 +358,34 @@ def _compare(least: int):
     """Rows sorted by unit -> spanning edges; a unit is a pair of blocks of a family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        keys: list[pa.Array] = []
+        sides: list[int] = []
+        sets: list[np.ndarray] = []
         unit = None
 
         def flush() -> pa.RecordBatch:
-            ids = [r[0] for r in held]
-            edges = linked([np.frombuffer(r[2], np.uint64) for r in held], np.array([r[1] for r in held], np.int64), least) if held else []
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in edges], pa.int64()), pa.array([ids[b] for _, b in edges], pa.int64())], ["u", "v"])
+            edges = linked(sets, np.array(sides, np.int64), least) if sets else []
+            u, v = (pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1))
+            nodes = pa.concat_arrays(keys) if keys else None
+            for x in (keys, sides, sets):
+                x.clear()
+            return pa.RecordBatch.from_arrays([nodes.take(u), nodes.take(v)], ["u", "v"]) if len(u) else None
 
         for b in batches:
-            for family, i, j, block, key, content in zip(*[b.column(c).to_pylist() for c in ("family", "i", "j", "block", "id", "tokens")]):
-                if unit != (family, i, j):
-                    yield flush()
-                    unit = (family, i, j)
-                held.append((key, int(block != i), content))
-        yield flush()
+            of = list(zip(b.column("family").to_pylist(), b.column("i").to_pylist(), b.column("j").to_pylist()))
+            blocks = b.column("block").to_pylist()
+            for r in range(b.num_rows):
+                if unit != of[r]:
+                    done = flush()
+                    if done is not None:
+                        yield done
+                    unit = of[r]
+                keys.append(b.column("node").slice(r, 1))
+                sides.append(int(blocks[r] != of[r][1]))
+                sets.append(np.frombuffer(b.column("tokens")[r].as_py(), np.uint64))
+        done = flush()
+        if done is not None:
+            yield done
 
     return run
 
@@ -344,35 +396,44 @@ def link_components(docs: DataFrame, size: int = 3, least: int = 90) -> DataFram
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     table = written(summaries(texts, size, least), "summaries")
     classes = table.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "prefix")).alias("x"))
-    classes = written(classes.select("s1", "s2", "x.*"), "classes")
+    classes = written(classes.select(F.struct("x.id", "s1", "s2").alias("node"), "x.n", "x.prefix"), "classes")
     member_of = families(classes)
 
-    sizes = classes.join(member_of, "id").select("s1", "s2", "id", "n", "family")
-    sizes = written(sizes, "members")
+    sizes = written(classes.select("node", "n").join(member_of, "node"), "members")
     blocks = sizes.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    members = sizes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = sizes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
-    sent = spark.sparkContext.broadcast(small_filter(sizes.select(F.xxhash64("id").alias("key")), "key"))
+    sent = spark.sparkContext.broadcast(small_filter(sizes.select(F.xxhash64("node.id").alias("key")), "key"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(passes(sent.value, b.column("key").to_numpy().view(np.uint64))))
             found = [s for _, s in _sets(b, size)]
-            with np.errstate(over="ignore"):
-                s1 = np.array([np.add.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in found], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s1.view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "s1", "tokens"])
+            s1, s2 = (pa.array(np.array([h(s) for s in found], np.uint64).view(np.int64)) for h in (_first_hash, _second_hash))
+            yield pa.RecordBatch.from_arrays([b.column("id"), s1, s2, pa.array([s.tobytes() for s in found], pa.binary())], ["id", "s1", "s2", "tokens"])
 
-    some = texts.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(tokens, "id long, s1 long, tokens binary")
-    dealt = members.drop("s2", "n").join(some, ["id", "s1"])
+    some = texts.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(tokens, "id long, s1 long, s2 long, tokens binary")
+    dealt = members.drop("n").join(some.select(F.struct("id", "s1", "s2").alias("node"), "tokens"), "node")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("family", "pair.i", "pair.j", "block", "id", "tokens")
-    edges = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_compare(least), "u long, v long")
-    found = components(edges).select(F.col("node").alias("id"), "root")
+    dealt = dealt.withColumn("pair", F.explode(pair)).select(F.xxhash64("family").alias("family"), "pair.i", "pair.j", "block", "node", "tokens")
+    edges = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_compare(least), f"u {NODE}, v {NODE}")
+    found = components(edges)
 
-    roots = classes.select("s1", "s2", "id").join(found, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("root"))
+    roots = classes.select("node").join(found, "node", "left").select("node.s1", "node.s2", F.coalesce("root", "node")["id"].alias("root"))
     joined = table.drop("prefix").join(roots, ["s1", "s2"], "left")
     return joined.select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("root", "id"), F.lit(NULL_ID)).alias("component_id"))
 
 
 def op10_jaccard_join(spark, sf_dir):
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same rows by plain set algebra; closure by recursion.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) ON a = doc_id"""

@@ -61,9 +61,33 @@ def test_matches_brute_force(spark):
 def test_large_families_are_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_TOKENS", 1500)
     monkeypatch.setattr(J, "GROUP", 4)
-    monkeypatch.setattr(J, "DENSE", 0)
+    monkeypatch.setattr(J, "CELLS", 3000)
+    monkeypatch.setattr(J, "HUB_PARTS", 2)
     check(spark, corpus())
 
 
 def test_empty_table(spark):
     assert J.link_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_partitions_without_words(spark):
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, None)], "doc_id long, text string").coalesce(1)
+    assert {tuple(r) for r in J.link_components(blank).select("doc_id", "n_shingles", "component_id").collect()} == {(i, 0, i) for i in range(1, 5)}
+    words = spark.createDataFrame([(5, "a b c d"), (6, "a b c d")], "doc_id long, text string").coalesce(1)
+    got = {tuple(r) for r in J.link_components(blank.unionByName(words)).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == {(i, 0, i) for i in range(1, 5)} | {(5, 2, 5), (6, 2, 5)}
+
+
+def test_rows_that_share_an_id_are_judged_by_text(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    near, b = a + " tail", " ".join(f"b{i}" for i in range(60))
+    rows = [(5, near), (5, b), (3, a), (7, b + " tail"), (None, "x y"), (8, "X  y")]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, component_id string, id int")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in J.link_components(df).collect())
+    assert got == sorted([("5", 59, "3"), ("5", 58, "5"), ("3", 58, "3"), ("7", 59, "5"), ("None", 1, "None"), ("8", 1, "None")])
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    got = J.link_components(spark.createDataFrame([(1, long), (2, long + " x"), (3, "x")], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == [(1, 199_998, 1), (2, 199_999, 1), (3, 1, 3)]
