@@ -13,7 +13,10 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised."""
+    """Keep documents whose language is recognised.
+
+    Null texts and texts without a letter go; repeated rows are judged alike; without labelled rows none is left.
+    """
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     judged = langid.identify(docs, model)
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
@@ -22,29 +25,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each component of near copies: five-word shingles, similarity 0.8 or more.
 
-    Documents without words are kept; of rows that share a kept doc_id all stay.
+    Documents without words are kept, null texts too; of rows that share a kept doc_id all stay, and all go where one
+    of them goes; rows without doc_id stay. A table of any size is cut by the written list of those that go.
     """
     linked = jaccard.link_components(docs.select("doc_id", "text"), size=5, least=80)
-    gone = linked.where("doc_id != component_id").select("doc_id").distinct()
+    gone = written(linked.where("doc_id != component_id").select("doc_id").distinct(), "gone")  # so that its size is known
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that repeat an earlier one; drop documents of which nothing is left."""
+    """Cut passages that repeat an earlier one; drop documents of which nothing but blanks is left.
+
+    Null and short texts stay as they are; of rows with one long text the first stays.
+    """
     return suffix_dedup.without_repeats(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage, all rows that share a doc_id, and without one each by its text."""
+    """Drop documents that hold a benchmark passage, all rows that share a doc_id, and without one each by its text.
+
+    Null texts stay; without benchmark items all stay.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontaminate.contaminated_rows(docs, benchmark)
     hit = hit.select(F.col("doc_id").alias("hit_id"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("hit_text")).distinct()
+    hit = written(hit, "hits")  # so that its size is known
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.when(F.col("doc_id").isNull(), F.xxhash64("text")).eqNullSafe(F.col("hit_text"))
     return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document that is left, with the hash of the decoded text."""
+    """Sampled segmentations of every document that is left: piece ids, and the hash of the decoded text.
+
+    Null and empty texts have one empty segmentation.
+    """
     return pieces.encoded_rows(docs, pieces.load_pieces())
 
 
