@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import BASE, PUNCTUATION, folded_bytes, mix, per_character, powers, slices
+from larkspur.llm.scratch import small_batches
 
 WINDOW = 8
 #: So many words in a row are a hit, whatever their share.
@@ -275,6 +276,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_000_000, cover: float = COVER) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), item_id, cover (share of the item's windows found), same_values (each place found is also found with the item's values)."""
     spark = docs.sparkSession
+    small_batches(spark)
     index = benchmark_windows(benchmark)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
     sizes = sorted(r["size"] for r in index.select(F.size("words").alias("size")).distinct().collect())  # at most WINDOW

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.components import components
 from larkspur.llm.filters import passes, small_filter
 from larkspur.llm.kernels import mix, shingles, slices, text_bytes, words
-from larkspur.llm.scratch import written
+from larkspur.llm.scratch import small_batches, written
 
 #: Counters of the frequency sketch; one shingle counts in one of them.
 SKETCH_BITS = 20
@@ -42,12 +42,12 @@ SKETCH_PART = 1 << 14
 #: Bits of a hash by which tokens are told apart when they are counted, and the upper ones that name a bucket.
 COUNT_BITS, BUCKET_BITS = 52, 12
 #: Tokens that a task packs at a time.
-PACKED_TOKENS = 2_000_000
+PACKED_TOKENS = 500_000
 #: Tokens of the sets of one block of a family.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 GROUP = 64
 #: Cells of any matrix of tokens and groups, tokens and sets, or sets and groups.
-CELLS = 8_000_000
+CELLS = 3_000_000
 #: Parts into which the sets of one token are dealt before they meet at its hub.
 HUB_PARTS = 32
 NULL_ID = -(1 << 63)
@@ -393,6 +393,7 @@ def _compare(least: int):
 def link_components(docs: DataFrame, size: int = 3, least: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; sets link from `least` percent Jaccard similarity on."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     table = written(summaries(texts, size, least), "summaries")
     classes = table.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "prefix")).alias("x"))
@@ -430,7 +431,8 @@ def op10_jaccard_join(spark, sf_dir):
 
 #: The same rows by plain set algebra; closure by recursion.
 ORACLE = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)

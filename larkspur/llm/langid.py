@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.kernels import HashIndex, code_points, per_character, slices, spans, sums, text_bytes
-from larkspur.llm.scratch import written
+from larkspur.llm.scratch import small_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -57,6 +57,7 @@ def fit(labelled: DataFrame, max_docs: int = 5_000, max_words: int = 60_000, max
     About `max_docs` rows at most are counted, chosen by a hash of doc_id; the kept words and n-grams are
     the most frequent ones.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang").count()
     share = int(min(1.0, max_docs / max(n, 1)) * (1 << 20))
@@ -151,6 +152,7 @@ class Scorer:
 
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Add lang_pred and score to every row, from its whole text alone."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

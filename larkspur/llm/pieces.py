@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import HashIndex, code_points, mix, per_character, slices, spans, sums, text_bytes
+from larkspur.llm.scratch import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -385,6 +386,7 @@ def encode_samples(docs: DataFrame, model: dict, k: int = 2, key: str = "doc_id"
 
     text is decoded from ids, in the same pass.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,12 +11,13 @@ is removed. The work is dealt so that no task needs the corpus:
    later ones are repeats.
 4. The different contents of an anchor meet in one task, which builds their suffix array: suffixes smaller
    than their successors are sorted directly, the others induced by scanning the buckets in order; then
-   adjacent common prefixes of LENGTH bytes give the groups of equal windows. An anchor with more than
-   `HOT` different contents is not brought together: its windows are dealt one by one, by content.
+   adjacent common prefixes of LENGTH bytes give the groups of equal windows. An anchor whose different contents
+   have more than `HOT` bytes is not brought together: its windows are dealt one by one, by content.
 
-Documents with equal text are one text (the earliest counts as the original).
+Documents with equal text are one text (the earliest counts as the original). Contents of runs, and windows dealt one
+by one, are told apart by two hashes of 64 bits (of the anchor and of the content); suffix arrays compare bytes.
 
-Edge cases: null text is empty; texts under LENGTH bytes keep all bytes; rows that share a doc_id are ordered
+Edge cases: null text is empty; texts under LENGTH bytes keep all bytes; texts of any length are read in pieces; rows that share a doc_id are ordered
 by a hash of their text; of fully repeated rows one is the original and the others copies; null doc_id sorts
 first; an empty table gives no rows; other columns of the input are ignored.
 """
@@ -28,21 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.filters import passes, small_filter
 from larkspur.llm.kernels import mix, powers, text_bytes
-from larkspur.llm.scratch import written
+from larkspur.llm.scratch import small_batches, written
 
 LENGTH = 100
 ANCHOR = 32
 #: Windows of a run at most, so that a run's bytes have a bound.
 RUN = 4096
-#: Different contents of an anchor that one task compares.
-HOT = 4096
+#: Bytes of the different contents of an anchor that one suffix array compares.
+HOT = 1 << 20
 #: Bytes of contents that one suffix array covers, up to the next anchor.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 PIECE = 1 << 18
 #: Bits of a position within a piece, below the hash that anchors compete with.
 LOW = np.uint64((1 << 24) - 1)
@@ -174,7 +175,7 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, stop_after: np.ndarray) -> t
     depth = [(d, ~np.uint64(0) if d + 8 <= LENGTH else tail) for d in range(0, LENGTH, 8)]
 
     step = np.sign(padded[1 : size + 1].astype(np.int16) - text)
-    differs = np.where(step != 0, np.arange(size), size)
+    differs = np.where(step != 0, np.arange(size, dtype=np.int32), np.int32(size))
     nearest = np.minimum.accumulate(differs[::-1])[::-1]
     smaller = np.append(step, 1)[nearest] > 0  # smaller than its successor
     smaller[-1] = True
@@ -315,6 +316,7 @@ def repeats(texts: DataFrame) -> DataFrame:
     Texts that equal an earlier one are not looked at as such; see `copies`.
     """
     spark = texts.sparkSession
+    small_batches(spark)
     seen = texts.mapInArrow(_anchors, "anchor long, tid long, twice boolean")
     shared = (
         seen.groupBy("anchor")
@@ -334,12 +336,12 @@ def repeats(texts: DataFrame) -> DataFrame:
     later = found.select(*same, "id", "tid", "pos").join(early, same).where(F.struct("id", "tid", "pos") != F.col("early"))
     later = later.select("id", "tid", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + LENGTH - 1).alias("stop"))
 
-    sizes = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.max("twice").alias("any_twice"))
+    sizes = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.octet_length("content")).alias("bytes"), F.max("twice").alias("any_twice"))
     tagged = firsts.join(sizes.where((F.col("contents") > 1) | F.col("any_twice")), "anchor")
-    cold = tagged.where(F.col("contents") <= HOT).select("anchor", "content", "id", "tid", "pos", "n")
+    cold = tagged.where(F.col("bytes") <= HOT).select("anchor", "content", "id", "tid", "pos", "n")
     sorted_ = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_suffix_arrays, "id long, tid long, start long, stop long")
 
-    hot = tagged.where(F.col("contents") > HOT).select("anchor", "content", "id", "tid", "pos", "n")
+    hot = tagged.where(F.col("bytes") > HOT).select("anchor", "content", "id", "tid", "pos", "n")
     one = hot.mapInArrow(_windows, "anchor long, window long, id long, tid long, pos long")
     met = one.groupBy("anchor", "window").agg(F.min(F.struct("id", "tid", "pos")).alias("early"), F.count(F.lit(1)).alias("times")).where("times > 1")
     dealt = one.join(met, ["anchor", "window"]).where(F.struct("id", "tid", "pos") != F.col("early"))
@@ -370,9 +372,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["id", "tid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def merged(ranges: DataFrame) -> DataFrame:
+    """Ranges of each text joined where they touch or overlap, so that a text has few."""
+    w = Window.partitionBy("id", "tid").orderBy("start", "stop")
+    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("start") <= reach, 0).otherwise(1)
+    run = F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return ranges.withColumn("_fresh", fresh).withColumn("_run", run).groupBy("id", "tid", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")
+
+
 def cut_texts(texts: DataFrame) -> DataFrame:
     """id, tid, n_removed, n_spans, kept_sha256, kept (bytes) of the `keyed` texts that hold repeats."""
-    ranges = written(repeats(texts), "ranges")
+    ranges = written(merged(repeats(texts)), "ranges")
     by_text = ranges.groupBy("id", "tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     # Few texts hold repeats: a filter of bounded size keeps most others out of the shuffle.
     key = F.xxhash64("id", "tid")
@@ -413,7 +424,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kept = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tid"), pa.array(kept, pa.string())], ["id", "tid", "_kept"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tid"), pa.array(kept, pa.string())], ["id", "tid", "kept"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -423,25 +434,27 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     left go. A character that a cut splits is dropped. Rows without repeats stay as they are.
     """
     texts = keyed(docs)
-    columns = docs.columns
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_tid": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # The row travels as one struct, so its columns clash with none of these.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"))
     # Copies: rows of a long text beyond its first document, and repeated rows of that document.
     slim = texts.select("id", "tid", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("whole")).where(F.col("n_bytes") >= LENGTH)
     counted = slim.groupBy("id", "tid", "whole").agg(F.count(F.lit(1)).alias("times"))
     firsts = counted.groupBy("whole").agg(F.min("id").alias("first"))
     copies = written(counted.join(firsts, "whole").where((F.col("id") != F.col("first")) | (F.col("times") > 1)).select("id", "tid", (F.col("id") != F.col("first")).alias("is_copy")), "copies")
     cut = cut_texts(texts).select("id", "tid", "kept").dropDuplicates(["id", "tid"])
-    cut = cut.mapInArrow(_decode, "id long, tid long, _kept string")
-    later = copies.where("is_copy").select(F.col("id").alias("_id"), F.col("tid").alias("_tid"))
-    twice = copies.where("not is_copy").select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), F.lit(True).alias("_twice"))
-    left = rows.join(later, ["_id", "_tid"], "left_anti").join(twice, ["_id", "_tid"], "left")
-    left = left.where("_twice IS NULL").unionByName(left.where("_twice").dropDuplicates(["_id", "_tid"]))
-    joined = left.join(cut.select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), "_kept"), ["_id", "_tid"], "left")
-    stays = F.col("_kept").isNull() | (F.trim(F.regexp_replace("_kept", r"\\s+", " ")) != "")
-    out = joined.where(stays).withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    cut = written(cut.mapInArrow(_decode, "id long, tid long, kept string"), "cut")
+    left = rows.join(copies.where("is_copy"), ["id", "tid"], "left_anti").join(copies.where("not is_copy").withColumn("twice", F.lit(True)).drop("is_copy"), ["id", "tid"], "left")
+    left = left.where("twice IS NULL").unionByName(left.where("twice").dropDuplicates(["id", "tid"]))
+    joined = left.join(cut, ["id", "tid"], "left").where(F.col("kept").isNull() | F.col("kept").rlike(r"\S"))
+
+    def column(c: str) -> F.Column:
+        if c == "text":
+            return F.coalesce("kept", F.col("row")["text"]).alias(c)
+        if c == "n_chars":
+            return F.when(F.col("kept").isNull(), F.col("row")[c]).otherwise(F.length("kept")).cast(docs.schema[c].dataType).alias(c)
+        return F.col("row")[c].alias(c)
+
+    return joined.select(*[column(c) for c in docs.columns])
 
 
 def op9_suffix_dedup(spark, sf_dir):

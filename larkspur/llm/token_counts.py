@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.scratch import written
+from larkspur.llm.scratch import small_batches, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEPARATOR = 50256
@@ -38,6 +38,7 @@ def encode_flat(docs: DataFrame, ranks: dict[bytes, int], pattern: str, separato
 
     Rows with ids are blocks of a file; rows with doc_id are its manifest: the ordinal of each document.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, of fixed size
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

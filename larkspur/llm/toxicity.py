@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.kernels import PUNCTUATION, folded_bytes, slices, words
+from larkspur.llm.scratch import small_batches
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -58,6 +59,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 12_000, steps: int =
     Features that fewer than `least_docs` sampled documents hold, or whose share among toxic documents lies
     less than `least_z` standard errors from their share among all, are left out; the `max_features` most telling stay.
     """
+    small_batches(docs.sparkSession)
     known = grades.where(F.col("grade").isNotNull())
     share = int(min(1.0, max_docs / max(known.count(), 1)) * (1 << 20))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("doc_id", F.col("grade").cast("int"))
@@ -117,6 +119,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 12_000, steps: int =
 
 def severity(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, severity (expected grade), toxic_prob (P(grade >= 1)) and toxic for every row."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

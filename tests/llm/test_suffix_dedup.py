@@ -68,3 +68,19 @@ def test_suffix_order():
     keys = [data[i : i + S.LENGTH] for i in ranked]
     assert sorted(ranked.tolist()) == wanted.tolist() and keys == sorted(keys)
     assert equal.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
+
+
+def test_clashing_columns_and_blank_rests(spark):
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(150))
+    rows = [(1, passage, "keepme", "t"), (2, "\n\n\t" + passage, "b", "u"), (3, "rest " + passage, "c", "v"), (None, None, "d", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, kept string")
+    got = sorted((str(x["doc_id"]), x["text"], x["_id"], x["kept"]) for x in S.without_repeats(df).collect())
+    assert got == [("1", passage, "keepme", "t"), ("3", "rest ", "c", "v"), ("None", None, "d", "w")]
+    assert S.without_repeats(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefghijklm") for _ in range(700_000))
+    check(spark, [(1, long[:300]), (2, long), (3, "x" + long[400_000:400_200])])
