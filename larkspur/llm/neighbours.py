@@ -34,7 +34,7 @@ from larkspur.llm.scratch import written
 CURVES = 3
 AXES = 6
 AXIS_BITS = 8
-WINDOW_ROWS = 4096
+WINDOW_ROWS = 1024
 SAMPLE_QUERIES = 256
 #: Queries that one task compares with a window at a time.
 QUERY_ROWS = 8192
@@ -117,14 +117,17 @@ def _best(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list, k: int
     rows = []
     width = np.array([len(i) for i in ids])
     flat, start = np.concatenate(ids), np.cumsum(width) - width
+    longest = np.sqrt((x * x).sum(axis=1).max())
     for lo in range(0, len(q), 256):
         part, own = q[lo : lo + 256], query_ids[lo : lo + 256]
         rough = part @ x.T
+        # what rounding may hide: products this near to the last one kept are worked out exactly, so ties are ordered by id
+        slack = 8 * x.shape[1] * np.finfo(float).eps * longest * np.sqrt((part * part).sum(axis=1))
         keep = k + 8
         while True:
             keep = min(keep, x.shape[0])
-            top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < x.shape[0] else np.tile(np.arange(keep), (len(part), 1))
-            who, at = np.repeat(np.arange(len(part)), keep), top.ravel()
+            edge = np.partition(rough, x.shape[0] - keep, axis=1)[:, x.shape[0] - keep]
+            who, at = np.nonzero(rough >= (edge - slack)[:, None])
             score = _exact(part[who], x[at])
             each = width[at]
             who, score, at = np.repeat(who, each), np.repeat(score, each), np.repeat(start[at], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
@@ -151,7 +154,7 @@ def _best(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list, k: int
     return pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: for every query the k nearest candidates found."""
     spark = vectors.sparkSession
     rows, asked = usable(vectors).distinct(), usable(queries).distinct()
@@ -167,7 +170,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     n = places.count()
     shape = (shape["size"], shape["longest"])
 
-    def keys_of(query: bool):
+    def keys_of(query: bool, sent=None, whole: bool = True):
+        """curve, key, window of vectors, and what else they hold; without cuts all are in one window."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             curves = Curves(*shape)  # the same in every task, from its seed
             for b in batches:
@@ -176,30 +181,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
                 keys = curves.keys(x, query)
                 for c in range(keys.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * b.num_rows, pa.int32()), pa.array(keys[:, c]), *b.columns], ["curve", "key", *b.schema.names])
+                    place = np.searchsorted(sent.value[c], keys[:, c]) if sent is not None else np.zeros(b.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * b.num_rows, pa.int32()), pa.array(keys[:, c]), pa.array(place.astype(np.int32)), *(b.columns if whole else [])], ["curve", "key", "window", *(b.schema.names if whole else [])])
 
         return run
 
-    keyed = places.mapInArrow(keys_of(False), "curve int, key long, v array<double>, ids array<long>")
-    keyed_queries = asked.select("v", "vec_id").mapInArrow(keys_of(True), "curve int, key long, v array<double>, vec_id long")
     windows = max(1, -(-n // WINDOW_ROWS))
-    cuts = {}
+    sent = None
     if windows > 1:
         wanted = [i / windows for i in range(1, windows)]
-        got = keyed.groupBy("curve").agg(F.percentile_approx("key", wanted, 10 * windows).alias("cuts")).collect()  # one row per curve
-        cuts = {r["curve"]: list(r["cuts"]) for r in got}
-
-    def window(df: DataFrame) -> DataFrame:
-        at = F.lit(0)
-        for c, edges in cuts.items():
-            place = F.size(F.filter(F.array(*[F.lit(int(e)) for e in edges]), lambda e: e < F.col("key")))
-            at = F.when(F.col("curve") == c, place).otherwise(at)
-        return df.withColumn("window", at.cast("int"))
+        keys = places.select("v").mapInArrow(keys_of(False, whole=False), "curve int, key long, window int")
+        got = keys.groupBy("curve").agg(F.percentile_approx("key", wanted, 10 * windows).alias("cuts")).collect()  # one row per curve
+        sent = spark.sparkContext.broadcast({r["curve"]: np.array(r["cuts"], np.int64) for r in got})  # a number for each window
+    keyed = places.mapInArrow(keys_of(False, sent), "curve int, key long, window int, v array<double>, ids array<long>")
+    keyed_queries = asked.select("v", "vec_id").mapInArrow(keys_of(True, sent), "curve int, key long, window int, v array<double>, vec_id long")
+    total = asked.count()
 
     # The radius: search a sample of queries everywhere and see how far apart the windows of the pairs are.
     radius = 0
     if windows > 1:
-        total = asked.count()
         share = int(min(1.0, SAMPLE_QUERIES / max(total, 1)) * (1 << 20)) + 1
         sample = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).toArrow()  # about SAMPLE_QUERIES rows
         if sample.num_rows:
@@ -217,8 +217,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             every = places.select("v", "ids").mapInArrow(everywhere, out)
             true = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "vec_id")
             true = written(true, "sample_neighbours")
-            there = window(keyed).select("curve", "window", F.explode("ids").alias("vec_id")).join(F.broadcast(true), "vec_id")  # SAMPLE_QUERIES * k rows
-            here = window(keyed_queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share)).select("curve", F.col("window").alias("own"), F.col("vec_id").alias("query_id"))
+            there = keyed.select("curve", "window", F.explode("ids").alias("vec_id")).join(F.broadcast(true), "vec_id")  # SAMPLE_QUERIES * k rows
+            here = keyed_queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).select("curve", F.col("window").alias("own"), F.col("vec_id").alias("query_id"))
             apart = there.join(here, ["curve", "query_id"]).groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("window") - F.col("own"))).alias("apart"))
             counts = {r["apart"]: r["n"] for r in apart.groupBy("apart").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per distance
             held = 0
@@ -227,10 +227,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 if held >= recall * sum(counts.values()):
                     break
 
-    salts = max(1, -(-(min(2 * radius + 1, windows) * WINDOW_ROWS) // QUERY_ROWS))
+    # Queries that visit a window on average, dealt over salts; each salt holds the window's vectors.
+    salts = max(1, -(-total * min(2 * radius + 1, windows) // (windows * QUERY_ROWS)))
     # Windows that hold far more vectors than others, and those that far more queries visit.
-    placed = window(keyed_queries)
-    by_window = [df.groupBy("curve", "window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 1.5 * WINDOW_ROWS) for df in (window(keyed), placed)]
+    placed = keyed_queries
+    by_window = [df.groupBy("curve", "window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 1.5 * WINDOW_ROWS) for df in (keyed, placed)]
     held, visits = ({(r["curve"], r["window"]): r["n"] for r in df.collect()} for df in by_window)  # crowded windows only
     visited: dict = {}
     for (c, w), n in visits.items():
@@ -244,7 +245,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             return df.withColumn("parts", F.lit(1)).withColumn("salts", F.lit(salts))
         return df.join(shares, ["curve", "window"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("salts", F.coalesce("salts", F.lit(salts)))
 
-    right = dealt(window(keyed)).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    right = dealt(keyed).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     on = ["curve", "window", "part", "salt"]
 
