@@ -8,7 +8,9 @@ which stitches documents that cross block boundaries.
 
 Edge cases: an empty document counts 0 tokens; null text counts as empty; tokens after a file's last
 separator are an unclosed document, which is reported with `closed` false; a file without tokens has no
-blocks and no rows; a text holding the separator's own string is encoded as ordinary text.
+blocks and no rows; a text holding the separator's own string is encoded as ordinary text; a text of any length is
+one run of ids, cut into blocks; repeated rows are documents of their own; an empty table gives no rows; other columns
+of the input are ignored; a vocabulary whose ids do not fit the type is an error.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ def encode_flat(docs: DataFrame, ranks: dict[bytes, int], pattern: str, separato
     Rows with ids are blocks of a file; rows with doc_id are its manifest: the ordinal of each document.
     """
     small_batches(docs.sparkSession)
+    if max(separator, *ranks.values()) > np.iinfo(np.uint16).max:
+        raise ValueError("token ids do not fit 16 bits")
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, of fixed size
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,21 +97,22 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "uint16") -
             yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("block"), b.column("n"), lists], ["file_id", "block", "n", "ends"])
 
     found = blocks.select("file_id", "block", "n", "ids").mapInArrow(search, "file_id long, block long, n long, ends array<int>")
-    # One short row per block is left: the scan over them adds up what each block leaves open.
+    # The scan runs over counts only, a short row for each block; the places of separators stay with their block.
     order = Window.partitionBy("file_id").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n").over(before), F.lit(0))
-    summed = found.withColumns({"start": start, "docs": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)), "last_block": F.lead("block").over(order).isNull()})
-    prior = F.coalesce(F.max(F.when(F.size("ends") > 0, F.col("start") + F.element_at("ends", -1))).over(before), F.lit(-1))
-    stitched = summed.withColumn("prior", prior)
+    n_ends, last_end = F.size("ends"), F.when(F.size("ends") > 0, F.element_at("ends", -1))
+    counts = found.select("file_id", "block", "n", n_ends.alias("n_ends"), last_end.alias("last_end"))
+    counts = counts.withColumns({"start": F.coalesce(F.sum("n").over(before), F.lit(0)), "docs": F.coalesce(F.sum("n_ends").over(before), F.lit(0)), "last_block": F.lead("block").over(order).isNull()})
+    counts = counts.withColumn("prior", F.coalesce(F.max(F.col("start") + F.col("last_end")).over(before), F.lit(-1)))
+    stitched = found.select("file_id", "block", "ends").join(counts.select("file_id", "block", "docs", "prior", "start"), ["file_id", "block"])
     closed = stitched.select("file_id", "docs", "prior", "start", F.posexplode("ends").alias("i", "at"), "ends").select(
         "file_id",
         (F.col("docs") + F.col("i")).alias("ordinal"),
         (F.col("start") + F.col("at") - F.when(F.col("i") == 0, F.col("prior")).otherwise(F.col("start") + F.get("ends", F.col("i") - 1)) - 1).alias("n_tokens"),
         F.lit(True).alias("closed"),
     )
-    tail = F.col("start") + F.col("n") - 1 - F.greatest("prior", F.when(F.size("ends") > 0, F.col("start") + F.element_at("ends", -1)).otherwise(F.lit(-1)))
-    rest = stitched.where("last_block").select("file_id", (F.col("docs") + F.size("ends")).alias("ordinal"), tail.alias("n_tokens"), F.lit(False).alias("closed")).where("n_tokens > 0")
+    tail = F.col("start") + F.col("n") - 1 - F.greatest("prior", F.coalesce(F.col("start") + F.col("last_end"), F.lit(-1)))
+    rest = counts.where("last_block").select("file_id", (F.col("docs") + F.col("n_ends")).alias("ordinal"), tail.alias("n_tokens"), F.lit(False).alias("closed")).where("n_tokens > 0")
     return closed.unionByName(rest)
 
 
