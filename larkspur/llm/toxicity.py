@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
-Severity grades are 0 (not toxic), 1 and 2. Where labels know only toxic or not, toxic documents with more
-than the median number of telling features are of grade 2. One weight vector over hashed words and stems is
+Severity grades are 0 (not toxic), 1 and 2, as labels give them: where they only tell toxic or not, and good or bad
+quality, toxic documents of bad quality are of grade 2. No grade is made from the features. One weight vector over hashed words and stems is
 shared by all thresholds: P(grade >= k) = sigmoid(score - threshold_k), with thresholds kept in order. The
 output is the expected severity, the sum of these probabilities.
 
@@ -10,7 +10,8 @@ reads every document whole.
 
 Edge cases: null or wordless text scores by the thresholds alone (the base rate); labels that are null are
 not learned from; without labelled rows, or with one class only, every document gets severity 0; repeated
-rows score alike.
+rows score alike; a text of any length is read whole, as one slice; an empty table gives no rows; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -91,10 +92,6 @@ def fit(docs: DataFrame, grades: DataFrame, max_docs: int = 12_000, steps: int =
     lists = got["features"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     col, doc = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(y)), sizes)
-    bad = y > 0
-    if y.max() == 1:  # labels without degrees: split the toxic documents by how many telling features they hold
-        marks = np.bincount(doc, z[col] > 0, len(y))
-        y = y + (bad & (marks > np.median(marks[bad])))
     levels = np.arange(1, GRADES)
     target = y[:, None] >= levels
     rest = np.maximum(target.mean(axis=0), 1e-3)
@@ -138,5 +135,6 @@ def severity(docs: DataFrame, model: dict) -> DataFrame:
 def op4_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("grade"))
+    graded = F.col("toxic") * F.when(F.col("quality") == 0, 2).otherwise(1)
+    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(graded).alias("grade"))
     return severity(docs, fit(docs, known))
