@@ -13,10 +13,14 @@ All random numbers come from the row key, so a row's samples depend neither on b
 inclusion is the probability that a segmentation exceeds the (k + 1)-th perturbed value, as used to weight
 samples drawn without replacement; it is 1 if a text has no more than k segmentations.
 
-Words keep the space before them; a piece crosses neither from a word to other characters, nor the cuts that
-are made every 48 characters in longer words. Characters without a piece, and U+2581 itself, are encoded as bytes, so decoding is exact.
-
-Edge cases: null or empty text gives one empty segmentation with log probability 0; a text with fewer than k
+A text is cut into words, which keep the space before them, only where no piece of the vocabulary holds the two
+characters at the cut, so the product over words is the whole lattice (of a stretch of over LONGEST_UNIT characters
+without such a place, which no prose has, pieces across every LONGEST_UNIT-th character are left out). Characters
+without a piece, and U+2581 itself, are encoded as bytes, so decoding is exact.
+
+Edge cases: null or empty text gives one empty segmentation with log probability 0; an empty table gives no rows; texts
+are handled some at a time, a long one as a whole; equal perturbed values have probability zero, and then the earlier
+place counts; a text with fewer than k
 segmentations gives all it has (of a word, what is left under a share of 1e-12 counts as nothing); null keys are seeded as 0; rows that share a key share their random numbers;
 lone surrogates cannot occur in Spark strings; extra columns of the input are ignored.
 """
@@ -35,8 +39,8 @@ from larkspur.llm.scratch import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONGEST_PIECE = 16
-LONGEST_UNIT = 48
+#: Characters of a word at most, and those from which on cuts within it are looked for.
+LONGEST_UNIT, LONG_UNIT = 4096, 48
 SLICE_BYTES = 3 << 18
 
 
@@ -69,6 +73,15 @@ class Vocabulary:
         known = [pieces.get(b, (-1, 0.0)) for b in beginnings]
         self.ids, self.weights = np.array([k[0] for k in known], np.int32), np.array([k[1] for k in known])
         self.byte_ids, self.byte_weight = model["bytes"], model["byte_weight"]
+        self.longest = max(map(len, pieces), default=1)
+        inner = {(ord(a) << 21) | ord(b) for p in pieces for a, b in zip(p, p[1:])}
+        self.pairs = np.array(sorted(inner), np.int64)
+
+    def joined(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether some piece holds a character right before another."""
+        pair = (before.astype(np.int64) << 21) | after.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return self.pairs[at] == pair if len(self.pairs) else np.zeros(len(pair), bool)
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         """Piece ids, with the bytes of each character that has no piece (-1 less its code point)."""
@@ -100,10 +113,10 @@ class Flat:
         base = np.cumsum(sizes) - sizes
         word = np.repeat(np.arange(len(length), dtype=np.int32), length)
         end = np.repeat(np.cumsum(length, dtype=np.int32), length)
-        inside = (np.arange(len(codes), dtype=np.int32) - (end - np.repeat(length.astype(np.int32), length))).astype(np.uint8)
+        inside = (np.arange(len(codes), dtype=np.int32) - (end - np.repeat(length.astype(np.int32), length))).astype(np.uint16)
         open_ = np.arange(len(codes), dtype=np.int32)
         parts = []
-        for k in range(1, LONGEST_PIECE + 1):
+        for k in range(1, vocabulary.longest + 1):
             open_ = open_[open_ + k <= end[open_]]
             if not len(open_):
                 break
@@ -112,9 +125,9 @@ class Flat:
             if k == 1:  # a character without a piece is spelled in bytes
                 rest = open_[~piece]
                 size = 1 + (codes[rest] >= 0x80) + (codes[rest] >= 0x800) + (codes[rest] >= 0x10000)
-                parts.append((rest, inside[rest] + np.uint8(1), -1 - codes[rest].astype(np.int32), vocabulary.byte_weight * size))
+                parts.append((rest, inside[rest] + np.uint16(1), -1 - codes[rest].astype(np.int32), vocabulary.byte_weight * size))
             some = open_[piece]
-            parts.append((some, inside[some] + np.uint8(k), vocabulary.ids[at[piece]], vocabulary.weights[at[piece]]))
+            parts.append((some, inside[some] + np.uint16(k), vocabulary.ids[at[piece]], vocabulary.weights[at[piece]]))
             open_ = open_[at >= 0]
         start, level, ids, weight = (np.concatenate(x) for x in zip(*parts))
         # Nodes are the places between characters, one more than characters in each word.
@@ -241,7 +254,7 @@ def kind_of(c: str) -> int:
     return 0 if c == " " else 1 if c.isalnum() or c == "_" else 2
 
 
-def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points of texts, each after a space; where words start and stop; each text's range of words."""
     codes = code_points([f" {t}" for t in texts if t])
     size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
@@ -257,8 +270,20 @@ def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     joins = joins[~np.isin(joins, edge)]
     fresh[joins] = False
     fresh[joins - 1] = True
+    # A cut stays only where no piece crosses it; in long words cuts are made where none does.
+    begins = np.zeros(n + 1, bool)
+    begins[edge] = True
+    cuts = np.flatnonzero(fresh)
+    cuts = cuts[~begins[cuts]]
+    fresh[cuts[vocabulary.joined(codes[cuts - 1], codes[cuts])]] = False
     starts = np.flatnonzero(fresh)
     length = np.diff(np.append(starts, n))
+    long = np.flatnonzero(length > LONG_UNIT)
+    if len(long):
+        some = np.repeat(starts[long] + 1 - np.cumsum(length[long] - 1) + (length[long] - 1), length[long] - 1) + np.arange((length[long] - 1).sum())
+        fresh[some[~vocabulary.joined(codes[some - 1], codes[some])]] = True
+        starts = np.flatnonzero(fresh)
+        length = np.diff(np.append(starts, n))
     parts = -(-length // LONGEST_UNIT)
     if (parts > 1).any():
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -282,7 +307,7 @@ class Sampler:
 
     def sample(self, keys: np.ndarray, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
         """(row, rank, ids, log probability, perturbed value, inclusion) of the k best segmentations of each text."""
-        codes, first, last, edge = units(texts)
+        codes, first, last, edge = units(texts, self.vocabulary)
         seeds = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
         paths: list[list[Path]] = [[] for _ in texts]
         counts = np.diff(edge)
@@ -330,7 +355,7 @@ class Sampler:
             heads = []
             for d, path, t, value in popped:
                 taken = path.taken.setdefault(t, [path.edges[path.starts[t] : path.starts[t + 1]]])
-                other_edges, log_other = other(flat, int(unit[edge[d] + t]), taken, uniform(seeds[d : d + 1], np.arange(LONGEST_UNIT), 40 * r))
+                other_edges, log_other = other(flat, int(unit[edge[d] + t]), taken, uniform(seeds[d : d + 1], np.arange(int(last[edge[d] + t] - first[edge[d] + t])), 40 * r))
                 taken.append(other_edges)
                 left = -np.expm1(np.logaddexp.reduce([flat.share[x].sum() for x in taken]))
                 mass = path.before[t] + np.log(left) if left > 1e-12 else -np.inf
@@ -405,9 +430,9 @@ def encode_samples(docs: DataFrame, model: dict, k: int = 2, key: str = "doc_id"
 
 
 def encoded_rows(docs: DataFrame, model: dict, k: int = 2) -> DataFrame:
-    """doc_id, rank, n_pieces, ids_hash, log_prob, inclusion, text_hash (of the decoded pieces)."""
+    """doc_id, rank, ids, n_pieces, log_prob, inclusion, text_hash (of the decoded pieces)."""
     rows = encode_samples(docs, model, k)
-    return rows.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion", F.xxhash64("text").alias("text_hash"))
+    return rows.select("doc_id", "rank", "ids", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "inclusion", F.xxhash64("text").alias("text_hash"))
 
 
 def op5_sentencepiece(spark, sf_dir):
