@@ -8,18 +8,20 @@ way round too (two numbers may become equal). A window of placeholders only says
 the item's values, or beside windows that hold plain words. A hit is kept where enough of the item's windows count, or
 where `RUN` words in a row do, `WINDOW` of them equal.
 
-A name is a word that starts with a capital inside a sentence, a unit is one of UNITS, a number is a word
+A name is a word that starts with a capital, a unit is one of UNITS, a number is a word
 of digits with separators. Words are runs of letters and digits, so punctuation and layout do not matter; in
 scripts without spaces every character is a word.
 
 Capitals tell names only while the document keeps the item's case. So every window has a second form in which
 names are plain words in lower case: text in capitals, lower or title case is found by it, with other numbers or
-units too (but not a window with both another case and another name).
+units too (but not a window with both another case and another name). A word that opens a sentence may be a name or
+not: a third form takes each with a capital for one, so `Alice buys 12 apples` is found as `Carol buys 17 apples`.
 
 The benchmark index is sent to the tasks while it holds at most `max_index` windows; a larger one stays a
 table, and window hashes are joined by shuffle. Documents are read whole in both cases.
 
-Edge cases: null texts and texts without words have no hit; an item of fewer words than `WINDOW` is found by its
+Edge cases: null texts and texts without words have no hit; texts of any length are read whole; an empty table, or
+one without items, gives no rows; an item of fewer words than `WINDOW` is found by its
 whole template, so one of a single common word hits every document with that word; every row is judged by itself,
 also those that share a doc_id or have none, and rows that share a doc_id give one hit per item, the best; equal items
 each give a hit; extra columns are ignored.
@@ -83,8 +85,8 @@ def _hash_words(texts: list[str]) -> np.ndarray:
     return template(*folded_bytes(pa.array(texts, pa.string())))[1]
 
 
-def template(data: np.ndarray, folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, own hash, slot kind (0 none) of each word, and each text's range of words.
+def template(data: np.ndarray, folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hash, own hash, slot kind (0 none) of each word, each text's range of words, and the plain words with a capital that open a sentence.
 
     data and folded: the texts' bytes as written and in lower case, from offsets[0] to offsets[-1].
     """
@@ -92,7 +94,7 @@ def template(data: np.ndarray, folded: np.ndarray, offsets: np.ndarray) -> tuple
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
+        return none, none, np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64), np.zeros(0, bool)
     gap = PUNCTUATION[data]
     # a point or comma between digits belongs to the number
     inner = np.zeros(n, bool)
@@ -131,16 +133,17 @@ def template(data: np.ndarray, folded: np.ndarray, offsets: np.ndarray) -> tuple
     changed = np.concatenate([[0], np.cumsum(data != folded)])
     second = np.minimum(starts + WIDTH[data[starts]], stops)
     third = np.minimum(second + WIDTH[data[np.minimum(second, n - 1)]], stops)
-    name = (changed[second] > changed[starts]) & ~fresh & (second < stops) & (changed[third] == changed[second])
+    capital = (changed[second] > changed[starts]) & (second < stops) & (changed[third] == changed[second])
+    name = capital & ~fresh
     unit = np.isin(own, _units())
     kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0))).astype(np.uint8)
     typed = np.where(kind == 1, NUMBER, np.where(kind == 2, NAME, np.where(kind == 3, UNIT, own)))
-    return typed, own, kind, bounds
+    return typed, own, kind, bounds, capital & fresh & (kind == 0)
 
 
-def forms(typed: np.ndarray, own: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
-    """Words with names as placeholders, and with names as they are in lower case."""
-    return [typed, np.where(kind == 2, own, typed)]
+def forms(typed: np.ndarray, own: np.ndarray, kind: np.ndarray, opening: np.ndarray) -> list[np.ndarray]:
+    """Words with names as placeholders, with names as they are in lower case, and with opening words as names too."""
+    return [typed, np.where(kind == 2, own, typed), np.where(opening, NAME, typed)]
 
 
 _cache: dict[str, np.ndarray] = {}
@@ -169,14 +172,15 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for item, text in zip(pdf["item_id"], pdf["text"]):
-            typed, own, kind, _ = template(*folded_bytes(pa.array([text or ""], pa.string())))
+            typed, own, kind, _, opening = template(*folded_bytes(pa.array([text or ""], pa.string())))
             size = min(WINDOW, len(typed))
             if not size:
                 continue
-            own_words, kinds = own.view(np.int64).tolist(), kind.tolist()
-            hashes = [rolled(x, size).view(np.int64).tolist() for x in forms(typed, own, kind)]
-            for i, both in enumerate(zip(*hashes)):
-                rows += [(item, x, i, len(hashes[0]), own_words[i : i + size], kinds[i : i + size]) for x in set(both)]
+            own_words, kinds = own.view(np.int64).tolist(), [kind.tolist()] * 2 + [np.where(opening, 2, kind).tolist()]
+            hashes = [rolled(x, size).view(np.int64).tolist() for x in forms(typed, own, kind, opening)]
+            for i, each in enumerate(zip(*hashes)):
+                first = {x: k for x, k in reversed(list(zip(each, kinds)))}  # of equal forms the first counts
+                rows += [(item, x, i, len(hashes[0]), own_words[i : i + size], k[i : i + size]) for x, k in first.items()]
         yield pd.DataFrame(rows, columns=["item_id", "window", "at", "windows", "words", "kinds"])
 
 
@@ -202,8 +206,8 @@ def _document_windows(sent, sizes: list[int]):
             texts = b.column("text_hash").to_numpy()
             out: list[list] = [[], [], [], [], []]
             for lo, hi in slices(offsets):
-                typed, own, kind, bounds = template(data[offsets[lo] : offsets[hi]], folded[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-                for size, words in [(size, words) for size in sizes for words in forms(typed, own, kind)]:
+                typed, own, kind, bounds, opening = template(data[offsets[lo] : offsets[hi]], folded[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
+                for size, words in [(size, words) for size in sizes for words in forms(typed, own, kind, opening)]:
                     h = rolled(words, size)
                     if not len(h):
                         continue
@@ -294,7 +298,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, max_index: int = 2_
     hits = hits.withColumn("pairs", words).where(F.forall("pairs", lambda p: (p["kind"] > 0) | (p["b"] == p["d"])))
     aligned = (
         hits.groupBy(*ROW, "item_id", "at", "windows", (F.col("position") - F.col("at")).alias("shift"))
-        .agg(F.first("pairs").alias("pairs"))
+        .agg(F.min("pairs").alias("pairs"))
         .groupBy(*ROW, "item_id", "windows", "shift")  # at most the item's windows
         .agg(F.collect_list(F.struct("at", "pairs")).alias("found"))
     )
