@@ -9,7 +9,7 @@ Turns are rendered and checked in parallel before the one shuffle. What needs a
 (offsets, digests) then runs over sorted rows as a stream that holds one Arrow batch, so a conversation
 of any length needs bounded memory; its digest is sequential by definition.
 
-Edge cases: null text or role counts as empty; turns are ordered by turn (null first), ties by role and
+Edge cases: null text or role counts as empty; a very long turn is one frame, held whole by one task; turns are ordered by turn (null first), ties by role and
 text; rows with a null conv_id form one conversation; repeated rows are repeated turns; an empty table
 gives no rows; other columns of the input are ignored.
 """
@@ -125,3 +125,12 @@ def op3_chat_format(spark, sf_dir):
     clash = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", clash), (-1, 1, "assistant", clash)], "conv_id long, turn long, role string, text string")
     return read_back(format_chat(table.unionByName(extra)))
+
+
+#: The same rows by ordered aggregates. A frame is escaped where a control string, a backslash or a line end in its role asks for it.
+ORACLE = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+f AS (SELECT *, len(regexp_extract_all(role || text, '\\|<s>|</s>|\[INST\]|\[/INST\]')) + length(role) - length(replace(role, chr(10), '')) AS marks FROM c)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<s>[INST] ') + length(role) + 1 + length(text) + length(' [/INST]</s>') + marks) AS BIGINT) AS formatted_chars FROM f GROUP BY 1"""

@@ -433,9 +433,9 @@ def op10_jaccard_join(spark, sf_dir):
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
 ]+') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
-n AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: hash(array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [hash(array_to_string(w, ' '))] ELSE [] END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s), k AS MATERIALIZED (SELECT doc_id, n, t FROM n WHERE t IN (SELECT t FROM n GROUP BY t HAVING count(*) > 1)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
   GROUP BY 1, 2 HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
-r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) ON a = doc_id"""

@@ -134,10 +134,6 @@ def shingles(h: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64) if h.dtype == np.uint64 else h.astype(np.uint64).view(np.int64)
-
-
 def code_points(texts: list[str]) -> np.ndarray:
     """Code points of some texts, one after another."""
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)

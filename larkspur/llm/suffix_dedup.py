@@ -459,3 +459,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op9_suffix_dedup(spark, sf_dir):
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same rows from every window of LENGTH bytes, in hexadecimal; texts are cut into stretches first, since substr walks from their start.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, start, substr(h, 2 * start + 1, 1198) AS x FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 99, 500)) AS start FROM d WHERE length(h) >= 200)),
+w AS (SELECT doc_id, start + j AS i, substr(x, 2 * j + 1, 200) AS s FROM (SELECT doc_id, start, x, unnest(range(0, least(500, CAST(length(x) / 2 AS BIGINT) - 99))) AS j FROM c)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(s) ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT *, sum(CASE WHEN i <= p + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run), t AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS q FROM s),
+k AS (SELECT t.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * q + 1, 2 * (a - q)), '' ORDER BY a) AS head FROM t JOIN d ON t.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""

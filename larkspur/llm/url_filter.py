@@ -104,8 +104,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", max_filte
     table = bloom_blocks(listed, "entry", blocks)
     if blocks * 64 <= max_filter_bytes:
         filled = np.zeros((blocks, 8), np.uint64)
-        for row in table.collect():  # at most `blocks` rows, within max_filter_bytes
-            filled[row["block"]] = row[1:]
+        made = table.toArrow()  # at most `blocks` rows, within max_filter_bytes
+        filled[made["block"].to_numpy()] = np.stack([made[f"w{i}"].to_numpy() for i in range(8)], axis=1).view(np.uint64)
         test = _tester(filled)
         passed = test(F.transform("keys", lambda k: F.xxhash64(k)))
         possible = asked.withColumn("at", F.explode(passed)).select("host", "path", F.get("keys", F.col("at")).alias("entry"))

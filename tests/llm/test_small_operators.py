@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,9 +242,148 @@ def test_decontamination_of_runs_short_items_and_rows_without_id(spark):
         assert found[2, 11] == (23 / 52, True) and found[4, 12] == (1.0, False) and found[5, 13] == found[9, 11] == found[None, 11] == (1.0, True)
 
 
+def test_decontamination_of_reparameterised_questions(spark):
+    item = "Alice buys 12 apples at the market. Bob sells 5 of his pears to her. How many pieces of fruit does Alice have now?"
+    other = item.replace("Alice", "Carol").replace("Bob", "Dan").replace("12", "17").replace("5", "9")
+    torn = other.replace("does Carol", "does Erin").replace("17", "12")
+    lone = "The dog sleeps in the warm sun near the old red barn all day long"
+    docs = [(1, item), (2, other), (3, f"Filler before it. {other} And after it."), (4, torn), (5, "Carol buys 17 apples. Nothing else of it is here at all today."), (6, lone.replace("The dog", "A dog"))]
+    docs += [(7, "What is the capital of France?"), (8, "what is the capital of Spain"), (9, "The capital is large. France is too.")]
+    items = [(10, item), (11, lone), (12, "What is the capital of France?")]
+    for most in (2_000_000, 0):
+        found = hits(spark, docs, items, max_index=most)
+        assert set(found) == {(1, 10), (2, 10), (3, 10), (4, 10), (6, 11), (7, 12), (8, 12)}
+        assert found[1, 10] == (1.0, True) and found[2, 10] == found[3, 10] == (1.0, False) and found[4, 10][0] < 1.0
+        assert found[6, 11][0] < 1.0 and found[7, 12] == (1.0, True) and found[8, 12] == (1.0, False)
+
+
+def brute_windows(item, text, size=8):
+    """Share of an item's windows that a text holds, compared word by word."""
+    w = lambda t: re.findall(r"[a-z]+", t.lower())
+    a, b = w(item), w(text)
+    held = {tuple(b[i : i + size]) for i in range(len(b) - size + 1)}
+    return sum(tuple(a[i : i + size]) in held for i in range(len(a) - size + 1)) / (len(a) - size + 1)
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(4, 8)))
+    items = [(i, " ".join(word() for _ in range(r.randint(10, 40)))) for i in range(12)]
+    docs = []
+    for n in range(150):
+        parts = [" ".join(word() for _ in range(r.randint(0, 30)))]
+        for _ in range(r.randint(0, 3)):
+            w = r.choice(items)[1].split()
+            a = r.randint(0, len(w) - 1)
+            parts += [" ".join(w[a : a + r.randint(1, len(w))]), word()] * r.randint(1, 3)
+        docs.append((n, " ".join(parts)))
+    # whole words of 13 in a row are a hit too
+    w = lambda t: t.split()
+    run = lambda a, b: any(tuple(w(a)[i : i + 13]) in {tuple(w(b)[k : k + 13]) for k in range(len(w(b)) - 12)} for i in range(len(w(a)) - 12))
+    wanted = {(d, i): c for d, t in docs for i, x in items if (c := brute_windows(x, t)) >= 0.5 or run(x, t)}
+    found = hits(spark, docs, items)
+    assert {k: round(c, 9) for k, (c, _) in found.items()} == {k: round(c, 9) for k, c in wanted.items()} and wanted
+
+
+# --- models by brute force ------------------------------------------------------------------------
+
+
+def test_language_scores_by_brute_force(spark):
+    import math
+
+    r = random.Random(4)
+    stems = {"aa": ["kor", "tul", "ven"], "bb": ["zha", "quo", "lys"], "cc": ["kor", "quo", "mip"]}
+    text = lambda lang, n: " ".join("".join(r.choice(stems[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(x, 20), x) for i, x in enumerate(["aa", "bb", "cc"] * 20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts: dict = {False: {}, True: {}}
+    for _, t, lang in rows:
+        for w in t.split():
+            counts[False].setdefault(w, Counter())[lang] += 1
+            s = f" {w} "
+            for k in range(1, 5):
+                for i in range(len(s) - k + 1):
+                    counts[True].setdefault(s[i : i + k], Counter())[lang] += 1
+    size = {g: Counter() for g in counts}
+    for g, entries in counts.items():
+        for c in entries.values():
+            size[g].update(c)
+    known = {g: {w for w, c in entries.items() if sum(c.values()) >= 2} for g, entries in counts.items()}
+    value = lambda g, w, lang: math.log((counts[g][w][lang] + 0.5) / (size[g][lang] + 0.5 * 60_001))
+    ask = [text("aa", 6), "kortul zhazha mipkor xyz", "quoquoquoquoquo", "unseen wordlys", "KOR tul"]
+    df = spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string")
+    for row in langid.identify(df, model).collect():
+        total = {lang: 0.0 for lang in stems}
+        for w in ask[row["doc_id"]].lower().split():
+            if w in known[False]:
+                parts = [(False, w)]
+            else:
+                s, parts = f" {w} ", []
+                for i in range(len(s)):
+                    parts += [(True, s[i : i + k]) for k in (4, 3, 2, 1) if i + k <= len(s) and s[i : i + k] in known[True]][:1]
+            for lang in stems:
+                n = 1 if parts and not parts[0][0] else max(1, len(parts))
+                total[lang] += sum(value(g, x, lang) for g, x in parts) / n
+        best = max(sorted(total), key=lambda x: total[x])
+        assert row["lang_pred"] == best
+        assert abs(row["score"] - 1 / sum(math.exp(v - total[best]) for v in total.values())) < 1e-9
+
+
+def test_severity_by_brute_force(spark):
+    r = random.Random(3)
+    mild, bad, plain = ["grotty", "nasty"], ["vilestword", "horridword"], [f"word{i}" for i in range(40)]
+    rows, grades = [], []
+    for i in range(600):
+        g = max(0, i % 6 - 3)
+        words = [r.choice(plain) for _ in range(12)] + [r.choice(mild)] * (g == 1) * 2 + [r.choice(bad)] * (g == 2) * 2
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        grades.append((i, g))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(grades, "doc_id long, grade int")
+    model = toxicity.fit(docs, known)
+    theta = model["thresholds"]
+    assert theta[0] < theta[1] and len(model["at"]) > 0
+    # the score of a text is the sum of the weights of its distinct words and stems, the same for both thresholds
+    weight = dict(zip(model["at"].tolist(), model["weights"].tolist()))
+    ask = [(1, "vilestword here"), (2, "GROTTY grotty"), (3, "word1 word2"), (4, ""), (5, None)]
+    for row in toxicity.severity(spark.createDataFrame(ask, "doc_id long, text string"), model).collect():
+        text = dict(ask)[row["doc_id"]]
+        buckets = {b for x, at in toxicity.featurise(pa.array([text], pa.string())) for b in x[at[0] : at[1]].tolist()}
+        score = sum(weight.get(b, 0.0) for b in buckets)
+        q = [1 / (1 + np.exp(-(score - t))) for t in theta]
+        assert abs(row["severity"] - sum(q)) < 1e-9 and abs(row["toxic_prob"] - q[0]) < 1e-9 and row["toxic"] == (q[0] >= 0.5)
+    judged = toxicity.severity(docs, model).join(known, "doc_id").groupBy("grade").avg("severity").orderBy("grade").collect()
+    assert judged[0][1] < 0.3 < 0.7 < judged[1][1] < judged[2][1]
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    import public_tokenizers
+
+    model = langid.fit(spark.createDataFrame([(1, "kor tul", "aa"), (2, "kor ven", "aa")], "doc_id long, text string, lang string"))
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert langid.identify(empty, model).count() == 0
+    fitted = toxicity.fit(empty, spark.createDataFrame([], "doc_id long, grade int"))
+    assert toxicity.severity(empty, fitted).count() == 0
+    clash = spark.createDataFrame([(1, "kor", "x", 1.0, True, b"z")], "doc_id long, text string, lang_pred string, severity double, toxic boolean, ids binary")
+    assert langid.identify(clash, model).first()["lang_pred"] == "aa" and toxicity.severity(clash, fitted).first()["severity"] == 0.0
+    ranks = token_counts.load_ranks()
+    flat = token_counts.encode_flat(clash, ranks, public_tokenizers.PATTERN)
+    assert flat.where("ids IS NOT NULL").count() == 1
+    none = token_counts.encode_flat(empty, ranks, public_tokenizers.PATTERN)
+    assert token_counts.scan(none.where("ids IS NOT NULL").select("file_id", "block", "n", "ids")).count() == 0
+
+
 # --- neighbours -----------------------------------------------------------------------------------
 
 
+def test_neighbours_order_ties_by_id(spark):
+    r = np.random.default_rng(8)
+    first = np.eye(1, 8)[0]
+    X = np.vstack([first, *[np.concatenate([[1.0], r.standard_normal(7)]) for _ in range(127)]])  # equal products with the first
+    df = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(X)], "vec_id long, embedding array<double>, curve string")
+    got = [x["vec_id"] for x in neighbours.search(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()]
+    assert got == list(range(1, 21))
+
 @pytest.mark.parametrize("rows", [4096, 64])
 def test_neighbours(spark, monkeypatch, rows):
     monkeypatch.setattr(neighbours, "WINDOW_ROWS", rows)
