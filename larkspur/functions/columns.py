@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -101,25 +101,6 @@ def age_at(birth: Column, day: Column) -> Column:
     return F.when(age >= 0, age)
 
 
-def payment_years(term: Column, default=None) -> Column:
-    """Number of payment years in a term such as `20 years`, `lump sum` or `single`."""
-    years = F.regexp_extract(F.lower(term), r"(\d+)\s*(?:year|yr|period|pay|年|期)", 1)
-    return F.when(F.lower(term).rlike("lump|single|one[- ]?off|趸"), 1).when(years != "", years.cast("int")).otherwise(F.lit(default).cast("int"))
-
-
-def coverage_end_year(term: Column, start: Column, birth: Column) -> Column:
-    """Last year of cover: whole life, to an age, an absolute date, or a number of years; else 0."""
-    low = F.lower(F.coalesce(term, F.lit("")))
-    age, date, years = F.regexp_extract(low, r"(?:age|至)\s*(\d+)", 1), F.regexp_extract(low, r"(\d{4})-\d{1,2}-\d{1,2}", 1), F.regexp_extract(low, r"(\d+)\s*(?:year|yr|年)", 1)
-    return (
-        F.when(low.rlike("whole|lifetime|终身"), F.year(birth) + 105)
-        .when(date != "", date.try_cast("int"))
-        .when(age != "", F.year(birth) + age.try_cast("int"))
-        .when(years != "", F.year(start) + years.try_cast("int"))
-        .otherwise(0)
-    )
-
-
 # --- text -----------------------------------------------------------------------------------------
 
 
@@ -188,3 +169,134 @@ def redact(c: Column) -> Column:
 def content_key(*parts: Column, digits: int = 24) -> Column:
     """Stable key of some values: a shortened SHA-256 over their texts, joined by the unit separator."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, digits)
+
+
+# --- nested values --------------------------------------------------------------------------------
+
+
+def nested_sum(entries: Column, field: str) -> Column:
+    return F.aggregate(entries, F.lit(0.0), lambda a, e: a + F.coalesce(e[field], F.lit(0.0)))
+
+
+def nested_max(entries: Column, field: str) -> Column:
+    """The greatest value of a field, 0 at least."""
+    return F.aggregate(entries, F.lit(0.0), lambda a, e: F.greatest(a, F.coalesce(e[field], F.lit(0.0))))
+
+
+def unique_parts(*texts: Column) -> Column:
+    """Distinct parts of some texts, split at list marks, in the order in which they come."""
+    parts = F.flatten(F.array(*[F.transform(F.split(F.coalesce(t, F.lit("")), "[、，,;；/／]+"), lambda x: F.trim(x)) for t in texts]))
+    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def json_merge(payload: Column, fields: dict[str, Column]) -> Column:
+    """A flat JSON object with some fields set; the given ones win. What is no object counts as empty."""
+    old = F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, _: ~k.isin(*fields))
+    new = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
+    return F.to_json(F.map_concat(kept, new))
+
+
+def backfilled(items: Column, field: str, value) -> Column:
+    """An array of structs whose blank field is filled by value(item)."""
+    return F.transform(items, lambda x: x.withField(field, F.coalesce(blank_to_null(x[field]), value(x))))
+
+
+def first_filled(*texts: Column) -> Column:
+    """The first text that is not blank."""
+    return F.coalesce(*[blank_to_null(t) for t in texts])
+
+
+def without_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows without heavy columns; names that are not there do not matter."""
+    return df.drop(*names)
+
+
+def given_equal(values: dict) -> Column:
+    """Equality on each column whose value is given (neither null nor blank)."""
+    return all_of([F.col(c) == v for c, v in values.items() if v is not None and str(v).strip()])
+
+
+def in_given(column: str, values: list) -> Column:
+    """Whether a column is one of the given values; no value given means no restriction."""
+    kept = list(dict.fromkeys(v for v in values if v is not None and str(v).strip()))
+    return F.col(column).isin(kept) if kept else F.lit(True)
+
+
+# --- evidence -------------------------------------------------------------------------------------
+
+#: Kinds of sources by the authority that they have, and what counts as formal.
+EXTERNAL = ["legacy_external_reference", "open_web_reference"]
+FORMAL_EVIDENCE = ["insurer_official", "regulatory", "customer"]
+
+
+def evidence_authority(kind: Column, level: Column, material: Column) -> Column:
+    """external, customer, regulatory, insurer_official or other, by a source's kind and level."""
+    k, v = F.trim(F.coalesce(kind, F.lit(""))), F.trim(F.coalesce(level, F.lit("")))
+    return (
+        F.when(k.isin(EXTERNAL) | (v == "external_legacy_reference") | (F.trim(material) == "external_reference"), "external")
+        .when((k == "customer_policy_terms") | (v == "customer_policy_terms") | ((k == "customer_policy_photo") & (v == "customer_policy_photo_reviewed")), "customer")
+        .when((k == "jrcpcx") | (v == "regulatory_industry_terms"), "regulatory")
+        .when((k == "insurer_official") | (v == "insurer_official"), "insurer_official")
+        .otherwise("other")
+    )
+
+
+def verification_status(authority: Column, given: Column) -> Column:
+    """The given status, else pending for external and verified for formal evidence."""
+    return F.coalesce(blank_to_null(given), F.when(authority == "external", "pending_review").when(authority.isin(FORMAL_EVIDENCE), "verified"), F.lit(""))
+
+
+#: Markers of an uncertain reading.
+UNCERTAIN_MARKS = ["review", "low", "uncertain", "unknown", "needs-review", "need-review", "不确定", "未知", "需确认", "待确认"]
+
+
+def rate(value: float, default: float = 0.6) -> float:
+    """A threshold between 0 and 1; numbers above 1 are percentages."""
+    return default if not value > 0 else min(value / 100, 1.0) if value > 1 else value
+
+
+def is_certain(confidence: Column, least: float) -> Column:
+    """Whether a reading is certain: blank, no marker of doubt, and no number below the threshold."""
+    mark = F.lower(F.trim(F.coalesce(confidence, F.lit(""))))
+    return (mark == "") | (~mark.isin(UNCERTAIN_MARKS) & F.coalesce(mark.try_cast("double") >= least, F.lit(True)))
+
+
+#: Words that route a product to its category, in this order: first by name, then by text.
+NAME_CATEGORIES = [("医疗", "medical"), ("重大疾病|重疾|防癌", "critical_illness"), ("年金|养老", "annuity"), ("两全", "endowment"), ("护理", "long_term_care"), ("意外", "accident")]
+TEXT_CATEGORIES = [
+    ("医疗保险金|住院|门诊|免赔额|报销|医疗费用|医保目录|药品医疗保障", "medical"),
+    ("重大疾病|重疾|轻度疾病|中度疾病|重度疾病|特定疾病", "critical_illness"),
+    ("投资连结|投连险|投资账户|单位价格|买入价|卖出价", "investment_linked"),
+    ("万能保险|万能型|个人账户价值|保单账户价值|结算利率|最低保证利率", "universal_life"),
+    ("长期护理|护理保险金|护理状态|失能护理|长期照护", "long_term_care"),
+    ("年金|养老金|养老年金|生存保险金|祝寿金|教育金", "annuity"),
+    ("两全|满期保险金|满期生存保险金", "endowment"),
+    ("增额终身寿|增额寿|保额递增", "incremental_whole_life"),
+    ("定期寿险|定期人寿", "term_life"),
+    ("意外伤害保险|意外身故|意外伤残|意外医疗|交通意外", "accident"),
+    ("终身寿险|人寿保险", "ordinary_whole_life"),
+    ("医疗保险|医疗险", "medical"),
+]
+#: Words that give a product a tag, and what asks for the larger model.
+FEATURES = [
+    ("traffic_accident_extra", "交通工具意外|交通意外|公共交通|航空意外|驾乘意外|自驾车意外"),
+    ("participating", "分红型|分红保险|红利|累积红利保险金额|保单红利|红利分配"),
+    ("disease_grouping", r"疾病分组|分组给付|分为\d+组|单组给付限额|同组疾病"),
+    ("children", "少儿|儿童|未成年|前10年关爱|前十年关爱"),
+    ("multi_pay", "多次给付|多倍给付|第二次|第三次|再次给付|累计给付限额"),
+    ("optional_responsibility", "可选责任|选择责任|附加责任|可附加"),
+    ("account_value", "账户价值|结算利率|最低保证利率|保单账户|个人账户"),
+    ("investment_risk", "投资风险|投资账户|投资连结|账户单位|单位价格|不保证收益"),
+]
+LARGE_CATEGORIES = "critical_illness annuity endowment long_term_care universal_life investment_linked participating_life".split()
+LARGE_TEXT = "可选责任|以下二者|以下三者|较大者|账户价值|累计给付限额|疾病分组"
+
+
+def route_category(name: Column, text: Column) -> Column:
+    """category, tags and tier (pro, flash) of a product from its name and text."""
+    whole = F.concat_ws("\n", name, text)
+    category = F.coalesce(first_label(name, NAME_CATEGORIES), first_label(whole, TEXT_CATEGORIES), F.lit("other"))
+    tags = all_labels(whole, [(p, tag) for tag, p in FEATURES])
+    large = category.isin(LARGE_CATEGORIES) | F.array_contains(tags, "participating") | whole.rlike(LARGE_TEXT) | (F.length(whole) > 5000)
+    return F.struct(category.alias("category"), tags.alias("tags"), F.when(large, "pro").otherwise("flash").alias("tier"))

@@ -90,3 +90,27 @@ def latest_overrides(base: DataFrame, changes: DataFrame, key: str, order: list[
     """Base rows whose target column is replaced by the latest change of their key, if it has one."""
     last = best_per_key(changes, [key], order).select(key, F.col(value).alias("_value"))
     return base.join(last, key, "left").withColumn(target, F.coalesce("_value", target)).drop("_value")
+
+
+def same_members(a: DataFrame, b: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """keys, same: whether both tables hold the same members of each key, repeats included. Nothing is collected."""
+    sided = a.select(*keys, member, F.lit(1).alias("_n")).unionByName(b.select(*keys, member, F.lit(-1).alias("_n")))
+    each = sided.groupBy(*keys, member).agg(F.sum("_n").alias("_n"))
+    return each.groupBy(*keys).agg((F.max(F.abs("_n")) == 0).alias("same"))
+
+
+def visible_union(sources: list[tuple[str, DataFrame, str, list[str], str | None]]) -> DataFrame:
+    """source, name of the public rows of each source (name, table, name column, needed columns, condition).
+
+    A source without a condition is not public; one that lacks a needed column is left out.
+    """
+    shown = [df.where(public).select(F.lit(name).alias("source"), F.col(column).alias("name")) for name, df, column, needed, public in sources if public is not None and {column, *needed} <= set(df.columns)]
+    return reduce(lambda x, y: x.unionByName(y), shown)
+
+
+def first_items(sources: list[DataFrame], key: str, item: str, order: list[str], n: int) -> DataFrame:
+    """key, item, place: items of several sources, each once where it comes first, the first n of each key."""
+    both = reduce(lambda x, y: x.unionByName(y), sources)
+    once = best_per_key(both, [key, item], [F.col(c) for c in order])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")
+    return once.withColumn("place", place).where(F.col("place") <= n).select(key, item, "place")
