@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import token_estimate
+from larkspur.functions.columns import html_text, token_estimate
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -106,3 +108,113 @@ def pack(hits: DataFrame, key: str, order: list, item: str, size: str, budget: i
 
     rows = hits.withColumn(size, F.col(size).cast("long")).repartition(key).sortWithinPartitions(key, *order)
     return rows.mapInArrow(fold, rows.select(key, item, size).schema)
+
+
+CELL = re.compile(r"(?is)<t([hd])\b([^>]*)>(.*?)</t\1>")
+SPAN = {k: re.compile(rf"(?i)\b{k}\s*=\s*[\"']?(\d+)") for k in ("rowspan", "colspan")}
+
+
+def _grid(rows: list[str]) -> list[tuple[int, int, str]]:
+    """row, column, inner HTML of a table's cells; a cell that spans several places stands in each."""
+    taken: dict[tuple[int, int], str] = {}
+    for r, row in enumerate(rows):
+        c = 0
+        for _, attributes, inner in CELL.findall(row):
+            down, across = (min(int(m[1]), 100) or 1 if (m := SPAN[k].search(attributes)) else 1 for k in ("rowspan", "colspan"))
+            while (r, c) in taken:
+                c += 1
+            for i in range(r, min(r + down, len(rows))):
+                for k in range(c, c + across):
+                    taken.setdefault((i, k), inner)
+            c += across
+    return [(r, c, inner) for (r, c), inner in sorted(taken.items())]
+
+
+def table_grid(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, table_no, row_no, col_no, cell of the tables of pages, spans filled in. Spark cuts tables and rows; a helper places cells."""
+    tables = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table\b.*?</table>"), 0)).alias("table_no", "_t"))
+    rows = tables.select(key, "table_no", F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b.*?</tr>"), 0).alias("_rows"))
+
+    def place(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (key, "table_no")], pa.array([_grid(r) for r in b.column("_rows").to_pylist()], pa.list_(pa.struct([("row_no", pa.int32()), ("col_no", pa.int32()), ("cell", pa.string())])))], [key, "table_no", "cells"])
+
+    placed = rows.mapInArrow(place, f"{key} {pages.schema[key].dataType.simpleString()}, table_no int, cells array<struct<row_no:int,col_no:int,cell:string>>")
+    return placed.select(key, "table_no", F.inline("cells")).withColumn("cell", html_text(F.col("cell")))
+
+
+def absolute_links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
+    """key, url, label of a page's links, made absolute by the page's own address."""
+    pattern = r"(?is)<a\b[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
+    each = pages.select(key, F.col(url).alias("_base"), F.explode(F.regexp_extract_all(F.col(html), F.lit(pattern), 0)).alias("_a"))
+    href, label = F.replace(F.regexp_extract("_a", pattern, 1), F.lit("&amp;"), F.lit("&")), html_text(F.regexp_extract("_a", pattern, 2))
+    host, folder = F.regexp_extract("_base", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract("_base", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)", 1)
+    full = (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract("_base", "^([^:]+:)", 1), href))
+        .when(href.startswith("/"), F.concat(host, href))
+        .when(href.startswith("#"), F.concat(F.regexp_extract("_base", "^([^#]*)", 1), href))
+        .otherwise(F.concat(F.coalesce(F.nullif(folder, F.lit("")), F.concat(host, F.lit("/"))), href))
+    )
+    return each.select(key, full.alias("url"), label.alias("label")).where("label <> '' AND url <> ''")
+
+
+def blob_store(df: DataFrame, key: str, content: Column) -> DataFrame:
+    """key, hash, size, content: raw bytes in a table of their own, joined only where they are asked for."""
+    return df.select(key, content.alias("content")).select(key, F.sha2("content", 256).alias("hash"), F.octet_length("content").alias("size"), "content")
+
+
+def greedy_caps(hits: DataFrame, key: str, order: list, page: str, topic: str, caps: dict[str, int], other: int, limit: int) -> DataFrame:
+    """Rows of hits, taken in order: one a page, so many a topic, `limit` for a key. A row that its topic leaves out does not use up its page.
+
+    A key's rows are streamed through one task; what is kept of them is bounded by the limit.
+    """
+
+    def fold(batches):
+        last, pages, topics, n, begun = None, set(), {}, 0, False
+        for b in batches:
+            keep = []
+            for i, (k, p, t) in enumerate(zip(b.column(key).to_pylist(), b.column(page).to_pylist(), b.column(topic).to_pylist())):
+                if not begun or k != last:
+                    last, pages, topics, n, begun = k, set(), {}, 0, True
+                if n < limit and p not in pages and topics.get(t, 0) < caps.get(t, other):
+                    pages.add(p)
+                    topics[t] = topics.get(t, 0) + 1
+                    n += 1
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    rows = hits.repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(fold, rows.schema)
+
+
+def centred_lines(boxes: DataFrame, key: str, y: str, order: list, tolerance: float) -> DataFrame:
+    """Adds line: boxes of a page from the top join the line whose mean height is near, which then moves. Streamed by page."""
+
+    def fold(batches):
+        last, mean, n, line, begun = None, 0.0, 0, 0, False
+        for b in batches:
+            lines = []
+            for k, h in zip(b.column(key).to_pylist(), b.column(y).to_pylist()):
+                if not begun or k != last:
+                    last, mean, n, line, begun = k, h, 0, 1, True
+                elif abs(h - mean) > tolerance:
+                    mean, n, line = h, 0, line + 1
+                mean, n = (mean * n + h) / (n + 1), n + 1
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lines, pa.int32())], [*b.schema.names, "line"])
+
+    rows = boxes.repartition(key).sortWithinPartitions(key, y, *order)
+    return rows.mapInArrow(fold, rows.withColumn("line", F.lit(1)).schema)
+
+
+def with_parents(children: DataFrame, parents: DataFrame, budget: int) -> DataFrame:
+    """parent_id, id, shown (parent, child), content, tokens: a child gives way to its parent if that holds it and fits the budget.
+
+    Both: parent_id, content, first_page, last_page, tokens; children also id and is_table (tables stay).
+    """
+    p = parents.select("parent_id", F.col("content").alias("_c"), F.col("first_page").alias("_lo"), F.col("last_page").alias("_hi"), F.col("tokens").alias("_n"))
+    holds = (F.trim("content") != "") & (F.col("_lo") <= F.col("first_page")) & (F.col("_hi") >= F.col("last_page")) & F.contains("_c", F.trim("content")) & (F.col("_n") <= budget) & ~F.col("is_table")
+    joined = children.join(p, "parent_id", "left").withColumn("_up", F.coalesce(holds, F.lit(False)))
+    pick = lambda a, b: F.when(F.col("_up"), F.col(a)).otherwise(F.col(b))
+    return joined.select("parent_id", "id", F.when(F.col("_up"), "parent").otherwise("child").alias("shown"), pick("_c", "content").alias("content"), pick("_n", "tokens").alias("tokens"))
