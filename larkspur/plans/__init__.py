@@ -1,5 +1,5 @@
 """Carrier queries: each operator of the library applied to the given tables."""
 
-from larkspur.plans import carriers, more
+from larkspur.plans import carriers, more, policies, naming, measures, texts, states  # isort: skip
 
-__all__ = ["carriers", "more"]
+__all__ = ["carriers", "more", "policies", "naming", "measures", "texts", "states"]

@@ -405,20 +405,6 @@ def catalog_search(t):
     return names.select("name", "n", retrieval.catalog_score(F.col("name"), "hot").cast("int").alias("score")).orderBy(F.desc("score"), F.desc("n"), "name").limit(20)
 
 
-GRAMS = "list_distinct(list_transform(range(1, CAST(greatest(length({0}) - {1} + 1, 1) AS BIGINT) + 1), lambda i: substr({0}, i, {1})))"
-
-
-@query(f"""
-WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format("p_name", 2)} AS g FROM n)
-SELECT a.p_name AS left_name, b.p_name AS right_name, round(len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE), 6) AS jaccard, round(2 * len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) AS DOUBLE), 6) AS dice, levenshtein(a.p_name, b.p_name) AS edits
-FROM g a JOIN g b ON substr(a.p_name, 1, 2) = substr(b.p_name, 1, 2) AND a.p_name < b.p_name WHERE len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE) >= 0.3""")
-def similarity_join(t):
-    names = t.part.select("p_name").distinct().select("p_name", F.substring("p_name", 1, 2).alias("block"), C.ngrams(F.col("p_name"), 2).alias("g"))
-    a, b = names.select(F.col("p_name").alias("left_name"), "block", F.col("g").alias("ga")), names.select(F.col("p_name").alias("right_name"), "block", F.col("g").alias("gb"))
-    pairs = relations.blocked_pairs(a, b, ["block"], C.jaccard(F.col("ga"), F.col("gb")), 0.3).where("left_name < right_name")
-    return pairs.select("left_name", "right_name", F.round("score", 6).alias("jaccard"), F.round(C.dice(F.col("ga"), F.col("gb")), 6).alias("dice"), F.levenshtein("left_name", "right_name").cast("bigint").alias("edits"))
-
-
 # --- windows, sorts, limits -----------------------------------------------------------------------
 
 
@@ -572,14 +558,21 @@ def repeated_lines(t):
     return documents.repeated_lines(t.documents, "doc_id", "text")
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+n AS (SELECT *, len(regexp_extract_all(line, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(line, '[A-Za-z]+|\d+(?:\.\d+)?')) AS tokens FROM l WHERE trim(line) <> ''),
+c AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200 AS INT) AS chunk_no FROM n)
+SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY pos) AS content, CAST(sum(tokens) AS BIGINT) AS tokens FROM c GROUP BY 1, 2""")
 def text_chunk(t):
     return documents.chunk(t.documents, "doc_id", "text", most_tokens=200)
 
 
-@query()
+@query(r"""
+WITH b AS (SELECT page_id, regexp_replace(html || chr(7), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS bare, length(html) + 1 AS n FROM pages), c AS (SELECT *, regexp_replace(bare || ' - ' || page_id || ' -', '\s*(?:[-–—]\s*)?\d{1,4}(?:\s*[-–—])?\s*$', '') AS text, length(bare || ' - ' || page_id || ' -') AS m FROM b)
+SELECT page_id, text, CAST(n - length(bare) AS INT) AS removed_controls, length(text) < m AS removed_page_number FROM c""")
 def page_clean(t):
-    return documents.clean_pages(t.pages.select("page_id", C.html_text(F.col("html")).alias("text")), "page_id", "text")
+    text = F.concat("html", F.lit("\x07 - "), F.col("page_id").cast("string"), F.lit(" -"))
+    return documents.clean_pages(t.pages.select("page_id", text.alias("text")), "page_id", "text")
 
 
 @query("""
@@ -629,9 +622,3 @@ def incremental_invalidation(t):
     touched = relations.present_in(t.lineitem.select("l_orderkey", "l_partkey"), changed, "l_partkey").select("l_orderkey").distinct()
     marked = t.orders.select("o_orderkey").join(touched, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return marked.select("o_orderkey", F.when(F.col("l_orderkey").isNull(), "ready").otherwise("stale").alias("status"), F.when(F.col("l_orderkey").isNull(), 1).otherwise(2).alias("version"))
-
-
-@query("""
-SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events""")
-def table_row_counts(t):
-    return io.row_counts({n: getattr(t, n) for n in ("orders", "lineitem", "customer", "events")})

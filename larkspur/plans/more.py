@@ -61,19 +61,6 @@ def reuse_if_fresh(t):
     return made.join(changed, "o_custkey", "left").withColumn("fresh", F.coalesce(F.col("changed") <= F.col("made"), F.lit(True)))
 
 
-@query("""
-SELECT event_id, user_id, ts FROM events WHERE event_type = 'view' OR (event_type = 'click' AND ts < TIMESTAMP '2024-01-10') ORDER BY ts, event_id LIMIT 50""")
-def outbox_claim(t):
-    due = (F.col("event_type") == "view") | ((F.col("event_type") == "click") & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")))
-    return t.events.where(due).orderBy("ts", "event_id").limit(50).select("event_id", "user_id", "ts")
-
-
-@query("""
-SELECT user_id, event_type, count(*) AS times, max(value) AS confidence, CASE WHEN count(DISTINCT props) > 1 THEN 'conflicted' ELSE 'active' END AS status FROM events GROUP BY 1, 2""")
-def memory_upsert(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("times"), F.max("value").alias("confidence"), F.when(F.countDistinct("props") > 1, "conflicted").otherwise("active").alias("status"))
-
-
 @query("""
 WITH k AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 500)) AS keeper FROM customer)
 SELECT o_orderkey, keeper AS o_custkey FROM orders JOIN k ON o_custkey = c_custkey""")
@@ -94,18 +81,6 @@ def candidate_groups(t):
     return t.part.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), codes.alias("codes"), (-best["k"]).alias("best"))
 
 
-@query("SELECT l_partkey, count(DISTINCT l_orderkey) AS policies FROM lineitem GROUP BY 1 ORDER BY policies DESC, l_partkey LIMIT 100")
-def reference_counts(t):
-    return t.lineitem.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("policies")).orderBy(F.desc("policies"), "l_partkey").limit(100)
-
-
-@query("""
-SELECT c_nationkey, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) = string_agg(CAST(CASE WHEN c_acctbal < -990 THEN 0 ELSE c_custkey END AS VARCHAR), ',' ORDER BY c_custkey) AS same FROM customer GROUP BY 1""")
-def snapshot_equality(t):
-    a, b = F.collect_list("c_custkey"), F.collect_list(F.when(F.col("c_acctbal") < -990, 0).otherwise(F.col("c_custkey")))
-    return t.customer.groupBy("c_nationkey").agg((F.sort_array(a) == F.sort_array(b)).alias("same"))
-
-
 @query("""
 SELECT p_partkey, substr(sha256(p_brand || chr(31) || p_name), 1, 16) AS product_id FROM part""")
 def stable_keys(t):
@@ -194,11 +169,6 @@ def sliding_measures(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.min("l_quantity").over(w).alias("least"), F.round(F.avg("l_extendedprice").over(w), 4).alias("mean"))
 
 
-@query()
-def manifest(t):
-    return io.manifest({n: getattr(t, n) for n in ("orders", "customer", "part")})
-
-
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z][a-z]+\\.$') OR length(line) < 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l)
@@ -250,7 +220,10 @@ def equivalent_entry_merge(t):
     return t.orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("merged"), sources.alias("sources"), F.round(F.max("o_totalprice"), 2).alias("amount"))
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT coalesce(lang, '') AS lang, doc_id, n_chars, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT lang, doc_id, n_chars, k, n_chars AS used, true AS ok FROM d WHERE k = 1 UNION ALL SELECT d.lang, d.doc_id, d.n_chars, d.k, CASE WHEN used + d.n_chars <= 100000 THEN used + d.n_chars ELSE used END, used + d.n_chars <= 100000 FROM r JOIN d ON d.lang = r.lang AND d.k = r.k + 1)
+SELECT lang, doc_id, n_chars FROM r WHERE ok""")
 def budget_packing(t):
-    hits = t.documents.where("n_chars < 4000").select("lang", "doc_id", "n_chars")
-    return documents.pack(hits, "lang", [F.desc("n_chars"), F.col("doc_id")], "doc_id", "n_chars", 20_000)
+    hits = t.documents.select(F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", "n_chars")
+    return documents.pack(hits, "lang", [F.col("doc_id")], "doc_id", "n_chars", 100_000)

@@ -3,7 +3,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
-from larkspur.operators import documents, relations, series
+from larkspur.functions import names as N
+from larkspur.functions import policy as P
+from larkspur.operators import documents, matching, relations, retrieval, series
 from larkspur.sources import io
 
 
@@ -30,15 +32,65 @@ def test_dates(spark):
     assert one(spark, C.add_years(F.lit(date(2020, 2, 29)), F.lit(1))) == date(2021, 2, 28)
     assert one(spark, C.age_at(F.lit(date(1990, 6, 2)), F.lit(date(2000, 6, 1)))) == 9
     assert one(spark, C.age_at(F.lit(date(1990, 6, 2)), F.lit(date(1980, 6, 1)))) is None
-    assert one(spark, C.payment_years(F.lit("20 years"))) == 20
-    assert one(spark, C.payment_years(F.lit("Lump sum"))) == 1
-    assert one(spark, C.payment_years(F.lit(""))) is None
-    birth, start = F.lit(date(1980, 1, 1)), F.lit(date(2010, 1, 1))
-    assert one(spark, C.coverage_end_year(F.lit("whole life"), start, birth)) == 2085
-    assert one(spark, C.coverage_end_year(F.lit("to age 70"), start, birth)) == 2050
-    assert one(spark, C.coverage_end_year(F.lit("2031-05-06"), start, birth)) == 2031
-    assert one(spark, C.coverage_end_year(F.lit("15 years"), start, birth)) == 2025
-    assert one(spark, C.coverage_end_year(F.lit(None).cast("string"), start, birth)) == 0
+    assert one(spark, P.payment_years(F.lit("20 年交"))) == 20
+    assert one(spark, P.payment_years(F.lit("一次交清"))) == 1
+    assert one(spark, P.payment_years(F.lit(""), None)) is None
+    birth, start = F.lit("1980-01-01"), F.lit("2010年1月1日")
+    wanted = {"终身": 2085, "至70周岁": 2050, "2031-05-06": 2031, "15年": 2025, "": 0}
+    assert {k: one(spark, P.coverage_end_year(F.lit(k), start, birth)) for k in wanted} == wanted
+    assert one(spark, P.coverage_end_year(F.lit(None).cast("string"), start, birth)) == 0
+
+
+def test_ends_of_cover(spark):
+    end = lambda text, start, birth="1980-02-29": one(spark, P.coverage_end(F.lit(text), F.lit(start), F.lit(birth)).cast("string"))
+    assert end("10年", "2012-02-29") == "2022-02-28 23:59:59.999"  # 1 March less a day
+    assert end("2030-02-30", "2012-02-29") is None and end("长期", "2012-01-01") is None
+    assert end("至2030年6月1日零时", "2012-01-01") == "2030-06-01 00:00:00"
+    assert end("保至41周岁", "2012-01-01") == "2021-03-01 23:59:59.999"
+
+
+def test_numerals(spark):
+    wanted = {"十": 10, "二十五": 25, "一百": 100, "一百二十": 120, "两": 2, "37": 37, "零": 0, "": 0, "甲": 0}
+    assert {k: one(spark, P.chinese_integer(F.lit(k))) for k in wanted} == wanted
+    assert one(spark, P.chinese_percent(F.lit("百分之九十"))) == 90 and one(spark, P.chinese_percent(F.lit("无"))) is None
+    assert one(spark, P.cell_number(F.lit("12:34"))) == 12.34 and one(spark, P.cell_number(F.lit("1,2a"))) is None
+
+
+def test_calculation_rules_keep_their_order(spark):
+    rows = [("现金价值与基本保险金额的较大者", "manual_formula", "cash_value"), ("基本保险金额的 50%", "percent_of_basic_amount", "basic_amount"), ("已交保费", "total_paid_premium", "total_paid_premium"), ("", "unknown", "unknown")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "formula string")
+    got = {r["formula"]: (r["meta"]["calculation"], r["meta"]["basis"]) for r in P.with_calculation(df).collect()}
+    assert got == {r[0]: (r[1], r[2]) for r in rows}
+    given = spark.createDataFrame([("basic_amount", "basic_amount"), ("basic_amount", "fixed_amount")], "basis_key string, calculation_key string")
+    assert sorted(r["meta"]["source"] for r in P.with_calculation(given).collect()) == ["code_inference", "structured_semantic"]
+
+
+def test_names(spark):
+    assert one(spark, N.canonical(F.lit("Ａｂ　ｃ Ⅳ"))) == "abciv"
+    assert one(spark, N.common_substring(F.lit("abcdef"), F.lit("zcdexabc"))) == 3
+    assert one(spark, N.common_substring(F.lit(""), F.lit("a"))) == 0
+    assert one(spark, N.id_birthday(F.lit("11010119900230123X"))) is None
+
+
+def test_similar_pairs_are_complete(spark):
+    import random
+
+    r = random.Random(1)
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(1, 7))) for _ in range(120)})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    grams = lambda w: {w[i : i + 2] for i in range(max(1, len(w) - 1))}
+    wanted = {(a, b) for a in words for b in words if len(grams(a) & grams(b)) >= 0.4 * len(grams(a) | grams(b))}
+    assert {(x["left_key"], x["right_key"]) for x in matching.jaccard_pairs(df, df, "w", "w", 0.4).collect()} == wanted
+    held = {(a, b) for a in words for b in words if a in b or b in a}
+    assert {(x["left_key"], x["right_key"]) for x in matching.containment_pairs(df, df, "w", "w").collect()} == held
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(500).selectExpr("id", "id % 2 as k", "id % 7 as v")
+    got = {r["id"]: r["n"] for r in retrieval.global_ranks(df, ["k"], [F.desc("v"), F.col("id")], "n", 8).collect()}
+    for k in (0, 1):
+        ids = sorted((i for i in range(500) if i % 2 == k), key=lambda i: (-(i % 7), i))
+        assert [got[i] for i in ids] == list(range(1, 251))
 
 
 def test_text(spark):
