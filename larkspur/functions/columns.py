@@ -166,6 +166,40 @@ def redact(c: Column) -> Column:
     return out
 
 
+#: Direct identifiers of people, in this order, and what stands for each.
+DIRECT = [
+    (r"(?<!\d)(?:\+?86[-\s]?)?1[3-9]\d(?:[-\s]?\d){8}(?!\d)", "[手机号已脱敏]"),
+    (r"(?<!\d)\d{3,4}[-\s]\d{7,8}(?!\d)", "[固定电话已脱敏]"),
+    (r"(?<!\d)\d{17}[0-9Xx](?!\d)", "[身份证号已脱敏]"),
+    (r"(?<!\d)(?:\d[ -]?){15,18}\d(?!\d)", "[银行卡号已脱敏]"),
+    (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[邮箱已脱敏]"),
+    (r"(?i)((?:保单号|合同号|保险合同号)\s*[：:]?\s*)[A-Z0-9_-]{6,40}", "$1[已脱敏]"),
+    (r"(?i)((?:微信号|微信|WeChat)\s*[：:]\s*)[A-Z][-_A-Z0-9]{5,19}", "$1[已脱敏]"),
+]
+#: Labels of addresses, and the part of one that may stay.
+ADDRESS = r"((?:家庭地址|居住地址|联系地址|住址|(?<!详细)地址)\s*[：:]?\s*)"
+REGION, HIDDEN = r"([^\n，,。；;]{2,32}?(?:区|县|旗))", "[详细地址已脱敏]"
+
+
+def redact_direct(c: Column, names: list[Column] = (), addresses: list[Column] = ()) -> Column:
+    """A text without names, addresses beyond their region, numbers, mail, policy numbers and chat names."""
+    out = c
+    for name in names:
+        out = F.when(F.trim(name) != "", F.replace(out, name, F.lit("[客户姓名已脱敏]"))).otherwise(out)
+    for address in addresses:
+        region = F.regexp_extract(address, f"^{REGION}[^区县旗]", 1)
+        out = F.when(F.trim(address) != "", F.replace(out, address, F.concat(region, F.lit(HIDDEN)))).otherwise(out)
+    for pattern, mark in DIRECT:
+        out = F.regexp_replace(out, pattern, mark)
+    out = F.regexp_replace(out, ADDRESS + REGION + r"[^\n，,。；;区县旗\[][^\n，,。；;]*", f"$1$2{HIDDEN}")
+    return F.regexp_replace(out, ADDRESS + r"(?![^\n，,。；;]*(?:区|县|旗))[^\n，,。；;\[]{3,100}", f"$1{HIDDEN}")
+
+
+def strict_json(c: Column, most: int) -> Column:
+    """A JSON text in one canonical form; NULL if it does not parse or has more than `most` bytes."""
+    return F.when(F.octet_length(c) <= most, F.to_json(F.try_parse_json(c)))
+
+
 def content_key(*parts: Column, digits: int = 24) -> Column:
     """Stable key of some values: a shortened SHA-256 over their texts, joined by the unit separator."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, digits)
