@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -398,20 +399,30 @@ class Decoder:
         self.size = np.array([len(x) for x in table], np.int64)
         self.first = np.cumsum(self.size) - self.size
 
-    def __call__(self, ids: np.ndarray) -> str:
-        """Without the space that stands before every text."""
+    def encoded(self, ids: np.ndarray) -> bytes:
+        """UTF-8, without the space that stands before every text."""
         size = self.size[ids]
         done = np.cumsum(size) - size
         at = np.repeat(self.first[ids] - done, size) + np.arange(size.sum())
-        return self.raw[at].tobytes()[1:].decode("utf-8", "surrogatepass")
+        return self.raw[at].tobytes()[1:]
+
+    def __call__(self, ids: np.ndarray) -> str:
+        return self.encoded(ids).decode("utf-8", "surrogatepass")
+
+
+def text_hash(data: bytes) -> int:
+    """What Spark's xxhash64 gives for a text."""
+    h = xxhash.xxh64_intdigest(data, 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def encode_samples(docs: DataFrame, model: dict, k: int = 2, key: str = "doc_id") -> DataFrame:
+def encode_samples(docs: DataFrame, model: dict, k: int = 2, key: str = "doc_id", hashed: bool = False) -> DataFrame:
     """key, rank, ids, text, log_prob, perturbed, inclusion: k distinct segmentations of every text, greatest first.
 
-    text is decoded from ids, in the same pass.
+    text is decoded from ids, in the same pass; hashed gives its hash instead (text_hash), so that it stays in the task.
     """
     small_batches(docs.sparkSession)
+    name, kind = ("text_hash", "long") if hashed else ("text", "string")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,18 +432,18 @@ def encode_samples(docs: DataFrame, model: dict, k: int = 2, key: str = "doc_id"
             for lo, hi in slices(text_bytes(b.column("text"))[1], SLICE_BYTES):
                 got = list(sampler.sample(keys[lo:hi], b.column("text").slice(lo, hi - lo).to_pylist()))
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *(len(x[2]) for x in got)]).astype(np.int32), pa.array(np.concatenate([x[2] for x in got]).astype(np.int32)))
-                texts = pa.array([decode(x[2]) for x in got], pa.string())
+                texts = pa.array([text_hash(decode.encoded(x[2])) for x in got], pa.int64()) if hashed else pa.array([decode(x[2]) for x in got], pa.string())
                 arrays = [b.column(key).take(pa.array([lo + x[0] for x in got])), pa.array([x[1] for x in got], pa.int32()), lists, texts, *(pa.array([x[i] for x in got], pa.float64()) for i in (3, 4, 5))]
-                yield pa.RecordBatch.from_arrays(arrays, [key, "rank", "ids", "text", "log_prob", "perturbed", "inclusion"])
+                yield pa.RecordBatch.from_arrays(arrays, [key, "rank", "ids", name, "log_prob", "perturbed", "inclusion"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("seed"), "text")
-    return rows.mapInArrow(run, f"{key} long, rank int, ids array<int>, text string, log_prob double, perturbed double, inclusion double")
+    return rows.mapInArrow(run, f"{key} long, rank int, ids array<int>, {name} {kind}, log_prob double, perturbed double, inclusion double")
 
 
 def encoded_rows(docs: DataFrame, model: dict, k: int = 2) -> DataFrame:
     """doc_id, rank, ids, n_pieces, log_prob, inclusion, text_hash (of the decoded pieces)."""
-    rows = encode_samples(docs, model, k)
-    return rows.select("doc_id", "rank", "ids", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "inclusion", F.xxhash64("text").alias("text_hash"))
+    rows = encode_samples(docs, model, k, hashed=True)
+    return rows.select("doc_id", "rank", "ids", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "inclusion", "text_hash")
 
 
 def op5_sentencepiece(spark, sf_dir):

@@ -122,4 +122,6 @@ def test_edge_tables(spark):
     assert none.count() == 0 and dict(none.dtypes)["ids"] == "array<int>"
     df = spark.createDataFrame([(1, "a b", "x", 7), (1, "a b", "x", 7), (2, "long " * 40_000, "y", 8)], "doc_id long, text string, ids string, rank int")
     rows = P.encoded_rows(df, model()).collect()
+    wanted = {r["doc_id"]: r["h"] for r in df.selectExpr("doc_id", "xxhash64(text) AS h").collect()}
+    assert all(r["text_hash"] == wanted[r["doc_id"]] for r in rows)
     assert len(rows) == 6 and len({tuple(r["ids"]) for r in rows if r["doc_id"] == 1}) == 2
