@@ -27,6 +27,11 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
 
 
+def parts_day(parts: Column) -> Column:
+    """The day of date parts, if the calendar has it."""
+    return _day(parts["year"], parts["month"], parts["day"])
+
+
 def date_parts(c: Column) -> Column:
     """year, month and day of the first date in a text; NULL without one or with month or day out of range."""
     y, m, d = (_int(F.regexp_extract(c, DAY, i)) for i in (1, 2, 3))
@@ -99,19 +104,21 @@ def parts_age(born: Column, on: Column) -> Column:
     return F.when(age >= 0, age)
 
 
-def age_in_year(year: Column, start: Column, born: Column) -> Column:
+def age_in_year(year: Column, first: Column, born: Column) -> Column:
     """Age at the policy's anniversary in a calendar year; before its first year, or before birth, years since birth.
 
-    start and born: date parts, best held in columns, since this is asked for many years.
+    first: a date, born: date parts, best held in columns, since this is asked for many years. The anniversary is the day of
+    the first one, or the last of its month if that is earlier; only where the months are equal does the day matter.
     """
-    day = F.add_months(_day(start["year"], start["month"], start["day"]), ((year - start["year"]) * 12).cast("int"))
-    anniversary = F.struct(F.year(day).alias("year"), F.month(day).alias("month"), F.dayofmonth(day).alias("day"))
-    return F.coalesce(F.when(year >= start["year"], parts_age(born, anniversary)), year - born["year"])
+    leap = (F.month(first) == 2) & (F.dayofmonth(first) == 29) & ~((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)))
+    on = F.month(first) * 100 + F.dayofmonth(first) - leap.cast("int")
+    age = year - born["year"] - (on < born["month"] * 100 + born["day"]).cast("int")
+    return F.coalesce(F.when((year >= F.year(first)) & (age >= 0), age), year - born["year"])
 
 
-def age_at_end(term: Column, end_year: Column, start: Column, born: Column) -> Column:
+def age_at_end(term: Column, end_year: Column, first: Column, born: Column) -> Column:
     """Age on the day that the term names, else in the last year of cover."""
-    return F.coalesce(parts_age(born, date_parts(term)), F.when(end_year > 0, age_in_year(end_year, start, born)))
+    return F.coalesce(parts_age(born, date_parts(term)), F.when(end_year > 0, age_in_year(end_year, first, born)))
 
 
 #: States that end or suspend a policy, and those that confirm it.

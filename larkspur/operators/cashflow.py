@@ -22,7 +22,7 @@ MOST_BROADCAST_RULES = 10_000
 
 
 def context(policies: DataFrame) -> DataFrame:
-    """Adds effective_year, birth_year, end_year, total_premium, start and born (date parts) to policies.
+    """Adds effective_year, birth_year, end_year, total_premium, first_day and born (date parts) to policies.
 
     policies: policy_id, effective, birthday, coverage, payment (texts), amount, premium.
     """
@@ -32,7 +32,7 @@ def context(policies: DataFrame) -> DataFrame:
         "birth_year": year(F.col("birthday")),
         "end_year": P.coverage_end_year(F.col("coverage"), F.col("effective"), F.col("birthday")),
         "total_premium": F.col("premium") * P.payment_years(F.col("payment")),
-        "start": P.date_parts(F.col("effective")),
+        "first_day": P.parts_day(P.date_parts(F.col("effective"))),
         "born": P.date_parts(F.col("birthday")),
     })
 
@@ -83,7 +83,7 @@ def expand_rules(policies: DataFrame, rules: DataFrame, on: str) -> DataFrame:
     begin, end, birth = F.col("effective_year"), F.col("end_year"), F.col("birth_year")
     lo, hi = F.greatest(first, begin), F.least(last, end)
     none = F.array().cast("array<struct<year:int,age:int>>")
-    days = F.col("start"), F.col("born")
+    days = F.col("first_day"), F.col("born")
     dated = F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda y: F.struct(y.cast("int").alias("year"), P.age_in_year(y, *days).cast("int").alias("age")))
     at_age = lambda a: F.struct((birth + a).cast("int").alias("year"), a.cast("int").alias("age"))
     inside = lambda x: (x["year"] >= begin) & (x["year"] <= end)
@@ -130,7 +130,7 @@ def expand_indicators(rows: DataFrame) -> DataFrame:
     span = condition_years(F.col("condition"), F.col("pension_age"))
     years = F.when(span["first"] <= span["last"], F.sequence(span["first"], span["last"]))
     out = rows.where("amount > 0").withColumn("year", F.explode(years))
-    age = P.age_in_year(F.col("year"), F.col("start"), F.col("born")).cast("int")
+    age = P.age_in_year(F.col("year"), F.col("first_day"), F.col("born")).cast("int")
     return out.select("policy_id", "indicator_id", "year", age.alias("age"), "liability", "amount")
 
 
@@ -225,8 +225,8 @@ def expand_clauses(clauses: DataFrame) -> DataFrame:
     fitting = reduce(lambda a, x: a.when(x[0], x[1]), patterns[1:], F.when(*patterns[0])).otherwise(none)
     certain = F.concat(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", ""), tight)
     chosen = F.when(certain.rlike(UNCERTAIN) & ~certain.rlike(CERTAIN), none).when(F.size(named) > 0, named).when(worth > 0, fitting).otherwise(none)
-    rows = clauses.select("policy_id", "clause_no", "start", "born", chosen.alias("_e")).select("policy_id", "clause_no", "start", "born", F.inline("_e"))
-    return rows.select("policy_id", "clause_no", "year", F.coalesce("age", P.age_in_year(F.col("year"), F.col("start"), F.col("born")).cast("int")).alias("age"), "liability", "amount")
+    rows = clauses.select("policy_id", "clause_no", "first_day", "born", chosen.alias("_e")).select("policy_id", "clause_no", "first_day", "born", F.inline("_e"))
+    return rows.select("policy_id", "clause_no", "year", F.coalesce("age", P.age_in_year(F.col("year"), F.col("first_day"), F.col("born")).cast("int")).alias("age"), "liability", "amount")
 
 
 #: Titles of the payment at the end of cover.
