@@ -271,83 +271,99 @@ def numeric_spec(value: Column, unit: Column, *texts: Column) -> Column:
 TEXTS = ["coverage_type", "liability", "formula", "basis", "unit", "value_text", "condition", "excerpt"]
 
 
+def let(value: Column, body) -> Column:
+    """body(value), worked out once however often body names it: also where a filter takes the expression along."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_calculation(rows: DataFrame, name: str = "meta") -> DataFrame:
     """Adds a struct basis, calculation, eligible, source, value, unit to indicators, by rules whose order matters.
 
     rows may hold TEXTS, value, status and, where a decision is given, basis_key and calculation_key; columns that are
-    missing count as blank. The rules are worked out step by step, so no step's expression is repeated in the next.
+    missing count as blank.
     """
     has = set(rows.columns)
     get = lambda k: F.coalesce(F.col(k), F.lit("")) if k in has else F.lit("")
     tight = lambda c: F.regexp_replace(c, r"\s+", "")
     either = lambda a, b: F.when(a != "", a).otherwise(b)
-    basis, formula, text, liability = (F.col(c) for c in ("_basis", "_formula", "_text", "_liability"))
-    read = rows.withColumns({
-        "_basis": tight(get("basis")),
-        "_formula": F.regexp_replace(tight(get("formula")), "现金价值不展示|现金价值不统计|现金价值不参与展示", ""),
-        "_text": tight(_join(*[get(k) for k in TEXTS], sep="")),
-        "_liability": F.trim(get("liability")),
-        "_spec": numeric_spec(F.col("value") if "value" in has else F.lit(None), get("unit"), get("formula"), get("value_text"), get("excerpt")),
-    })
-    parameter = (
-        (F.trim(get("coverage_type")) == "规则参数")
-        | tight(get("status")).rlike("rule_parameter|not_quantifiable|non_calculable|unquantifiable")
-        | liability.rlike(f"^(?:{PARAMETER})$")
-        | text.rlike("保险责任赔付机制|豁免后续应交保险费|后续应交保险费|后续保险费")
-    )
     first_of = lambda c: F.when(c.contains("基本责任"), "first_basic_responsibility_premium").otherwise("first_premium")
-    named = (
-        F.when(formula.rlike(CASH), "cash_value")
-        .when(formula.rlike(ACCOUNT), "account_value")
-        .when(formula.rlike(FIRST), first_of(formula))
-        .when(formula.rlike(PAID), "total_paid_premium")
-        .when(formula.rlike(EXPENSE), "medical_expense")
-        .when(formula.rlike(DAILY), "daily_allowance")
-        .when(formula.rlike(BASIC), "basic_amount")
-        .when(either(formula, basis).rlike(FORMULA_TABLE), "schedule_or_policy_table")
-        .when(text.rlike(FIRST), first_of(text))
-        .when(text.rlike(ANNUAL), "annual_premium")
-        .when(text.rlike(PAID), "total_paid_premium")
-        .when(text.rlike(CASH), "cash_value")
-        .when(text.rlike(ACCOUNT), "account_value")
-        .when(text.rlike(EXPENSE), "medical_expense")
-        .when(either(basis, formula).rlike(DAILY), "daily_allowance")
-        .when(either(basis, formula).rlike(BASIC), "basic_amount")
-        .when(text.rlike(TABLE), "schedule_or_policy_table")
-        .when(text.rlike(DAILY), "daily_allowance")
+    read = F.struct(
+        tight(get("basis")).alias("basis"),
+        F.regexp_replace(tight(get("formula")), "现金价值不展示|现金价值不统计|现金价值不参与展示", "").alias("formula"),
+        tight(_join(*[get(k) for k in TEXTS], sep="")).alias("text"),
+        F.trim(get("liability")).alias("liability"),
+        numeric_spec(F.col("value") if "value" in has else F.lit(None), get("unit"), get("formula"), get("value_text"), get("excerpt")).alias("spec"),
     )
-    told = read.withColumns({"_parameter": parameter, "_named": named, "_unsure": either(formula, text).rlike(UNCERTAIN)})
-    given_basis, given_key = F.trim(get("basis_key")), F.trim(get("calculation_key"))
-    given = (given_key != "") & F.concat_ws(":", either(given_basis, F.lit("unknown")), given_key).isin(GIVEN) & (F.col("_named").isNull() | (F.col("_named") == given_basis))
-    decided = told.withColumn("_given", given).withColumn("_key", F.coalesce("_named", F.when(F.col("_given"), either(given_basis, F.lit("unknown")))))
-    key, value, unit = F.col("_key"), F.col("_spec.value"), F.replace(F.col("_spec.unit"), F.lit("％"), F.lit("%"))
-    premium = key.isin("first_premium", "first_basic_responsibility_premium", "annual_premium")
-    unsafe = F.when(F.col("_unsure"), "manual_formula").when(key.isin("cash_value", "account_value", "schedule_or_policy_table", "daily_allowance"), key).when(key == "medical_expense", "medical_formula")
-    percent, times = value.isNotNull() & (unit == "%"), value.isNotNull() & (unit == "倍")
-    worked = (
-        F.when(F.col("_given"), given_key)
-        .when(value.isNotNull() & unit.rlike("^(?:元|圆)$"), "fixed_amount")
-        .when((key == "basic_amount") & percent, "percent_of_basic_amount")
-        .when((key == "basic_amount") & times, "multiple_of_basic_amount")
-        .when((key == "basic_amount") & unit.rlike("公式|^$") & text.rlike("基本保险金额|基本保险金|基本保额|保险金额"), "basic_amount")
-        .when(premium & percent, "percent_of_first_premium")
-        .when(premium & times, "multiple_of_first_premium")
-        .when(premium, "first_premium")
-        .when((key == "total_paid_premium") & percent, "percent_of_total_paid_premium")
-        .when((key == "total_paid_premium") & times, "multiple_of_total_paid_premium")
-        .when(key == "total_paid_premium", "total_paid_premium")
-    )
-    chosen = decided.withColumns({"_unsafe": unsafe, "_worked": worked})
-    rule = F.col("_parameter")
-    meta = F.struct(
-        F.when(rule, "rule_parameter").otherwise(F.coalesce(key, F.lit("unknown"))).alias("basis"),
-        F.when(rule, "not_calculable").otherwise(F.coalesce("_unsafe", "_worked", F.lit("unknown"))).alias("calculation"),
-        (~rule & F.col("_unsafe").isNull() & F.col("_worked").isNotNull()).alias("eligible"),
-        F.when(rule | F.col("_unsafe").isNotNull(), "code_safety_rule").when(F.col("_given"), "structured_semantic").otherwise("code_inference").alias("source"),
-        value.alias("value"),
-        unit.alias("unit"),
-    )
-    return chosen.select(*rows.columns, meta.alias(name))
+
+    def told(x: Column) -> Column:
+        basis, formula, text = x["basis"], x["formula"], x["text"]
+        parameter = (
+            (F.trim(get("coverage_type")) == "规则参数")
+            | tight(get("status")).rlike("rule_parameter|not_quantifiable|non_calculable|unquantifiable")
+            | x["liability"].rlike(f"^(?:{PARAMETER})$")
+            | text.rlike("保险责任赔付机制|豁免后续应交保险费|后续应交保险费|后续保险费")
+        )
+        named = (
+            F.when(formula.rlike(CASH), "cash_value")
+            .when(formula.rlike(ACCOUNT), "account_value")
+            .when(formula.rlike(FIRST), first_of(formula))
+            .when(formula.rlike(PAID), "total_paid_premium")
+            .when(formula.rlike(EXPENSE), "medical_expense")
+            .when(formula.rlike(DAILY), "daily_allowance")
+            .when(formula.rlike(BASIC), "basic_amount")
+            .when(either(formula, basis).rlike(FORMULA_TABLE), "schedule_or_policy_table")
+            .when(text.rlike(FIRST), first_of(text))
+            .when(text.rlike(ANNUAL), "annual_premium")
+            .when(text.rlike(PAID), "total_paid_premium")
+            .when(text.rlike(CASH), "cash_value")
+            .when(text.rlike(ACCOUNT), "account_value")
+            .when(text.rlike(EXPENSE), "medical_expense")
+            .when(either(basis, formula).rlike(DAILY), "daily_allowance")
+            .when(either(basis, formula).rlike(BASIC), "basic_amount")
+            .when(text.rlike(TABLE), "schedule_or_policy_table")
+            .when(text.rlike(DAILY), "daily_allowance")
+        )
+        basic = text.rlike("基本保险金额|基本保险金|基本保额|保险金额")
+        unit = F.replace(x["spec"]["unit"], F.lit("％"), F.lit("%"))
+        return F.struct(parameter.alias("rule"), named.alias("named"), either(formula, text).rlike(UNCERTAIN).alias("unsure"), basic.alias("basic"), x["spec"]["value"].alias("value"), unit.alias("unit"))
+
+    def decided(x: Column) -> Column:
+        given_basis, given_key = F.trim(get("basis_key")), F.trim(get("calculation_key"))
+        given = (given_key != "") & F.concat_ws(":", either(given_basis, F.lit("unknown")), given_key).isin(GIVEN) & (x["named"].isNull() | (x["named"] == given_basis))
+        key = F.coalesce(x["named"], F.when(given, either(given_basis, F.lit("unknown"))))
+        return F.struct(key.alias("key"), F.when(given, given_key).alias("given"), *[x[c].alias(c) for c in ("rule", "unsure", "basic", "value", "unit")])
+
+    def worked(x: Column) -> Column:
+        key, value, unit = x["key"], x["value"], x["unit"]
+        premium = key.isin("first_premium", "first_basic_responsibility_premium", "annual_premium")
+        percent, times = value.isNotNull() & (unit == "%"), value.isNotNull() & (unit == "倍")
+        unsafe = F.when(x["unsure"], "manual_formula").when(key.isin("cash_value", "account_value", "schedule_or_policy_table", "daily_allowance"), key).when(key == "medical_expense", "medical_formula")
+        plain = (
+            F.when(x["given"].isNotNull(), x["given"])
+            .when(value.isNotNull() & unit.rlike("^(?:元|圆)$"), "fixed_amount")
+            .when((key == "basic_amount") & percent, "percent_of_basic_amount")
+            .when((key == "basic_amount") & times, "multiple_of_basic_amount")
+            .when((key == "basic_amount") & unit.rlike("公式|^$") & x["basic"], "basic_amount")
+            .when(premium & percent, "percent_of_first_premium")
+            .when(premium & times, "multiple_of_first_premium")
+            .when(premium, "first_premium")
+            .when((key == "total_paid_premium") & percent, "percent_of_total_paid_premium")
+            .when((key == "total_paid_premium") & times, "multiple_of_total_paid_premium")
+            .when(key == "total_paid_premium", "total_paid_premium")
+        )
+        return F.struct(unsafe.alias("unsafe"), plain.alias("plain"), *[x[c].alias(c) for c in ("key", "given", "rule", "value", "unit")])
+
+    def final(x: Column) -> Column:
+        return F.struct(
+            F.when(x["rule"], "rule_parameter").otherwise(F.coalesce(x["key"], F.lit("unknown"))).alias("basis"),
+            F.when(x["rule"], "not_calculable").otherwise(F.coalesce(x["unsafe"], x["plain"], F.lit("unknown"))).alias("calculation"),
+            (~x["rule"] & x["unsafe"].isNull() & x["plain"].isNotNull()).alias("eligible"),
+            F.when(x["rule"] | x["unsafe"].isNotNull(), "code_safety_rule").when(x["given"].isNotNull(), "structured_semantic").otherwise("code_inference").alias("source"),
+            x["value"].alias("value"),
+            x["unit"].alias("unit"),
+        )
+
+    return rows.withColumn(name, let(let(let(let(read, told), decided), worked), final))
 
 
 def calculated_amount(meta: Column, base: Column, premium: Column, years: Column) -> Column:
