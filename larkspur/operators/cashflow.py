@@ -127,8 +127,7 @@ def expand_indicators(rows: DataFrame) -> DataFrame:
 
     rows: policy_id, indicator_id, liability, condition, amount (as calculated), pension_age and the context columns.
     """
-    span = condition_years(F.col("condition"), F.col("pension_age"))
-    years = F.when(span["first"] <= span["last"], F.sequence(span["first"], span["last"]))
+    years = P.let(condition_years(F.col("condition"), F.col("pension_age")), lambda s: F.when(s["first"] <= s["last"], F.sequence(s["first"], s["last"])))
     out = rows.where("amount > 0").withColumn("year", F.explode(years))
     age = P.age_in_year(F.col("year"), F.col("first_day"), F.col("born")).cast("int")
     return out.select("policy_id", "indicator_id", "year", age.alias("age"), "liability", "amount")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.columns import blank_to_null
+from larkspur.functions.columns import blank_to_null, content_key
 
 
 def payload_rows(df: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
@@ -35,6 +35,32 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def promote_header(rows: DataFrame, order: str, cells: str = "cells") -> DataFrame:
+    """Rows of a sheet as arrays of cells -> columns named by the first row; blank headings and blank rows go."""
+    names = rows.orderBy(order).select(cells).first()[cells]  # one row
+    kept = [(i, n.strip()) for i, n in enumerate(names) if n and n.strip()]
+    first = rows.agg(F.min(order)).first()[0]
+    out = rows.where(F.col(order) != first).select(*[blank_to_null(F.get(cells, F.lit(i))).alias(n) for i, n in kept])
+    return out.where(F.coalesce(*[F.col(f"`{n}`") for _, n in kept]).isNotNull())
+
+
+def keyed_rows(df: DataFrame, columns: list[str], name: str = "id") -> DataFrame:
+    """Adds a stable id made of the mandatory columns, and leaves out rows in which all of them are blank."""
+    require_columns(df, columns)
+    filled = df.where(F.coalesce(*[blank_to_null(F.col(c).cast("string")) for c in columns]).isNotNull())
+    return filled.withColumn(name, content_key(*[F.col(c) for c in columns]))
+
+
+def snapshot(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Write tables as compressed Parquet into a folder, and their manifest beside them."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("compression", "gzip").parquet(f"{folder}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    made = manifest({name: spark.read.parquet(f"{folder}/{name}") for name in tables})
+    made.write.mode("overwrite").json(f"{folder}/_manifest")
+    return made
+
+
 def long_to_wide(df: DataFrame, key: str, field: str, value: str, fields: list[str]) -> DataFrame:
     """One row per key from (key, field, value) rows."""
     return df.groupBy(key).pivot(field, fields).agg(F.first(value, ignorenulls=True))

@@ -44,3 +44,17 @@ def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") ->
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def drain_batches(df: DataFrame, checkpoint: str, handle, interval: str | None = None):
+    """Hand each micro-batch to handle(frame, batch_id): all that has arrived, or on and on at an interval such as `30 seconds`.
+
+    A batch that is handed over again after a failure has its old id, so a handler that writes by id writes it once.
+    """
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def append_log(df: DataFrame, folder: str, checkpoint: str):
+    """Append a stream to a folder of Parquet files, each event once."""
+    return df.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

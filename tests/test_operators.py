@@ -137,12 +137,38 @@ def test_repeated_lines(spark):
 def test_budget_packing_sees_every_row(spark):
     from larkspur.plans import carriers
 
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 4000").select("lang", "doc_id", "n_chars").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("coalesce(lang, '') AS lang", "doc_id", "n_chars").collect()
     wanted, used, seen = set(), {}, set()
-    for r in sorted(docs, key=lambda r: (-r["n_chars"], r["doc_id"])):
-        if r["lang"] not in seen or used[r["lang"]] + r["n_chars"] <= 20_000:
+    for r in sorted(docs, key=lambda r: r["doc_id"]):
+        if r["lang"] not in seen or used[r["lang"]] + r["n_chars"] <= 100_000:
             seen.add(r["lang"])
             used[r["lang"]] = used.get(r["lang"], 0) + r["n_chars"]
             wanted.add((r["lang"], r["doc_id"], r["n_chars"]))
     got = carriers.QUERIES["budget_packing"](spark, "/root/testdata/sf0.01").collect()
     assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+
+
+def test_sheets_and_sinks(spark, tmp_path):
+    sheet = spark.createDataFrame([(0, ["name", "", "size "]), (1, ["a", "x", "1"]), (2, [" ", "y", None]), (3, ["b", None, "2"])], "n int, cells array<string>")
+    rows = io.promote_header(sheet, "n")
+    assert rows.columns == ["name", "size"] and sorted(map(tuple, rows.collect())) == [("a", "1"), ("b", "2")]
+    keyed = io.keyed_rows(rows, ["name", "size"])
+    assert len({r["id"] for r in keyed.collect()}) == 2 and keyed.columns[-1] == "id"
+    io.write_lines(rows, str(tmp_path / "lines"))
+    assert sorted(map(tuple, io.read_json(spark, str(tmp_path / "lines"), "name string, size string").collect())) == [("a", "1"), ("b", "2")]
+    parts = spark.createDataFrame([(1, "old"), (2, "old")], "k int, v string")
+    io.replace_partitions(parts, str(tmp_path / "parts"), "k")
+    io.replace_partitions(spark.createDataFrame([(2, "new")], "k int, v string"), str(tmp_path / "parts"), "k")
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "parts")).collect()) == [(1, "old"), (2, "new")]
+    made = io.snapshot({"rows": rows, "parts": parts}, str(tmp_path / "snapshot"))
+    assert {r["name"]: r["n"] for r in made.collect()} == {"rows": 2, "parts": 2}
+
+
+def test_folds_by_key(spark):
+    from larkspur.operators import state
+
+    saves = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("b", 1, 1), ("b", 2, 0)], "k string, at int, expected long")
+    got = sorted((r["k"], r["at"], r["accepted"], r["version"]) for r in state.versioned_saves(saves, ["k"], ["at"]).collect())
+    assert got == [("a", 1, True, 1), ("a", 2, False, 1), ("a", 3, True, 2), ("b", 1, False, 0), ("b", 2, True, 1)]
+    boxes = spark.createDataFrame([(1, 0.0, 1), (1, 4.0, 2), (1, 8.0, 3), (2, 100.0, 4)], "page int, y double, id int")
+    assert [r["line"] for r in documents.centred_lines(boxes, "page", "y", ["id"], 5.0).orderBy("id").collect()] == [1, 1, 2, 1]

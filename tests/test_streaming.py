@@ -26,3 +26,13 @@ def test_once(spark, tmp_path):
     log, live = stream(spark, tmp_path)
     got = E.drain(E.once(live.unionByName(live), ["event_id"], late="400 days").select("event_id"), "once", str(tmp_path / "c"), "append")
     assert got.count() == log.select("event_id").distinct().count()
+
+
+def test_batches_and_append_log(spark, tmp_path):
+    log, live = stream(spark, tmp_path)
+    seen = tmp_path / "seen"
+    E.drain_batches(live.select("event_id"), str(tmp_path / "c1"), lambda frame, i: frame.write.mode("overwrite").parquet(str(seen / f"batch={i}"))).awaitTermination()
+    assert spark.read.parquet(str(seen)).select("event_id").count() == log.count()
+    for _ in range(2):  # the second run finds nothing new
+        E.append_log(live, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == log.count()
