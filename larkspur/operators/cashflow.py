@@ -1,7 +1,8 @@
 """Yearly cashflow of policies: rules of templates, conditions of indicators, clauses of responsibility texts.
 
 Everything is declared per policy and exploded into years, so the work is one narrow map over policies and one
-window per policy; no step brings policies together.
+window per policy; no step brings policies together. Arrays are exploded with their empty ones kept and then let go: a
+plain explode would make the optimiser copy the whole expression of the years into a filter below.
 """
 
 from __future__ import annotations
@@ -82,23 +83,23 @@ def expand_rules(policies: DataFrame, rules: DataFrame, on: str) -> DataFrame:
     last = timing_bound(F.col("stop_kind"), F.col("stop_at"), F.col("stop_param"), True)
     begin, end, birth = F.col("effective_year"), F.col("end_year"), F.col("birth_year")
     lo, hi = F.greatest(first, begin), F.least(last, end)
-    none = F.array().cast("array<struct<year:int,age:int>>")
-    days = F.col("first_day"), F.col("born")
-    dated = F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda y: F.struct(y.cast("int").alias("year"), P.age_in_year(y, *days).cast("int").alias("age")))
-    at_age = lambda a: F.struct((birth + a).cast("int").alias("year"), a.cast("int").alias("age"))
-    inside = lambda x: (x["year"] >= begin) & (x["year"] <= end)
-    late = lambda x: x["year"] - begin >= F.coalesce(F.col("least_year"), F.lit(0))
-    at_end = F.struct(end.cast("int").alias("year"), F.coalesce(P.age_at_end(F.col("coverage"), end, *days), end - birth).cast("int").alias("age"))
-    entries = (
-        F.when((F.col("timing") == "range") & (lo <= hi), dated)
-        .when(F.col("timing") == "points", F.filter(F.transform(F.coalesce("ages", F.array().cast("array<int>")), at_age), lambda x: inside(x) & late(x)))
-        .when(F.col("timing") == "age", F.filter(F.array(at_age(F.col("start_at"))), inside))
-        .when((F.col("timing") == "maturity") & (end >= begin), F.array(at_end))
-        .otherwise(none)
+    # Years only travel through the arrays; ages are told afterwards, in generated code.
+    at_ages = F.transform(F.coalesce("ages", F.array().cast("array<int>")), lambda a: (birth + a).cast("int"))
+    late = F.coalesce(F.col("least_year"), F.lit(0))
+    years = (
+        F.when((F.col("timing") == "range") & (lo <= hi), F.sequence(lo.cast("int"), hi.cast("int")))
+        .when(F.col("timing") == "points", F.filter(at_ages, lambda y: (y >= begin) & (y <= end) & (y - begin >= late)))
+        .when((F.col("timing") == "age") & (birth + F.col("start_at")).between(begin, end), F.array((birth + F.col("start_at")).cast("int")))
+        .when((F.col("timing") == "maturity") & (end >= begin), F.array(end.cast("int")))
+    )
+    priced = p.withColumn("_amount", rule_amount(F.col("fixed"), F.col("factor"), F.col("basis"))).where("_amount > 0").withColumn("year", F.explode_outer(years)).where("year IS NOT NULL")
+    day, born, year = F.col("first_day"), F.col("born"), F.col("year")
+    age = (
+        F.when(F.col("timing").isin("points", "age"), year - birth)
+        .when(F.col("timing") == "maturity", F.coalesce(P.age_at_end(F.col("coverage"), end, day, born), end - birth))
+        .otherwise(P.age_in_year(year, day, born))
     )
-    amount = rule_amount(F.col("fixed"), F.col("factor"), F.col("basis"))
-    dealt = p.withColumn("_amount", amount).where("_amount > 0").select("policy_id", "rule_no", F.inline(entries), "liability", F.col("_amount").alias("value"))
-    return dealt.select("policy_id", "rule_no", "year", "age", "liability", F.col("value").alias("amount"))
+    return priced.select("policy_id", "rule_no", "year", age.cast("int").alias("age"), "liability", F.col("_amount").alias("amount"))
 
 
 #: Phrases of conditions that name the years of a payment.
@@ -128,7 +129,7 @@ def expand_indicators(rows: DataFrame) -> DataFrame:
     rows: policy_id, indicator_id, liability, condition, amount (as calculated), pension_age and the context columns.
     """
     years = P.let(condition_years(F.col("condition"), F.col("pension_age")), lambda s: F.when(s["first"] <= s["last"], F.sequence(s["first"], s["last"])))
-    out = rows.where("amount > 0").withColumn("year", F.explode(years))
+    out = rows.where("amount > 0").withColumn("year", F.explode_outer(years)).where("year IS NOT NULL")
     age = P.age_in_year(F.col("year"), F.col("first_day"), F.col("born")).cast("int")
     return out.select("policy_id", "indicator_id", "year", age.alias("age"), "liability", "amount")
 
@@ -224,7 +225,7 @@ def expand_clauses(clauses: DataFrame) -> DataFrame:
     fitting = reduce(lambda a, x: a.when(x[0], x[1]), patterns[1:], F.when(*patterns[0])).otherwise(none)
     certain = F.concat(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", ""), tight)
     chosen = F.when(certain.rlike(UNCERTAIN) & ~certain.rlike(CERTAIN), none).when(F.size(named) > 0, named).when(worth > 0, fitting).otherwise(none)
-    rows = clauses.select("policy_id", "clause_no", "first_day", "born", chosen.alias("_e")).select("policy_id", "clause_no", "first_day", "born", F.inline("_e"))
+    rows = clauses.select("policy_id", "clause_no", "first_day", "born", chosen.alias("_e")).select("policy_id", "clause_no", "first_day", "born", F.inline_outer("_e")).where("year IS NOT NULL")
     return rows.select("policy_id", "clause_no", "year", F.coalesce("age", P.age_in_year(F.col("year"), F.col("first_day"), F.col("born")).cast("int")).alias("age"), "liability", "amount")
 
 
