@@ -50,7 +50,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     hit = decontaminate.contaminated_rows(docs, benchmark)
     hit = hit.select(F.col("doc_id").alias("hit_id"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("hit_text")).distinct()
     hit = written(hit, "hits")  # so that its size is known
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.when(F.col("doc_id").isNull(), F.xxhash64("text")).eqNullSafe(F.col("hit_text"))
+    text_of = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"]))
+    same = docs["doc_id"].eqNullSafe(hit["hit_id"]) & text_of.eqNullSafe(hit["hit_text"])
     return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 
