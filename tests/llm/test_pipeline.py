@@ -87,3 +87,18 @@ def test_rows_without_id_are_decontaminated(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = [tuple(r) for r in P.decontaminated(spark, df, str(tmp_path)).collect()]
     assert sorted(left, key=str) == sorted([(None, "clean text"), (None, None), (2, "other")], key=str)
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, id long, tid string, kept string, lang_pred string, hit_id int"
+    empty = spark.createDataFrame([], columns)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    words = " ".join(f"word{i} other{i}" for i in range(40))
+    rows = [(1, words, "en", "s", 1, 7, "t", "k", "p", 3), (2, words + " more", "en", "s", 1, 8, "u", "l", "q", 4), (3, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, columns)
+    for stage, left in ((P.one_of_each_group, {1, 3}), (P.without_repeats, {1, 2, 3}), (P.decontaminated, {1, 2, 3})):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        kept = {r["doc_id"]: r for r in got.collect()}
+        assert set(kept) == left and (kept[1]["id"], kept[1]["tid"], kept[1]["kept"], kept[1]["hit_id"]) == (7, "t", "k", 3)
