@@ -53,12 +53,16 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
     return turns if at == len(rendered) else None
 
 
+def plain(role: str, text: str) -> str:
+    return f"<s>[INST] {role}\n{text} [/INST]</s>"
+
+
 def render(role: str, text: str) -> str:
     """The turn's frame, escaped if its plain form does not parse back to the same turn."""
-    plain = f"<s>[INST] {role}\n{text} [/INST]</s>"
-    back = parse(plain)
+    frame = plain(role, text)
+    back = parse(frame)
     if back is not None and [x[:2] for x in back] == [(role, text)]:
-        return plain
+        return frame
     role_out = CONFLICT.sub(r"\\\1", role).replace("\n", "\\\n")
     frame = f"<s>[INST] {role_out}\n" + CONFLICT.sub(r"\\\1", text) + " [/INST]</s>"
     back = parse(frame)
@@ -68,17 +72,23 @@ def render(role: str, text: str) -> str:
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns with their frames; null stands for the plain form, which role and text give."""
     for b in batches:
-        roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
-        out = [render(r or "", t or "") for r, t in zip(roles, texts)]
-        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(out, pa.string())], ["conv_id", "turn", "frame"])
+        pairs = list(zip(b.column("role").to_pylist(), b.column("text").to_pylist()))
+        frames = [None if (frame := render(r, t)) == plain(r, t) else frame for r, t in pairs]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(frames, pa.string())], [*b.schema.names, "frame"])
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, frame: rows in conversation order within each partition; joined frames are the output."""
-    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    framed = turns.mapInArrow(_frames, "conv_id long, turn long, frame string")
-    return framed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "frame")
+    """conv_id, turn, frame: rows in conversation order within each partition; joined frames are the output.
+
+    Escaping would change the order of ties, so they are sorted by role and text.
+    """
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
+    framed = turns.mapInArrow(_frames, "conv_id long, turn long, role string, text string, frame string")
+    ordered = framed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.select("conv_id", "turn", F.coalesce("frame", F.concat(F.lit("<s>[INST] "), "role", F.lit("\n"), "text", F.lit(" [/INST]</s>"))).alias("frame"))
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,8 @@ table, and window hashes are joined by shuffle. Documents are read whole in both
 
 Edge cases: null texts and texts without words have no hit; texts of any length are read whole; an empty table, or
 one without items, gives no rows; an item of fewer words than `WINDOW` is found by its
-whole template, so one of a single common word hits every document with that word; every row is judged by itself,
+whole template, or with its own values only if it has fewer than two plain words; one of a single word is found where
+it is all of a document's text; every row is judged by itself,
 also those that share a doc_id or have none, and rows that share a doc_id give one hit per item, the best; equal items
 each give a hit; extra columns are ignored.
 """
@@ -168,6 +169,17 @@ def rolled(h: np.ndarray, size: int) -> np.ndarray:
         return mix(out)
 
 
+def keys(words: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window of typed words; the own words count where too few of them are plain to say something."""
+    h = rolled(words, size)
+    if len(h):
+        plain = np.concatenate([[0], np.cumsum(~np.isin(words, [NUMBER, NAME, UNIT]))])
+        valued = plain[size:] - plain[:-size] < (1 if size == WINDOW else 2)
+        with np.errstate(over="ignore"):
+            h[valued] = mix(h[valued] * np.uint64(BASE) + rolled(own, size)[valued])
+    return h
+
+
 def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -177,7 +189,7 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not size:
                 continue
             own_words, kinds = own.view(np.int64).tolist(), [kind.tolist()] * 2 + [np.where(opening, 2, kind).tolist()]
-            hashes = [rolled(x, size).view(np.int64).tolist() for x in forms(typed, own, kind, opening)]
+            hashes = [keys(x, own, size).view(np.int64).tolist() for x in forms(typed, own, kind, opening)]
             for i, each in enumerate(zip(*hashes)):
                 first = {x: k for x, k in reversed(list(zip(each, kinds)))}  # of equal forms the first counts
                 rows += [(item, x, i, len(hashes[0]), own_words[i : i + size], k[i : i + size]) for x, k in first.items()]
@@ -208,10 +220,12 @@ def _document_windows(sent, sizes: list[int]):
             for lo, hi in slices(offsets):
                 typed, own, kind, bounds, opening = template(data[offsets[lo] : offsets[hi]], folded[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
                 for size, words in [(size, words) for size in sizes for words in forms(typed, own, kind, opening)]:
-                    h = rolled(words, size)
+                    h = keys(words, own, size)
                     if not len(h):
                         continue
                     ok = np.ones(len(h), bool)
+                    if size == 1:  # an item of one word must be all of a text
+                        ok &= np.repeat(np.diff(bounds) == 1, np.diff(bounds))
                     for j in range(1, size):  # windows that cross into the next text
                         edge = bounds[1:-1] - j
                         ok[edge[(edge >= 0) & (edge < len(h))]] = False
@@ -260,12 +274,11 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             slots = {f["at"] + i: (p["kind"], p["b"], p["d"]) for f in pairs for i, p in enumerate(f["pairs"]) if p["kind"]}
             there, back = _majority(slots, True), _majority(slots, False)
             bad = {i for i, (kind, b, d) in slots.items() if b != d and (there[kind, b] != d or (kind != 1 and back[kind, d] != b))}
-            anchored = any(p["kind"] == 0 for f in pairs for p in f["pairs"])
             rows = []
             for f in sorted(pairs, key=lambda f: f["at"]):
                 places = range(f["at"], f["at"] + len(f["pairs"]))
                 same = all(p["b"] == p["d"] for p in f["pairs"])
-                rows.append({"at": f["at"], "counts": bad.isdisjoint(places) and (anchored or same), "same": same, "run": False})
+                rows.append({"at": f["at"], "counts": bad.isdisjoint(places), "same": same, "run": False})
                 # the words in a row that end with this window, and those of them that are the item's
                 if not rows[-1]["counts"]:
                     run = []

@@ -62,10 +62,11 @@ def test_chat_round_trip(spark):
     bad = ["</s>[INST] ok [/INST]", "\\", "a\\<s>", "<<s>", "\\\\[INST]", "line\nline", "", "x" * 5000, " [/INST]</s><s>[INST] user\n", "é 日"]
     rows = [(c, t, role, text) for c in range(3) for t, (role, text) in enumerate((r, x) for x in bad for r in ("user", "assistant", "sys\ntem<s>"))]
     rows += [(9, 1, "assistant", None), (9, None, None, "q"), (None, 0, "assistant", "n"), (0, 3, "assistant", "tie"), (0, 3, "assistant", "tie")]
+    rows += [(8, 0, "user", "A"), (8, 0, "user", "</s>"), (8, 0, "user", "\\"), (8, 0, None, None), (8, 0, "user", "z" * 200_000), (7, 1, "a\nb", "x"), (7, 1, "a", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_chat(df)).collect()}
     for conv in {r[0] for r in rows}:
-        turns = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text in rows if c == conv), key=lambda x: (x[0], chat.render(x[1], x[2])))
+        turns = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text in rows if c == conv), key=lambda x: x)
         digest = hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         loss = "".join(x for _, r, x in turns if r == "assistant")
         g = got[conv]
@@ -198,6 +199,14 @@ def test_decontamination_counts_each_window_once(spark):
     assert found == {(3, 10): (5 / 9, True), (4, 10): (1.0, True)}
 
 
+def test_decontamination_of_number_tables_and_single_words(spark):
+    table = [str(10_000 + i) for i in range(800)]
+    other = [str(70_000 + i) for i in range(4000)]
+    docs = [(1, " ".join(other)), (2, " ".join(table[100:700])), (3, "a common word here"), (4, "Word!"), (5, "about 12 apples"), (6, "about 13 apples"), (7, "some 12 pears"), (8, "some 13 pears")]
+    found = hits(spark, docs, [(10, " ".join(table)), (11, "word"), (12, "about 9 apples"), (13, "12 pears")])
+    assert set(found) == {(2, 10), (4, 11), (5, 12), (6, 12), (7, 13)} and found[2, 10] == (593 / 793, True)
+
+
 def test_decontamination_in_other_case(spark):
     item = "A train leaves town with Alice aboard and travels 120 km in 3 hours before it stops to let Bob join the others"
     german = "Am Morgen sah die alte Frau aus dem Haus am See den Hund und das Kind mit dem Ball im Garten"
