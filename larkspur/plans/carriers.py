@@ -560,7 +560,7 @@ def repeated_lines(t):
 
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-n AS (SELECT *, len(regexp_extract_all(line, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(line, '[A-Za-z]+|\d+(?:\.\d+)?')) AS tokens FROM l WHERE trim(line) <> ''),
+n AS (SELECT *, len(regexp_extract_all(line, '[\x{3400}-\x{9fff}]')) + len(regexp_extract_all(line, '[A-Za-z]+|\d+(?:\.\d+)?')) AS tokens FROM l WHERE trim(line) <> ''),
 c AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200 AS INT) AS chunk_no FROM n)
 SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY pos) AS content, CAST(sum(tokens) AS BIGINT) AS tokens FROM c GROUP BY 1, 2""")
 def text_chunk(t):

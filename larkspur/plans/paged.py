@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.operators import pages
+from larkspur.operators import pages, sections
 from larkspur.plans.carriers import query
 
 # --- cleaning -------------------------------------------------------------------------------------
@@ -59,3 +60,71 @@ def page_edit_log(t):
 @query(sql("SELECT document, CAST(page AS INT) AS page, CAST(spot AS INT) AS \"at\", raw AS text FROM e WHERE raw <> ''"))
 def restored_pages(t):
     return pages.restored_elements(*pages.cleaned_pages(elements(t)))
+
+
+# --- sections and chunks --------------------------------------------------------------------------
+
+MOST = {"terms_tokens": 120, "other_tokens": 70, "unit_tokens": 90}
+
+
+def doc_pages(t):
+    """Documents as pages of four lines; some lines are headings by form or by declaration, some pages have a table."""
+    line = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    form = F.when(F.col("i") % 7 == 0, F.concat(F.lit("第"), (F.floor(F.col("i") / 7) + 1).cast("string"), F.lit("条 "))).when(F.col("i") % 7 == 2, "一、").when(F.col("i") % 7 == 4, "（1）").otherwise("")
+    line = line.select("doc_id", "i", (F.floor(F.col("i") / 4) + 1).cast("int").alias("page"), F.concat(form, "line").alias("line"))
+    page = line.groupBy("doc_id", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("lines"))
+    second = F.get("lines", F.lit(1))
+    cells = F.array(*[F.array(*[c if isinstance(c, Column) else F.lit(c) for c in row]) for row in (("item", "value"), ("a", "1"), (F.concat(F.lit("b"), F.col("doc_id").cast("string")), "2"))])
+    table = (F.col("doc_id") % 5 == 0) & (F.col("page") == 1)
+    return page.select(
+        F.col("doc_id").alias("document"), (F.col("doc_id") % 2 == 0).alias("terms"), "page", F.array_join("lines", "\n").alias("text"), F.when((F.col("doc_id") % 3 == 0) & second.isNotNull(), F.array(second)).alias("headings"),
+        F.when(table, F.array(cells)).alias("tables"), F.when(table, F.concat("lines", F.array(F.lit("item")))).alias("layout"),
+    )
+
+
+TOKENS = r"(len(regexp_extract_all({0}, '[\x{{3400}}-\x{{9fff}}]')) + len(regexp_extract_all({0}, '[A-Za-z]+|[0-9]+(?:\.[0-9]+)?')))"
+SECTION_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT doc_id AS document, doc_id % 2 = 0 AS terms, CAST(i // 4 + 1 AS INT) AS page, i, CASE i % 7 WHEN 0 THEN '第' || (i // 7 + 1) || '条 ' WHEN 2 THEN '一、' WHEN 4 THEN '（1）' ELSE '' END || line AS raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text FROM l),
+d AS (SELECT document, page, text AS head FROM p WHERE i % 4 = 1 AND document % 3 = 0 AND text <> ''),
+n AS (SELECT p.*, row_number() OVER (PARTITION BY document, page ORDER BY i) AS n, coalesce(text = head, FALSE) AS declared FROM p LEFT JOIN d USING (document, page) WHERE text <> ''),
+b AS (SELECT *, regexp_matches(text, '^第[一二三四五六七八九十百零〇0-9]+条(?:\s+|$)') AS h1, regexp_matches(text, '^[一二三四五六七八九十百]+[、.．]') AND NOT regexp_matches(text, '[。；;]$') AS h2, regexp_matches(text, '^[（(][一二三四五六七八九十百零〇0-9]+[）)]') AND NOT regexp_matches(text, '[。；;]$') AS h3, page * 1000000 + n AS pos FROM n),
+f AS (SELECT *, CASE WHEN h1 THEN 1 WHEN h2 THEN 2 WHEN h3 THEN 3 WHEN declared THEN 2 ELSE 0 END AS level, CASE WHEN h1 THEN 0.92 WHEN h2 THEN 0.88 WHEN h3 THEN 0.84 WHEN declared THEN 0.76 END AS base FROM b),
+c AS (SELECT *, least(0.99, least(0.99, base + CASE WHEN declared THEN 0.08 ELSE 0 END) + CASE WHEN length(text) <= 40 THEN 0.02 ELSE 0 END) AS confidence,
+  max(CASE WHEN level = 1 THEN pos END) OVER w AS s1, max(CASE WHEN level = 2 THEN pos END) OVER w AS s2, max(CASE WHEN level = 3 THEN pos END) OVER w AS s3,
+  arg_max(text, CASE WHEN level = 1 THEN pos END) OVER w AS t1, arg_max(text, CASE WHEN level = 2 THEN pos END) OVER w AS t2, arg_max(text, CASE WHEN level = 3 THEN pos END) OVER w AS t3
+  FROM f WINDOW w AS (PARTITION BY document, CASE WHEN terms THEN 0 ELSE page END ORDER BY page, n)),
+o AS (SELECT *, list_filter([t1, CASE WHEN s2 > coalesce(s1, 0) THEN t2 END, CASE WHEN s3 > coalesce(greatest(s1, s2), 0) THEN t3 END], lambda x: x IS NOT NULL) AS path, coalesce(greatest(s1, s2, s3), CASE WHEN terms THEN 0 ELSE page * 1000000 END) AS start FROM c),
+s AS (SELECT document, any_value(terms) AS terms, start, min(page) AS page_start, max(page) AS page_end, arg_min(array_to_string(path, ' / '), pos) AS path, coalesce(max(CASE WHEN pos = start THEN confidence END), 0.45) AS confidence, count(*) AS n_units, string_agg(text, chr(10) ORDER BY pos) AS content FROM o GROUP BY document, start),
+z AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY start) - 1 AS section FROM s)"""
+
+
+@query(SECTION_SQL + """
+SELECT document, CAST(section AS INT) AS section, page_start, page_end, path, round(confidence, 2)::DOUBLE AS confidence, confidence < 0.75 AS review, CAST(n_units AS INT) AS n_units, sha256(content) AS content_hash FROM z""")
+def document_sections(t):
+    found = sections.document_sections(doc_pages(t).withColumn("tables", F.coalesce("tables", F.array().cast("array<array<array<string>>>"))))
+    content = F.array_join(F.transform("units", lambda u: u["text"]), "\n")
+    return found.select("document", "section", "page_start", "page_end", F.array_join("path", " / ").alias("path"), "confidence", "review", F.size("units").alias("n_units"), F.sha2(content, 256).alias("content_hash"))
+
+
+@query(SECTION_SQL + rf""",
+u AS (SELECT *, sum((regexp_matches(text, '^(?:第[一二三四五六七八九十百零0-9]+条|[一二三四五六七八九十]+、|[0-9]+[.、])') OR first)::INT) OVER (PARTITION BY document, start ORDER BY pos) AS unit FROM (SELECT *, row_number() OVER (PARTITION BY document, start ORDER BY pos) = 1 AS first FROM o)),
+ut AS (SELECT document, any_value(terms) AS terms, start, unit, string_agg(text, chr(10) ORDER BY pos) AS x FROM u GROUP BY document, start, unit),
+sp AS (SELECT *, CASE WHEN terms THEN 120 ELSE 70 END AS most, CASE WHEN {TOKENS.format("x")} <= 90 THEN [x] ELSE list_filter(list_transform(regexp_extract_all(x, '[^。！？!?；;]+[。！？!?；;]?'), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '') END AS parts FROM ut),
+un AS (SELECT document, start, most, unit, unnest(parts) AS y, generate_subscripts(parts, 1) AS k FROM sp),
+hs AS (SELECT *, {TOKENS.format("y")} AS n, regexp_extract_all(y, '(?:^[^\x{{3400}}-\x{{9fff}}A-Za-z0-9]*)?(?:[\x{{3400}}-\x{{9fff}}]|[A-Za-z]+|[0-9]+(?:\.[0-9]+)?)[^\x{{3400}}-\x{{9fff}}A-Za-z0-9]*') AS q FROM un),
+hq AS (SELECT *, CASE WHEN n <= most THEN [y] ELSE list_transform(range(0, CAST((len(q) - 1) // most + 1 AS BIGINT)), lambda j: regexp_replace(array_to_string(q[j * most + 1 : (j + 1) * most], ''), '^\s+|\s+$', '', 'g')) END AS cut FROM hs),
+hp AS (SELECT document, start, most, unit, k, unnest(cut) AS y, generate_subscripts(cut, 1) AS k2 FROM hq),
+pk AS (SELECT document, start, any_value(most) AS most, list({{'t': y, 'n': {TOKENS.format("y")}, 'done': CAST([] AS VARCHAR[])}} ORDER BY unit, k, k2) AS parts FROM hp GROUP BY document, start),
+rd AS (SELECT document, start, list_reduce(parts, lambda a, b: CASE WHEN a.n + b.n > most THEN {{'t': b.t, 'n': b.n, 'done': list_append(a.done, a.t)}} ELSE {{'t': a.t || chr(10) || b.t, 'n': a.n + b.n, 'done': a.done}} END) AS r FROM pk),
+ch AS (SELECT document, start, unnest(list_append(r.done, r.t)) AS content, generate_subscripts(list_append(r.done, r.t), 1) - 1 AS part FROM rd),
+pg AS (SELECT document, page, CASE WHEN document % 5 = 0 AND page = 1 THEN 'item | value' || chr(10) || 'a | 1' || chr(10) || 'b' || document || ' | 2' ELSE regexp_replace(string_agg(raw, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') END AS content FROM p GROUP BY document, page)
+SELECT document, kind, page_start, page_end, CAST(section AS INT) AS section, CAST(part AS INT) AS part, CAST({TOKENS.format("content")} AS INT) AS tokens, sha256(content) AS content_hash, under FROM (
+  SELECT document, 'parent' AS kind, page AS page_start, page AS page_end, NULL AS section, NULL AS part, content, NULL AS under FROM pg WHERE content <> ''
+  UNION ALL SELECT document, 'table', 1, 1, 0, 0, content, sha256(content) FROM pg WHERE document % 5 = 0 AND page = 1
+  UNION ALL SELECT document, 'parent', page_start, page_end, section, NULL, content, NULL FROM z WHERE terms AND page_end > page_start
+  UNION ALL SELECT z.document, 'child', page_start, page_end, section, part, ch.content, sha256(CASE WHEN terms AND page_end > page_start THEN z.content ELSE pg.content END) FROM ch JOIN z USING (document, start) JOIN pg ON pg.document = z.document AND pg.page = page_start)""")
+def document_tree(t):
+    chunks = sections.document_tree(doc_pages(t), **MOST)
+    above = chunks.where("kind = 'parent'").select(F.col("id").alias("parent_id"), F.col("content_hash").alias("under"))
+    return chunks.join(above, "parent_id", "left").select("document", "kind", "page_start", "page_end", "section", "part", "tokens", "content_hash", "under")
