@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.relations import best_per_key
+from larkspur.sources.shared import written
 
 K1, B, RRF_OFFSET = 1.2, 0.75, 60
 
@@ -41,10 +42,11 @@ def global_ranks(hits: DataFrame, keys: list[str], order: list[Column], name: st
     """Adds the rank from 1 within each key, without bringing a key's rows into one task.
 
     Rows are dealt by range of the order, ranked within a range, and raised by the rows of the ranges before, of which
-    only counts are compared.
+    only counts are compared. The ranges come from a sample, so the dealt rows are written once: planned twice, they could be
+    dealt in two ways.
     """
     dealt = hits.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
-    near = dealt.withColumn("_near", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    near = written(dealt.withColumn("_near", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))), "ranges")
     counts = near.groupBy(*keys, "_part").agg(F.max("_near").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return near.join(before.drop("_n"), [*keys, "_part"]).withColumn(name, F.col("_near") + F.col("_before")).drop("_part", "_near", "_before")
@@ -96,16 +98,20 @@ def phrase_bm25(chunks: DataFrame, key: str, phrases: list[str], weights: dict[s
     lengths = {f: F.greatest(F.length(c) - 2, F.lit(0)) for f, c in low.items()}
     measured = chunks.select(key, *[n.alias(f"len_{f}") for f, n in lengths.items()], F.explode(F.array(*[F.struct(F.lit(p).alias("phrase"), *[times(c, p).alias(f"tf_{f}") for f, c in low.items()]) for p in asked])).alias("m")).select(key, *[f"len_{f}" for f in weights], "m.*")
     held = reduce(lambda a, b: a | b, [F.col(f"tf_{f}") > 0 for f in weights])
-    total = chunks.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"mean_{f}") for f, n in lengths.items()])
-    hits = measured.where(held)
+    total = chunks.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"mean_{f}") for f, n in lengths.items()]).first().asDict()
+    return phrase_scores(measured.where(held), key, weights, total)
+
+
+def phrase_scores(hits: DataFrame, key: str, weights: dict[str, float], total: dict) -> DataFrame:
+    """key, phrase, score of hits (key, phrase, len_ and tf_ of each field), with n and the mean_ lengths of all rows in total."""
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    joined = hits.join(F.broadcast(df), "phrase").join(F.broadcast(total))  # a row per phrase, and one row
+    joined = hits.join(df, "phrase")
     # fields share one length and one frequency, by their weights
     tf = reduce(lambda a, b: a + b, [w * F.col(f"tf_{f}") for f, w in weights.items()])
     length = reduce(lambda a, b: a + b, [F.col(f"len_{f}") for f in weights])
-    mean = reduce(lambda a, b: a + b, [F.col(f"mean_{f}") for f in weights])
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    mean = sum(total[f"mean_{f}"] or 0.0 for f in weights)
+    idf = F.greatest(F.log((F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
     return joined.select(key, "phrase", score.alias("score"))
 
 

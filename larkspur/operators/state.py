@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.relations import best_per_key
+from larkspur.sources.shared import written
 
 
 def claim_jobs(jobs: DataFrame, now: Column, worker: str, lease: str, limit: int) -> DataFrame:
@@ -70,16 +71,21 @@ def publish_log(events: DataFrame, key: str, order: str) -> DataFrame:
     """key, version, content, status after events (publish: content; rollback: to a version) in order.
 
     Each event makes the next version, also a rollback, which copies its source's content; the last one is published,
-    the others archived. A rollback to a rollback leads on to the version that holds content.
+    the others archived. A rollback to a rollback leads on to the version that holds content, however many
+    there are between.
     """
     numbered = events.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(order)))
     rows = numbered.select(key, "version", "content", F.when(F.col("action") == "rollback", F.col("target")).alias("source"))
     last = F.max("version").over(Window.partitionBy(key))
-    # sources are earlier versions, so following them ends; each step halves the way by jumping over two
-    jumps = rows.select(key, "version", F.coalesce("source", "version").alias("root"))
-    for _ in range(6):
+    # sources are earlier versions, so following them ends; each round jumps twice as far, until none leads on
+    jumps = written(rows.select(key, "version", F.coalesce("source", "version").alias("root")), "jumps")
+    while True:
         step = jumps.select(key, F.col("version").alias("root"), F.col("root").alias("_next"))
-        jumps = jumps.join(step, [key, "root"], "left").select(key, "version", F.coalesce("_next", "root").alias("root"))
+        after = jumps.join(step, [key, "root"], "left").select(key, "version", F.coalesce("_next", "root").alias("root"), (F.coalesce("_next", "root") != F.col("root")).alias("_on"))
+        after = written(after, "jumps")
+        jumps = after.drop("_on")
+        if after.where("_on").isEmpty():
+            break
     content = rows.select(key, F.col("version").alias("root"), F.col("content").alias("_c"))
     full = rows.join(jumps, [key, "version"]).join(content, [key, "root"], "left")
     return full.withColumn("_last", last).select(key, "version", F.coalesce("_c", "content").alias("content"), F.when(F.col("version") == F.col("_last"), "published").otherwise("archived").alias("status"))

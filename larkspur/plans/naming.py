@@ -66,31 +66,31 @@ def excerpts(t):
     return t.documents.select("doc_id", "text", (F.instr(x, " the ") - 1).alias("at")).where("at >= 0").select("doc_id", N.excerpt(F.col("text"), F.col("at")).alias("excerpt"))
 
 
+GRAMS = "list_distinct(CASE WHEN length({0}) = 0 THEN [] ELSE list_transform(range(1, CAST(greatest(length({0}) - {1} + 1, 1) AS BIGINT) + 1), lambda i: substr({0}, i, {1})) END)"
+SQL_JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / CAST(len(list_distinct(list_concat({0}, {1}))) AS DOUBLE) END"
 #: Length of the longest common substring, as SQL over all substrings of the first.
 SQL_COMMON = "coalesce((SELECT max(length(substr({a}, i::BIGINT, n::BIGINT))) FROM range(1, length({a}) + 1) r(i), range(1, length({a}) + 1) s(n) WHERE i + n <= length({a}) + 1 AND contains({b}, substr({a}, i::BIGINT, n::BIGINT))), 0)"
 
 
 @query(f"""
-WITH n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON a.p_name < b.p_name AND right(a.p_name, 2) = right(b.p_name, 2))
+WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format("p_name", 2)} AS g FROM n), p AS (SELECT a.p_name AS a, b.p_name AS b FROM g a JOIN g b ON a.p_name < b.p_name AND {SQL_JACCARD.format("a.g", "b.g")} >= 0.3)
 SELECT a, b, CAST({SQL_COMMON.format(a="a", b="b")} AS INT) AS common FROM p""")
 def common_substrings(t):
-    n = t.part.select("p_name").distinct().withColumn("end", F.expr("right(p_name, 2)"))
-    pairs = n.select(F.col("p_name").alias("a"), "end").join(n.select(F.col("p_name").alias("b"), "end"), "end").where("a < b")
+    n = t.part.select("p_name").distinct()
+    pairs = matching.jaccard_pairs(n, n, "p_name", "p_name", 0.3).where("left_key < right_key").select(F.col("left_key").alias("a"), F.col("right_key").alias("b"))
     return pairs.select("a", "b", N.common_substring(F.col("a"), F.col("b")).cast("int").alias("common"))
 
 
-GRAMS = "list_distinct(CASE WHEN length({0}) = 0 THEN [] ELSE list_transform(range(1, CAST(greatest(length({0}) - {1} + 1, 1) AS BIGINT) + 1), lambda i: substr({0}, i, {1})) END)"
-SQL_JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / CAST(len(list_distinct(list_concat({0}, {1}))) AS DOUBLE) END"
 KIND_OF = ["终身寿险", "重大疾病险", "", "年金", "医疗险"]
 
 
 @query(f"""
-WITH n AS (SELECT DISTINCT replace(p_name, ' ', '') AS x, {sql_pick(KIND_OF, "p_partkey")} AS kind FROM part WHERE p_partkey < 60), g AS (SELECT x || kind AS x, kind, {GRAMS.format("(x || kind)", 1)} AS g1, {GRAMS.format("(x || kind)", 2)} AS g2, {GRAMS.format("(x || kind)", 3)} AS g3 FROM n),
-p AS (SELECT a.x AS a, b.x AS b, a.kind AS ka, b.kind AS kb, {SQL_COMMON.format(a="a.x", b="b.x")} / CAST(least(length(a.x), length(b.x)) AS DOUBLE) AS run, 0.35 * ({SQL_JACCARD.format("a.g3", "b.g3")}) + 0.25 * ({SQL_JACCARD.format("a.g2", "b.g2")}) + 0.2 * ({SQL_JACCARD.format("a.g1", "b.g1")}) AS m, contains(a.x, b.x) OR contains(b.x, a.x) AS held FROM g a JOIN g b ON a.x < b.x)
+WITH n AS (SELECT DISTINCT replace(p_name, ' ', '') AS x, {sql_pick(KIND_OF, "p_partkey")} AS kind FROM part), g AS (SELECT x || kind AS x, kind, {GRAMS.format("(x || kind)", 1)} AS g1, {GRAMS.format("(x || kind)", 2)} AS g2, {GRAMS.format("(x || kind)", 3)} AS g3 FROM n),
+p AS (SELECT a.x AS a, b.x AS b, a.kind AS ka, b.kind AS kb, {SQL_COMMON.format(a="a.x", b="b.x")} / CAST(least(length(a.x), length(b.x)) AS DOUBLE) AS run, 0.35 * ({SQL_JACCARD.format("a.g3", "b.g3")}) + 0.25 * ({SQL_JACCARD.format("a.g2", "b.g2")}) + 0.2 * ({SQL_JACCARD.format("a.g1", "b.g1")}) AS m, contains(a.x, b.x) OR contains(b.x, a.x) AS held FROM g a JOIN g b ON a.x < b.x AND {SQL_JACCARD.format("a.g2", "b.g2")} >= 0.5)
 SELECT a, b, round(greatest(0, least(1, greatest(CASE WHEN held THEN 0.92 ELSE 0 END, m + 0.2 * run) + CASE WHEN ka <> '' AND ka = kb THEN 0.08 WHEN ka <> '' AND kb <> '' AND run < 0.75 THEN -0.06 ELSE 0 END)), 6) AS score FROM p""")
 def name_scores(t):
-    x = t.part.where("p_partkey < 60").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("")), pick(KIND_OF, F.col("p_partkey"))).alias("x")).distinct()
-    pairs = x.select(F.col("x").alias("a")).join(x.select(F.col("x").alias("b")), F.col("a") < F.col("b"))
+    x = t.part.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("")), pick(KIND_OF, F.col("p_partkey"))).alias("x")).distinct()
+    pairs = matching.jaccard_pairs(x, x, "x", "x", 0.5).where("left_key < right_key").select(F.col("left_key").alias("a"), F.col("right_key").alias("b"))
     return pairs.select("a", "b", F.round(N.name_score(F.col("a"), F.col("b"), F.col("a"), F.col("b")), 6).alias("score"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import clauses, documents, retrieval
+from larkspur.operators import clauses, documents, phrases, retrieval
 from larkspur.plans.carriers import query
 from larkspur.plans.policies import pick, sql_pick
 
@@ -50,17 +50,59 @@ def required_context(t):
     return retrieval.with_required(ranked, chunks.select("id", "needs"), "id", "needs")
 
 
-@query("""
-SELECT doc_id, source, round(ln((n - df + 0.5) / (df + 0.5)) * tf, 6) AS score, quality FROM (SELECT doc_id, source, CAST((length(text) - length(replace(text, 'ation', ''))) / 5 AS INT) AS tf FROM documents) JOIN labels USING (doc_id), (SELECT count(*) AS n, count(*) FILTER (contains(text, 'ation')) AS df FROM documents) WHERE tf > 0""")
+#: What the SQL of the index searches starts with: the same scores from a scan of all texts.
+SCORED = """WITH d AS (SELECT doc_id, lower(text) AS c, lower(source || ' ' || lang) AS p FROM documents), q AS (SELECT unnest([{0}]) AS phrase),
+m AS (SELECT doc_id, phrase, greatest(length(c) - 2, 0) AS lc, greatest(length(p) - 2, 0) AS lp, CAST((length(c) - length(replace(c, phrase, ''))) / length(phrase) AS INT) AS tc, CAST((length(p) - length(replace(p, phrase, ''))) / length(phrase) AS INT) AS tp FROM d, q),
+n AS (SELECT count(*) AS n, avg(greatest(length(c) - 2, 0)) AS mc, avg(greatest(length(p) - 2, 0)) AS mp FROM d), f AS (SELECT phrase, count(*) AS df FROM m WHERE tc > 0 OR tp > 0 GROUP BY 1),
+s AS (SELECT doc_id, m.phrase, greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * (tc + 0.35::DOUBLE * tp) * 2.2 / ((tc + 0.35::DOUBLE * tp) + 1.2 * (0.25 + 0.75 * (lc + lp) / (mc + mp))) AS score FROM m JOIN f ON m.phrase = f.phrase, n WHERE tc > 0 OR tp > 0)"""
+
+
+def indexed(t):
+    return phrases.build_index(t.documents.select("doc_id", F.col("text").alias("content"), F.concat_ws(" ", "source", "lang").alias("prefix")), "doc_id")
+
+
+@query(SCORED.format("'ation', 'web', ' th', 'nda', 'erer', 'es of the'") + """
+SELECT doc_id, phrase, round(score, 6) AS score FROM s""")
+def indexed_phrases(t):
+    return phrases.search(indexed(t), ["ation", "web", " th", "nda", "erer", "es of the"]).withColumn("score", F.round("score", 6))
+
+
+@query(SCORED.format("'ation'") + """
+SELECT doc_id, source, round(score, 6) AS score, quality FROM s JOIN documents USING (doc_id) JOIN labels USING (doc_id)""")
 def search_join(t):
-    # the score of the search, joined to its document and to what is known of it
-    tf = ((F.length("text") - F.length(F.replace("text", F.lit("ation"), F.lit("")))) / 5).cast("int")
-    counted = t.documents.select("doc_id", tf.alias("tf")).where("tf > 0")
-    totals = t.documents.agg(F.count(F.lit(1)).alias("n"), F.sum(F.contains("text", F.lit("ation")).cast("long")).alias("df"))
-    scored = counted.join(F.broadcast(totals)).select("doc_id", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf"), 6).alias("score"))  # one row
+    # the score of the indexed search, joined to its document and to what is known of it
+    scored = phrases.search(indexed(t), ["ation"]).select("doc_id", F.round("score", 6).alias("score"))
     return scored.join(t.documents.select("doc_id", "source"), "doc_id").join(t.labels.select("doc_id", "quality"), "doc_id")
 
 
+ASPECTS = {"waiting": ["wait", "anda"], "limits": ["zzzz", "xqxq"], "renewal": ["renew", "ren "], "scope": ["the"]}
+QUESTIONS = [(1, "ation", ["waiting", "scope"]), (2, "erer", ["limits", "renewal"]), (3, "nothing at all", ["waiting"]), (4, "web", []), (5, "es of the", ["renewal", "waiting", "limits"])]
+ROUNDS = SCORED.format("'ation', 'erer', 'nothing at all', 'web', 'es of the', 'wait', 'anda', 'zzzz', 'xqxq', 'renew', 'ren ', 'the'") + """,
+u AS (SELECT * FROM (VALUES (1, 'ation', ['waiting', 'scope']), (2, 'erer', ['limits', 'renewal']), (3, 'nothing at all', ['waiting']), (4, 'web', CAST([] AS VARCHAR[])), (5, 'es of the', ['renewal', 'waiting', 'limits'])) v(question, phrase, aspects)),
+a AS (SELECT * FROM (VALUES ('waiting', 'wait'), ('waiting', 'anda'), ('limits', 'zzzz'), ('limits', 'xqxq'), ('renewal', 'renew'), ('renewal', 'ren '), ('scope', 'the')) v(aspect, phrase)),
+h AS (SELECT aspect, doc_id, max(score) AS score FROM s JOIN a ON s.phrase = a.phrase GROUP BY 1, 2), r1 AS (SELECT question, doc_id, score FROM u JOIN s ON s.phrase = u.phrase QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id) <= 3),
+w AS (SELECT question, unnest(aspects) AS aspect FROM u), o1 AS (SELECT * FROM w WHERE (question, aspect) NOT IN (SELECT (question, aspect) FROM r1 JOIN h USING (doc_id))),
+r2 AS (SELECT question, doc_id, max(score) AS score FROM o1 JOIN h USING (aspect) WHERE (question, doc_id) NOT IN (SELECT (question, doc_id) FROM r1) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY question ORDER BY max(score) DESC, doc_id) <= 3),
+e AS (SELECT question, 1 AS round, doc_id, score FROM r1 UNION ALL SELECT question, 2, doc_id, score FROM r2), o2 AS (SELECT * FROM w WHERE (question, aspect) NOT IN (SELECT (question, aspect) FROM e JOIN h USING (doc_id)))"""
+
+
+def rounds(t):
+    asked = t.documents.sparkSession.createDataFrame(QUESTIONS, "question int, phrase string, aspects array<string>")
+    return phrases.evidence_rounds(indexed(t), asked, ASPECTS, 3)
+
+
+@query(ROUNDS + """
+SELECT question, CAST(round AS INT) AS round, doc_id, round(score, 6) AS score FROM e""")
+def evidence_rounds(t):
+    return rounds(t)[0].withColumn("score", F.round("score", 6))
+
+
+@query(ROUNDS + """
+SELECT u.question, coalesce(string_agg(aspect, ',' ORDER BY aspect), '') AS missing, CASE WHEN count(aspect) = 0 THEN 'complete' ELSE 'partial' END AS status FROM u LEFT JOIN o2 ON o2.question = u.question GROUP BY 1""")
+def evidence_status(t):
+    return rounds(t)[1].select("question", F.array_join("missing", ",").alias("missing"), "status")
+
+
 @query("""
 WITH a AS (SELECT doc_id, n_chars / 2.0 AS score FROM documents WHERE contains(text, 'ation')), b AS (SELECT doc_id, n_chars / 4.0 AS score FROM documents WHERE contains(text, 'the'))
 SELECT doc_id, CAST(1 AS INT) AS round, CAST(score AS DOUBLE) AS score FROM a UNION ALL SELECT doc_id, 2, score FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)""")

@@ -1,11 +1,12 @@
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
 from larkspur.functions import names as N
 from larkspur.functions import policy as P
-from larkspur.operators import documents, matching, relations, retrieval, series
+from larkspur.operators import documents, matching, relations, retrieval, series, state
 from larkspur.sources import io
 
 
@@ -172,3 +173,19 @@ def test_folds_by_key(spark):
     assert got == [("a", 1, True, 1), ("a", 2, False, 1), ("a", 3, True, 2), ("b", 1, False, 0), ("b", 2, True, 1)]
     boxes = spark.createDataFrame([(1, 0.0, 1), (1, 4.0, 2), (1, 8.0, 3), (2, 100.0, 4)], "page int, y double, id int")
     assert [r["line"] for r in documents.centred_lines(boxes, "page", "y", ["id"], 5.0).orderBy("id").collect()] == [1, 1, 2, 1]
+
+
+def test_global_ranks_of_keys_larger_than_the_sample(spark):
+    # a column that only one use needs must not change how rows are dealt
+    df = spark.range(1_200_000, numPartitions=6).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"), "id", F.lit("x" * 20).alias("more"))
+    ranked = retrieval.global_ranks(df, ["k"], [F.desc("v"), F.col("id")], "n")
+    got = ranked.groupBy("k").agg(F.min("n"), F.max("n"), F.count_distinct("n")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 600_000, 600_000), (1, 1, 600_000, 600_000)]
+    assert ranked.select((F.lag("v").over(Window.partitionBy("k").orderBy("n")) < F.col("v")).alias("bad")).where("bad").isEmpty()
+
+
+def test_chains_of_rollbacks_of_any_length(spark):
+    rows = [("a", 1, "publish", "first", None)] + [("a", i, "rollback", None, i - 1) for i in range(2, 301)] + [("b", 1, "publish", "x", None)]
+    log = spark.createDataFrame(rows, "k string, at int, action string, content string, target int")
+    got = state.publish_log(log, "k", "at").collect()
+    assert len(got) == 301 and {r["content"] for r in got if r["k"] == "a"} == {"first"}
