@@ -227,3 +227,20 @@ SELECT lang, doc_id, n_chars FROM r WHERE ok""")
 def budget_packing(t):
     hits = t.documents.select(F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", "n_chars")
     return documents.pack(hits, "lang", [F.col("doc_id")], "doc_id", "n_chars", 100_000)
+
+
+@query("""
+SELECT 'customer' AS name, count(*) AS n, sum(c_custkey)::BIGINT AS keys, 0 AS problems FROM customer UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT, 0 FROM orders UNION ALL SELECT 'part', count(*), sum(p_partkey)::BIGINT, 0 FROM part""")
+def bundle_restored(t):
+    import uuid
+
+    from larkspur.sources import bundle, shared
+
+    tables = {"customer": t.customer, "orders": t.orders, "part": t.part}
+    spark = t.part.sparkSession
+    folder = f"{shared.shared_dir(spark)}/larkspur-{uuid.uuid4().hex}/bundle"
+    bundle.write_bundle(tables, folder)
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey"}
+    found = bundle.problems(spark, folder).agg(F.count(F.lit(1)).cast("int").alias("problems"))
+    each = [bundle.restored(spark, folder, n).agg(F.count(F.lit(1)).alias("n"), F.sum(keys[n]).alias("keys")).select(F.lit(n).alias("name"), "n", "keys") for n in tables]
+    return each[0].unionByName(each[1]).unionByName(each[2]).join(F.broadcast(found))  # one row
