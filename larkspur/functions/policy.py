@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import compact, half_up
+from larkspur.operators.relations import once_each
 
 # --- dates ----------------------------------------------------------------------------------------
 
@@ -67,37 +68,56 @@ def whole_payment_years(term: Column) -> Column:
     return F.greatest(F.floor(payment_years(term, None)), F.lit(1)).cast("int") * F.when(payment_years(term, None).isNotNull(), 1)
 
 
-def coverage_end_year(term: Column, effective: Column, birthday: Column) -> Column:
-    """Last year of cover: whole life, to an age, to a day, or for some years; 0 if the text says nothing."""
-    text, born = F.trim(F.coalesce(term, F.lit(""))), date_parts(birthday)["year"]
-    age = F.regexp_extract(compact(text), r"(?:至|保至)?(\d{1,3})(?:周岁|岁)", 1)
-    day = F.regexp_extract(text, r"(\d{4})[年\-]\d{1,2}[月\-]\d{1,2}", 1)
-    years = F.regexp_extract(text, r"(\d+)\s*年", 1)
+def cover_facts(term: Column) -> Column:
+    """What the text of a term says, as far as it does not depend on the policy: a struct that the two functions below read."""
+    text = F.trim(F.coalesce(term, F.lit("")))
+    tight = F.regexp_replace(text, r"\s+", "")
+    return F.struct(
+        text.contains("终身").alias("whole"),
+        _int(F.regexp_extract(compact(text), r"(?:至|保至)?(\d{1,3})(?:周岁|岁)", 1)).alias("age"),
+        _int(F.regexp_extract(text, r"(\d{4})[年\-]\d{1,2}[月\-]\d{1,2}", 1)).alias("day_year"),
+        _int(F.regexp_extract(text, r"(\d+)\s*年", 1)).alias("years"),
+        ((text == "") | text.rlike("终身|长期|至身故|身故")).alias("open"),
+        text.rlike("零时|0时|00:00|凌晨").alias("midnight"),
+        text_date(text).alias("day"),
+        _int(F.regexp_extract(tight, r"^(?:保险期间|保障期间)?(\d{1,3})年(?:期)?$", 1)).alias("only_years"),
+        _int(F.regexp_extract(tight, r"(?:至|保至)(\d{1,3})(?:周岁|岁)", 1)).alias("to_age"),
+        date_parts(text).alias("parts"),
+    )
+
+
+def end_year(facts: Column, effective: Column, born: Column) -> Column:
+    """Last year of cover, by date parts: whole life, to an age, to a day, or for some years; 0 if the text says nothing."""
     return (
-        F.when(text.contains("终身") & born.isNotNull(), born + WHOLE_LIFE_AGE)
-        .when((age != "") & born.isNotNull(), born + _int(age))
-        .when(day != "", _int(day))
-        .when((years != "") & date_parts(effective).isNotNull(), date_parts(effective)["year"] + _int(years))
+        F.when(facts["whole"] & born.isNotNull(), born["year"] + WHOLE_LIFE_AGE)
+        .when(facts["age"].isNotNull() & born.isNotNull(), born["year"] + facts["age"])
+        .when(facts["day_year"].isNotNull(), facts["day_year"])
+        .when(facts["years"].isNotNull() & effective.isNotNull(), effective["year"] + facts["years"])
         .otherwise(0)
     )
 
 
-def coverage_end(term: Column, effective: Column, birthday: Column) -> Column:
-    """The moment when cover ends: the last of the day, or its first where the text says so; NULL if open or unknown."""
-    text = F.trim(F.coalesce(term, F.lit("")))
-    tight = F.regexp_replace(text, r"\s+", "")
-    years = F.regexp_extract(tight, r"^(?:保险期间|保障期间)?(\d{1,3})年(?:期)?$", 1)
-    age = F.regexp_extract(tight, r"(?:至|保至)(\d{1,3})(?:周岁|岁)", 1)
-    start, born, given = text_date(effective), text_date(birthday), text_date(text)
+def end_moment(facts: Column, start: Column, born: Column) -> Column:
+    """The moment when cover ends, by dates: the last of the day, or its first where the text says so; NULL if open or unknown."""
     last = F.expr("INTERVAL '23:59:59.999' HOUR TO SECOND")
     moment = lambda d: d.cast("timestamp_ntz") + last
-    return F.when((text != "") & ~text.rlike("终身|长期|至身故|身故"), F.coalesce(
-        F.when(text.rlike("零时|0时|00:00|凌晨"), given.cast("timestamp_ntz")).otherwise(moment(given)),
-        F.when(years != "", moment(F.date_sub(roll_years(start, _int(years)), 1))),
-        F.when(age != "", moment(roll_years(born, _int(age)))),
+    return F.when(~facts["open"], F.coalesce(
+        F.when(facts["midnight"], facts["day"].cast("timestamp_ntz")).otherwise(moment(facts["day"])),
+        moment(F.date_sub(roll_years(start, facts["only_years"]), 1)),
+        moment(roll_years(born, facts["to_age"])),
     ))
 
 
+def coverage_end_year(term: Column, effective: Column, birthday: Column) -> Column:
+    """`end_year` of texts."""
+    return end_year(cover_facts(term), date_parts(effective), date_parts(birthday))
+
+
+def coverage_end(term: Column, effective: Column, birthday: Column) -> Column:
+    """`end_moment` of texts."""
+    return end_moment(cover_facts(term), text_date(effective), text_date(birthday))
+
+
 def parts_age(born: Column, on: Column) -> Column:
     """Whole years from one set of date parts to another; NULL before birth."""
     age = on["year"] - born["year"] - F.when(on["month"] * 100 + on["day"] < born["month"] * 100 + born["day"], 1).otherwise(0)
@@ -116,9 +136,9 @@ def age_in_year(year: Column, first: Column, born: Column) -> Column:
     return F.coalesce(F.when((year >= F.year(first)) & (age >= 0), age), year - born["year"])
 
 
-def age_at_end(term: Column, end_year: Column, first: Column, born: Column) -> Column:
+def age_at_end(facts: Column, end_year: Column, first: Column, born: Column) -> Column:
     """Age on the day that the term names, else in the last year of cover."""
-    return F.coalesce(parts_age(born, date_parts(term)), F.when(end_year > 0, age_in_year(end_year, first, born)))
+    return F.coalesce(parts_age(born, facts["parts"]), F.when(end_year > 0, age_in_year(end_year, first, born)))
 
 
 #: States that end or suspend a policy, and those that confirm it.
@@ -228,18 +248,18 @@ GIVEN = [
     "unknown:fixed_amount",
 ]
 #: Inputs that a calculation needs, by calculation key.
-INPUTS = {
-    "fixed_amount": [],
-    **dict.fromkeys(["basic_amount", "percent_of_basic_amount", "multiple_of_basic_amount"], ["policy.amount"]),
-    **dict.fromkeys(["first_premium", "percent_of_first_premium", "multiple_of_first_premium"], ["policy.firstPremium"]),
-    **dict.fromkeys(["total_paid_premium", "percent_of_total_paid_premium", "multiple_of_total_paid_premium"], ["policy.firstPremium", "policy.paymentPeriodYears"]),
-    "cash_value": ["cashValue", "policyYear"],
-    "account_value": ["accountValue"],
-    "schedule_or_policy_table": ["policyScheduleTable", "policyYearOrAge"],
-    "medical_formula": ["actualMedicalExpense", "deductible", "reimbursementRate", "thirdPartyPaid", "liabilityLimit"],
-    "daily_allowance": ["actualDays", "dailyAmount", "dayLimit"],
-    "manual_formula": ["manualFormulaInputs"],
-}
+INPUTS = [
+    (["fixed_amount"], [], []),
+    (["basic_amount", "percent_of_basic_amount", "multiple_of_basic_amount"], ["basic_amount"], ["policy.amount"]),
+    (["first_premium", "percent_of_first_premium", "multiple_of_first_premium"], ["first_premium", "first_basic_responsibility_premium", "annual_premium"], ["policy.firstPremium"]),
+    (["total_paid_premium", "percent_of_total_paid_premium", "multiple_of_total_paid_premium"], ["total_paid_premium"], ["policy.firstPremium", "policy.paymentPeriodYears"]),
+    (["cash_value"], ["cash_value"], ["cashValue", "policyYear"]),
+    (["account_value"], ["account_value"], ["accountValue"]),
+    (["schedule_or_policy_table"], ["schedule_or_policy_table"], ["policyScheduleTable", "policyYearOrAge"]),
+    (["medical_formula"], ["medical_expense"], ["actualMedicalExpense", "deductible", "reimbursementRate", "thirdPartyPaid", "liabilityLimit"]),
+    (["daily_allowance"], ["daily_allowance"], ["actualDays", "dailyAmount", "dayLimit"]),
+    (["manual_formula"], [], ["manualFormulaInputs"]),
+]
 
 AMOUNT_WORDS = "基本保险金额|基本保险金|基本保额|保险金额|有效保险金额|保险费|保费"
 FACTORS = [
@@ -268,6 +288,8 @@ def numeric_spec(value: Column, unit: Column, *texts: Column) -> Column:
 
 
 #: Texts of an indicator from which its calculation is told, in this order.
+STATUSES = ["status", "quality_status", "scope"]
+DECISION = ["value", "basis_key", "calculation_key", "decided_by", "excluded", "marked", "metadata_version"]
 TEXTS = ["coverage_type", "liability", "formula", "basis", "unit", "value_text", "condition", "excerpt"]
 
 
@@ -279,11 +301,19 @@ def let(value: Column, body) -> Column:
 def with_calculation(rows: DataFrame, name: str = "meta") -> DataFrame:
     """Adds a struct basis, calculation, eligible, source, value, unit to indicators, by rules whose order matters.
 
-    rows may hold TEXTS, value, status and, where a decision is given, basis_key and calculation_key; columns that are
-    missing count as blank.
+    rows may hold TEXTS, value, STATUSES, excluded, marked (eligible as given) and metadata_version and, where a decision is
+    given, basis_key, calculation_key and decided_by; columns that are missing count as blank. Rows that are excluded, or
+    marked not eligible without any metadata, are rule parameters. The texts are many times the same, so each
+    distinct row of inputs is worked out once.
     """
-    has = set(rows.columns)
+    inputs = [c for c in [*TEXTS, *STATUSES, *DECISION] if c in rows.columns]
+    return once_each(rows, inputs, {name: calculation(set(inputs))})
+
+
+def calculation(has: set[str]) -> Column:
+    """The struct of `with_calculation`, from the columns that there are."""
     get = lambda k: F.coalesce(F.col(k), F.lit("")) if k in has else F.lit("")
+    flag = lambda k, is_: F.coalesce(F.col(k) == is_, F.lit(False)) if k in has else F.lit(False)
     tight = lambda c: F.regexp_replace(c, r"\s+", "")
     either = lambda a, b: F.when(a != "", a).otherwise(b)
     first_of = lambda c: F.when(c.contains("基本责任"), "first_basic_responsibility_premium").otherwise("first_premium")
@@ -299,7 +329,9 @@ def with_calculation(rows: DataFrame, name: str = "meta") -> DataFrame:
         basis, formula, text = x["basis"], x["formula"], x["text"]
         parameter = (
             (F.trim(get("coverage_type")) == "规则参数")
-            | tight(get("status")).rlike("rule_parameter|not_quantifiable|non_calculable|unquantifiable")
+            | tight(_join(*[get(k) for k in STATUSES])).rlike("rule_parameter|not_quantifiable|non_calculable|unquantifiable")
+            | flag("excluded", True)
+            | (flag("marked", False) & (F.trim(get("metadata_version")) == "") & (F.trim(get("basis_key")) == "") & (F.trim(get("calculation_key")) == ""))
             | x["liability"].rlike(f"^(?:{PARAMETER})$")
             | text.rlike("保险责任赔付机制|豁免后续应交保险费|后续应交保险费|后续保险费")
         )
@@ -357,13 +389,13 @@ def with_calculation(rows: DataFrame, name: str = "meta") -> DataFrame:
         return F.struct(
             F.when(x["rule"], "rule_parameter").otherwise(F.coalesce(x["key"], F.lit("unknown"))).alias("basis"),
             F.when(x["rule"], "not_calculable").otherwise(F.coalesce(x["unsafe"], x["plain"], F.lit("unknown"))).alias("calculation"),
-            (~x["rule"] & x["unsafe"].isNull() & x["plain"].isNotNull()).alias("eligible"),
-            F.when(x["rule"] | x["unsafe"].isNotNull(), "code_safety_rule").when(x["given"].isNotNull(), "structured_semantic").otherwise("code_inference").alias("source"),
+            (~x["rule"] & x["unsafe"].isNull() & x["plain"].isNotNull() & ~(x["given"].isNotNull() & flag("marked", False))).alias("eligible"),
+            F.when(x["rule"] | x["unsafe"].isNotNull(), "code_safety_rule").when(x["given"].isNotNull(), F.when(F.trim(get("decided_by")) == "model_semantic", "model_semantic").otherwise("structured_semantic")).otherwise("code_inference").alias("source"),
             x["value"].alias("value"),
             x["unit"].alias("unit"),
         )
 
-    return rows.withColumn(name, let(let(let(let(read, told), decided), worked), final))
+    return let(let(let(let(read, told), decided), worked), final)
 
 
 def calculated_amount(meta: Column, base: Column, premium: Column, years: Column) -> Column:
@@ -378,11 +410,9 @@ def calculated_amount(meta: Column, base: Column, premium: Column, years: Column
 
 
 def required_inputs(meta: Column) -> Column:
-    """Inputs that the calculation needs, joined by commas."""
-    out = None
-    for key, names in INPUTS.items():
-        out = (F if out is None else out).when(meta["calculation"] == key, ",".join(names))
-    return out.otherwise("")
+    """Inputs that the calculation or, failing that, its basis needs, joined by commas; the first line that fits counts."""
+    fits = lambda keys, bases: meta["calculation"].isin(keys) | (meta["basis"].isin(bases) if bases else F.lit(False))
+    return reduce(lambda a, x: a.when(fits(x[0], x[1]), ",".join(x[2])), INPUTS[1:], F.when(fits(INPUTS[0][0], INPUTS[0][1]), "")).otherwise("")
 
 
 def age_clause(age: Column, *texts: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import policy as P
 from larkspur.functions.columns import half_up
-from larkspur.operators.relations import best_per_key
+from larkspur.operators.relations import best_per_key, once_each
 
 #: Default age at which a pension starts, where no parameter says so.
 PENSION_AGE = 55
@@ -23,19 +23,28 @@ MOST_BROADCAST_RULES = 10_000
 
 
 def context(policies: DataFrame) -> DataFrame:
-    """Adds effective_year, birth_year, end_year, total_premium, first_day and born (date parts) to policies.
+    """Adds effective_year, birth_year, end_year, total_premium, first_day, born (date parts), end_age and years (of payment) to policies.
 
-    policies: policy_id, effective, birthday, coverage, payment (texts), amount, premium.
+    policies: policy_id, effective, birthday, coverage, payment (texts), amount, premium. Texts repeat over policies, so
+    each one is read once.
     """
+    read = with_terms(policies)
     year = lambda c: F.coalesce(F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(\d{4})", 1), F.lit("")).cast("int"), F.lit(0))
-    return policies.withColumns({
-        "effective_year": year(F.col("effective")),
-        "birth_year": year(F.col("birthday")),
-        "end_year": P.coverage_end_year(F.col("coverage"), F.col("effective"), F.col("birthday")),
-        "total_premium": F.col("premium") * P.payment_years(F.col("payment")),
-        "first_day": P.parts_day(P.date_parts(F.col("effective"))),
-        "born": P.date_parts(F.col("birthday")),
-    })
+    read = read.withColumns({"effective_year": year(F.col("effective")), "birth_year": year(F.col("birthday")), "total_premium": F.col("premium") * F.col("years"), "first_day": P.parts_day(F.col("begun")), "end_year": P.end_year(F.col("cover"), F.col("begun"), F.col("born"))})
+    read = read.withColumn("end_age", P.age_at_end(F.col("cover"), F.col("end_year"), F.col("first_day"), F.col("born")))
+    return read.select(*policies.columns, "effective_year", "birth_year", "end_year", "total_premium", "first_day", "born", "end_age", "years")
+
+
+def with_terms(policies: DataFrame) -> DataFrame:
+    """Adds what the texts of policies say: cover (facts), years, whole_years, begun and born (date parts), begun_on and born_on (dates)."""
+    for column, made in (
+        ("coverage", {"cover": P.cover_facts(F.col("coverage"))}),
+        ("payment", {"years": P.payment_years(F.col("payment")), "whole_years": P.whole_payment_years(F.col("payment"))}),
+        ("effective", {"begun": P.date_parts(F.col("effective")), "begun_on": P.text_date(F.col("effective"))}),
+        ("birthday", {"born": P.date_parts(F.col("birthday")), "born_on": P.text_date(F.col("birthday"))}),
+    ):
+        policies = once_each(policies, [column], made)
+    return policies
 
 
 def bind_parameters(policies: DataFrame, indicators: DataFrame, on: str = "policy_id") -> DataFrame:
@@ -79,10 +88,11 @@ def expand_rules(policies: DataFrame, rules: DataFrame, on: str) -> DataFrame:
     """
     few = rules.limit(MOST_BROADCAST_RULES + 1).count() <= MOST_BROADCAST_RULES
     p = policies.join(F.broadcast(rules) if few else rules, on)
+    begin, end, birth = F.col("effective_year"), F.col("end_year"), F.col("birth_year")
     first = timing_bound(F.col("start_kind"), F.col("start_at"), F.col("start_param"), False)
     last = timing_bound(F.col("stop_kind"), F.col("stop_at"), F.col("stop_param"), True)
-    begin, end, birth = F.col("effective_year"), F.col("end_year"), F.col("birth_year")
-    lo, hi = F.greatest(first, begin), F.least(last, end)
+    p = p.withColumns({"_lo": F.greatest(first, begin).cast("int"), "_hi": F.least(last, end).cast("int")})
+    lo, hi = F.col("_lo"), F.col("_hi")
     # Years only travel through the arrays; ages are told afterwards, in generated code.
     at_ages = F.transform(F.coalesce("ages", F.array().cast("array<int>")), lambda a: (birth + a).cast("int"))
     late = F.coalesce(F.col("least_year"), F.lit(0))
@@ -96,7 +106,7 @@ def expand_rules(policies: DataFrame, rules: DataFrame, on: str) -> DataFrame:
     day, born, year = F.col("first_day"), F.col("born"), F.col("year")
     age = (
         F.when(F.col("timing").isin("points", "age"), year - birth)
-        .when(F.col("timing") == "maturity", F.coalesce(P.age_at_end(F.col("coverage"), end, day, born), end - birth))
+        .when(F.col("timing") == "maturity", F.coalesce(F.col("end_age"), end - birth))
         .otherwise(P.age_in_year(year, day, born))
     )
     return priced.select("policy_id", "rule_no", "year", age.cast("int").alias("age"), "liability", F.col("_amount").alias("amount"))
@@ -273,9 +283,10 @@ def scenarios(rows: DataFrame) -> DataFrame:
     payment, and meta, what P.with_calculation gives. Amounts that the rules leave open follow the larger of both where the
     formula says max, else a multiple of the premiums paid, else the basic amount by its factor.
     """
+    rows = once_each(rows, ["payment"], {"_years": P.payment_years(F.col("payment"))})
     meta = F.col("meta")
-    paid = F.col("premium") * F.greatest(P.payment_years(F.col("payment")), F.lit(1.0))
-    ruled = P.calculated_amount(meta, F.col("amount"), F.col("premium"), P.payment_years(F.col("payment")))
+    paid = F.col("premium") * F.greatest(F.col("_years"), F.lit(1.0))
+    ruled = P.calculated_amount(meta, F.col("amount"), F.col("premium"), F.col("_years"))
     words = F.regexp_replace(F.concat_ws(" ", "formula", "basis", "liability", "coverage_type"), r"\s+", "")
     share = F.regexp_extract("formula", r"(\d+)%", 1)
     value, unit = F.coalesce(F.col("value"), F.lit(0.0)), F.coalesce("unit", F.lit(""))

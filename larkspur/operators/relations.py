@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import written
+
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in the given order, which must leave no ties that matter."""
@@ -14,6 +16,17 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
+def once_each(df: DataFrame, columns: list[str], made: dict[str, Column]) -> DataFrame:
+    """Adds columns that depend on a few others only, worked out once for each distinct set of these and joined back.
+
+    The distinct sets are written, so their size is known: few are sent to all tasks, many are joined by shuffle.
+    """
+    each = df.select(*columns).distinct().select(*[F.col(c).alias(f"_of_{c}") for c in columns], *[v.alias(k) for k, v in made.items()])
+    each = written(each, "distinct")
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(each[f"_of_{c}"]) for c in columns])
+    return df.join(each, same, "left").select(*[df[c] for c in df.columns], *made)
+
+
 def missing_from(df: DataFrame, other: DataFrame, on) -> DataFrame:
     return df.join(other, on, "left_anti")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import policy as P
-from larkspur.operators import cashflow
+from larkspur.operators import cashflow, relations
 from larkspur.plans.carriers import query
 
 COVERAGES = ["终身", "至70周岁", "保至 60 岁", "20年", "2035-06-30", "至2040年12月31日零时", "30 年", "", "2021-02-30", "保险期间10年期"]
@@ -52,11 +52,10 @@ SELECT policy_id, birth_year, CAST(month(b) AS INT) AS birth_month, CAST(day(b)
     WHEN n IS NOT NULL THEN strftime((CASE WHEN strftime(eff, '%m%d') = '0229' AND (year(eff) + n) % 4 <> 0 THEN make_date(year(eff) + n, 3, 1) ELSE CAST(eff + to_years(n) AS DATE) END) - 1, '%Y-%m-%d') || ' 23:59:59'
     WHEN a IS NOT NULL THEN strftime(CAST(b + to_years(a) AS DATE), '%Y-%m-%d') || ' 23:59:59' END AS ends FROM e""")
 def policy_terms(t):
-    p = policies(t)
-    coverage, effective, birthday = F.col("coverage"), F.col("effective"), F.col("birthday")
-    parts = P.date_parts(birthday)
-    ends = F.date_format(P.coverage_end(coverage, effective, birthday), "yyyy-MM-dd HH:mm:ss")
-    return p.select("policy_id", parts["year"].alias("birth_year"), parts["month"].alias("birth_month"), parts["day"].alias("birth_day"), P.coverage_end_year(coverage, effective, birthday).alias("end_year"), P.payment_years(F.col("payment")).alias("years"), P.whole_payment_years(F.col("payment")).alias("whole_years"), ends.alias("ends"))
+    p = cashflow.with_terms(policies(t))
+    ends = F.date_format(P.end_moment(F.col("cover"), F.col("begun_on"), F.col("born_on")), "yyyy-MM-dd HH:mm:ss")
+    born = [F.col(f"born.{x}").alias(f"birth_{x}") for x in ("year", "month", "day")]
+    return p.select("policy_id", *born, P.end_year(F.col("cover"), F.col("begun"), F.col("born")).alias("end_year"), "years", "whole_years", ends.alias("ends"))
 
 
 STATES = ["有效", "in force", "退保", "承保", "lapsed", "", "正常", "审核中"]
@@ -111,7 +110,7 @@ INDICATORS = [
     ("基本保险金额×150%", "", "身故保险金", "", "basic_amount", "percent_of_basic_amount", 150.0, "policy.amount"),
     ("按基本保额的3倍给付", "", "重疾保险金", "", "basic_amount", "multiple_of_basic_amount", 3.0, "policy.amount"),
     ("基本保险金额", "基本保险金额", "满期金", "公式", "basic_amount", "basic_amount", None, "policy.amount"),
-    ("现金价值与已交保险费的较大者", "", "身故保险金", "", "cash_value", "manual_formula", None, "manualFormulaInputs"),
+    ("现金价值与已交保险费的较大者", "", "身故保险金", "", "cash_value", "manual_formula", None, "cashValue,policyYear"),
     ("已交保险费的120%", "", "身故保险金", "", "total_paid_premium", "percent_of_total_paid_premium", 120.0, "policy.firstPremium,policy.paymentPeriodYears"),
     ("累计已支付保费", "", "退还保费", "", "total_paid_premium", "total_paid_premium", None, "policy.firstPremium,policy.paymentPeriodYears"),
     ("首次交纳的保险费的20%", "", "关爱金", "", "first_premium", "percent_of_first_premium", 20.0, "policy.firstPremium"),
@@ -155,8 +154,9 @@ WITH {POLICIES}, {META}, a AS (SELECT m.*, CASE calculation WHEN 'fixed_amount'
   WHEN 'multiple_of_first_premium' THEN premium * value WHEN 'total_paid_premium' THEN premium * CASE WHEN years > 0 THEN years ELSE 1 END WHEN 'percent_of_total_paid_premium' THEN premium * CASE WHEN years > 0 THEN years ELSE 1 END * value / 100 END AS x FROM meta m JOIN ctx ON policy_id = l_orderkey)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, calculation, floor(x * 100 + 0.5) / 100 AS amount FROM a WHERE x > 0""")
 def calculated_amounts(t):
-    rows = indicators(t).join(policies(t), F.col("policy_id") == F.col("l_orderkey"))
-    amount = P.calculated_amount(F.col("meta"), F.col("amount"), F.col("premium"), P.payment_years(F.col("payment")))
+    terms = relations.once_each(policies(t), ["payment"], {"years": P.payment_years(F.col("payment"))})
+    rows = indicators(t).join(terms, F.col("policy_id") == F.col("l_orderkey"))
+    amount = P.calculated_amount(F.col("meta"), F.col("amount"), F.col("premium"), F.col("years"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "meta.calculation", amount.alias("amount")).where("amount IS NOT NULL")
 
 
@@ -244,7 +244,7 @@ def indicator_cashflow(t):
     rows = indicators(t).where("meta.calculation IN ('percent_of_basic_amount', 'basic_amount')")
     rows = rows.withColumn("indicator_id", F.col("l_linenumber") * 10_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).withColumn("condition", pick(CONDITIONS, F.col("l_suppkey")))
     joined = rows.join(with_parameters(t), F.col("policy_id") == F.col("l_orderkey")).withColumn("pension_age", F.coalesce(F.try_element_at("params", F.lit("领取起始年龄")), F.lit(0)).cast("int"))
-    amount = P.calculated_amount(F.col("meta"), F.col("amount"), F.col("premium"), P.payment_years(F.col("payment")))
+    amount = P.calculated_amount(F.col("meta"), F.col("amount"), F.col("premium"), F.col("years"))
     return cashflow.expand_indicators(joined.withColumn("amount", amount))
 
 

@@ -189,3 +189,25 @@ def test_chains_of_rollbacks_of_any_length(spark):
     log = spark.createDataFrame(rows, "k string, at int, action string, content string, target int")
     got = state.publish_log(log, "k", "at").collect()
     assert len(got) == 301 and {r["content"] for r in got if r["k"] == "a"} == {"first"}
+
+
+def test_calculation_flags_statuses_and_inputs(spark):
+    columns = "formula string, liability string, basis_key string, calculation_key string, excluded boolean, marked boolean, metadata_version string, quality_status string, scope string, decided_by string"
+    rows = [
+        ("基本保险金额×150%", "甲", None, None, None, None, None, None, None, None), ("基本保险金额×150%", "甲", None, None, True, None, None, None, None, None), ("基本保险金额×150%", "甲", None, None, None, False, None, None, None, None),
+        ("基本保险金额×150%", "甲", None, None, None, False, "v1", None, None, None), ("基本保险金额×150%", "甲", None, None, None, None, None, "not_quantifiable", None, None), ("基本保险金额×150%", "甲", None, None, None, None, None, None, "rule_parameter", None),
+        ("", "乙", "first_premium", "first_premium", None, None, None, None, None, "model_semantic"), ("", "乙", "first_premium", "first_premium", None, False, None, None, None, None), ("已交保险费与基本保额的较大者", "丙", None, None, None, None, None, None, None, None), ("两者取大", "丁", None, None, None, None, None, None, None, None),
+    ]
+    df = P.with_calculation(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, " + columns))
+    got = {r["id"]: (r["basis"], r["calculation"], r["eligible"], r["source"], r["inputs"]) for r in df.select("id", "meta.*", P.required_inputs(F.col("meta")).alias("inputs")).collect()}
+    rule, share = ("rule_parameter", "not_calculable", False, "code_safety_rule", ""), ("basic_amount", "percent_of_basic_amount", True, "code_inference", "policy.amount")
+    assert [got[i] for i in range(6)] == [share, rule, rule, share, rule, rule]
+    assert got[6] == ("first_premium", "first_premium", True, "model_semantic", "policy.firstPremium") and got[7][2:4] == (False, "structured_semantic")
+    assert got[8] == ("total_paid_premium", "manual_formula", False, "code_safety_rule", "policy.firstPremium,policy.paymentPeriodYears")
+    assert got[9] == ("unknown", "manual_formula", False, "code_safety_rule", "manualFormulaInputs")
+
+
+def test_what_is_worked_out_once_reaches_every_row(spark):
+    df = spark.createDataFrame([(i, ["a", None, "b"][i % 3], i % 2 or None) for i in range(12)], "id int, t string, n int")
+    got = relations.once_each(df, ["t", "n"], {"made": F.concat(F.coalesce("t", F.lit("-")), F.coalesce(F.col("n").cast("string"), F.lit("-")))})
+    assert sorted((r["id"], r["made"]) for r in got.collect()) == [(i, ("a", "-", "b")[i % 3] + ("1" if i % 2 else "-")) for i in range(12)]
