@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import reduce
 
@@ -35,6 +36,20 @@ def narrow(c: Column) -> Column:
     return F.translate(c, WIDE, NARROW)
 
 
+#: Characters that the compatibility form writes as one other character, and those that it writes as several.
+_FORMS = {chr(i): unicodedata.normalize("NFKC", chr(i)) for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000}
+SINGLE = {c: f for c, f in _FORMS.items() if f != c and len(f) == 1}
+SEVERAL = {c: f for c, f in _FORMS.items() if len(f) > 1}
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility form of a text, character by character, within the JVM; a letter with a combining mark counts as one that is neither."""
+    one = F.translate(c, "".join(SINGLE), "".join(SINGLE.values()))
+    table = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.regexp_replace(F.when(one.rlike(f"[{''.join(SEVERAL)}]"), spelled).otherwise(one), r"[A-Za-z]\p{M}+", " ")
+
+
 def canonical(c: Column) -> Column:
     """Comparable text: compatibility form, no white space, lower case."""
     return F.lower(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), r"\s+", ""))
@@ -48,7 +63,7 @@ MARKS = r"[|｜/／\\()\[\]{}（）【】,，.。;；、\-_=+~`'\"“”‘’<>
 
 def scan_text(c: Column, tight: bool = True) -> Column:
     """Text of a scan for comparison: variants folded, only Han, letters a to z and digits left (and colons, unless tight)."""
-    low = F.regexp_replace(F.lower(narrow(F.coalesce(c, F.lit("")))), "[：﹕]", ":")
+    low = F.regexp_replace(F.lower(compatible(F.coalesce(c, F.lit("")))), "[：﹕]", ":")
     folded = F.translate(F.regexp_replace(low, MARKS, " "), VARIANTS, PLAIN)
     kept = F.regexp_replace(folded, r"[^\p{IsHan}a-z0-9:\s]", " ")
     return F.replace(F.regexp_replace(kept, r"\s+", ""), F.lit(":"), F.lit("")) if tight else F.trim(F.regexp_replace(kept, r"\s+", " "))

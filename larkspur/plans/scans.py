@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import boxes
+from larkspur.operators import boxes, labels
 from larkspur.plans.carriers import query
 
 # --- tables from boxes ----------------------------------------------------------------------------
@@ -42,3 +42,21 @@ WITH y AS (SELECT p_partkey, unnest(range(1, 7 + p_partkey % 5)) AS year FROM pa
 SELECT CAST(p_partkey AS VARCHAR) AS page, 'ok' AS status, CASE WHEN p_partkey % 4 = 2 THEN 3 ELSE 2 END::INT AS width, 0.96::DOUBLE AS confidence, year::INT AS year, CASE WHEN p_partkey % 4 = 2 THEN 29.0 + year END::DOUBLE AS age, (year * 1000 + p_partkey % 97 + 0.5)::DOUBLE AS value FROM y""")
 def value_tables_from_boxes(t):
     return boxes.cash_value_tables(value_boxes(t)).select("page", "status", "width", "confidence", F.inline("rows"))
+
+
+# --- fields by labels -----------------------------------------------------------------------------
+
+SHOWN = [("被保险人：", 98.0), ("被保验人：", 83.0), ("被保人 ", 75.0), ("被保险入姓名: ", 83.0), ("备注 被保险人姓名：", 88.0), ("投保人：", None), ("被保险人\n", 70.0)]
+
+
+@query(f"""
+WITH s AS (SELECT c_custkey, c_name, c_nationkey, ([{', '.join('NULL' if s is None else str(s) for _, s in SHOWN)}]::DOUBLE[])[CAST(c_custkey % {len(SHOWN)} + 1 AS INT)] AS score FROM customer)
+SELECT c_custkey AS page, 'insured' AS field, c_name AS value, score, CASE WHEN score >= 90 THEN 'matcher-high' WHEN score >= 70 THEN 'matcher' ELSE 'review' END AS confidence FROM s WHERE score IS NOT NULL
+UNION ALL SELECT c_custkey, 'amount', c_nationkey || '万元', 83.0, 'matcher' FROM s""")
+def scanned_fields(t):
+    key = F.col("c_custkey")
+    shown = F.element_at(F.array(*[F.lit(x) for x, _ in SHOWN]), (key % len(SHOWN) + 1).cast("int"))
+    text = F.concat(F.lit("电子保单\n"), shown, "c_name", F.lit("；其他\n基夲保险金额："), F.col("c_nationkey").cast("string"), F.lit("万元  备注"))
+    lines = t.customer.select(key.alias("page"), F.posexplode(F.split(text, "\n")).alias("line_no", "text"))
+    known = t.customer.sparkSession.createDataFrame([("insured", "被保险人"), ("insured", "被保险人姓名"), ("amount", "基本保险金额")], "field string, label string")
+    return labels.best_fields(lines, known).select("page", "field", "value", "score", "confidence")
