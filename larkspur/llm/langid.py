@@ -9,7 +9,9 @@ most `max_words` words and `max_grams` n-grams, so what is sent to the tasks has
 reads every document whole.
 
 Edge cases: null text, or text without a letter, is `und` with score 0; without any labelled row all
-documents are `und`; repeated rows are scored alike; ties between languages go to the smaller name.
+documents are `und`; repeated rows are scored alike; ties between languages go to the smaller name; a text of any length is read whole, as
+one slice; an empty table gives no rows; other columns pass through `identify`, and those named like a result column are
+replaced by it.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ reads every document whole.
 
 Edge cases: null or wordless text scores by the thresholds alone (the base rate); labels that are null are
 not learned from; without labelled rows, or with one class only, every document gets severity 0; repeated
-rows score alike; a text of any length is read whole, as one slice; an empty table gives no rows; other columns of the
+rows score alike, and equal severities stay ties, as nothing ranks documents; a text of any length is read whole, as one slice; an empty table gives no rows; other columns of the
 input are ignored.
 """
 

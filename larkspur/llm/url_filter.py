@@ -7,8 +7,9 @@ the entry itself removes the false positives. The longest covering entry decides
 
 Edge cases: a null URL, or one without `://`, has empty host and path and is covered by nothing; an
 empty list covers nothing; repeated list entries count once, block before allow; of covering entries of
-equal length the greater string decides; extra columns pass
-through, and those named like a result column are replaced by it.
+equal length the greater string decides; a URL of any length is judged whole, and has as many
+candidates as its host has labels times the listed path lengths; an empty table of pages gives no rows; repeated rows
+are judged alike; extra columns pass through, and those named like a result column are replaced by it.
 """
 
 from __future__ import annotations

@@ -102,3 +102,22 @@ def test_stages_on_empty_tables_and_clashing_columns(spark):
         assert got.columns == docs.columns
         kept = {r["doc_id"]: r for r in got.collect()}
         assert set(kept) == left and (kept[1]["id"], kept[1]["tid"], kept[1]["kept"], kept[1]["hit_id"]) == (7, "t", "k", 3)
+
+
+def test_language_and_encoding_keep_rows_apart_from_clashing_columns(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, lang_pred int, score string, piece_ids string, sample int"
+    texts = ["kortul venmip tulkor mipven kor tul ven mip " * 3, "zhaquo lyswem quozha wemlys zha quo lys wem " * 3]
+    rows = [(i, texts[i % 2], ["aa", "bb"][i % 2], "s", 1, 5, "kept", "k", 9) for i in range(120)] + [(900, "kortul " * 60_000, None, "s", 1, 5, "kept", "k", 9), (901, None, "aa", "s", 1, 5, "kept", "k", 9), (902, texts[0], None, "s", 1, 5, "kept", "k", 9), (902, texts[0], None, "s", 1, 5, "kept", "k", 9)]
+    docs = spark.createDataFrame(rows, columns)
+    kept = P.language(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows if r[0] != 901) and {(r["lang_pred"], r["score"]) for r in got} == {(5, "kept")}
+    # texts far longer than the rest go through every stage whole
+    long = " ".join(f"w{i}" for i in range(60_000))
+    two = spark.createDataFrame([(1, long, "aa", "s", 1, 5, "x", "y", 9), (2, "short text", "aa", "s", 1, 5, "x", "y", 9)], columns)
+    spark.createDataFrame([(1, "some words of a benchmark that no document holds at all here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for stage in (P.one_of_each_group, P.without_repeats, P.decontaminated):
+        two = stage(spark, two, str(tmp_path))
+        assert two.columns == docs.columns and {r["doc_id"]: r["text"] for r in two.collect()}[1] == long
+    assert {r["doc_id"] for r in P.encoded(spark, two, SF).collect()} == {1, 2}
