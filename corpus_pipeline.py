@@ -15,11 +15,15 @@ LEAST_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised.
 
-    Null texts and texts without a letter go; repeated rows are judged alike; without labelled rows none is left.
+    Null texts and texts without a letter go; repeated rows are judged alike, ties between languages go to the smaller
+    name; texts of any length are read whole; other columns stay as they are, also those named like a result; without
+    labelled rows none is left.
     """
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    judged = langid.identify(docs, model)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}  # columns named like a result
+    judged = langid.identify(docs.withColumnsRenamed(aside), model)
+    kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that repeat an earlier one; drop documents of which nothing but blanks is left.
 
-    Null and short texts stay as they are; of rows with one long text the first stays.
+    Null and short texts stay as they are; of rows with one long text the first stays; texts of any length are cut whole;
+    other columns stay as they are, also those named like a result.
     """
     return suffix_dedup.without_repeats(docs)
 
@@ -44,7 +49,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage, all rows that share a doc_id, and without one each by its text.
 
-    Null texts stay; without benchmark items all stay.
+    Null texts stay; without benchmark items all stay; texts of any length are read whole; other columns stay as they are,
+    also those named like a result.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontaminate.contaminated_rows(docs, benchmark)
@@ -58,7 +64,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document that is left: piece ids, and the hash of the decoded text.
 
-    Null and empty texts have one empty segmentation.
+    Null and empty texts have one empty segmentation; equal texts of different rows are sampled by their own doc_id; texts
+    of any length are encoded whole; other columns are left out, so none can clash.
     """
     return pieces.encoded_rows(docs, pieces.load_pieces())
 
