@@ -51,6 +51,10 @@ def best_choice(df: DataFrame, key: str, text: str, choices: list[str], least: f
     return folded.join(ranked, "_t").select(key, "b.choice", "b.score")
 
 
+#: Fixed value: least bigram Dice of names of one company.
+LEAST_DICE = 0.55
+
+
 def catalog_matches(candidates: DataFrame, catalog: DataFrame, n: int = 5) -> DataFrame:
     """candidate_id, product_id, score, reason: the best n products of each candidate.
 
@@ -63,10 +67,12 @@ def catalog_matches(candidates: DataFrame, catalog: DataFrame, n: int = 5) -> Da
     code = lambda df, k: df.select(k, F.explode(f"codes_{k}").alias("code")).select(k, F.upper("code").alias("code"))
     by_code = code(a, "candidate_id").join(code(b, "product_id"), "code").select("candidate_id", "product_id").distinct().select("candidate_id", "product_id", F.lit(1.0).alias("score"), F.lit("exact_product_code").alias("reason"))
     by_name = a.join(b, (a["company"] == b["company"]) & (a["name_candidate_id"] == b["name_product_id"])).select("candidate_id", "product_id", F.lit(0.96).alias("score"), F.lit("exact_company_name").alias("reason"))
-    gram = lambda df, k: df.select(k, "company", F.explode(f"grams_{k}").alias("gram"))
-    shared = gram(a, "candidate_id").join(gram(b, "product_id"), ["company", "gram"]).groupBy("candidate_id", "product_id").agg(F.count(F.lit(1)).alias("shared"))
-    sizes = shared.join(a.select("candidate_id", F.size("grams_candidate_id").alias("m")), "candidate_id").join(b.select("product_id", F.size("grams_product_id").alias("n")), "product_id")
-    like = sizes.withColumn("d", 2 * F.col("shared") / (F.col("m") + F.col("n"))).where("d >= 0.55")
+    # a Dice of d is a Jaccard similarity of d / (2 - d): pairs meet on rare bigrams of one company only
+    keyed = lambda df, k: df.select(F.col(k).alias("key"), "company", F.col(f"name_{k}").alias("text"))
+    near = jaccard_pairs(keyed(a, "candidate_id"), keyed(b, "product_id"), "key", "text", LEAST_DICE / (2 - LEAST_DICE) - 1e-9, on=["company"]).select(F.col("left_key").alias("candidate_id"), F.col("right_key").alias("product_id"))
+    both = near.join(a.select("candidate_id", "grams_candidate_id"), "candidate_id").join(b.select("product_id", "grams_product_id"), "product_id")
+    shared, sizes = F.size(F.array_intersect("grams_candidate_id", "grams_product_id")), F.size("grams_candidate_id") + F.size("grams_product_id")
+    like = both.withColumn("d", 2 * shared / sizes).where(F.col("d") >= LEAST_DICE)
     by_gram = like.select("candidate_id", "product_id", F.round(0.55 + F.col("d") * 0.35, 3).alias("score"), F.lit("similar_company_name").alias("reason"))
     best = best_per_key(by_code.unionByName(by_name).unionByName(by_gram), ["candidate_id", "product_id"], [F.desc("score"), F.col("reason")])
     return best_per_key(best, ["candidate_id"], [F.desc("score"), F.col("product_id")], n)
@@ -75,17 +81,20 @@ def catalog_matches(candidates: DataFrame, catalog: DataFrame, n: int = 5) -> Da
 def containment_pairs(left: DataFrame, right: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """left_key, right_key of texts of which one holds the other.
 
-    A text that is held has its first n characters in the other, so runs of n characters are joined with beginnings of n,
-    both ways round; shorter texts are joined with all runs of their own length. No pair is tested without such a run.
+    A text that is held has all its runs of n characters in the other (one of fewer is such a run itself). It is joined on
+    the one of them that fewest others have, both ways round, so a beginning that all share brings no pairs.
     """
     side = lambda df, k: df.select(F.col(key).alias(k), F.col(text).alias(f"_{k}")).where(F.length(f"_{k}") > 0)
     a, b = side(left, "left_key"), side(right, "right_key")
 
     def inside(outer: DataFrame, ok: str, inner: DataFrame, ik: str) -> DataFrame:
-        heads = inner.select(ik, f"_{ik}", F.least(F.length(f"_{ik}"), F.lit(n)).alias("size")).withColumn("head", F.substring(F.col(f"_{ik}"), F.lit(1), F.col("size")))
         parts = F.array_distinct(F.flatten(F.array(*[ngrams(F.col(f"_{ok}"), k) for k in range(1, n + 1)])))
-        runs = outer.select(ok, f"_{ok}", F.explode(parts).alias("head"))
-        return runs.join(heads, "head").where(F.contains(F.col(f"_{ok}"), F.col(f"_{ik}"))).select("left_key", "right_key")
+        runs = outer.select(ok, f"_{ok}", F.explode(parts).alias("run"))
+        counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
+        own = F.when(F.length(f"_{ik}") >= n, ngrams(F.col(f"_{ik}"), n)).otherwise(F.array(f"_{ik}"))
+        each = inner.select(ik, f"_{ik}", F.explode(own).alias("run")).join(counts, "run", "left")
+        rarest = each.groupBy(ik, f"_{ik}").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("r")).where("r.df > 0").select(ik, f"_{ik}", F.col("r.run").alias("run"))
+        return runs.join(rarest, "run").where(F.contains(F.col(f"_{ok}"), F.col(f"_{ik}"))).select("left_key", "right_key")
 
     return inside(a, "left_key", b, "right_key").unionByName(inside(b, "right_key", a, "left_key")).distinct()
 
