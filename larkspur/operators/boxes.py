@@ -224,6 +224,19 @@ def cash_value_tables(boxes: DataFrame, tolerance: float = ROW_TOLERANCE) -> Dat
     longest = reduce(lambda a, i: F.when(F.size(f"try{i}") > F.size(a), F.col(f"try{i}")).otherwise(a), (1, 2), F.col("try0"))
     chosen = F.when((F.size("grouped") >= LEAST_ROWS) & (F.size("grouped") >= F.size("columns")), F.col("grouped")).when(few, longest).otherwise(F.col("columns"))
     pages = pages.withColumn("rows", F.when(F.col("head").isNotNull(), by_year(chosen)).otherwise(F.array().cast(NONE)))
+    return judged(pages)
+
+
+def structured_value_tables(tables: DataFrame) -> DataFrame:
+    """The same of tables that a parser has cut into cells: page, cells (rows of texts, the first ones the headings)."""
+    cell = lambda t, i: F.struct(i.cast("int").alias("i"), F.trim(F.coalesce(t, F.lit(""))).alias("text"), F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("x"), F.lit(0.0).alias("middle"), policy_year(F.coalesce(t, F.lit(""))).alias("year"), number(F.coalesce(t, F.lit(""))).alias("number"), F.lit(False).alias("of_years"), F.lit(False).alias("of_values")).cast(ITEM)
+    pages = tables.select("page", F.transform("cells", lambda row: F.transform(row, cell)).alias("lines"), F.lit(USUAL_CONFIDENCE).alias("read"))
+    pages = pages.withColumn("head", header(F.col("lines")))
+    return judged(pages.withColumn("rows", F.when(F.col("head").isNotNull(), by_year(by_columns(F.col("lines"), F.col("head")))).otherwise(F.array().cast(NONE))))
+
+
+def judged(pages: DataFrame) -> DataFrame:
+    """page, status, width, confidence, rows of pages with rows, head and read (confidence of the reading)."""
     n = F.size("rows")
     counting = F.size(F.filter("rows", lambda r: (r["value"] == F.floor(r["value"])) & r["value"].between(1, 150) & (F.abs(r["value"] - r["year"]) <= 1)))
     ages = F.transform("rows", lambda r: r["age"])

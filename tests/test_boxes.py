@@ -68,3 +68,10 @@ def test_boxes_without_places_are_read_in_order(spark):
 def test_empty(spark):
     assert boxes.cash_value_tables(spark.createDataFrame([], SCHEMA)).count() == 0
     assert parse(spark, [(None, None), ("", at(1, 1))])[0][0] == "no table"
+
+
+def test_structured_tables(spark):
+    cells = [["保单年度", "现金价值", "保单年度", "现金价值"], ["1", "10.5", "3", "30"], ["2", "20", "4", None], ["合计", "—", "", ""]]
+    df = spark.createDataFrame([(0, cells), (1, [["姓名"], ["甲"]]), (2, cells[:2]), (3, [])], "page int, cells array<array<string>>")
+    got = {r["page"]: (r["status"], [(x["year"], x["value"]) for x in r["rows"]]) for r in boxes.structured_value_tables(df).collect()}
+    assert got == {0: ("ok", [(1, 10.5), (2, 20.0), (3, 30.0)]), 1: ("no table", []), 2: ("failed", [(1, 10.5), (3, 30.0)]), 3: ("no table", [])}
