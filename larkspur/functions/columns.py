@@ -112,6 +112,12 @@ def first_label(c: Column, rules: list[tuple[str, str]], default: str | None = N
     return out.otherwise(F.lit(default))
 
 
+def topics(c: Column, rules: list[tuple[str, str | None, str]]) -> Column:
+    """Labels of all rules (pattern, pattern that excludes, label) that fit a text, in their order, each once."""
+    fits = lambda p, out: c.rlike(p) & (~c.rlike(out) if out else F.lit(True))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(fits(p, out), F.lit(label)) for p, out, label in rules])))
+
+
 def all_labels(c: Column, rules: list[tuple[str, str]]) -> Column:
     """Labels of all rules whose pattern occurs, in order."""
     return F.array_compact(F.array(*[F.when(c.rlike(p), label) for p, label in rules]))

@@ -27,6 +27,16 @@ def once_each(df: DataFrame, columns: list[str], made: dict[str, Column]) -> Dat
     return df.join(each, same, "left").select(*[df[c] for c in df.columns], *made)
 
 
+def page_window(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """Rows of one page, with page (clamped to those there are), pages, first and last (their places from 1) and total."""
+    total = df.count()
+    pages = max(1, -(-total // size))
+    page = min(max(1, page), pages)
+    start = (page - 1) * size
+    told = {"page": page, "pages": pages, "first": min(start + 1, total), "last": min(start + size, total), "total": total}
+    return df.orderBy(*order).offset(start).limit(size).withColumns({k: F.lit(v).cast("long") for k, v in told.items()})
+
+
 def missing_from(df: DataFrame, other: DataFrame, on) -> DataFrame:
     return df.join(other, on, "left_anti")
 

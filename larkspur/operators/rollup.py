@@ -115,3 +115,18 @@ def protection_matrix(rows: DataFrame, keys: list[str], definitions: list[tuple[
     grid = rows.select(*keys).distinct().withColumn("row_key", F.explode(F.array(*[F.lit(k) for k, _ in definitions])))
     status = F.when(F.col("_sum") > 0, "covered").when(F.col("_formula"), "formula").when(F.col("_inactive"), "inactive").otherwise("missing")
     return grid.join(sums, [*keys, "row_key"], "left").select(*keys, "row_key", status.alias("status"), F.round(F.coalesce("_sum", F.lit(0.0)), 2).alias("amount"))
+
+
+def annual_payouts(entries: DataFrame, owner: str, order: list[str]) -> DataFrame:
+    """owner, year, amount, cumulative, age, liabilities, estimated: the entries of each owner and year in one row.
+
+    entries: owner, year, age, amount, liability, estimated. Amounts add up, also over the years; the first age that is known
+    counts, liabilities are listed once in order, and one estimated entry makes the year estimated.
+    """
+    seen = F.struct(*order, F.struct("age", "liability").alias("x"))
+    year = entries.groupBy(owner, "year").agg(F.sum("amount").alias("amount"), F.bool_or(F.coalesce("estimated", F.lit(False))).alias("estimated"), F.array_sort(F.collect_list(seen)).alias("_e"))  # one owner's year
+    told = year.select(
+        owner, "year", "amount", F.sum("amount").over(Window.partitionBy(owner).orderBy("year").rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"),
+        F.get(F.array_compact(F.transform("_e", lambda e: e["x"]["age"])), F.lit(0)).alias("age"), F.array_join(F.array_distinct(F.array_compact(F.transform("_e", lambda e: e["x"]["liability"]))), "、").alias("liabilities"), "estimated",
+    )
+    return told

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
-from larkspur.operators import documents, relations, series
+from larkspur.operators import documents, relations, rollup, series
 from larkspur.plans.carriers import query
 from larkspur.sources import io
 
@@ -244,3 +244,40 @@ def bundle_restored(t):
     found = bundle.problems(spark, folder).agg(F.count(F.lit(1)).cast("int").alias("problems"))
     each = [bundle.restored(spark, folder, n).agg(F.count(F.lit(1)).alias("n"), F.sum(keys[n]).alias("keys")).select(F.lit(n).alias("name"), "n", "keys") for n in tables]
     return each[0].unionByName(each[1]).unionByName(each[2]).join(F.broadcast(found))  # one row
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k, count(*) OVER () AS total FROM part), w AS (SELECT *, (total + 24) // 25 AS pages FROM p)
+SELECT p_partkey, p_name, pages AS page, pages, (pages - 1) * 25 + 1 AS first, total AS last, total FROM w WHERE k > (pages - 1) * 25""")
+def last_page(t):
+    # a page beyond the last one is the last one
+    return relations.page_window(t.part.select("p_partkey", "p_name", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")], 1_000_000_000, 25).drop("p_retailprice")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey, year(l_shipdate) AS year, CASE WHEN l_linenumber % 3 <> 1 THEN l_linenumber + 30 END AS age, l_extendedprice AS amount, CASE WHEN l_tax > 0.02 THEN l_linestatus || l_returnflag END AS liability, l_returnflag = 'R' AS estimated, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+f AS (SELECT l_orderkey, year, liability, min((l_linenumber, l_partkey, l_suppkey)) AS k FROM e WHERE liability IS NOT NULL GROUP BY ALL), l AS (SELECT l_orderkey, year, string_agg(liability, '、' ORDER BY k) AS liabilities FROM f GROUP BY ALL),
+y AS (SELECT l_orderkey, year, sum(amount) AS amount, arg_min(age, (l_linenumber, l_partkey, l_suppkey)) FILTER (age IS NOT NULL) AS age, bool_or(estimated) AS estimated FROM e GROUP BY ALL)
+SELECT l_orderkey, year::INT AS year, round(amount, 2) AS amount, round(sum(amount) OVER (PARTITION BY l_orderkey ORDER BY year), 2) AS cumulative, age::INT AS age, coalesce(liabilities, '') AS liabilities, estimated FROM y LEFT JOIN l USING (l_orderkey, year)""")
+def annual_payouts(t):
+    entries = t.lineitem.select(
+        "l_orderkey", F.year("l_shipdate").alias("year"), F.when(F.col("l_linenumber") % 3 != 1, F.col("l_linenumber") + 30).cast("int").alias("age"), F.col("l_extendedprice").alias("amount"),
+        F.when(F.col("l_tax") > 0.02, F.concat("l_linestatus", "l_returnflag")).alias("liability"), (F.col("l_returnflag") == "R").alias("estimated"), "l_linenumber", "l_partkey", "l_suppkey",
+    )
+    years = rollup.annual_payouts(entries, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"])
+    return years.withColumns({"amount": F.round("amount", 2), "cumulative": F.round("cumulative", 2)})
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR o_orderstatus IN ('F', 'P')""")
+def facts_or_absent(t):
+    payload = F.when(F.col("o_orderkey") % 5 == 0, F.when(F.col("o_orderkey") % 2 == 0, "{}")).otherwise(F.to_json(F.struct(F.array("o_orderstatus", F.lit("x")).alias("factKeys"))))
+    keys = F.from_json(payload, "factKeys array<string>")["factKeys"]
+    return t.orders.where(keys.isNull() | F.arrays_overlap(keys, F.array(F.lit("F"), F.lit("P")))).select("o_orderkey")
+
+
+@query("""
+SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(p_type, 'STEEL|TIN') AND NOT regexp_matches(p_type, 'POLISHED') THEN 'metal' END, CASE WHEN regexp_matches(p_type, '^SMALL|^MEDIUM') THEN 'light' END, CASE WHEN regexp_matches(p_type, 'PLATED') AND NOT regexp_matches(p_type, 'BRASS$') THEN 'plated' END) AS labels FROM part""")
+def topics_with_exclusions(t):
+    rules = [("STEEL|TIN", "POLISHED", "metal"), ("^SMALL|^MEDIUM", None, "light"), ("PLATED", "BRASS$", "plated")]
+    return t.part.select("p_partkey", F.array_join(C.topics(F.col("p_type"), rules), ",").alias("labels"))
