@@ -76,7 +76,7 @@ def search_join(t):
 
 
 ASPECTS = {"waiting": ["wait", "anda"], "limits": ["zzzz", "xqxq"], "renewal": ["renew", "ren "], "scope": ["the"]}
-QUESTIONS = [(1, "ation", ["waiting", "scope"]), (2, "erer", ["limits", "renewal"]), (3, "nothing at all", ["waiting"]), (4, "web", []), (5, "es of the", ["renewal", "waiting", "limits"])]
+ASKED_IN_ROUNDS = [(1, "ation", ["waiting", "scope"]), (2, "erer", ["limits", "renewal"]), (3, "nothing at all", ["waiting"]), (4, "web", []), (5, "es of the", ["renewal", "waiting", "limits"])]
 ROUNDS = SCORED.format("'ation', 'erer', 'nothing at all', 'web', 'es of the', 'wait', 'anda', 'zzzz', 'xqxq', 'renew', 'ren ', 'the'") + """,
 u AS (SELECT * FROM (VALUES (1, 'ation', ['waiting', 'scope']), (2, 'erer', ['limits', 'renewal']), (3, 'nothing at all', ['waiting']), (4, 'web', CAST([] AS VARCHAR[])), (5, 'es of the', ['renewal', 'waiting', 'limits'])) v(question, phrase, aspects)),
 a AS (SELECT * FROM (VALUES ('waiting', 'wait'), ('waiting', 'anda'), ('limits', 'zzzz'), ('limits', 'xqxq'), ('renewal', 'renew'), ('renewal', 'ren '), ('scope', 'the')) v(aspect, phrase)),
@@ -87,7 +87,7 @@ e AS (SELECT question, 1 AS round, doc_id, score FROM r1 UNION ALL SELECT questi
 
 
 def rounds(t):
-    asked = t.documents.sparkSession.createDataFrame(QUESTIONS, "question int, phrase string, aspects array<string>")
+    asked = t.documents.sparkSession.createDataFrame(ASKED_IN_ROUNDS, "question int, phrase string, aspects array<string>")
     return phrases.evidence_rounds(indexed(t), asked, ASPECTS, 3)
 
 
