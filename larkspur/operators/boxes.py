@@ -54,7 +54,11 @@ def policy_year(text: Column) -> Column:
 
 
 def page_items(boxes: DataFrame) -> DataFrame:
-    """page, items, read (mean confidence of the reading): the boxes of a page in one array."""
+    """page, items, read (mean confidence of the reading): the boxes of a page in one array.
+
+    Pages are small and cost much, so they are dealt over all shuffle partitions, which are not merged by their size.
+    """
+    boxes = boxes.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
     flat = F.size(F.get("box", F.lit(0))) == 1
     ys = F.when(flat, F.array(F.get(F.get("box", F.lit(1)), F.lit(0)), F.get(F.get("box", F.lit(3)), F.lit(0)))).otherwise(F.transform("box", lambda p: F.get(p, F.lit(1))))
     xs = F.when(flat, F.array(F.get(F.get("box", F.lit(0)), F.lit(0)), F.get(F.get("box", F.lit(2)), F.lit(0)))).otherwise(F.transform("box", lambda p: F.get(p, F.lit(0))))
