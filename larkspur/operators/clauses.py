@@ -267,7 +267,7 @@ def column_groups(cells: DataFrame) -> DataFrame:
     cells: page, row, x, number; the first row's cells are headers (kind year or value at x). A cell belongs to the
     nearest header of its row; of cells that share one, the nearest counts. Pairs need both; of a year the first row stays.
     """
-    headers = cells.where("row = 0").select("page", F.col("x").alias("_x"), "kind", F.col("grp"))
+    headers = cells.where("row = 0").groupBy("page").agg(F.collect_list(F.struct("x", "kind", "grp")).alias("_h"))  # the headers of one page
     body = cells.where("row > 0").select("page", "row", "x", "number")
     near = body.join(headers, "page").withColumn("_d", F.abs(F.col("x") - F.col("_x")))
     own = best_per_key(near, ["page", "row", "x"], [F.col("_d"), F.col("_x")])
