@@ -169,12 +169,13 @@ def cards(indicators: DataFrame, responsibilities: DataFrame) -> DataFrame:
     """
     i = indicators.where("shown").select("product", "seq", F.col("title").alias("_t"))
     r = responsibilities.select("product", "ordinal", "title", "text")
-    met = i.join(r, "product").where(F.endswith("title", "_t"))
-    first = best_per_key(met, ["product", "seq"], [F.col("ordinal")])
-    own = i.join(first.select("product", "seq"), ["product", "seq"], "left_anti").select("product", "seq", F.lit(None).cast("int").alias("ordinal"), F.col("_t").alias("title"), F.lit("").alias("text"))
-    both = first.select("product", "seq", "ordinal", "title", "text").unionByName(own)
+    # responsibilities grow with the products, whatever the size of their files: both sides are dealt by product
+    ri = r.select("product", "title", F.struct("ordinal", "title", "text").alias("_r"))
+    met = i.join(ri.hint("merge"), (i["product"] == ri["product"]) & F.endswith(ri["title"], i["_t"]), "left").select(i["product"], "seq", "_t", "_r")
+    first = met.groupBy("product", "seq", "_t").agg(F.min("_r").alias("_r"))
+    both = first.select("product", "seq", "_r.ordinal", F.coalesce("_r.title", "_t").alias("title"), F.when(F.col("_r").isNull(), "").otherwise(F.col("_r.text")).alias("text"))
     carded = both.groupBy("product", "title").agg(F.min(F.struct(F.coalesce("ordinal", F.lit(1 << 30)).alias("o"), "text"))["text"].alias("text"), F.count(F.lit(1)).alias("indicators"))
-    rest = best_per_key(r, ["product", "title"], [F.col("ordinal")]).join(carded.select("product", "title"), ["product", "title"], "left_anti")
+    rest = best_per_key(r, ["product", "title"], [F.col("ordinal")]).join(carded.select("product", "title").hint("merge"), ["product", "title"], "left_anti")
     return carded.unionByName(rest.select("product", "title", "text", F.lit(0).cast("bigint").alias("indicators")))
 
 

@@ -21,3 +21,7 @@ def query_plan(spark, name):
 
 def test_header_cells_are_not_broadcast(spark):
     assert "Broadcast" not in query_plan(spark, "cash_value_tables")
+
+
+def test_responsibilities_are_not_broadcast(spark):
+    assert "Broadcast" not in query_plan(spark, "responsibility_cards")
