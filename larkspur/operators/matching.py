@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import names as N
 from larkspur.functions.columns import composite_similarity, jaccard, ngrams
-from larkspur.operators.relations import best_per_key
-
+from larkspur.operators.relations import best_per_key, once_each
+from larkspur.sources.shared import written
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, key: str, text: str, least: float, n: int = 2, on: list[str] | None = None) -> DataFrame:
@@ -39,16 +41,16 @@ def best_choice(df: DataFrame, key: str, text: str, choices: list[str], least: f
 
     The choices are a list in the plan. Each distinct text is scored once.
     """
-    folded = df.select(key, N.scan_text(F.col(text)).alias("_t"))
-    texts = folded.select("_t").distinct().where("_t <> ''")
+    # written in between, so that no condition on a score is worked out again on every row
+    folded = once_each(df.select(key, text), [text], {"_t": N.scan_text(F.col(text))}).where("_t <> ''")
 
     def scored(i: int, choice: str) -> Column:
         c = N.scan_text(F.lit(choice))
         best = F.array_max(F.transform(N.windows(F.col("_t"), F.length(c)), lambda w: composite_similarity(w, c)))
         return F.when(N.salient_overlap(F.col("_t"), F.lit(choice)), F.struct(best.alias("score"), F.lit(-i).alias("place"), F.lit(choice).alias("choice")))
 
-    ranked = texts.select("_t", F.array_max(F.array_compact(F.array(*[scored(i, c) for i, c in enumerate(choices)]))).alias("b")).where(F.col("b.score") >= least)
-    return folded.join(ranked, "_t").select(key, "b.choice", "b.score")
+    ranked = once_each(folded.select(key, "_t"), ["_t"], {"b": F.array_max(F.array_compact(F.array(*[scored(i, c) for i, c in enumerate(choices)])))})
+    return ranked.where(F.col("b.score") >= least).select(key, "b.choice", "b.score")
 
 
 #: Fixed value: least bigram Dice of names of one company.

@@ -25,3 +25,10 @@ def test_header_cells_are_not_broadcast(spark):
 
 def test_responsibilities_are_not_broadcast(spark):
     assert "Broadcast" not in query_plan(spark, "responsibility_cards")
+
+
+def test_best_choice_scores_each_text_once(spark):
+    df = spark.createDataFrame([(1, "保险金颜"), (2, "保险金颜"), (3, "abc"), (4, None)], "k int, t string")
+    found = matching.best_choice(df, "k", "t", ["保险金额", "投保人姓名"], 0.6)
+    assert "levenshtein" not in plan(found)  # rows only take up what was written
+    assert sorted((r.k, r.choice) for r in found.collect()) == [(1, "保险金额"), (2, "保险金额")]
