@@ -25,14 +25,15 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, key: str, text: str, least:
     counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
     def prefixes(df: DataFrame) -> DataFrame:
-        owned = df.select("key", *on, F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(counts, "gram")
+        owned = df.select("key", *on, F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(counts.hint("merge"), "gram")
         rank = F.row_number().over(Window.partitionBy("key", *on).orderBy("df", "gram"))
         return owned.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("key", *on, "size", "gram")
 
-    p, q = prefixes(a), prefixes(b)
+    # grams are many times the rows they come from, which the size of the files does not show: no side is sent to all tasks
+    p, q = prefixes(a), prefixes(b).hint("merge")
     met = p.select(F.col("key").alias("left_key"), *on, F.col("size").alias("m"), "gram").join(q.select(F.col("key").alias("right_key"), *on, F.col("size").alias("n"), "gram"), ["gram", *on])
     met = met.where((F.col("m") >= F.col("n") * least) & (F.col("n") >= F.col("m") * least)).select("left_key", "right_key", *on).distinct()
-    scored = met.join(a.select(F.col("key").alias("left_key"), *on, F.col("grams").alias("_a")), ["left_key", *on]).join(b.select(F.col("key").alias("right_key"), *on, F.col("grams").alias("_b")), ["right_key", *on])
+    scored = met.join(a.select(F.col("key").alias("left_key"), *on, F.col("grams").alias("_a")).hint("merge"), ["left_key", *on]).join(b.select(F.col("key").alias("right_key"), *on, F.col("grams").alias("_b")).hint("merge"), ["right_key", *on])
     return scored.withColumn("score", jaccard(F.col("_a"), F.col("_b"))).where(F.col("score") >= least).select("left_key", "right_key", "score")
 
 
@@ -61,10 +62,12 @@ def catalog_matches(candidates: DataFrame, catalog: DataFrame, n: int = 5) -> Da
     """candidate_id, product_id, score, reason: the best n products of each candidate.
 
     Both: id, company, name, codes (array). A shared code scores 1; one company and equal names 0.96; one company and a
-    bigram Dice of 0.55 or more 0.55 + 0.35 * Dice. Three equi-joins find them: on codes, on names, on bigrams.
+    bigram Dice of 0.55 or more 0.55 + 0.35 * Dice. Equi-joins find them: on codes, on bigrams. Rows of one company and
+    name are alike, so names are compared once; of a code or a name the first n products stand for all, since more of
+    equal score are never among the best.
     """
     tight = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s·•,，。；;：:（）()《》【】\[\]_-]+", ""))
-    form = lambda df, k: df.select(F.col("id").alias(k), tight(F.col("company")).alias("company"), tight(F.col("name")).alias(f"name_{k}"), F.col("codes").alias(f"codes_{k}"), ngrams(tight(F.col("name")), 2).alias(f"grams_{k}"))
+    form = lambda df, k: df.select(F.col("id").alias(k), F.struct(tight(F.col("company")).alias("company"), tight(F.col("name")).alias("name")).alias("key"), F.col("codes").alias("codes"))
     a, b = form(candidates, "candidate_id"), form(catalog, "product_id")
     code = lambda df, k: df.select(k, F.explode(f"codes_{k}").alias("code")).select(k, F.upper("code").alias("code"))
     by_code = code(a, "candidate_id").join(code(b, "product_id"), "code").select("candidate_id", "product_id").distinct().select("candidate_id", "product_id", F.lit(1.0).alias("score"), F.lit("exact_product_code").alias("reason"))

@@ -32,3 +32,15 @@ def test_best_choice_scores_each_text_once(spark):
     found = matching.best_choice(df, "k", "t", ["保险金额", "投保人姓名"], 0.6)
     assert "levenshtein" not in plan(found)  # rows only take up what was written
     assert sorted((r.k, r.choice) for r in found.collect()) == [(1, "保险金额"), (2, "保险金额")]
+
+
+def test_equal_names_are_not_paired_row_by_row(spark):
+    row = lambda i, name, codes=(): (i, "c", name, list(codes))
+    schema = "id int, company string, name string, codes array<string>"
+    a = spark.createDataFrame([row(1, "red lamp"), row(2, "Red Lamp", ["x"]), row(3, "zzz")], schema)
+    b = spark.createDataFrame([row(i, "red lamp") for i in range(10, 40)] + [row(50, "red lamps"), row(60, "other", ["X"]), row(12, "red lamp", ["X"])], schema)
+    found = matching.catalog_matches(a, b, 3)
+    assert "array_intersect" not in plan(found)
+    got = sorted((r.candidate_id, r.product_id, r.score, r.reason) for r in found.collect())
+    exact, code = (0.96, "exact_company_name"), (1.0, "exact_product_code")
+    assert got == [(1, 10, *exact), (1, 11, *exact), (1, 12, *exact), (2, 10, *exact), (2, 12, *code), (2, 60, *code)]
