@@ -113,7 +113,8 @@ def alias_pairs(left: DataFrame, right: DataFrame, key: str, company: str, alias
 
     def named(df: DataFrame, k: str) -> DataFrame:
         own = df.select(F.col(key).alias(k), N.company_core(F.col(company)).alias("name")).where("name <> ''")
-        return own.join(listed, "name", "left").select(k, F.coalesce("canonical", "name").alias("canonical")).distinct()
+        found = own.join(listed, "name", "left").select(k, F.coalesce("canonical", "name").alias("canonical"))
+        return found.groupBy(k).agg(F.array_sort(F.collect_set("canonical")).alias(f"_{k}s"))  # the names of one row
 
     return named(left, "left_key").join(named(right, "right_key"), "canonical").select("left_key", "right_key").distinct()
 

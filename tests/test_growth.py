@@ -44,3 +44,11 @@ def test_equal_names_are_not_paired_row_by_row(spark):
     got = sorted((r.candidate_id, r.product_id, r.score, r.reason) for r in found.collect())
     exact, code = (0.96, "exact_company_name"), (1.0, "exact_product_code")
     assert got == [(1, 10, *exact), (1, 11, *exact), (1, 12, *exact), (2, 10, *exact), (2, 12, *code), (2, 60, *code)]
+
+
+def test_alias_pairs_come_once_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "甲"), (2, "乙"), (3, "丙"), (4, None)], "k int, c string")
+    known = spark.createDataFrame([("A", "甲"), ("B", "甲"), ("A", "乙"), ("B", "乙")], "canonical string, alias string")
+    pairs = matching.alias_pairs(df, df, "k", "c", known)
+    assert "Aggregate" not in plan(pairs)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
