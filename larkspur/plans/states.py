@@ -118,5 +118,5 @@ SELECT c.doc_id, c.id, CASE WHEN held AND NOT tbl AND p.tokens <= 30 THEN 'paren
 def parent_evidence(t):
     id_ = F.col("l_linenumber") * 10_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")
     children = t.lineitem.select(F.col("l_orderkey").alias("parent_id"), id_.alias("id"), F.when(F.col("l_partkey") % 2 == 0, "part").otherwise("other").alias("content"), F.lit(2).alias("first_page"), F.lit(2).alias("last_page"), F.col("l_quantity").cast("int").alias("tokens"), (F.col("l_partkey") % 3 == 0).alias("is_table"))
-    parents = t.orders.select(F.col("o_orderkey").alias("parent_id"), F.lit("whole part text").alias("content"), F.lit(1).alias("first_page"), F.lit(3).alias("last_page"), F.expr("cast(round(o_totalprice / 10000) as int)").alias("tokens"))
+    parents = t.orders.select(F.col("o_orderkey").alias("parent_id"), F.lit("whole part text").alias("content"), F.lit(1).alias("first_page"), F.lit(3).alias("last_page"), F.rint(F.col("o_totalprice") / 10000).cast("int").alias("tokens"))  # halves to even, as casts in SQL do
     return documents.with_parents(children, parents, 30).select(F.col("parent_id").alias("doc_id"), "id", "shown", "tokens")

@@ -52,3 +52,12 @@ def test_alias_pairs_come_once_without_a_shuffle(spark):
     pairs = matching.alias_pairs(df, df, "k", "c", known)
     assert "Aggregate" not in plan(pairs)
     assert sorted(map(tuple, pairs.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
+def test_parent_tokens_round_half_to_even(spark):
+    from larkspur.plans import states
+
+    orders = spark.createDataFrame([(1, 25000.0), (2, 35000.0), (3, 25000.01)], "o_orderkey long, o_totalprice double")
+    items = spark.createDataFrame([(k, 1, 4, 1, 7.0) for k in (1, 2, 3)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    got = states.parent_evidence(SimpleNamespace(orders=orders, lineitem=items)).collect()
+    assert sorted((r.doc_id, r.shown, r.tokens) for r in got) == [(1, "parent", 2), (2, "parent", 4), (3, "parent", 3)]
