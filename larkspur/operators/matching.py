@@ -69,17 +69,22 @@ def catalog_matches(candidates: DataFrame, catalog: DataFrame, n: int = 5) -> Da
     tight = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s·•,，。；;：:（）()《》【】\[\]_-]+", ""))
     form = lambda df, k: df.select(F.col("id").alias(k), F.struct(tight(F.col("company")).alias("company"), tight(F.col("name")).alias("name")).alias("key"), F.col("codes").alias("codes"))
     a, b = form(candidates, "candidate_id"), form(catalog, "product_id")
-    code = lambda df, k: df.select(k, F.explode(f"codes_{k}").alias("code")).select(k, F.upper("code").alias("code"))
-    by_code = code(a, "candidate_id").join(code(b, "product_id"), "code").select("candidate_id", "product_id").distinct().select("candidate_id", "product_id", F.lit(1.0).alias("score"), F.lit("exact_product_code").alias("reason"))
-    by_name = a.join(b, (a["company"] == b["company"]) & (a["name_candidate_id"] == b["name_product_id"])).select("candidate_id", "product_id", F.lit(0.96).alias("score"), F.lit("exact_company_name").alias("reason"))
-    # a Dice of d is a Jaccard similarity of d / (2 - d): pairs meet on rare bigrams of one company only
-    keyed = lambda df, k: df.select(F.col(k).alias("key"), "company", F.col(f"name_{k}").alias("text"))
-    near = jaccard_pairs(keyed(a, "candidate_id"), keyed(b, "product_id"), "key", "text", LEAST_DICE / (2 - LEAST_DICE) - 1e-9, on=["company"]).select(F.col("left_key").alias("candidate_id"), F.col("right_key").alias("product_id"))
-    both = near.join(a.select("candidate_id", "grams_candidate_id"), "candidate_id").join(b.select("product_id", "grams_product_id"), "product_id")
-    shared, sizes = F.size(F.array_intersect("grams_candidate_id", "grams_product_id")), F.size("grams_candidate_id") + F.size("grams_product_id")
-    like = both.withColumn("d", 2 * shared / sizes).where(F.col("d") >= LEAST_DICE)
-    by_gram = like.select("candidate_id", "product_id", F.round(0.55 + F.col("d") * 0.35, 3).alias("score"), F.lit("similar_company_name").alias("reason"))
-    best = best_per_key(by_code.unionByName(by_name).unionByName(by_gram), ["candidate_id", "product_id"], [F.desc("score"), F.col("reason")])
+    code = lambda df, k: df.select(k, F.explode("codes").alias("code")).select(k, F.upper("code").alias("code")).distinct()
+    first_of = lambda df, of: best_per_key(df, [of], [F.col("product_id")], n)
+    by_code = code(a, "candidate_id").join(first_of(code(b, "product_id"), "code").hint("merge"), "code").select("candidate_id", "product_id").distinct().select("candidate_id", "product_id", F.lit(1.0).alias("score"), F.lit("exact_product_code").alias("reason"))
+    # the different names of a company; a Dice of d is a Jaccard similarity of d / (2 - d): they meet on rare bigrams
+    names = lambda df: written(df.select("key").distinct(), "names").select("key", "key.company", F.col("key.name").alias("text"))
+    own, others = names(a), names(b)
+    near = jaccard_pairs(own, others, "key", "text", LEAST_DICE / (2 - LEAST_DICE) - 1e-9, on=["company"])
+    g, h = ngrams(F.col("left_key.name"), 2), ngrams(F.col("right_key.name"), 2)
+    like = near.withColumn("d", 2 * F.size(F.array_intersect(g, h)) / (F.size(g) + F.size(h))).where(F.col("d") >= LEAST_DICE)
+    by_gram = like.where("left_key <> right_key").select("left_key", "right_key", F.round(0.55 + F.col("d") * 0.35, 3).alias("score"), F.lit("similar_company_name").alias("reason"))
+    equal = own.select("key").join(others.select("key"), "key").select(F.col("key").alias("left_key"), F.col("key").alias("right_key"), F.lit(0.96).alias("score"), F.lit("exact_company_name").alias("reason"))
+    products = first_of(b.select("key", "product_id").distinct(), "key").withColumnRenamed("key", "right_key")
+    by_name = best_per_key(by_gram.unionByName(equal).join(products.hint("merge"), "right_key"), ["left_key"], [F.desc("score"), F.col("product_id")], n)
+    by_name = written(by_name.select("left_key", "product_id", "score", "reason"), "best_names")  # so that its size is known
+    named = a.select("candidate_id", F.col("key").alias("left_key")).distinct().join(by_name, "left_key").select("candidate_id", "product_id", "score", "reason")
+    best = best_per_key(by_code.unionByName(named), ["candidate_id", "product_id"], [F.desc("score"), F.col("reason")])
     return best_per_key(best, ["candidate_id"], [F.desc("score"), F.col("product_id")], n)
 
 
@@ -116,7 +121,15 @@ def alias_pairs(left: DataFrame, right: DataFrame, key: str, company: str, alias
         found = own.join(listed, "name", "left").select(k, F.coalesce("canonical", "name").alias("canonical"))
         return found.groupBy(k).agg(F.array_sort(F.collect_set("canonical")).alias(f"_{k}s"))  # the names of one row
 
-    return named(left, "left_key").join(named(right, "right_key"), "canonical").select("left_key", "right_key").distinct()
+    # the pairs of one name may be many, so left rows are dealt over all tasks; of the names that two rows share the
+    # first makes the pair, so none comes twice and no pair is shuffled
+    a, b = (written(named(df, k), "named") for df, k in ((left, "left_key"), (right, "right_key")))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = a.repartition(parts, "left_key").select("left_key", "_left_keys", F.explode("_left_keys").alias("canonical"))
+    b = b.select("right_key", "_right_keys", F.explode("_right_keys").alias("canonical"))
+    alone = (F.size("_left_keys") == 1) | (F.size("_right_keys") == 1)
+    met = a.join(b, "canonical").where(F.when(alone, True).otherwise(F.get(F.array_intersect("_left_keys", "_right_keys"), F.lit(0)) == F.col("canonical")))
+    return met.select("left_key", "right_key")
 
 
 def match_people(asked: DataFrame, members: DataFrame) -> DataFrame:
@@ -125,15 +138,27 @@ def match_people(asked: DataFrame, members: DataFrame) -> DataFrame:
     asked: person_id, family_id, name, birthday, id_tail; members: member_id, family_id, name, birthday, id_tail, score
     (how firmly the relation is known). A member fits whose name is equal and whose birthday and number do not differ.
     Those with the birthday come first, then those with the number, then the better known, then the smaller id.
+
+    Members of one family, name, birthday and number differ in rank only, so each such profile, and each with the one or
+    the other left out, has one best member; a person's profile asks for up to four of them. No pairs are made.
     """
-    a = asked.where(F.trim("name") != "").select("person_id", "family_id", F.trim("name").alias("name"), F.col("birthday").alias("_b"), F.col("id_tail").alias("_t"))
+    keys, who = ["family_id", "name", "_kb", "_kt"], ["family_id", "name", "_b", "_t"]
+    # a key's part is (true, value or null) for what a member has, (false, null) for any
+    has = lambda c: F.struct(F.lit(True).alias("own"), c.alias("value"))
+    any_of = lambda c: F.struct(F.lit(False).alias("own"), F.when(F.lit(False), c).alias("value"))
+    same = lambda k, c: (F.col(f"{k}.own") & F.col(f"{k}.value").isNotNull() & F.col(c).isNotNull()).cast("int")
     b = members.select("member_id", "family_id", F.trim("name").alias("name"), "birthday", "id_tail", "score")
-    differs = lambda x, y: F.coalesce(F.col(x) != F.col(y), F.lit(False))
-    both = a.join(b, ["family_id", "name"]).where(~differs("_b", "birthday") & ~differs("_t", "id_tail"))
-    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False)).cast("int")
-    known = (F.col("birthday").isNotNull().cast("int") + F.col("id_tail").isNotNull().cast("int"))
-    best = best_per_key(both, ["person_id"], [F.desc(same("_b", "birthday")), F.desc(same("_t", "id_tail")), F.desc("score"), F.desc(known), F.col("member_id")])
-    return asked.select("person_id").join(best.select("person_id", "member_id"), "person_id", "left")
+    known = F.col("birthday").isNotNull().cast("int") + F.col("id_tail").isNotNull().cast("int")
+    order = F.struct(F.col("score").isNull().alias("unscored"), (-F.col("score")).alias("score"), (-known).alias("known"), "member_id")
+    each = b.withColumn("_kb", F.explode(F.array(has(F.col("birthday")), any_of(F.col("birthday"))))).withColumn("_kt", F.explode(F.array(has(F.col("id_tail")), any_of(F.col("id_tail")))))
+    best = each.groupBy(*keys).agg(F.min(order).alias("r"))
+    a = asked.select("person_id", "family_id", F.trim("name").alias("name"), F.col("birthday").alias("_b"), F.col("id_tail").alias("_t"))
+    profiles = a.where("name <> ''").select(*who).distinct()
+    asks = lambda c: F.when(c.isNull(), F.array(any_of(c))).otherwise(F.array(has(c), has(F.when(F.lit(False), c))))
+    met = profiles.withColumn("_kb", F.explode(asks(F.col("_b")))).withColumn("_kt", F.explode(asks(F.col("_t")))).join(best.hint("merge"), keys)
+    first = met.groupBy(*who).agg(F.min(F.struct(-same("_kb", "_b"), -same("_kt", "_t"), "r"))["r"]["member_id"].alias("member_id"))
+    first = written(first, "best_members").select(*[F.col(c).alias(f"_of{c}") for c in who], "member_id")  # so that its size is known
+    return a.join(first, reduce(lambda x, y: x & y, [a[c].eqNullSafe(first[f"_of{c}"]) for c in who]), "left").select("person_id", "member_id")
 
 
 def first_by_containment(left: DataFrame, right: DataFrame, key: str, text: str, order: list[Column]) -> DataFrame:

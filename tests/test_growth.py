@@ -61,3 +61,17 @@ def test_parent_tokens_round_half_to_even(spark):
     items = spark.createDataFrame([(k, 1, 4, 1, 7.0) for k in (1, 2, 3)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
     got = states.parent_evidence(SimpleNamespace(orders=orders, lineitem=items)).collect()
     assert sorted((r.doc_id, r.shown, r.tokens) for r in got) == [(1, "parent", 2), (2, "parent", 4), (3, "parent", 3)]
+
+
+def test_people_match_as_by_brute_force(spark):
+    some = (None, 1, 2)
+    members = [(i, "f" if i % 7 else None, "n", some[i % 3], some[i // 3 % 3], (i * 5) % 4 if i % 5 else None) for i in range(60)]
+    asked = [(i, "f", " n " if i else " ", b, t) for i, (b, t) in enumerate((b, t) for b in (*some, 3) for t in (*some, 3))]
+    found = matching.match_people(spark.createDataFrame(asked, "person_id int, family_id string, name string, birthday int, id_tail int"), spark.createDataFrame(members, "member_id int, family_id string, name string, birthday int, id_tail int, score int"))
+    assert "Window" not in plan(found)
+    wanted = {}
+    for p, family, name, b, t in asked:
+        fit = [m for m in members if name.strip() and m[1] == family and m[2] == name.strip() and None in (b, m[3], None if b == m[3] else 0) and None in (t, m[4], None if t == m[4] else 0)]
+        fit.sort(key=lambda m: (-(b is not None and b == m[3]), -(t is not None and t == m[4]), m[5] is None, -(m[5] or 0), -((m[3] is not None) + (m[4] is not None)), m[0]))
+        wanted[p] = fit[0][0] if fit else None
+    assert {r.person_id: r.member_id for r in found.collect()} == wanted
