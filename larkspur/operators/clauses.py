@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.columns import all_labels, first_label
 from larkspur.operators.relations import best_per_key
+from larkspur.sources.shared import written
 
 #: Marks that begin a numbered section, and words that name its scope.
 SECTION_MARK = r"[（(]\s*(?:\d+|[一二三四五六七八九十]+)\s*[）)]|(?:^|\n)\s*\d+(?:、|\.(?=\s+(?!\d)))|(?:^|[\n\r:：。；;])\s*[一二三四五六七八九十]+[、.]"
@@ -198,11 +199,15 @@ def merged_analyses(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
     rows: plan, row, title, failed; sources: plan, source, title. Rows of failed analyses carry no source.
     """
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    s = sources.select("plan", "source", F.col("title").alias("_s")).distinct()
-    met = rows.where("NOT failed").join(s, "plan").withColumn("_n", F.size(F.array_intersect(words(F.col("title")), words(F.col("_s"))))).where("_n > 0")
-    best = best_per_key(met, ["plan", "row"], [F.desc("_n"), F.col("source")]).select("plan", "row", "source")
-    return rows.join(best, ["plan", "row"], "left").select("plan", "row", F.when(F.col("failed"), F.lit("note")).otherwise(F.col("title")).alias("title"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+    words = lambda c: F.array_sort(F.array_distinct(F.split(F.lower(c), r"\s+")))
+    # rows and sources of one set of words are alike: sets meet on words, and of a set's sources the first stands for all
+    s = sources.groupBy("plan", words(F.col("title")).alias("_s")).agg(F.min("source").alias("source")).select("plan", "source", "_s")
+    kept = rows.withColumn("_w", F.when(~F.col("failed"), words(F.col("title"))))
+    w = kept.where("_w IS NOT NULL").select("plan", "_w").distinct()
+    met = w.select("plan", "_w", F.explode("_w").alias("word")).join(s.select("plan", "source", "_s", F.explode("_s").alias("word")).hint("merge"), ["plan", "word"])
+    met = met.groupBy("plan", "_w", "source", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    best = written(met.groupBy("plan", "_w").agg(F.min(F.struct(-F.col("_n"), "source"))["source"].alias("source")), "best")  # so that its size is known
+    return kept.join(best, ["plan", "_w"], "left").select("plan", "row", F.when(F.col("failed"), F.lit("note")).otherwise(F.col("title")).alias("title"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
 
 
 def governance(indicators: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
@@ -270,9 +275,11 @@ def column_groups(cells: DataFrame) -> DataFrame:
     """
     headers = cells.where("row = 0").groupBy("page").agg(F.collect_list(F.struct("x", "kind", "grp")).alias("_h"))  # the headers of one page
     body = cells.where("row > 0").select("page", "row", "x", "number")
-    near = body.join(headers, "page").withColumn("_d", F.abs(F.col("x") - F.col("_x")))
-    own = best_per_key(near, ["page", "row", "x"], [F.col("_d"), F.col("_x")])
-    once = best_per_key(own, ["page", "row", "_x"], [F.col("_d"), F.col("x")])
+    # cells come from arrays, so their number is not seen in the size of the table: never sent to all tasks
+    nearest = F.array_min(F.transform("_h", lambda h: F.struct(F.abs(F.col("x") - h["x"]).alias("d"), h["x"].alias("x"), h["kind"].alias("kind"), h["grp"].alias("grp"))))
+    own = body.join(headers.hint("merge"), "page").select("page", "row", "x", "number", nearest.alias("_n"))
+    once = own.groupBy("page", "row", F.col("_n.x").alias("_x")).agg(F.min(F.struct("_n.d", "x", "number", "_n.kind", "_n.grp")).alias("b")).select("page", "row", "b.*")
     pairs = once.groupBy("page", "row", "grp").agg(F.max(F.when(F.col("kind") == "year", F.col("number"))).alias("policy_year"), F.max(F.when(F.col("kind") == "value", F.col("number"))).alias("value"))
     full = pairs.where("policy_year BETWEEN 1 AND 150 AND value IS NOT NULL")
-    return best_per_key(full, ["page", "policy_year"], [F.col("grp"), F.col("row")]).select("page", F.col("policy_year").cast("int"), "value")
+    first = full.groupBy("page", "policy_year").agg(F.min(F.struct("grp", "row", "value"))["value"].alias("value"))
+    return first.select("page", F.col("policy_year").cast("int"), "value")
