@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from functools import reduce
 
@@ -45,9 +44,11 @@ SEVERAL = {c: f for c, f in _FORMS.items() if len(f) > 1}
 def compatible(c: Column) -> Column:
     """Compatibility form of a text, character by character, within the JVM; a letter with a combining mark counts as one that is neither."""
     one = F.translate(c, "".join(SINGLE), "".join(SINGLE.values()))
-    table = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
-    spelled = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.regexp_replace(F.when(one.rlike(f"[{''.join(SEVERAL)}]"), spelled).otherwise(one), r"[A-Za-z]\p{M}+", " ")
+    # plain literals, so that neither the list of forms nor a large class of characters is gone through for every row
+    several, forms = "".join(SEVERAL), F.split(F.lit("\x00".join(SEVERAL.values())), "\x00")
+    place = lambda x: F.instr(F.lit(several), F.nullif(x, F.lit("")))
+    spelled = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.get(forms, place(x) - 1), x)), "")
+    return F.regexp_replace(F.when(F.translate(one, several, "") != one, spelled).otherwise(one), r"[A-Za-z]\p{M}+", " ")
 
 
 def canonical(c: Column) -> Column:

@@ -83,3 +83,10 @@ def test_analyses_meet_as_sets_of_words(spark):
     found = clauses.merged_analyses(rows, sources)
     assert "array_intersect" not in plan(found) and "Window" not in plan(found)
     assert sorted((r.row, r.title, r.source) for r in found.collect()) == [(1, "a b", "8"), (2, "B a", "8"), (3, "c", "9"), (4, "note", ""), (5, "a", "")]
+
+
+def test_forms_are_literals_and_complete(spark):
+    forms = [(c + "1", f + "1") for c, f in N._FORMS.items()]
+    df = spark.createDataFrame(forms, "c string, f string").coalesce(1)
+    assert "json" not in plan(df.select(N.compatible(F.col("c"))))
+    assert df.where(N.compatible(F.col("c")) != F.regexp_replace("f", r"[A-Za-z]\p{M}+", " ")).count() == 0
