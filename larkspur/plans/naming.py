@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
 from larkspur.functions import names as N
-from larkspur.operators import matching
+from larkspur.operators import matching, relations
 from larkspur.plans.carriers import query
 from larkspur.plans.policies import pick, sql_pick
 
@@ -122,8 +122,11 @@ LABELS = ["保险金额：", "保险金颜：", "金额:", "无关：", ""]
 SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN '无关：' || p_size WHEN 4 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END AS stripped, p_partkey % 5 <> 3 AS salient FROM part""".replace("WHEN 3 THEN '无关：' || p_size", "WHEN 3 THEN '无关：' || p_size WHEN 2 THEN '金额:' || p_size"))
 def label_strip(t):
     text = F.concat(pick(LABELS, F.col("p_partkey")), F.col("p_size").cast("string"))
-    salient = N.salient_overlap(pick(["红利", "红利发放", "保险金额", "无关", "分红利率"], F.col("p_partkey")), F.lit("红色利润"))
-    return t.part.select("p_partkey", N.strip_label(text, ["保险金额"]).alias("stripped"), salient.alias("salient"))
+    asked = pick(["红利", "红利发放", "保险金额", "无关", "分红利率"], F.col("p_partkey"))
+    # few texts are different: each is read once
+    rows = t.part.select("p_partkey", text.alias("text"), asked.alias("asked"))
+    rows = relations.once_each(rows, ["text"], {"stripped": N.strip_label(F.col("text"), ["保险金额"])})
+    return relations.once_each(rows, ["asked"], {"salient": N.salient_overlap(F.col("asked"), F.lit("红色利润"))}).select("p_partkey", "stripped", "salient")
 
 
 @query("""

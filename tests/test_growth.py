@@ -90,3 +90,7 @@ def test_forms_are_literals_and_complete(spark):
     df = spark.createDataFrame(forms, "c string, f string").coalesce(1)
     assert "json" not in plan(df.select(N.compatible(F.col("c"))))
     assert df.where(N.compatible(F.col("c")) != F.regexp_replace("f", r"[A-Za-z]\p{M}+", " ")).count() == 0
+
+
+def test_labels_are_stripped_once_a_text(spark):
+    assert "levenshtein" not in query_plan(spark, "label_strip")
