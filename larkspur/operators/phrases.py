@@ -70,6 +70,18 @@ def pack(differences: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def packed_lists(places: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Lists of places, which begin at `first`, each packed by itself: all in one pass."""
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]
+    sizes = np.ones(len(steps), np.int64)
+    for i in range(1, 5):
+        sizes += steps >= 1 << (7 * i)
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    offsets = np.append(ends[first], ends[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(pack(steps))])
+
+
 def unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 128)
@@ -118,9 +130,9 @@ def build_index(chunks: DataFrame, key: str, weights: dict[str, float] = FIELD_W
                 whole = np.flatnonzero((flat[:-2] >= 0) & (flat[1:-1] >= 0) & (flat[2:] >= 0)) if len(flat) >= GRAM else np.zeros(0, np.int64)
                 order = np.argsort(found[whole], kind="stable")
                 places, sorted_grams = whole[order], found[whole][order]
-                names, first, counts = np.unique(sorted_grams, return_index=True, return_counts=True)
-                packed = [pack(np.diff(places[a : a + n], prepend=0)) for a, n in zip(first, counts)]
-                yield batch(len(names), bucket=pa.array(bucket(names)), field=pa.array(np.full(len(names), i, np.int32)), gram=pa.array(names), range=pa.array(np.full(len(names), range_id)), n=pa.array(counts), places=pa.array(packed, pa.binary()))
+                first = np.flatnonzero(np.diff(sorted_grams, prepend=-1))
+                names, counts = sorted_grams[first], np.diff(np.append(first, len(places)))
+                yield batch(len(names), bucket=pa.array(bucket(names)), field=pa.array(np.full(len(names), i, np.int32)), gram=pa.array(names), range=pa.array(np.full(len(names), range_id)), n=pa.array(counts), places=packed_lists(places, first))
             rows = {f"len_{f}": pa.array(np.maximum(lengths[f] - GRAM + 1, 0)) for f in fields}
             # where a row begins in each field, one row for each
             for i, f in enumerate(fields):

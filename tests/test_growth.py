@@ -94,3 +94,15 @@ def test_forms_are_literals_and_complete(spark):
 
 def test_labels_are_stripped_once_a_text(spark):
     assert "levenshtein" not in query_plan(spark, "label_strip")
+
+
+def test_posting_lists_are_packed_in_one_pass():
+    import numpy as np
+
+    from larkspur.operators import phrases
+
+    lists = [[0], [5, 6, 400], [3, 1 << 15, 1 << 30], [7], [0, 127, 255]]
+    first = np.cumsum([0, *map(len, lists)])[:-1]
+    packed = phrases.packed_lists(np.concatenate([np.array(x) for x in lists]), first).to_pylist()
+    assert packed == [phrases.pack(np.diff(np.array(x), prepend=0)) for x in lists]
+    assert phrases.packed_lists(np.zeros(0, np.int64), np.zeros(0, np.int64)).to_pylist() == []
