@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import written
+
 # Control characters, odd spaces, and the forms of page numbers, list or clause openings and ends of sentences.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 ODD_SPACES = "[\u00a0\u2000-\u200a\u202f\u205f\u3000]"
@@ -29,10 +31,12 @@ PAGE = ["document", "page"]
 
 def normal(text: Column) -> Column:
     """Text without control characters, with single spaces, no blanks at the ends of lines, and one empty line at most."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, CONTROLS, ""), ODD_SPACES, " ")
-    t = F.regexp_replace(F.regexp_replace(t, "[\t ]+", " "), " ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
+    t = F.coalesce(text, F.lit(""))
+    lines = F.contains(t, F.lit("\n")) | F.contains(t, F.lit("\r"))  # most texts are one line, which no pattern for lines need read
+    t = F.regexp_replace(F.when(lines, F.regexp_replace(t, "\r\n?", "\n")).otherwise(t), CONTROLS, "")
+    t = F.regexp_replace(F.regexp_replace(t, ODD_SPACES, " "), "\t[\t ]*| [\t ]+", " ")
+    kept = lambda x: F.get(F.transform(F.array(x), lambda t: F.when(lines, F.regexp_replace(F.regexp_replace(t, " ?\n ?", "\n"), "\n{3,}", "\n\n")).otherwise(t)), F.lit(0))
+    return F.btrim(kept(t), F.lit(" \n"))
 
 
 def bare(text: Column) -> Column:
@@ -41,7 +45,7 @@ def bare(text: Column) -> Column:
 
 
 def is_heading(line: Column, kind: Column, headings: Column) -> Column:
-    return F.lower(F.coalesce(kind, F.lit(""))).isin(HEADING_KINDS) | line.rlike(CLAUSE_OPENING) | F.array_contains(F.transform(F.coalesce(headings, F.array().cast("array<string>")), bare), bare(line))
+    return F.lower(F.coalesce(kind, F.lit(""))).isin(HEADING_KINDS) | line.rlike(CLAUSE_OPENING) | F.when(F.size(headings) > 0, F.array_contains(F.transform(headings, bare), bare(line))).otherwise(False)
 
 
 def at_edge() -> Column:
@@ -63,14 +67,17 @@ def classified(elements: DataFrame) -> DataFrame:
     e = e.withColumns({"_first": F.min("at").over(whole), "_last": F.max("at").over(whole), "_said": F.min(F.when(F.col("normal") != "", F.col("at"))).over(whole), "_said_last": F.max(F.when(F.col("normal") != "", F.col("at"))).over(whole)})
     number = F.try_to_number(F.nullif(F.regexp_extract("normal", PAGE_NUMBER, 1), F.lit("")), F.lit("99999")).cast("long")
     slot = F.when(F.col("at") == F.col("_first"), "first").when(F.col("at") == F.col("_last"), "last")
-    e = e.withColumns({"_number": number, "_slot": slot, "_edge": F.col("_slot").isNotNull() | kind.isin(EDGE_KINDS), "_heading": is_heading(F.col("normal"), F.col("kind"), F.col("headings")), "_key": bare(F.col("normal"))})
+    e = e.withColumns({"_number": number, "_slot": slot, "_edge": F.col("_slot").isNotNull() | kind.isin(EDGE_KINDS), "_heading": is_heading(F.col("normal"), F.col("kind"), F.col("headings")), })
     e = e.withColumn("_proven", F.col("_number").isNotNull() & (kind.isin(NUMBER_KINDS) | at_edge()))
+    said_edge = F.coalesce((F.col("at") == F.col("_said")) | (F.col("at") == F.col("_said_last")), F.lit(False)) | kind.isin(EDGE_KINDS)
+    e = e.withColumns({"_said_edge": said_edge, "_key": F.when(said_edge | F.col("_edge"), bare(F.col("normal")))}).drop("_first", "_last", "_said", "_said_last")
+    e = written(e, "elements")  # read three times, twice without its texts
     # numbers that run on: their distance to the page is the same all over
     runs = e.where("_number IS NOT NULL AND NOT _proven AND _slot IS NOT NULL").groupBy("document", "_slot")
     runs = runs.agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("_number") - F.col("page")).alias("_lo"), F.max(F.col("_number") - F.col("page")).alias("_hi")).where("_n >= 3 AND _lo = _hi").select("document", "_slot", F.lit(True).alias("_runs"))
-    said_edge = (F.col("at") == F.col("_said")) | (F.col("at") == F.col("_said_last")) | kind.isin(EDGE_KINDS)
-    seen = e.where(said_edge & (F.col("normal") != "") & (F.length("normal") <= LONGEST_EDGE) & ~F.col("_heading") & F.col("_number").isNull())
+    seen = e.where(F.col("_said_edge") & (F.col("normal") != "") & (F.length("normal") <= LONGEST_EDGE) & ~F.col("_heading") & F.col("_number").isNull())
     seen = seen.groupBy("document", "_key").agg(F.count_distinct("page").alias("_pages")).where("_pages >= 2").select("document", "_key", F.lit(True).alias("_repeats"))
+    runs, seen = written(runs, "runs"), written(seen, "repeats")  # so that their sizes are known
     e = e.join(runs, ["document", "_slot"], "left").join(seen, ["document", "_key"], "left")
     fate = (
         F.when(F.col("normal") == "", "blank")
@@ -92,7 +99,7 @@ def _merged(units: Column, headings: Column) -> Column:
 
     def step(done: Column, unit: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce(~apart(last["text"], last["kind"]) & ~apart(unit["text"], unit["kind"]) & ~last["text"].rlike(SENTENCE_END), F.lit(False))
+        joins = F.coalesce(~apart(last["text"], last["kind"]) & ~apart(unit["text"], unit["kind"]) & ~F.right(last["text"], F.lit(3)).rlike(SENTENCE_END), F.lit(False))
         longer = F.struct(F.concat(last["text"], unit["text"]).alias("text"), last["kind"].alias("kind"), F.concat(last["cuts"], F.array(F.length(last["text"]))).alias("cuts"))
         fresh = F.struct(unit["text"].alias("text"), unit["kind"].alias("kind"), F.array().cast("array<int>").alias("cuts"))
         return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer.cast(LINE)))).otherwise(F.concat(done, F.array(fresh.cast(LINE))))
@@ -100,13 +107,16 @@ def _merged(units: Column, headings: Column) -> Column:
     return F.aggregate(units, F.array().cast(f"array<{LINE}>"), step)
 
 
-def cleaned_pages(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cleaned_pages(elements: DataFrame, logged: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pages (document, page, cleaned, kept and left_out places, decision) and the log of edits.
 
     Log rows: document, page, step, rule, at (element; null for merges), line (of the cleaned page, for merges), before, after.
+    Without `logged`, which writes what the log is made from, the log works the cleaning out again for each step.
     Steps 1 to 4 are normalising, leaving out, splitting an element into lines, and merging lines, which runs in order of cut.
     """
     found = classified(elements)
+    if logged:
+        found = written(found, "classified")
     places = lambda fates: F.transform(F.filter("_e", lambda x: x["fate"].isin(fates)), lambda x: x["at"])
     lines = F.filter(F.split("normal", "\n"), lambda x: x != "")
     kind = F.coalesce("kind", F.lit(""))
@@ -115,6 +125,8 @@ def cleaned_pages(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sort_array(F.collect_list(F.struct("at", units.alias("units"), "fate"))).alias("_e"), F.any_value("headings").alias("headings")
     )  # one page
     pages = pages.select(*PAGE, _merged(F.flatten(F.col("_e.units")), F.col("headings")).alias("lines"), places(["kept"]).alias("kept"), places(["number", "edge"]).alias("left_out"))
+    if logged:
+        pages = written(pages, "cleaned")
     text = F.array_join(F.col("lines.text"), "\n")
     clean = pages.select(*PAGE, text.alias("cleaned"), "kept", "left_out", F.when((text != "") | (F.size("left_out") + F.size("kept") == 0), "pass").otherwise("review_required").alias("decision"))
     raw, none = F.coalesce("text", F.lit("")), F.lit(None).cast("int")

@@ -106,3 +106,22 @@ def test_posting_lists_are_packed_in_one_pass():
     packed = phrases.packed_lists(np.concatenate([np.array(x) for x in lists]), first).to_pylist()
     assert packed == [phrases.pack(np.diff(np.array(x), prepend=0)) for x in lists]
     assert phrases.packed_lists(np.zeros(0, np.int64), np.zeros(0, np.int64)).to_pylist() == []
+
+
+def test_restoring_reads_what_cleaning_wrote(spark):
+    assert "regexp_replace" not in query_plan(spark, "restored_pages")
+
+
+def test_normal_form_is_the_same(spark):
+    import re
+
+    from larkspur.operators import pages
+
+    def plain(t):
+        t = re.sub(pages.ODD_SPACES, " ", re.sub(pages.CONTROLS, "", re.sub("\r\n?", "\n", t or "")))
+        t = re.sub("\n{3,}", "\n\n", re.sub(" ?\n ?", "\n", re.sub("[\t ]+", " ", t)))
+        return re.sub(r"^[ \n]+|[ \n]+\Z", "", t)
+
+    texts = ["", None, " a  b\tc ", "a \x01 b", "\ta\u3000\u3000b\u00a0", "x \r\n\r\r y\n\n\n\nz \n ", "\r", "a\x01\n \n\x02\n b", " \t\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert {r.i: r.n for r in df.select("i", pages.normal(F.col("t")).alias("n")).collect()} == {i: plain(t) for i, t in enumerate(texts)}
