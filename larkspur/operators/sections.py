@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import token_estimate
+from larkspur.sources.shared import written
 
 # Forms of headings with level, confidence and reason; what opens a unit and ends a sentence.
 HEADINGS = [
@@ -116,7 +117,7 @@ def with_paths(lines: DataFrame) -> DataFrame:
 
 def document_sections(pages: DataFrame) -> DataFrame:
     """document, terms, section, page_start, page_end, path, confidence, reasons, review, units (id, text) of every section."""
-    lines = with_paths(heading_lines(pages))
+    lines = with_paths(written(heading_lines(pages), "lines"))  # read twice
     first = lambda c: F.min_by(c, F.struct("page", "n"))
     found = lines.groupBy("document", "start").agg(
         F.any_value("terms").alias("terms"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), first("path").alias("path"), first("confidence").alias("confidence"), first("reasons").alias("reasons"),
@@ -160,6 +161,7 @@ def document_tree(pages: DataFrame, terms_tokens: int = TERMS_TOKENS, other_toke
     parents = pages.withColumn("content", tidy(content)).where("content <> ''")
     parents = parents.select("document", "page", F.col("page").alias("page_start"), F.col("page").alias("page_end"), said(F.col("headings")).alias("path"), "content", "tables", F.lit("parent").alias("kind"), F.lit("").alias("parent_id"))
     parents = parents.withColumn("id", chunk_id(F.col("document"), F.col("page"), F.lit("parent"), F.col("content")))
+    parents = written(parents, "parents")  # read three times
 
     each = parents.select("document", "page", "page_start", "page_end", "path", F.col("id").alias("parent_id"), F.posexplode("tables").alias("section", "t"))
     rows = row_texts(F.col("t"))
@@ -173,6 +175,7 @@ def document_tree(pages: DataFrame, terms_tokens: int = TERMS_TOKENS, other_toke
     sections = document_sections(pages).withColumn("content", F.array_join(F.transform("units", lambda u: u["text"]), "\n"))
     own = F.col("terms") & (F.col("page_end") > F.col("page_start"))
     sections = sections.withColumn("_own", F.when(own, chunk_id(F.col("document"), F.col("page_start"), F.col("page_end"), F.lit("section"), F.col("section"), F.col("content"))))
+    sections = written(sections, "sections")  # read twice
     above = sections.where("_own IS NOT NULL").select("document", "page_start", "page_end", "path", "content", "section", "confidence", "reasons", "review", F.col("_own").alias("id"), F.lit("parent").alias("kind"), F.lit("").alias("parent_id"), F.transform("units", lambda u: u["id"]).alias("unit_ids"))
     page_of = parents.select("document", F.col("page").alias("page_start"), F.col("id").alias("_page"))
     most = F.when(F.col("terms"), terms_tokens).otherwise(other_tokens)

@@ -125,3 +125,8 @@ def test_normal_form_is_the_same(spark):
     texts = ["", None, " a  b\tc ", "a \x01 b", "\ta\u3000\u3000b\u00a0", "x \r\n\r\r y\n\n\n\nz \n ", "\r", "a\x01\n \n\x02\n b", " \t\n"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert {r.i: r.n for r in df.select("i", pages.normal(F.col("t")).alias("n")).collect()} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_sections_and_chunks_are_worked_out_once(spark):
+    assert "RLIKE" not in query_plan(spark, "document_sections")
+    assert "RLIKE" not in query_plan(spark, "document_tree")
