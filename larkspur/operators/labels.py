@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import names as N
+from larkspur.sources.shared import written
 
 # Points of a candidate, and the limits of the words for confidence.
 WHOLE, EDIT, BELOW, INSIDE, COLON = 90.0, 15.0, 20.0, 10.0, 8.0
@@ -45,7 +46,7 @@ def pieces(labels: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """page, line_no, field, label, edits, at (where the label begins), value, below (found on the next line), score."""
-    index = pieces(labels)
+    index = written(pieces(labels), "label_pieces")  # so that its size is known
     lengths = [r["length"] for r in index.select("length").distinct().collect()]  # as many as labels have characters
     by_place = Window.partitionBy("page").orderBy("line_no")  # one page
     here = lines.select("page", "line_no", F.coalesce("text", F.lit("")).alias("text")).withColumn("next", F.lead("text").over(by_place)).withColumn("plain", folded(F.col("text")))
@@ -55,7 +56,7 @@ def candidates(lines: DataFrame, labels: DataFrame) -> DataFrame:
         lengths = [1]
     grams = here.select("page", "line_no", F.explode(F.concat(*[runs(k) for k in sorted(lengths)])).alias("g")).select("page", "line_no", "g.piece", "g.place")
     met = grams.join(index, "piece").select("page", "line_no", "field", "label", "edits", (F.col("place") - F.col("start")).alias("at")).distinct()
-    near = met.join(here, ["page", "line_no"])
+    near = met.join(here.hint("merge"), ["page", "line_no"])
 
     # the label stands where its piece says, give or take the edits before it; its end moves by all edits
     size = F.length("label")
@@ -72,6 +73,7 @@ def candidates(lines: DataFrame, labels: DataFrame) -> DataFrame:
     value = F.when(below, clean(F.coalesce("next", F.lit("")))).otherwise(F.col("own"))
     score = WHOLE - EDIT * F.col("hit.edits") - F.when(below, BELOW).otherwise(0.0) - F.when(F.col("hit.at") > 0, INSIDE).otherwise(0.0) + F.when(F.col("colon"), COLON).otherwise(0.0)
     each = near.select("page", "line_no", "field", "label", F.col("hit.edits").alias("edits"), F.col("hit.at").alias("at"), value.alias("value"), below.alias("below"), score.alias("score")).where("value <> ''").distinct()
+    each = written(each, "label_candidates")
     # a label within a longer one that fits as well says less: of those that begin within it the longest stays
     longer = each.select("page", "line_no", F.col("at").alias("_a"), F.length("label").alias("_n"), F.col("edits").alias("_e"))
     inside = (F.col("_n") > F.length("label")) & (F.col("_e") <= F.col("edits")) & (F.col("at") >= F.col("_a")) & (F.col("at") < F.col("_a") + F.col("_n"))

@@ -130,3 +130,7 @@ def test_normal_form_is_the_same(spark):
 def test_sections_and_chunks_are_worked_out_once(spark):
     assert "RLIKE" not in query_plan(spark, "document_sections")
     assert "RLIKE" not in query_plan(spark, "document_tree")
+
+
+def test_candidates_of_lines_are_worked_out_once(spark):
+    assert "levenshtein" not in query_plan(spark, "scanned_fields")
