@@ -81,13 +81,13 @@ def publish_log(events: DataFrame, key: str, order: str) -> DataFrame:
     jumps = written(rows.select(key, "version", F.coalesce("source", "version").alias("root")), "jumps")
     while True:
         step = jumps.select(key, F.col("version").alias("root"), F.col("root").alias("_next"))
-        after = jumps.join(step, [key, "root"], "left").select(key, "version", F.coalesce("_next", "root").alias("root"), (F.coalesce("_next", "root") != F.col("root")).alias("_on"))
+        after = jumps.join(step.hint("merge"), [key, "root"], "left").select(key, "version", F.coalesce("_next", "root").alias("root"), (F.coalesce("_next", "root") != F.col("root")).alias("_on"))
         after = written(after, "jumps")
         jumps = after.drop("_on")
         if after.where("_on").isEmpty():
             break
     content = rows.select(key, F.col("version").alias("root"), F.col("content").alias("_c"))
-    full = rows.join(jumps, [key, "version"]).join(content, [key, "root"], "left")
+    full = rows.join(jumps.hint("merge"), [key, "version"]).join(content.hint("merge"), [key, "root"], "left")  # numbers take little room in files, so their size would mislead
     return full.withColumn("_last", last).select(key, "version", F.coalesce("_c", "content").alias("content"), F.when(F.col("version") == F.col("_last"), "published").otherwise("archived").alias("status"))
 
 

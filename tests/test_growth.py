@@ -134,3 +134,7 @@ def test_sections_and_chunks_are_worked_out_once(spark):
 
 def test_candidates_of_lines_are_worked_out_once(spark):
     assert "levenshtein" not in query_plan(spark, "scanned_fields")
+
+
+def test_versions_are_not_broadcast(spark):
+    assert "Broadcast" not in query_plan(spark, "published_versions")
