@@ -33,6 +33,15 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def worked_out(pages: DataFrame, /, **columns: Column) -> DataFrame:
+    """Adds columns that later steps name many times.
+
+    They pass through a generator of one row, over which the optimiser does not merge projections: otherwise every use
+    gets its own copy of all steps below, and the plan grows with their product.
+    """
+    return pages.select(*pages.columns, F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def said(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
@@ -217,26 +226,27 @@ def cash_value_tables(boxes: DataFrame, tolerance: float = ROW_TOLERANCE) -> Dat
     from the order of reading or the places alone. Fewer than three rows, values that only count the years, and a low
     confidence are a failure.
     """
-    pages = page_items(boxes).withColumn("lines", clustered(F.col("items"), tolerance))
-    pages = pages.withColumn("head", header(F.col("lines"))).withColumn("groups", header_groups(F.col("items")))
-    pages = pages.withColumn("columns", F.when(F.col("head").isNotNull(), by_columns(F.col("lines"), F.col("head"))).otherwise(F.array().cast(NONE)))
-    pages = pages.withColumn("grouped", F.when(F.size("groups") >= 2, by_year(by_header_groups(F.col("items"), F.col("groups")))).otherwise(F.array().cast(NONE)))
-    pages = pages.withColumn("read_order", F.filter(F.flatten("lines"), lambda b: b["text"] != ""))
+    none = F.array().cast(NONE)
+    pages = worked_out(page_items(boxes), lines=clustered(F.col("items"), tolerance))
+    pages = worked_out(pages, head=header(F.col("lines")), groups=header_groups(F.col("items")), read_order=F.filter(F.flatten("lines"), lambda b: b["text"] != ""))
+    known = F.col("head").isNotNull()
+    columns = F.when(known, by_columns(F.col("lines"), F.col("head"))).otherwise(none)
+    pages = worked_out(pages, columns=columns, grouped=F.when(F.size("groups") >= 2, by_year(by_header_groups(F.col("items"), F.col("groups")))).otherwise(none))
     few = F.size("columns") < LEAST_ROWS
     tries = [by_year(in_sequence(F.col("items"))), by_year(in_sequence(F.col("read_order"))), by_year(in_columns(F.col("items")))]
-    pages = pages.withColumns({f"try{i}": F.when(few & (F.size("grouped") < LEAST_ROWS) & F.col("head").isNotNull(), c).otherwise(F.array().cast(NONE)) for i, c in enumerate(tries)})
+    pages = worked_out(pages, **{f"try{i}": F.when(few & (F.size("grouped") < LEAST_ROWS) & known, c).otherwise(none) for i, c in enumerate(tries)})
     longest = reduce(lambda a, i: F.when(F.size(f"try{i}") > F.size(a), F.col(f"try{i}")).otherwise(a), (1, 2), F.col("try0"))
     chosen = F.when((F.size("grouped") >= LEAST_ROWS) & (F.size("grouped") >= F.size("columns")), F.col("grouped")).when(few, longest).otherwise(F.col("columns"))
-    pages = pages.withColumn("rows", F.when(F.col("head").isNotNull(), by_year(chosen)).otherwise(F.array().cast(NONE)))
+    pages = worked_out(pages, rows=F.when(known, by_year(chosen)).otherwise(none))
     return judged(pages)
 
 
 def structured_value_tables(tables: DataFrame) -> DataFrame:
     """The same of tables that a parser has cut into cells: page, cells (rows of texts, the first ones the headings)."""
     cell = lambda t, i: F.struct(i.cast("int").alias("i"), F.trim(F.coalesce(t, F.lit(""))).alias("text"), F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("x"), F.lit(0.0).alias("middle"), policy_year(F.coalesce(t, F.lit(""))).alias("year"), number(F.coalesce(t, F.lit(""))).alias("number"), F.lit(False).alias("of_years"), F.lit(False).alias("of_values")).cast(ITEM)
-    pages = tables.select("page", F.transform("cells", lambda row: F.transform(row, cell)).alias("lines"), F.lit(USUAL_CONFIDENCE).alias("read"))
-    pages = pages.withColumn("head", header(F.col("lines")))
-    return judged(pages.withColumn("rows", F.when(F.col("head").isNotNull(), by_year(by_columns(F.col("lines"), F.col("head")))).otherwise(F.array().cast(NONE))))
+    pages = worked_out(tables.select("page", "cells", F.lit(USUAL_CONFIDENCE).alias("read")), lines=F.transform("cells", lambda row: F.transform(row, cell)))
+    pages = worked_out(pages, head=header(F.col("lines")))
+    return judged(worked_out(pages, rows=F.when(F.col("head").isNotNull(), by_year(by_columns(F.col("lines"), F.col("head")))).otherwise(F.array().cast(NONE))))
 
 
 def judged(pages: DataFrame) -> DataFrame:

@@ -75,3 +75,15 @@ def test_structured_tables(spark):
     df = spark.createDataFrame([(0, cells), (1, [["姓名"], ["甲"]]), (2, cells[:2]), (3, [])], "page int, cells array<array<string>>")
     got = {r["page"]: (r["status"], [(x["year"], x["value"]) for x in r["rows"]]) for r in boxes.structured_value_tables(df).collect()}
     assert got == {0: ("ok", [(1, 10.5), (2, 20.0), (3, 30.0)]), 1: ("no table", []), 2: ("failed", [(1, 10.5), (3, 30.0)]), 3: ("no table", [])}
+
+
+def test_the_plan_holds_each_step_once(spark):
+    df = boxes.cash_value_tables(spark.createDataFrame([], SCHEMA))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+
+
+def test_results_match_the_places_of_their_pages_after_the_steps(spark):
+    from larkspur.plans import carriers
+
+    got = carriers.QUERIES["value_tables_from_boxes"](spark, "/root/testdata/sf0.001")
+    assert got.where("page = '7'").orderBy("year").selectExpr("status", "year", "value").collect()[-1] == ("ok", 8, 8007.5)
