@@ -8,8 +8,10 @@ similarity reaches the threshold; the result is each document's component under
    sketch of their counts. Two linked sets must share a
    token among their first n - ceil(t * n) + 1, whatever the order, so sets without such a shared token are
    done. Frequent tokens come last: a line that a third of all documents share brings no candidates.
-3. Sets that are joined by shared tokens form candidate families (connected components over stars, one star
-   per token, so the number of rows stays linear). A family of many tokens is dealt over pairs of blocks.
+3. Sets that are joined by shared tokens form candidate families (connected components). Two sets that share only
+   tokens of few sets are joined where their sizes, and the shared tokens' number and last places, leave room for the
+   overlap that a link needs, so chance tokens do not chain families in a large corpus. A token of many sets joins those
+   of like size by a star, so the number of rows stays linear. A family of many tokens is dealt over pairs of blocks.
 4. Within a block pair, similar sets are put into groups, and the token-group matrix holds each group's token
    union. A query's overlap with a group's union bounds its overlap with every member; only groups whose
    bound reaches the threshold are opened and compared exactly. A query that already is in one component
@@ -48,6 +50,8 @@ BLOCK_TOKENS = 500_000
 GROUP = 64
 #: Cells of any matrix of tokens and groups, tokens and sets, or sets and groups.
 CELLS = 3_000_000
+#: Sets that may hold a token whose pairs are looked at one by one; a token of more joins its sets by a star.
+MOST_PAIRED = 32
 #: Parts into which the sets of one token are dealt before they meet at its hub.
 HUB_PARTS = 32
 NULL_ID = -(1 << 63)
@@ -85,7 +89,8 @@ def token_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     # Copies of a text would make all its tokens look shared: count one of each.
     firsts = docs.groupBy(F.xxhash64("text").alias("t")).agg(F.min("id").alias("id"))
-    sent = docs.sparkSession.sparkContext.broadcast(small_filter(firsts.select(F.xxhash64("id").alias("key")), "key"))
+    firsts = written(firsts.select(F.xxhash64("id").alias("key")), "firsts")  # the filter reads its keys twice
+    sent = docs.sparkSession.sparkContext.broadcast(small_filter(firsts, "key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -206,33 +211,66 @@ NODE = "struct<id: long, s1: long, s2: long>"
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
-    """token, node for the prefix tokens that two sets may share."""
+    """token, node, n (set size), place (from 1) for the prefix tokens that two sets may share."""
     counted = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    sent = sets.sparkSession.sparkContext.broadcast(small_filter(counted.where("times > 1"), "token"))
+    several = written(counted.where("times > 1").select("token"), "several")  # the filter reads its keys twice
+    sent = sets.sparkSession.sparkContext.broadcast(small_filter(several, "token"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("prefix")
             token = lists.flatten().to_numpy()
-            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            long = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(b.num_rows), long)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(long) - long, long) + 1
             ok = passes(sent.value, token.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(token[ok]), b.column("node").take(pa.array(owner[ok]))], ["token", "node"])
+            own = pa.array(owner[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(token[ok]), b.column("node").take(own), b.column("n").take(own), pa.array(place[ok])], ["token", "node", "n", "place"])
 
-    return sets.select("node", "prefix").mapInArrow(keep, f"token long, node {NODE}")
+    return sets.select("node", "n", "prefix").mapInArrow(keep, f"token long, node {NODE}, n long, place long")
 
 
-def families(sets: DataFrame) -> DataFrame:
-    """node, family of every set that shares a prefix token with another.
+def _close_pairs(tokens: DataFrame, least: int) -> DataFrame:
+    """u, v of the sets that share tokens and may link, as far as the tokens given tell.
 
-    The sets of a token meet at the least of their part, and the parts at the least of all, so a token that many sets
-    share is dealt over tasks.
+    Where these are all the tokens that two prefixes share, the overlap is at most their number and what follows the
+    last of them in either set.
     """
-    tokens = written(_shared_tokens(sets), "shared_tokens").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(HUB_PARTS)))
-    parts = tokens.groupBy("token", "part").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    edges = tokens.join(parts.where("hub != last").select("token", "part", "hub"), ["token", "part"]).where("node != hub")
-    tops = parts.groupBy("token").agg(F.min("hub").alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    above = parts.join(tops.select("token", "top"), "token").where("hub != top")
-    edges = edges.select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(above.select(F.col("hub").alias("u"), F.col("top").alias("v")))
+    held = tokens.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "node", "place"))).alias("held"))  # MOST_PAIRED at most
+    one = held.select("held", F.posexplode("held").alias("k", "a"))
+    pairs = one.select("a", F.explode(F.slice("held", F.col("k") + 2, MOST_PAIRED)).alias("b")).where(100 * F.col("a.n") >= least * F.col("b.n"))
+    met = pairs.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"))
+    met = met.agg(F.count(F.lit(1)).alias("shared"), F.max("a.place").alias("i"), F.max("b.place").alias("j"))
+    most = F.col("shared") + F.least(F.col("nu") - F.col("i"), F.col("nv") - F.col("j"))
+    return met.where((100 + least) * most >= least * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+
+def _stars(tokens: DataFrame, least: int) -> DataFrame:
+    """u, v that join the sets of each token, as far as their sizes may link.
+
+    Sizes that may link are in the same class of sizes or in neighbouring ones, so each set goes to two. The sets of a
+    class meet at the least of their part, and the parts at the least of all, so a token that many sets share is dealt
+    over tasks.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / least))) if least < 100 else F.col("n")
+    tokens = tokens.select("token", "node", F.explode(F.array(level, level + 1)).alias("level"), F.pmod(F.xxhash64("node"), F.lit(HUB_PARTS)).alias("part"))
+    parts = tokens.groupBy("token", "level", "part").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    edges = tokens.join(parts.where("hub != last").select("token", "level", "part", "hub"), ["token", "level", "part"]).where("node != hub")
+    tops = parts.groupBy("token", "level").agg(F.min("hub").alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    above = parts.join(tops.select("token", "level", "top"), ["token", "level"]).where("hub != top")
+    return edges.select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(above.select(F.col("hub").alias("u"), F.col("top").alias("v")))
+
+
+def families(sets: DataFrame, least: int) -> DataFrame:
+    """node, family of every set that may link with another.
+
+    Two sets that share a prefix token of many sets meet at its star; all other shared tokens of theirs are of few sets,
+    so what these tell is whole.
+    """
+    tokens = written(_shared_tokens(sets), "shared_tokens")
+    times = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    tokens = tokens.join(times, "token")
+    edges = _close_pairs(tokens.where(F.col("times") <= MOST_PAIRED), least).unionByName(_stars(tokens.where(F.col("times") > MOST_PAIRED), least))
     return components(edges).select("node", F.col("root").alias("family"))
 
 
@@ -398,7 +436,7 @@ def link_components(docs: DataFrame, size: int = 3, least: int = 90) -> DataFram
     table = written(summaries(texts, size, least), "summaries")
     classes = table.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "prefix")).alias("x"))
     classes = written(classes.select(F.struct("x.id", "s1", "s2").alias("node"), "x.n", "x.prefix"), "classes")
-    member_of = families(classes)
+    member_of = families(classes, least)
 
     sizes = written(classes.select("node", "n").join(member_of, "node"), "members")
     blocks = sizes.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))

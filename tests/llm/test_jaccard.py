@@ -91,3 +91,38 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     got = J.link_components(spark.createDataFrame([(1, long), (2, long + " x"), (3, "x")], "doc_id long, text string"))
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == [(1, 199_998, 1), (2, 199_999, 1), (3, 1, 3)]
+
+
+def families_of(spark, sets):
+    """Families as sets of ids, from (n, prefix) of sets."""
+    df = spark.createDataFrame([((i, i, i), n, prefix) for i, (n, prefix) in enumerate(sets)], f"node {J.NODE}, n long, prefix array<long>")
+    found = {}
+    for r in J.families(df, 90).collect():
+        found.setdefault(r["family"], set()).add(r["node"]["id"])
+    return sorted(map(sorted, found.values()))
+
+
+def test_chance_tokens_do_not_chain_families(spark):
+    chain = [(20, [i, 10_000 + i, i + 1]) for i in range(100)]
+    assert families_of(spark, chain) == []
+    near = [(20, [20_000, 30_000, 40_000]), (20, [20_000, 30_001, 40_000]), (21, [20_000, 30_000, 50_000])]
+    assert families_of(spark, chain + near) == [[100, 101, 102]]
+
+
+def test_a_token_of_many_sets_joins_those_of_like_size(spark):
+    sets = [(n, [7, 1000 + 100 * n + i]) for n in (19, 20, 40, 400) for i in range(20)]
+    assert [len(f) for f in families_of(spark, sets)] == [40, 20, 20]
+    assert families_of(spark, [(1, [7]) for _ in range(40)]) == [list(range(40))]
+
+
+def test_pairs_and_stars_lose_no_link(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(20, 90))]
+        texts += [" ".join(base), " ".join([*base, "x"]), " ".join(base[1:]), " ".join(base[:-3]), " ".join(["same", "old", "line", *base])]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1, 3, 32):
+        monkeypatch.setattr(J, "MOST_PAIRED", most)
+        assert sorted(map(tuple, J.link_components(docs).collect())) == brute(rows)
