@@ -149,17 +149,23 @@ PAID_CLAUSE, BASIC_CLAUSE = "实际交纳.*?保险费|已交保费|所交保费"
 LARGER_CLAUSE = "max|二者之[较最]大|三者之[最]"
 
 
-def clause_amount(text: Column, amount: Column, paid: Column) -> Column:
+def amount_facts(text: Column) -> dict[str, Column]:
+    """What a clause says of its amount, apart from any policy."""
+    percent = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
+    return {
+        "_share": percent(r"(\d+)\s*%"), "_times": percent(r"基本保险金额[的]?\s*(\d+)\s*倍"), "_of_basic": percent(r"基本保险金额[的]?\s*(\d+)\s*%"),
+        "_paid": text.rlike(PAID_CLAUSE), "_basic": text.rlike(BASIC_CLAUSE), "_larger": text.rlike(LARGER_CLAUSE),
+    }
+
+
+def clause_amount(facts: dict[str, Column], amount: Column, paid: Column) -> Column:
     """Amount of a benefit clause: a share of the premiums paid, a multiple or share of the basic amount, or the larger."""
-    share = F.regexp_extract(text, r"(\d+)\s*%", 1)
-    times = F.regexp_extract(text, r"基本保险金额[的]?\s*(\d+)\s*倍", 1)
-    of_basic = F.regexp_extract(text, r"基本保险金额[的]?\s*(\d+)\s*%", 1)
     return (
-        F.when(text.rlike(PAID_CLAUSE), F.when(share != "", half_up(paid * share.try_cast("double") / 100, 0)).otherwise(paid))
-        .when(times != "", amount * times.try_cast("double"))
-        .when(of_basic != "", half_up(amount * of_basic.try_cast("double") / 100, 0))
-        .when(text.rlike(BASIC_CLAUSE), amount)
-        .when(text.rlike(LARGER_CLAUSE), F.greatest(paid, amount))
+        F.when(facts["_paid"], F.when(facts["_share"].isNotNull(), half_up(paid * facts["_share"] / 100, 0)).otherwise(paid))
+        .when(facts["_times"].isNotNull(), amount * facts["_times"])
+        .when(facts["_of_basic"].isNotNull(), half_up(amount * facts["_of_basic"] / 100, 0))
+        .when(facts["_basic"], amount)
+        .when(facts["_larger"], F.greatest(paid, amount))
         .otherwise(amount)
     )
 
@@ -173,18 +179,48 @@ CERTAIN = "生存|满期|期满|年金|养老金|教育金|祝寿|祝贺|关爱
 UNCERTAIN = "医疗|医药|住院|门诊|治疗|费用|报销|补偿|赔付比例|免赔|理赔|疾病|意外|伤害|伤残|全残|津贴"
 
 
+def clause_facts(name: Column, content: Column) -> dict[str, Column]:
+    """What the texts of a clause say of its amount and years, apart from any policy."""
+    text = F.coalesce(content, F.lit(""))
+    tight = F.regexp_replace(text, r"\s+", "")
+    told = lambda c, pattern, i=1: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    shares = [EDUCATION, *[rf"(?:{w}|{a})周岁.*?有效保险金额(?:[（(][^）)]*[）)])?(?:的)?(\d+(?:\.\d+)?)%" for _, a, w in NAMED_AGES]]
+    first_share = r"首次给付.*?首次交纳的保险费的(\d+(?:\.\d+)?)%.*?以后每年.*?基本保险金额的(\d+(?:\.\d+)?)%"
+    wait = told(text, r"生效满(五|十|[2-9]\d*|10)年.*?首个保单周年日")
+    ages = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)\s*周岁"), 1), lambda a: a.try_cast("int"))))
+    on_day = told(text, rf"(?:于|生存至)\s*(?:年满)?\s*({NUMERALS})\s*周岁(?:保单)?生效对应日")
+    at_last = told(text, rf"年满\s*({NUMERALS})\s*周岁的年生效对应日")
+    certain = F.concat(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", ""), tight)
+    return amount_facts(text) | {
+        "_shares": F.array(*[told(tight, s).try_cast("double") for s in shares]),
+        "_every": P.chinese_integer(F.regexp_extract(tight, rf"(?:合同)?生效之日起每满({NUMERALS})周年", 1)),
+        "_yearly": tight.rlike("自本合同生效之日起.*?至本合同保险期间届满的年生效对应日前") & tight.contains("每年"),
+        "_at_first": told(tight, first_share, 1).try_cast("double"), "_later": told(tight, first_share, 2).try_cast("double"),
+        "_waits": wait.isNotNull(), "_waited": F.when(wait == "五", 5).when(wait == "十", 10).otherwise(wait.try_cast("int")),
+        "_before_pension": text.rlike("养老年金开始领取日.*?(?:之前|不含)"), "_from_pension": text.rlike("开始领取日.*?(?:起|含).*?至.*?届满.*?前"),
+        "_listed": text.rlike(r"\d+\s*周岁(?:[、，,]\s*\d+\s*周岁)+"), "_ages": ages,
+        "_least": F.coalesce(F.regexp_extract(text, r"生效满(\d+)年.*?已经过", 1).try_cast("int"), F.lit(0)),
+        "_point": F.coalesce(on_day, at_last).isNotNull() & ~text.rlike("至.*?(?:前|之前|不含)|起.*?至|开始领取日"),
+        "_point_age": P.chinese_integer(F.coalesce(on_day, at_last)), "_at_last": at_last.isNotNull(),
+        "_at_end": text.rlike("保险期间届满|保障期满|届满") & ~text.rlike("之前|不含|起"),
+        "_unsure": certain.rlike(UNCERTAIN) & ~certain.rlike(CERTAIN),
+    }
+
+
 def expand_clauses(clauses: DataFrame) -> DataFrame:
     """Benefit clauses of policies -> yearly entries, by the first pattern that fits.
 
     clauses: policy_id, clause_no, name, content, pension_age and the context columns. Patterns in order: ages of
     education; every so many years; each year to the end; from so many years on; from the start of the pension; a list
-    of ages; one age; the end of cover.
+    of ages; one age; the end of cover. Texts repeat over policies, so each one is read once.
     """
-    text = F.coalesce("content", F.lit(""))
-    tight, name = F.regexp_replace(text, r"\s+", ""), F.col("name")
+    facts = clause_facts(F.col("name"), F.col("content"))
+    clauses = once_each(clauses, ["name", "content"], facts)
+    f = {k: F.col(k) for k in facts}
+    clauses = clauses.withColumn("_worth", clause_amount(f, F.col("amount"), F.col("total_premium")))
+    name, worth = F.col("name"), F.col("_worth")
     begin, birth, end, base = (F.col(c) for c in ("effective_year", "birth_year", "end_year", "amount"))
     pension = F.coalesce("pension_age", F.lit(0))
-    worth = clause_amount(text, base, F.col("total_premium"))
     kind = "array<struct<year:int,age:int,amount:double,liability:string>>"
     none = F.array().cast(kind)
     inside = lambda x: (x["year"] >= begin) & (x["year"] <= end)
@@ -197,45 +233,31 @@ def expand_clauses(clauses: DataFrame) -> DataFrame:
         made = F.transform(years, lambda y: entry(y, worth if value is None else value(y)))
         return F.when(first <= last, made).otherwise(none)
 
-    def percent_entry(pattern: str, ages: list[int], liability: str) -> Column:
-        share = F.regexp_extract(tight, pattern, 1)
-        value = half_up(base * share.try_cast("double") / 100, 0)
+    def percent_entry(i: int, ages: list[int], liability: str) -> Column:
+        share = F.get(f["_shares"], F.lit(i))
+        value = half_up(base * share / 100, 0)
         made = F.array(*[entry(birth + a, value, F.lit(a), F.lit(liability)) for a in ages])
-        return F.when(share != "", F.filter(made, inside)).otherwise(none)
-
-    named = F.concat(
-        percent_entry(EDUCATION, [18, 19, 20, 21], "大学教育金"),
-        *[percent_entry(rf"(?:{w}|{a})周岁.*?有效保险金额(?:[（(][^）)]*[）)])?(?:的)?(\d+(?:\.\d+)?)%", [a], liability) for liability, a, w in NAMED_AGES],
-    )
-    every = P.chinese_integer(F.regexp_extract(tight, rf"(?:合同)?生效之日起每满({NUMERALS})周年", 1))
-    first_share = r"首次给付.*?首次交纳的保险费的(\d+(?:\.\d+)?)%.*?以后每年.*?基本保险金额的(\d+(?:\.\d+)?)%"
-    at_first, later = (F.regexp_extract(tight, first_share, i).try_cast("double") for i in (1, 2))
-    from_start = lambda y: F.when(at_first.isNull(), worth).otherwise(half_up(F.when(y == begin, F.col("premium") * at_first).otherwise(base * later) / 100, 0))
-    wait = F.regexp_extract(text, r"生效满(五|十|[2-9]\d*|10)年.*?首个保单周年日", 1)
-    waited = F.when(wait == "五", 5).when(wait == "十", 10).otherwise(wait.try_cast("int"))
-    until = F.when(text.rlike("养老年金开始领取日.*?(?:之前|不含)") & (pension > 0), birth + pension - 1).otherwise(end - 1)
-    ages = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)\s*周岁"), 1), lambda a: a.try_cast("int"))))
-    least = F.coalesce(F.regexp_extract(text, r"生效满(\d+)年.*?已经过", 1).try_cast("int"), F.lit(0))
-    on_day = F.regexp_extract(text, rf"(?:于|生存至)\s*(?:年满)?\s*({NUMERALS})\s*周岁(?:保单)?生效对应日", 1)
-    at_last = F.regexp_extract(text, rf"年满\s*({NUMERALS})\s*周岁的年生效对应日", 1)
-    point = F.when(on_day != "", on_day).otherwise(at_last)
-    point_age = P.chinese_integer(point)
+        return F.when(share.isNotNull(), F.filter(made, inside)).otherwise(none)
+
+    named = F.when(
+        F.exists(f["_shares"], lambda s: s.isNotNull()),
+        F.concat(percent_entry(0, [18, 19, 20, 21], "大学教育金"), *[percent_entry(1 + i, [a], liability) for i, (liability, a, _) in enumerate(NAMED_AGES)]),
+    ).otherwise(none)
+    from_start = lambda y: F.when(f["_at_first"].isNull(), worth).otherwise(half_up(F.when(y == begin, F.col("premium") * f["_at_first"]).otherwise(base * f["_later"]) / 100, 0))
+    until = F.when(f["_before_pension"] & (pension > 0), birth + pension - 1).otherwise(end - 1)
     patterns = [
-        (every > 0, yearly(begin + every, end, every)),
-        (tight.rlike("自本合同生效之日起.*?至本合同保险期间届满的年生效对应日前") & tight.contains("每年"), yearly(begin, end - 1, 1, from_start)),
-        (wait != "", yearly(begin + waited, until)),
-        (text.rlike("开始领取日.*?(?:起|含).*?至.*?届满.*?前"), F.when(pension > 0, yearly(birth + pension, end - 1)).otherwise(none)),
-        (text.rlike(r"\d+\s*周岁(?:[、，,]\s*\d+\s*周岁)+"), F.filter(F.transform(ages, lambda a: entry(birth + a, worth, a)), lambda x: x["year"] >= begin + least)),
-        (
-            (point != "") & ~text.rlike("至.*?(?:前|之前|不含)|起.*?至|开始领取日"),
-            F.filter(F.array(entry(F.when(at_last != "", end).otherwise(birth + point_age), worth, point_age)), inside),
-        ),
-        (text.rlike("保险期间届满|保障期满|届满") & ~text.rlike("之前|不含|起"), F.when(end > 0, F.array(entry(end, worth))).otherwise(none)),
+        (f["_every"] > 0, yearly(begin + f["_every"], end, f["_every"])),
+        (f["_yearly"], yearly(begin, end - 1, 1, from_start)),
+        (f["_waits"], yearly(begin + f["_waited"], until)),
+        (f["_from_pension"], F.when(pension > 0, yearly(birth + pension, end - 1)).otherwise(none)),
+        (f["_listed"], F.filter(F.transform(f["_ages"], lambda a: entry(birth + a, worth, a)), lambda x: x["year"] >= begin + f["_least"])),
+        (f["_point"], F.filter(F.array(entry(F.when(f["_at_last"], end).otherwise(birth + f["_point_age"]), worth, f["_point_age"])), inside)),
+        (f["_at_end"], F.when(end > 0, F.array(entry(end, worth))).otherwise(none)),
     ]
     fitting = reduce(lambda a, x: a.when(x[0], x[1]), patterns[1:], F.when(*patterns[0])).otherwise(none)
-    certain = F.concat(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", ""), tight)
-    chosen = F.when(certain.rlike(UNCERTAIN) & ~certain.rlike(CERTAIN), none).when(F.size(named) > 0, named).when(worth > 0, fitting).otherwise(none)
-    rows = clauses.select("policy_id", "clause_no", "first_day", "born", chosen.alias("_e")).select("policy_id", "clause_no", "first_day", "born", F.inline_outer("_e")).where("year IS NOT NULL")
+    clauses = clauses.withColumn("_named", named)
+    chosen = F.when(f["_unsure"], none).when(F.size("_named") > 0, F.col("_named")).when(worth > 0, fitting).otherwise(none)
+    rows = clauses.select("policy_id", "clause_no", "first_day", "born", F.inline_outer(chosen)).where("year IS NOT NULL")
     return rows.select("policy_id", "clause_no", "year", F.coalesce("age", P.age_in_year(F.col("year"), F.col("first_day"), F.col("born")).cast("int")).alias("age"), "liability", "amount")
 
 
