@@ -116,14 +116,16 @@ def publish_readiness(documents: DataFrame, chunks: DataFrame, links: DataFrame)
     the pages of one link, that of its own product.
     """
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    bound = chunks.where(~blank(F.col("product_id")))
+    # Rows of numbers compress well, so shuffled parts look small and would be merged into tasks of millions of rows.
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound = chunks.where(~blank(F.col("product_id"))).repartition(parts, "doc_id")
     l = links.where(~blank(F.col("product_id"))).select(F.col("doc_id").alias("_d"), F.col("product_id").alias("_p"), F.col("first_page").alias("_lo"), F.coalesce("last_page", "first_page").alias("_hi"))  # noqa: E741
     met = bound.join(l, (bound["doc_id"] == l["_d"]) & (bound["last_page"] >= l["_lo"]) & (bound["first_page"] <= l["_hi"]), "left")
-    per = met.groupBy("doc_id", "chunk_id", "product_id", "version_id").agg(F.count("_p").alias("fits"), F.max("_p").alias("_p"))
-    clear = (F.col("fits") == 1) & (F.col("_p") == F.col("product_id"))
+    per = met.groupBy("doc_id", "chunk_id", "product_id", "version_id").agg(F.count("_p").alias("fits"), F.count_if(F.col("_p") == F.col("product_id")).alias("own"))  # numbers only: hashed, not sorted
+    clear = (F.col("fits") == 1) & (F.col("own") == 1)
     v = documents.select("doc_id", F.col("version_id").alias("_v"))
     checked = per.join(v, "doc_id").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("publishable"), F.sum((~F.coalesce(clear, F.lit(False))).cast("long")).alias("ambiguous"), F.sum((~blank(F.col("_v")) & ~F.coalesce(F.col("version_id") == F.col("_v"), F.lit(False))).cast("long")).alias("unversioned")
+        F.count(F.lit(1)).alias("publishable"), F.sum((~clear).cast("long")).alias("ambiguous"), F.sum((~blank(F.col("_v")) & ~F.coalesce(F.col("version_id") == F.col("_v"), F.lit(False))).cast("long")).alias("unversioned")
     )
     isolated = chunks.where(blank(F.col("product_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("isolated"))
     joined = documents.join(checked, "doc_id", "left").join(isolated, "doc_id", "left").fillna(0, ["publishable", "ambiguous", "unversioned", "isolated"])
