@@ -141,8 +141,7 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
 
 def token_estimate(c: Column) -> Column:
     """Han characters, plus words and numbers of other scripts."""
-    text = F.coalesce(c, F.lit(""))
-    return F.regexp_count(text, F.lit(r"[\x{3400}-\x{9fff}]")) + F.regexp_count(text, F.lit(r"[A-Za-z]+|\d+(?:\.\d+)?"))
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z]++|[\x{3400}-\x{9fff}]|[0-9]++(?:\.[0-9]++)?+"))
 
 
 def html_text(c: Column) -> Column:

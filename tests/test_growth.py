@@ -138,3 +138,32 @@ def test_candidates_of_lines_are_worked_out_once(spark):
 
 def test_versions_are_not_broadcast(spark):
     assert "Broadcast" not in query_plan(spark, "published_versions")
+
+
+def test_lines_of_a_document_are_dealt_once(spark):
+    from larkspur.operators import sections
+
+    schema = "document string, terms boolean, page int, text string, headings array<string>, tables array<array<array<string>>>, layout array<string>"
+    pages = spark.createDataFrame([("d", True, 1, "第一条 甲\n乙", [], None, None), ("d", True, 2, "丙\n一、丁\n戊", [], None, None)], schema)
+    tree = sections.document_tree(pages)
+    assert plan(tree).count("Exchange ") == 1
+    children = sorted((r.section, r.part, r.content, r.tokens, r.sequence) for r in tree.collect() if r.kind == "child")
+    assert children == [(0, 0, "第一条 甲\n乙\n丙", 6, 0), (1, 0, "一、丁\n戊", 3, 1)]
+
+
+def test_pieces_of_a_text_are_read_once(spark):
+    from larkspur.operators import sections
+
+    df = spark.createDataFrame([(" ".join(map(str, range(3000))), 7)], "t string, n int")
+    cut = df.select(sections.hard_split(F.col("t"), F.col("n")).alias("x"))
+    assert plan(cut).count("regexp_extract_all") == 1  # it was read again for each piece
+    assert cut.first().x == [" ".join(map(str, range(i, min(i + 7, 3000)))) for i in range(0, 3000, 7)]
+
+
+def test_ranges_of_patterns_are_the_characters_meant(spark):
+    from larkspur.operators import sections
+
+    blocks = [("".join(map(chr, range(max(i, 1), i + 4096))),) for i in range(0, 0x110000, 4096) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame(blocks, "t string")
+    for ranges, plain in ((sections.SENTENCE.split("++")[0], "[^。！？!?；;]"), (sections.BETWEEN.removesuffix("*+"), r"[^\x{3400}-\x{9fff}A-Za-z0-9]")):
+        assert df.where(F.regexp_replace("t", ranges, "") != F.regexp_replace("t", plain, "")).count() == 0
