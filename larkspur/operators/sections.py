@@ -12,13 +12,12 @@ are counted once and added up.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import token_estimate
+from larkspur.functions.columns import let, token_estimate
 from larkspur.sources.shared import written
 
 # Forms of headings with level, confidence and reason; what opens a unit and ends a sentence.
@@ -58,11 +57,6 @@ def tidy(c: Column) -> Column:
     return trimmed(with_line_ends(c))
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def said(texts: Column) -> Column:
     """Tidy texts of an array that are not empty."""
     return F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), tidy), lambda x: x != "")

@@ -19,9 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Whether Spark drops the shuffle files of a query when it ends, on all executors.
+DROPS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table of its own, split into folders by some columns: cuts lineage, survives lost executors."""
+    """df as a Parquet table of its own, split into folders by some columns: cuts lineage, survives lost executors.
+
+    What was shuffled to write it is not read again, so its files go at once and not when the driver collects its garbage.
+    """
+    conf = df.sparkSession.conf
     path = f"{shared_dir(df.sparkSession)}/larkspur-{uuid.uuid4().hex}/{name}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    before = conf.get(DROPS, "false")
+    conf.set(DROPS, "true")
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        conf.set(DROPS, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

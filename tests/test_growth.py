@@ -1,5 +1,6 @@
 """Queries that grow: no side is sent whole, no pair is made twice, and nothing is worked out on every row that few texts need."""
 
+import time
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -167,3 +168,22 @@ def test_ranges_of_patterns_are_the_characters_meant(spark):
     df = spark.createDataFrame(blocks, "t string")
     for ranges, plain in ((sections.SENTENCE.split("++")[0], "[^。！？!?；;]"), (sections.BETWEEN.removesuffix("*+"), r"[^\x{3400}-\x{9fff}A-Za-z0-9]")):
         assert df.where(F.regexp_replace("t", ranges, "") != F.regexp_replace("t", plain, "")).count() == 0
+
+
+def test_restoring_sends_each_text_once(spark):
+    assert query_plan(spark, "restored_pages").count("Exchange ") == 2  # the clean pages, and their edits
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from larkspur.sources.shared import DROPS, written
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, was = files(), spark.conf.get(DROPS)
+    df = spark.range(1000).withColumn("x", F.md5(F.col("id").cast("string"))).repartition("x")
+    assert written(df, "x").where("id >= 0").collect()
+    assert spark.conf.get(DROPS) == was
+    for _ in range(50):  # executors drop them in their own time
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
