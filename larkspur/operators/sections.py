@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from larkspur.functions.columns import let, token_estimate
 from larkspur.sources.shared import written
 
-# Forms of headings with level, confidence and reason; what opens a unit and ends a sentence.
+# Forms of headings with level, confidence and reason; ends of lines that are no headings but of the first level; what opens a unit and ends a sentence.
 HEADINGS = [
     (1, r"^第[一二三四五六七八九十百零〇0-9]+条(?:\s+|$)", 0.92, "条款编号标题"),
-    (2, r"^[一二三四五六七八九十百]+[、.．](?!.*[。；;]$)", 0.88, "中文序号标题"),
-    (3, r"^[（(][一二三四五六七八九十百零〇0-9]+[）)](?!.*[。；;]$)", 0.84, "括号序号标题"),
+    (2, r"^[一二三四五六七八九十百]+[、.．]", 0.88, "中文序号标题"),
+    (3, r"^[（(][一二三四五六七八九十百零〇0-9]+[）)]", 0.84, "括号序号标题"),
 ]
+NO_HEADING_ENDS = "。；;"
 DECLARED = (2, 0.76, "文档结构标题")
 MARKED, SHORT = "解析器标题标记", "短行标题"
 NO_HEADING = (0.45, "未检测到章节标题")
@@ -125,7 +126,8 @@ def heading_lines(pages: DataFrame) -> DataFrame:
     each = [c for c in ("_page",) if c in pages.columns]
     lines = pages.select("document", "terms", "page", *each, said(F.col("headings")).alias("_h"), F.posexplode(F.filter(F.transform(texts, trimmed), lambda x: x != "")).alias("n", "text"))
     declared = F.array_contains("_h", F.col("text"))
-    form = F.coalesce(*[F.when(F.col("text").rlike(p), F.lit(i)) for i, (_, p, _, _) in enumerate(HEADINGS)], F.when(declared, F.lit(len(HEADINGS))))
+    open_end = ~reduce(lambda a, b: a | b, [F.endswith(F.col("text"), F.lit(x)) for x in NO_HEADING_ENDS])
+    form = F.coalesce(*[F.when(F.col("text").rlike(p) & (F.lit(level == 1) | open_end), F.lit(i)) for i, (level, p, _, _) in enumerate(HEADINGS)], F.when(declared, F.lit(len(HEADINGS))))
     lines = lines.withColumns({"_form": form, "_declared": declared, "_short": F.length("text") <= SHORT_HEADING})
     forms = [*[(level, c, reason) for level, _, c, reason in HEADINGS], DECLARED]
     of_form = lambda k: reduce(lambda a, x: a.when(F.col("_form") == x[0], F.lit(x[1][k])), enumerate(forms[1:], 1), F.when(F.col("_form") == 0, F.lit(forms[0][k])))
